@@ -9,7 +9,7 @@ Steps, all on Spark:
 1. one pass gives each document's set size and 128-bit set signature, and the token histogram; equal sets are one class;
 2. a second pass gives each document's prefixes; tokens held by one class only are dropped by a grouped min / max;
 3. each prefix list links its members to its least member (a star, so a group of copies costs its size, not its square);
-   star pairs found under every order are verified on whole sets;
+   of the star pairs found under every order, each member's with most common tokens is verified on whole sets;
 4. every other pair that shares prefix tokens under every order, and is not already connected, is verified too, so no
    link between components is lost;
 5. components come from a distributed star contraction.
@@ -195,7 +195,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             out = out.join(p, ["sa", "sb"], "left_semi")
         return out
 
-    stars = space.keep(meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).select(F.col("hub").alias("sa"), F.col("s1").alias("sb")).distinct() for x in lists]), "stars")
+    met = meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).groupBy(F.col("hub").alias("sa"), F.col("s1").alias("sb")).count() for x in lists])
+    stars = space.keep(met.groupBy("sb").agg(F.max(F.struct("count", "sa")).getField("sa").alias("sa")), "stars")
     sets = shingle_sets(docs, reps_of(stars), n, space)
     links = space.keep(verify(stars, sets, percent), "star-links")
     known = connected_components(links, space)
