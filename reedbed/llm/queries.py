@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_digests
+from .chat import format_conversations
+from .decontam import contaminated
 from .ngram_join import ngram_components
 from .quality import quality_report
 from .rans import token_file_digests
 from .secrets import secret_report
 from .suffix_dedup import remove_repeats
+from .token_counts import edited_counts, made_edits
+from .url_filter import judge_urls
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,10 +38,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(made_edits(_table(spark, sf_dir, "documents")), BYTE_BPE)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), min_len=400)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -47,7 +67,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op6_suffix_dedup, op9_token_files, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
