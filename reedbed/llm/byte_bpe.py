@@ -7,6 +7,7 @@ before they are read as UTF-8, so characters that tokens split come out whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,24 +53,33 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", starts binary, ends binary" * offsets)
 
 
+def decode_ids(ids: np.ndarray, bounds: np.ndarray, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all ids, joined, and each document's bounds among them."""
+    flat, begin, size = _byte_table(ranks_path)
+    ids = ids.astype(np.int64)
+    each = size[ids]
+    total = np.concatenate([[0], np.cumsum(each)])
+    take = np.arange(total[-1]) + np.repeat(begin[ids] - total[:-1], each)
+    return flat[take], total[bounds]
+
+
+@functools.cache
+def _byte_table(ranks_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table = byte_bpe(ranks_path)[1]
+    size = np.array([len(x) for x in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded with a binary column decoded: the bytes of ids, joined. Null ids give null."""
     names = encoded.columns
     at = names.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_bpe(ranks_path)[1]
-        flat = np.frombuffer(b"".join(table), np.uint8)
-        size = np.array([len(x) for x in table], np.int64)
-        begin = np.cumsum(size) - size
         for batch in batches:
             whole = []
             for c in chunks(batch.column(at)):
-                ids = np.ascontiguousarray(c.data).view("<u4").astype(np.int64)
-                each = size[ids]
-                total = np.concatenate([[0], np.cumsum(each)])
-                take = np.arange(total[-1]) + np.repeat(begin[ids] - total[:-1], each)
-                whole.append(_packed(flat[take], total[c.offsets // 4], "u1"))
+                whole.append(_packed(*decode_ids(np.ascontiguousarray(c.data).view("<u4"), c.offsets // 4, ranks_path), "u1"))
             out = pa.concat_arrays(whole) if whole else pa.array([], pa.binary())
             null = batch.column(at).is_null()
             if batch.column(at).null_count:
@@ -80,7 +90,17 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.mapInArrow(run, f"{kinds}, decoded binary")
 
 
-def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    both = decode(encode(docs, ranks_path), ranks_path)
+def encode_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and its ids decoded, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1)):
+                ids, bounds, _, _ = encode_chunk(c, ranks_path)
+                raw, ends = decode_ids(ids, bounds, ranks_path)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(np.diff(bounds)), _packed(ids, bounds, "<u4"), _packed(raw, ends, "u1")], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    both = rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

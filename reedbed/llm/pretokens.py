@@ -14,7 +14,7 @@ from .textbatch import Chunk, span_hashes
 LETTER, NUMBER, WHITE, OTHER = range(4)
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE_PIECES = 400_000
+CACHE_PIECES = 100_000
 
 
 @functools.cache
