@@ -50,11 +50,11 @@ def io3_content_address(spark, sf_dir) -> DataFrame:
     return I.content_address(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content")))
 
 
-@query("fx_references", sql="SELECT id, edition_id, CASE WHEN edition_id % 3 = 0 THEN page + 100 ELSE page END AS page FROM fx_references WHERE NOT (edition_id % 3 = 0 AND id % 2 = 1)")
+@query("fx_references", sql="SELECT id, edition_id, CASE WHEN edition_id % 3 = 0 THEN page + 100 ELSE page END AS page FROM fx_references WHERE NOT (edition_id % 3 = 0 AND id % 100 >= 50)")
 def io4_partition_replace(spark, sf_dir) -> DataFrame:
     path, refs = scratch(spark, "io4"), Tables(spark, sf_dir).fx_references.select("id", "edition_id", "page")
     IO.write_partition_replace(refs, path)
-    IO.write_partition_replace(refs.filter("edition_id % 3 = 0 and id % 2 = 0").withColumn("page", F.col("page") + 100), path)
+    IO.write_partition_replace(refs.filter("edition_id % 3 = 0 and id % 100 < 50").withColumn("page", F.col("page") + 100), path)
     return spark.read.schema("id long, page long, edition_id long").parquet(path)
 
 
@@ -367,9 +367,9 @@ def f02_validate(spark, sf_dir) -> DataFrame:
     return IO.validate(Tables(spark, sf_dir).fx_comments, "comments").select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("m", "fx_users", sql="SELECT p.paper_id AS id FROM m_papers p WHERE EXISTS (SELECT 1 FROM m_copies c WHERE c.paper_id = p.paper_id AND c.marketed) AND (lower(p.title) LIKE '%gold%' OR lower(p.authors) LIKE '%gold%' OR lower(p.journal) LIKE '%gold%' OR EXISTS (SELECT 1 FROM m_copies c JOIN fx_users u ON u.id = c.user_id WHERE c.paper_id = p.paper_id AND c.marketed AND lower(u.display_name) LIKE '%gold%'))")
+@query("m", "fx_users", sql="SELECT p.paper_id AS id FROM m_papers p WHERE EXISTS (SELECT 1 FROM m_copies c WHERE c.paper_id = p.paper_id AND c.marketed) AND (lower(p.title) LIKE '%brand#2%' OR lower(p.authors) LIKE '%brand#2%' OR lower(p.journal) LIKE '%brand#2%' OR EXISTS (SELECT 1 FROM m_copies c JOIN fx_users u ON u.id = c.user_id WHERE c.paper_id = p.paper_id AND c.marketed AND lower(u.display_name) LIKE '%brand#2%'))")
 def f07_library_search(spark, sf_dir) -> DataFrame:
-    return L.library_search(_library(Tables(spark, sf_dir)), "GOLD").select("id")
+    return L.library_search(_library(Tables(spark, sf_dir)), "BRAND#2").select("id")
 
 
 def _library(t: Tables) -> DataFrame:

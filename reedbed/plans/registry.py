@@ -30,7 +30,11 @@ def with_sql(*names: str, body: str) -> str:
     own = [f"{k} AS ({v})" for k, v in MORE.items()] if "m" in names else []
     if "m" in names and "fx_entries" not in fx:
         fx.append("fx_entries")
-    return ctes(*fx, more=", ".join(own)) + body if fx else body
+    if not fx:
+        return body
+    if body.startswith("WITH "):
+        own, body = [*own, body[5:]], ""
+    return ctes(*fx, more=", ".join(own)) + body
 
 
 def query(*names: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
