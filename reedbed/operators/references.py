@@ -38,28 +38,28 @@ def store_resolutions(refs: DataFrame, outcomes: DataFrame) -> DataFrame:
     return rows.withColumn("resolved_status", F.coalesce("__s", "resolved_status")).drop("__s")
 
 
-def _with_words(refs: DataFrame) -> DataFrame:
+def with_words(refs: DataFrame) -> DataFrame:
     """refs with hay, the words of the printed line and parsed title: cut once, before any pairing."""
     return refs.withColumn("hay", content_words(F.concat_ws(" ", "raw", "title")))
 
 
-def _accepted(pairs: DataFrame) -> DataFrame:
+def accepted(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("distance", year_distance("work_year", "year"))
     return pairs.filter(words_match(F.col("work_words"), F.col("hay")))
 
 
-def _work_columns(works: DataFrame) -> DataFrame:
+def work_columns(works: DataFrame) -> DataFrame:
     return works.select(F.col("id").alias("work_id"), F.col("doi").alias("work_doi"), F.col("title").alias("work_title"), F.col("year").alias("work_year"), "source_rank", content_words("title").alias("work_words"))
 
 
 def resolve_by_identifier(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """(id, work_id, distance, by): references whose DOI, else arXiv number, names a work whose title and year agree."""
-    w = _work_columns(works)
-    own = _with_words(refs)
-    keyed = own.select("id", "year", "hay", F.explode(F.array(F.struct(F.lit(0).alias("by"), normalize_doi("doi").alias("k")), F.struct(F.lit(1).alias("by"), arxiv_as_doi("arxiv_id").alias("k")))).alias("x")).select("id", "year", "hay", "x.by", "x.k").filter("k is not null and k <> ''")
-    hits = _accepted(keyed.join(w.withColumn("k", normalize_doi("work_doi")), "k")).filter(F.col("distance") <= YEAR_LIMIT)
-    best = hits.groupBy("id").agg(F.min(F.struct("by", "source_rank", "work_id", "distance")).alias("b"))
-    return best.select("id", "b.work_id", "b.distance", "b.by")
+    """(id, work_id, distance, via): references whose DOI, else arXiv number, names a work whose title and year agree."""
+    w = work_columns(works)
+    own = with_words(refs)
+    keyed = own.select("id", "year", "hay", F.explode(F.array(F.struct(F.lit(0).alias("via"), normalize_doi("doi").alias("k")), F.struct(F.lit(1).alias("via"), arxiv_as_doi("arxiv_id").alias("k")))).alias("x")).select("id", "year", "hay", "x.via", "x.k").filter("k is not null and k <> ''")
+    hits = accepted(keyed.join(w.withColumn("k", normalize_doi("work_doi")), "k")).filter(F.col("distance") <= YEAR_LIMIT)
+    best = hits.groupBy("id").agg(F.min(F.struct("via", "source_rank", "work_id", "distance")).alias("b"))
+    return best.select("id", "b.work_id", "b.distance", "b.via")
 
 
 def frequent_words(works: DataFrame, share: float) -> DataFrame:
@@ -75,7 +75,7 @@ def candidates(refs: DataFrame, works: DataFrame, k: int = 5, min_len: int = 8,
     An inverted-index join on words. Words in more than share of all titles make no pairs (1: all words do). Ranks go by
     common words, then work id. References with less than min_len characters to search by have none.
     """
-    w = _work_columns(works)
+    w = work_columns(works)
     text = F.coalesce("title", "raw")
     query = refs.filter(F.length(F.coalesce(text, F.lit(""))) >= min_len).select("id", F.explode(content_words(F.concat_ws(" ", "raw", "title"))).alias("word"))
     postings = w.select("work_id", F.explode("work_words").alias("word"))
@@ -108,28 +108,28 @@ def merge_works(primary: str, secondary: str, printed_year: Column) -> Column:
 
 
 def resolve_references(refs: DataFrame, works: DataFrame, k: int = 5, second_available: bool = True) -> DataFrame:
-    """(id, status, work_id, distance, by): identifier first, else the best title candidate.
+    """(id, status, work_id, distance, via): identifier first, else the best title candidate.
 
     Candidates of the second index (source_rank 1) count only where the first has none of the printed year. A reference
     that needed the second index while it was out, and has nothing, is an error; nothing else found is a miss.
     """
     known = resolve_by_identifier(refs, works)
-    open_ = _with_words(refs.join(known.select("id"), "id", "left_anti"))
-    w = _work_columns(works)
+    open_ = with_words(refs.join(known.select("id"), "id", "left_anti"))
+    w = work_columns(works)
 
     def judged(rank: int) -> DataFrame:
         part = candidates(open_, works.filter(F.col("source_rank") == rank), k)
         pairs = part.join(w, "work_id").join(open_.select("id", "year", "hay"), "id")
-        return _accepted(pairs).select("id", "work_id", "distance", "source_rank", "rank")
+        return accepted(pairs).select("id", "work_id", "distance", "source_rank", "rank")
 
     first = judged(0)
     sure = first.filter("distance = 0").select("id").distinct()
     both = first.union(judged(1).join(sure, "id", "left_anti")) if second_available else first
-    best = best_candidate(both).select("id", "work_id", "distance", F.lit("title").alias("by"))
-    found = known.select("id", "work_id", "distance", F.when(F.col("by") == 0, "doi").otherwise("arxiv").alias("by")).union(best)
+    best = best_candidate(both).select("id", "work_id", "distance", F.lit("title").alias("via"))
+    found = known.select("id", "work_id", "distance", F.when(F.col("via") == 0, "doi").otherwise("arxiv").alias("via")).union(best)
     out = refs.select("id").join(found, "id", "left").join(sure.withColumn("sure", F.lit(True)), "id", "left")
     none = F.lit("miss") if second_available else F.when(F.col("sure").isNull(), "error").otherwise("miss")
-    return out.select("id", F.when(F.col("work_id").isNotNull(), "ok").otherwise(none).alias("status"), "work_id", "distance", "by")
+    return out.select("id", F.when(F.col("work_id").isNotNull(), "ok").otherwise(none).alias("status"), "work_id", "distance", "via")
 
 
 def library_match(refs: DataFrame, papers: DataFrame) -> DataFrame:

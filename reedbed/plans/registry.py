@@ -32,9 +32,11 @@ def with_sql(*names: str, body: str) -> str:
         fx.append("fx_entries")
     if not fx:
         return body
+    recursive = body.startswith("WITH RECURSIVE ")
     if body.startswith("WITH "):
-        own, body = [*own, body[5:]], ""
-    return ctes(*fx, more=", ".join(own)) + body
+        own, body = [*own, body.removeprefix("WITH ").removeprefix("RECURSIVE ")], ""
+    out = ctes(*fx, more=", ".join(own)) + body
+    return out.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else out
 
 
 def query(*names: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
