@@ -102,15 +102,16 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs without its rejected documents; those kept lose their frequent lines, and n_chars follows their text."""
     verdicts, heavy = quality_verdicts(docs)
-    good = verdicts.filter("kept").select("doc_id", "host", "th", "n_removed_words").dropDuplicates(["doc_id", "host", "th"])
+    good = verdicts.filter("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("th").alias("__of"), F.col("n_removed_words").alias("__lost")).dropDuplicates(["__id", "__host", "__of"])
+    heavy = heavy.select(F.col("host").alias("__host"), F.col("h").alias("__key"), F.col("first_doc").alias("__first"))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(good, (F.col("__th") == good["th"]) & own["doc_id"].eqNullSafe(good["doc_id"]) & own["source"].eqNullSafe(good["host"]))
-    kept = kept.select(*(own[c] for c in docs.columns), "__th", "n_removed_words")
-    whole = kept.filter("n_removed_words = 0").select(*docs.columns)
-    part = kept.filter("n_removed_words > 0").select(*docs.columns, "__th")
-    lines = part.select("doc_id", "__th", "source", F.posexplode(F.split("text", "\n")).alias("__at", "__line")).withColumn("__h", line_key(F.col("__line")))
-    gone = lines.join(heavy, (F.col("__h") == heavy["h"]) & lines["source"].eqNullSafe(heavy["host"]) & ~lines["doc_id"].eqNullSafe(heavy["first_doc"]), "left_anti")
-    text = gone.groupBy("doc_id", "__th", "source").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("__at", "__line"))), lambda x: x["__line"]), "\n").alias("__text"))
-    part = part.alias("p").join(text.alias("t"), (F.col("p.__th") == F.col("t.__th")) & F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("p.source").eqNullSafe(F.col("t.source")))
-    new = {"text": F.col("t.__text"), "n_chars": F.length("t.__text").cast(docs.schema["n_chars"].dataType)}
-    return whole.union(part.select(*(new.get(c, F.col(f"p.{c}")).alias(c) for c in docs.columns)))
+    kept = own.join(good, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__host"))).select(*docs.columns, "__th", "__lost")
+    whole = kept.filter("__lost = 0").select(*docs.columns)
+    part = kept.filter("__lost > 0").drop("__lost")
+    lines = part.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__of"), F.col("source").alias("__source"), F.posexplode(F.split("text", "\n")).alias("__at", "__line")).withColumn("__h", line_key(F.col("__line")))
+    left = lines.join(heavy, (F.col("__h") == F.col("__key")) & F.col("__source").eqNullSafe(F.col("__host")) & ~F.col("__id").eqNullSafe(F.col("__first")), "left_anti")
+    ordered = F.sort_array(F.collect_set(F.struct("__at", "__line")))
+    text = left.groupBy("__id", "__of", "__source").agg(F.array_join(F.transform(ordered, lambda x: x["__line"]), "\n").alias("__text"))
+    part = part.join(text, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)}
+    return whole.union(part.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)))

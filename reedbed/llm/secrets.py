@@ -100,15 +100,15 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with the union of each text's spans replaced by mark; n_chars follows the text. No row is dropped."""
-    spans = secret_spans(docs).filter("size(spans) > 0").select("doc_id", "th", "spans").dropDuplicates(["doc_id", "th"])
+    spans = secret_spans(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__of"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__of"])
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = own.join(spans, (own["__th"] == spans["th"]) & own["doc_id"].eqNullSafe(spans["doc_id"]), "left")
+    joined = own.join(spans, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.substring(own["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(own["text"], a["at"] + 1, F.length(own["text"]))))
-    text = F.when(spans["spans"].isNotNull(), cut).otherwise(own["text"])
-    new = {"text": text, "n_chars": F.when(spans["spans"].isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])}
-    return joined.select(*(new.get(c, own[c]).alias(c) for c in docs.columns))
+    cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    joined = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), cut))
+    new = {"text": F.coalesce("__new", "text"), "n_chars": F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
