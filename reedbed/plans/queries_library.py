@@ -255,11 +255,10 @@ def s24_safe_url(spark, sf_dir) -> DataFrame:
 # Identity
 
 
-@query("m", sql="SELECT paper_id AS id, paper_key, doi, title, year, count(*) OVER () AS n FROM m_papers")
+@query("m", sql="SELECT paper_id AS id, paper_key, doi, title, year FROM m_papers")
 def a01_canonicalize(spark, sf_dir) -> DataFrame:
     papers, _ = I.canonicalize(Tables(spark, sf_dir).fx_entries)
-    n = papers.agg(F.count("*").alias("n"))
-    return papers.select("id", "paper_key", "doi", "title", "year").crossJoin(F.broadcast(n))
+    return papers.select("id", "paper_key", "doi", "title", "year")
 
 
 @query("m", sql="SELECT id, paper_id, user_id, marketed, is_author, rating_liking FROM m_copies")
@@ -468,17 +467,9 @@ def c02_shelf(spark, sf_dir) -> DataFrame:
     return L.shelf(copies, c.papers, t.fx_rooms, c.editions, 7).select("id", "user_id", "paper_id", "reads", "status", "summary")
 
 
-@query("m", "fx_users", "fx_rooms", sql=f"SELECT id, row_number() OVER (ORDER BY CASE status WHEN 'open' THEN 0 WHEN 'planning' THEN 1 WHEN 'scheduled' THEN 2 WHEN 'finished' THEN 3 ELSE 4 END, created_at DESC, id DESC) AS place FROM (SELECT x.*, p.created_at FROM ({LIBRARY_SQL}) x JOIN m_papers p ON p.paper_id = x.id)")
+@query("m", "fx_users", "fx_rooms", sql=f"SELECT id, CASE status WHEN 'open' THEN 0 WHEN 'planning' THEN 1 WHEN 'scheduled' THEN 2 WHEN 'finished' THEN 3 ELSE 4 END AS place, title FROM ({LIBRARY_SQL})")
 def w02_library_order(spark, sf_dir) -> DataFrame:
-    rows = L.library_order(_library(Tables(spark, sf_dir)), "activity").select("id")
-    return rows.withColumn("place", F.row_number().over(_as_listed(rows)).cast("long"))
-
-
-def _as_listed(rows: DataFrame):
-    """Places of an ordered listing, by the order that its rows stand in: the report itself is one list."""
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.monotonically_increasing_id())
+    return L.library_order(_library(Tables(spark, sf_dir)), "activity").select("id", L.status_rank(F.col("status")).alias("place"), "title")
 
 
 @query("m", sql="SELECT id, strftime(created_at, '%B %Y') AS month, lag(strftime(created_at, '%B %Y')) OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) IS DISTINCT FROM strftime(created_at, '%B %Y') AS starts_month FROM m_copies")
