@@ -2,17 +2,19 @@
 
 Every document is its set of distinct word shingles. Two sets that reach the threshold share a token among the first
 n - ceil(t n) + 1 tokens under ANY global order of tokens, so a pair must share a prefix token under each of several
-orders. Tokens are ordered by a frequency class first (a fixed-size histogram of the corpus; frequent tokens come last,
-out of most prefixes) and by a different permutation of their hash in each order.
+orders. All orders put rare tokens first; each permutes them differently. Frequencies are counted exactly for a quarter of
+all tokens, chosen by hash, which come before the others, so that prefixes consist of tokens known to be rare.
 
 Steps, all on Spark:
-1. one pass gives each document's set size and 128-bit set signature, and the token histogram; equal sets are one class;
+1. one pass gives each document's set size, 128-bit set signature and countable tokens; equal sets are one class;
 2. a second pass gives each document's prefixes; tokens held by one class only are dropped by a grouped min / max;
 3. each prefix list links its members to its least member (a star, so a group of copies costs its size, not its square);
-   of the star pairs found under every order, each member's with most common tokens is verified on whole sets;
+   of the star pairs found under every order, each member's with most common tokens is verified;
 4. every other pair that shares prefix tokens under every order, and is not already connected, is verified too, so no
    link between components is lost;
 5. components come from a distributed star contraction.
+
+Verification first bounds the overlap by the tokens that fall into equal hash buckets, then intersects whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .components import connected_components
 from .store import Workspace
 from .textbatch import chunks, grams, long_lists, mix, sorted_sets, words
 
-CELLS = 1 << 16  # cells of the token histogram; its size does not grow with the data
+CELLS = 1 << 22  # cells, one byte each, of the map of frequent tokens; its size does not grow with the data
+FREQUENT = 1 << 18  # tokens that the map takes at most: the most frequent; which ones it takes changes costs, never results
+SLOTS = 1 << 24  # bits of the map of tokens in two documents or more; its size does not grow with the data
 BITS = 1 << 23  # bits of the map of documents whose sets are needed; its size does not grow with the data
 ORDERS = 2
 
@@ -47,57 +51,97 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray,
         yield c.lo, c.hi, *sorted_sets(*grams(words(c), n))
 
 
+def _countable(h: np.ndarray) -> np.ndarray:
+    return (mix(h, 50) & np.uint64(3)) == 0
+
+
 def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(kind, doc_id, n, s1, s2): kind 0 a document with its set's size and signature, kind 1 a histogram cell and its count."""
+    """(doc_id, n, s1, s2, tokens): each document's set size, signature and countable tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             for lo, hi, h, bounds in _sets(batch, n):
-                cells += np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
                 size, s1, s2 = _signatures(h, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(s1), pa.array(s2)], ["kind", "doc_id", "n", "s1", "s2"])
-        at = np.flatnonzero(cells)
-        zero = np.zeros(len(at), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(cells[at]), pa.array(zero), pa.array(zero)], ["kind", "doc_id", "n", "s1", "s2"])
-
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long")
+                some = _countable(h)
+                tokens = long_lists(h[some], np.concatenate([[0], np.cumsum(some)])[bounds])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(s1), pa.array(s2), tokens], ["doc_id", "n", "s1", "s2", "tokens"])
 
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, tokens array<long>")
 
-def frequency_classes(histogram: DataFrame) -> bytes:
-    """One byte a cell: how many doublings its count is above the mean (0 for most). At most CELLS rows reach the driver."""
-    got = histogram.groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    count = np.zeros(CELLS)
-    count[got["cell"].to_numpy(np.int64)] = got["count"].to_numpy(float)
-    mean = max(1.0, count.sum() / CELLS)
-    return np.clip(np.floor(np.log2(np.maximum(count, 1) / mean)), 0, 31).astype(np.uint8).tobytes()
 
+def frequent_map(seen: DataFrame, space: Workspace) -> tuple[bytes, bytes]:
+    """(levels, repeats) of the countable tokens.
 
-def prefixes(docs: DataFrame, n: int, percent: int, classes: bytes, orders: int = ORDERS) -> DataFrame:
-    """(s1, n, p0, p1, ...): each non-empty set's prefix tokens under each order."""
-    names = ["s1", "n", *(f"p{o}" for o in range(orders))]
+    levels: one byte a cell, the doublings of the count of the cell's most frequent token, 0 below three documents; it
+    takes the FREQUENT most frequent tokens, to the nearest doubling. repeats: one bit a slot, set if a token of the slot
+    is in two documents or more. Both have a fixed size; a full map costs time, never results.
+    """
+    counts = seen.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1")
+    counts = space.keep(counts.select("token", F.when(F.col("count") > 2, F.floor(F.log2("count"))).otherwise(0).cast("int").alias("level")), "repeats")
+    least, taken = 1, 0
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 64 rows
+        taken += row["count"]
+        if taken > FREQUENT:
+            least = row["level"] + 1
+            break
+    got = counts.filter(F.col("level") >= max(1, least)).groupBy(F.col("token").bitwiseAND(CELLS - 1).alias("cell")).agg(F.max("level").alias("level")).toPandas()
+    levels = np.zeros(CELLS, np.uint8)
+    levels[got["cell"].to_numpy(np.int64)] = got["level"].to_numpy(np.uint8)
+    slot = F.col("token").bitwiseAND(SLOTS - 1)
+    got = counts.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
+    repeats = np.zeros(SLOTS // 64, np.int64)
+    repeats[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    space.drop(counts)
+    return levels.tobytes(), repeats.tobytes()
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    """Tokens in each of about n / 2 hash buckets, 255 for more."""
+    buckets = 1 << max(3, int(len(h)).bit_length() - 2)
+    return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _overlap_bound(x: bytes, y: bytes) -> int:
+    """At least the size of the intersection of the sets of two sketches."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(a) > len(b):
+        a, b = b, a
+    full = bool((a == 255).any() or (b == 255).any())
+    while len(b) > len(a):
+        b = b[: len(b) // 2] + b[len(b) // 2 :]
+    return 1 << 60 if full else int(np.minimum(a, b).sum())
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[bytes, bytes], orders: int = ORDERS) -> DataFrame:
+    """(s1, n, sketch, p0, p1, ...): each non-empty set's prefix tokens under each order, without tokens of one document."""
+    names = ["s1", "n", "sketch", *(f"p{o}" for o in range(orders))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(classes, np.uint8).astype(np.uint64) << np.uint64(58)
+        level, repeats = np.frombuffer(frequent[0], np.uint8), np.frombuffer(frequent[1], np.uint32)
         for batch in batches:
             for _, _, h, bounds in _sets(batch, n):
                 size, s1, _ = _signatures(h, bounds)
                 some = np.flatnonzero(size)
                 keep = size - -(-percent * size // 100) + 1
-                high = level[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+                count = _countable(h)
+                high = np.where(count, np.minimum(level[(h & np.uint64(CELLS - 1)).astype(np.int64)], 31), 1).astype(np.uint64) << np.uint64(58)
+                slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+                alone = count & ((repeats[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 0)
                 lists = []
                 for o in range(orders):
-                    key = high | (mix(h, 100 + o) >> np.uint64(6))
+                    # The lowest bit, which does not order tokens, says that no other document has the token.
+                    key = high | (mix(h, 100 + o) >> np.uint64(6)) & ~np.uint64(1) | alone.astype(np.uint64)
                     parts = []
                     for d in some.tolist():
                         own = key[bounds[d] : bounds[d + 1]]
                         own.sort()
-                        parts.append(own[: keep[d]])
-                    ends = np.concatenate([[0], np.cumsum(keep[some])])
-                    lists.append(long_lists(np.concatenate(parts) if parts else np.zeros(0, np.uint64), ends))
-                yield pa.RecordBatch.from_arrays([pa.array(s1[some]), pa.array(size[some]), *lists], names)
+                        own = own[: keep[d]]
+                        parts.append(own[own & np.uint64(1) == 0])
+                    lists.append(long_lists(np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)))
+                sketches = pa.array([_sketch(h[bounds[d] : bounds[d + 1]]) for d in some.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(s1[some]), pa.array(size[some]), sketches, *lists], names)
 
-    return docs.mapInArrow(run, "s1 long, n long, " + ", ".join(f"p{o} array<long>" for o in range(orders)))
+    return docs.mapInArrow(run, "s1 long, n long, sketch binary, " + ", ".join(f"p{o} array<long>" for o in range(orders)))
 
 
 def _shared_lists(held: DataFrame, order: int) -> DataFrame:
@@ -140,6 +184,22 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n: int, space: Workspace) -> D
     return space.keep(slotted.mapInArrow(run, "s1 long, doc_id long, tokens array<long>").dropDuplicates(["doc_id", "s1"]).join(ids, "doc_id", "left_semi"), "sets")
 
 
+def may_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (sa, sb) whose sketches leave room for the threshold; no pair that reaches it is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for _, _, x, y, nx, ny in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                both = min(_overlap_bound(x, y), nx, ny)
+                good.append(100 * both >= percent * (nx + ny - both))
+            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+
+    x = sketches.select(F.col("s1").alias("sa"), F.col("sketch").alias("xa"), F.col("n").alias("na"))
+    y = sketches.select(F.col("s1").alias("sb"), F.col("sketch").alias("xb"), F.col("n").alias("nb"))
+    return pairs.join(x, "sa").join(y, "sb").select("sa", "sb", "xa", "xb", "na", "nb").mapInArrow(run, "sa long, sb long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) by signature -> (a, b) by doc_id of the pairs whose sets reach the threshold, on exact set sizes."""
 
@@ -175,10 +235,12 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     space = Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = space.keep(shingle_classes(docs, n), "classes")
-    rows = seen.filter("kind = 0")
+    rows = space.keep(seen.drop("tokens"), "rows")
     classes = space.keep(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    freq = frequency_classes(seen.filter("kind = 1").select(F.col("doc_id").alias("cell"), F.col("n").alias("count")))
-    held = space.keep(prefixes(docs, n, percent, freq), "prefixes")
+    frequent = frequent_map(seen, space)
+    space.drop(seen)
+    kept = space.keep(prefixes(docs, n, percent, frequent), "prefixes")
+    held, sketches = kept, kept.select("s1", "sketch", "n").dropDuplicates(["s1"])
 
     lists = []
     for order in range(ORDERS):
@@ -196,7 +258,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         return out
 
     met = meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).groupBy(F.col("hub").alias("sa"), F.col("s1").alias("sb")).count() for x in lists])
-    stars = space.keep(met.groupBy("sb").agg(F.max(F.struct("count", "sa")).getField("sa").alias("sa")), "stars")
+    stars = space.keep(may_reach(met.groupBy("sb").agg(F.max(F.struct("count", "sa")).getField("sa").alias("sa")).select("sa", "sb"), sketches, percent), "stars")
     sets = shingle_sets(docs, reps_of(stars), n, space)
     links = space.keep(verify(stars, sets, percent), "star-links")
     known = connected_components(links, space)
@@ -210,7 +272,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         left = x.filter("c is null or main is null or c <> main").select("token", F.col("s1").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
         both = left.join(x, "token").filter("s <> s1 and (sc is null or c is null or sc <> c)").filter(_fits("n", "sn", percent))
         rest.append(both.select(F.least("s", "s1").alias("sa"), F.greatest("s", "s1").alias("sb")).distinct())
-    rest = space.keep(meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), "rest")
+    rest = space.keep(may_reach(meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), sketches, percent), "rest")
     more = space.keep(verify(rest, shingle_sets(docs, reps_of(rest), n, space), percent), "rest-links")
 
     held_by = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"])
