@@ -33,14 +33,18 @@ def export_bundle(user_ids: DataFrame, users: DataFrame, parts: dict[str, tuple[
 def notes_markdown(notes: DataFrame) -> DataFrame:
     """(user_id, markdown): notes under their papers' titles, papers in order of their first note.
 
-    notes: id, user_id, title, name, page, content. Headings go by name, page or place; empty notes have a placeholder.
+    notes: id, user_id, title, name, page, content, current_place. A heading is the name, else the page or that there is
+    none; a mark without text says so.
     """
-    heading = F.when(F.length("name") > 0, F.col("name")).when(F.col("page").isNotNull(), F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise("Note")
-    body = F.when(F.length(F.coalesce("content", F.lit(""))) > 0, F.col("content")).otherwise("(empty)")
-    text = F.concat(F.lit("### "), heading, F.lit("\n\n"), body)
-    sections = notes.withColumn("text", text).groupBy("user_id", "title").agg(F.min("id").alias("first"), F.sort_array(F.collect_list(F.struct("id", "text"))).alias("own"))
-    section = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("own", lambda x: x["text"]), "\n\n"))
-    return sections.withColumn("section", section).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "section"))), lambda x: x["section"]), "\n\n").alias("markdown"))
+    where = F.when(F.col("page").isNotNull(), F.concat(F.lit("page "), F.col("page").cast("string"))).otherwise("not placed on the page")
+    named = F.length(F.coalesce("name", F.lit(""))) > 0
+    heading = F.concat(F.when(named, F.col("name")).otherwise(where), F.when(named & F.col("page").isNotNull(), F.concat(F.lit(" — "), where)).otherwise(""), F.when(F.col("current_place"), "  *(where I left off)*").otherwise(""))
+    body = F.when(F.length(F.coalesce("content", F.lit(""))) > 0, F.col("content")).otherwise("*(a mark, with nothing written on it)*")
+    text = F.concat(F.lit("### "), heading, F.lit("\n\n"), body, F.lit("\n"))
+    rows = notes.withColumn("title", F.coalesce("title", F.lit("(paper since removed)"))).withColumn("text", text)
+    sections = rows.groupBy("user_id", "title").agg(F.min("id").alias("first"), F.sort_array(F.collect_list(F.struct("id", "text"))).alias("own"))
+    section = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.array_join(F.transform("own", lambda x: x["text"]), "\n"))
+    return sections.withColumn("section", section).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "section"))), lambda x: x["section"]), "\n").alias("markdown"))
 
 
 def named_files(rows: list[tuple[str, int | None]]) -> list[str]:

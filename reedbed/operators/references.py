@@ -175,7 +175,7 @@ def numbered_targets(markers: DataFrame, refs: DataFrame) -> DataFrame:
     """
     by_key = refs.groupBy("edition_id", F.col("key").alias("target")).agg(F.max("id").alias("by_key"))
     by_number = refs.groupBy("edition_id", "index").agg(F.max("id").alias("by_number"))
-    number = F.regexp_extract(F.coalesce("label", F.lit("")), r"[\[(]\s*(\d{1,3})(?!\d)", 1)
+    number = F.regexp_extract(F.coalesce("label", F.lit("")), r"[\[(]\s*(\d{1,3})", 1)
     rows = markers.join(by_key, ["edition_id", "target"], "left").withColumn("index", F.when(number != "", number.cast("int") - 1)).join(by_number, ["edition_id", "index"], "left")
     return rows.select(F.col("id").alias("marker_id"), F.coalesce("by_key", "by_number").alias("reference_id"), F.col("by_key").isNull().alias("inferred")).filter("reference_id is not null")
 

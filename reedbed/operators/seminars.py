@@ -203,8 +203,15 @@ def seminar_fold(events: DataFrame) -> DataFrame:
     return events.groupBy("paper_key").applyInPandas(fold, FOLDED)
 
 
-# What readers are told of each accepted action; {title} is the paper's.
-MESSAGES = {"call": "A seminar was called on {title}", "lead": "A leader was found for the seminar on {title}", "unhost": "The seminar on {title} is looking for a leader", "handover": "The seminar on {title} has a new leader", "scheduled": "The seminar on {title} is scheduled", "updated": "The seminar on {title} was updated"}
+# What readers are told of each accepted action.
+MESSAGES = {
+    "call": "{actor} called for a seminar on “{title}”. A reader of the paper can answer to host.",
+    "lead": "{actor} will host the seminar on “{title}”. Share your availability in the cohort.",
+    "unhost": "{actor} stepped back from hosting the seminar on “{title}”. A reader of the paper can answer to host.",
+    "handover": "{actor} handed you hosting of the seminar on “{title}”.",
+    "scheduled": "Seminar on “{title}” scheduled: {time} · {platform}.",
+    "updated": "Seminar on “{title}” updated: {time} · {platform}.",
+}
 
 
 def notice_of(action: Column, before: Column) -> Column:
@@ -213,10 +220,13 @@ def notice_of(action: Column, before: Column) -> Column:
 
 
 def seminar_notifications(transitions: DataFrame, told: DataFrame) -> DataFrame:
-    """(room_id, user_id, seq, content). transitions: room_id, seq, action, status_before, title; told: room_id, user_id,
-    is_member. An unhosted room's notice goes to members only."""
+    """(room_id, user_id, seq, content). transitions: room_id, seq, action, status_before, actor, title, time, platform;
+    told: room_id, user_id, is_member. An unhosted room's notice goes to members only."""
     text = F.lit(None).cast("string")
     for name, message in MESSAGES.items():
-        text = F.when(F.col("notice") == name, F.replace(F.lit(message), F.lit("{title}"), F.col("title"))).otherwise(text)
+        filled = F.lit(message)
+        for field in ("actor", "title", "time", "platform"):
+            filled = F.replace(filled, F.lit(f"{{{field}}}"), F.coalesce(F.col(field), F.lit(""))) if f"{{{field}}}" in message else filled
+        text = F.when(F.col("notice") == name, filled).otherwise(text)
     rows = transitions.withColumn("notice", notice_of(F.col("action"), F.col("status_before"))).filter("notice is not null")
     return rows.join(told, "room_id").filter("notice <> 'unhost' or is_member").select("room_id", "user_id", "seq", text.alias("content"))

@@ -125,7 +125,7 @@ def s06_plausible_year(spark, sf_dir) -> DataFrame:
 NOISY = "SELECT id, substr(raw, 1, 700) || CASE WHEN id % 2 = 0 THEN ' arXiv preprint arXiv:1607.06450 ' ELSE ' see https://example.org/a?b=1 ' END || year AS raw FROM (SELECT id, raw, CAST(year AS STRING) AS year FROM fx_references)"
 
 
-@query("fx_references", sql=f"SELECT id, substr(trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)arXiv\\s+preprint\\s+arXiv:\\S+', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 500) AS q FROM ({NOISY})")
+@query("fx_references", sql=f"SELECT id, substr(trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)arXiv\\s*preprint\\s*arXiv:\\s*[\\d.]+(v\\d+)?', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 500) AS q FROM ({NOISY})")
 def s07_match_query(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).sql(NOISY).select("id", S.match_query("raw").alias("q"))
 
@@ -200,7 +200,7 @@ def s13_rebuild_abstract(spark, sf_dir) -> DataFrame:
     return index.select("doc_id", S.rebuild_abstract("index").alias("text"))
 
 
-@query("fx_works", sql="SELECT id, title, 'C. D' || CAST(id AS VARCHAR) AS authors, year, 'Venue' AS venue, 'once again more again' AS abstract, CAST(id % 40 AS INT) AS citations, doi, 'https://e.org/b' AS url, 'https://e.org/b.pdf' AS pdf_url, 'openalex' AS source FROM fx_works")
+@query("fx_works", sql="SELECT id, title, 'C. D' || CAST(id AS VARCHAR) AS authors, year, 'Venue' AS venue, 'once again more again' AS abstract, CAST(id % 40 AS INT) AS citations, doi, 'https://doi.org/' || doi AS url, CASE WHEN id % 2 = 0 THEN 'https://e.org/b.pdf' END AS pdf_url, 'openalex' AS source FROM fx_works")
 def s14_flatten_openalex(spark, sf_dir) -> DataFrame:
     return _records(Tables(spark, sf_dir)).select("id", S.flatten_openalex("openalex").alias("w")).select(*_flat("w"))
 

@@ -273,7 +273,7 @@ def a19_export_bundle(spark, sf_dir) -> DataFrame:
     return out.select("user_id", "display_name", *(F.size(n).cast("long").alias(n) for n in parts), F.coalesce(F.get("copies", F.lit(0))["id"], F.lit(-1)).alias("first_copy"))
 
 
-@query("fx_comments", sql="""SELECT user_id, string_agg(section, chr(10) || chr(10) ORDER BY f, section) AS markdown FROM (SELECT user_id, min(id) AS f, '## Paper ' || CAST(paper_id AS VARCHAR) || chr(10) || chr(10) || string_agg('### ' || CASE WHEN page IS NOT NULL THEN 'Page ' || CAST(page AS VARCHAR) ELSE 'Note' END || chr(10) || chr(10) || CASE WHEN length(content) > 0 THEN content ELSE '(empty)' END, chr(10) || chr(10) ORDER BY id) AS section FROM fx_comments GROUP BY user_id, paper_id) GROUP BY user_id""")
+@query("fx_comments", sql="""SELECT user_id, string_agg(section, chr(10) ORDER BY f, section) AS markdown FROM (SELECT user_id, min(id) AS f, '## Paper ' || CAST(paper_id AS VARCHAR) || chr(10) || chr(10) || string_agg('### ' || CASE WHEN page IS NOT NULL THEN 'page ' || CAST(page AS VARCHAR) ELSE 'not placed on the page' END || CASE WHEN current_place THEN '  *(where I left off)*' ELSE '' END || chr(10) || chr(10) || CASE WHEN length(content) > 0 THEN content ELSE '*(a mark, with nothing written on it)*' END || chr(10), chr(10) ORDER BY id) AS section FROM fx_comments GROUP BY user_id, paper_id) GROUP BY user_id""")
 def a20_notes_markdown(spark, sf_dir) -> DataFrame:
     notes = Tables(spark, sf_dir).fx_comments.withColumn("title", F.concat(F.lit("Paper "), F.col("paper_id").cast("string"))).withColumn("name", F.lit(None).cast("string"))
     return V.notes_markdown(notes)

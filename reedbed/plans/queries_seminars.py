@@ -121,12 +121,12 @@ def c05_seminar_fold(spark, sf_dir) -> DataFrame:
     return M.seminar_fold(_seminar_log(Tables(spark, sf_dir))).select("paper_key", "seq", "accepted", "room", "status", "leader", F.col("n_members").cast("long").alias("n_members"))
 
 
-@query("fx_rooms", "fx_participants", sql="""SELECT t.room_id, p.user_id, t.seq, CASE t.action WHEN 'call' THEN 'A seminar was called on Paper' WHEN 'lead' THEN 'A leader was found for the seminar on Paper' WHEN 'unhost' THEN 'The seminar on Paper is looking for a leader' WHEN 'announce' THEN CASE WHEN t.status_before = 'scheduled' THEN 'The seminar on Paper was updated' ELSE 'The seminar on Paper is scheduled' END END AS content
+@query("fx_rooms", "fx_participants", sql="""SELECT t.room_id, p.user_id, t.seq, CASE t.action WHEN 'call' THEN 'Ada called for a seminar on “Paper”. A reader of the paper can answer to host.' WHEN 'lead' THEN 'Ada will host the seminar on “Paper”. Share your availability in the cohort.' WHEN 'unhost' THEN 'Ada stepped back from hosting the seminar on “Paper”. A reader of the paper can answer to host.' WHEN 'announce' THEN 'Seminar on “Paper” ' || CASE WHEN t.status_before = 'scheduled' THEN 'updated' ELSE 'scheduled' END || ': noon · here.' END AS content
 FROM (SELECT id AS room_id, id AS seq, ['call', 'lead', 'unhost', 'announce', 'finish'][CAST(id % 5 AS INT) + 1] AS action, status AS status_before FROM fx_rooms) t JOIN (SELECT room_id, user_id, bool_or(id % 3 = 0) AS is_member FROM fx_participants GROUP BY 1, 2) p ON p.room_id = t.room_id WHERE t.action <> 'finish' AND (t.action <> 'unhost' OR p.is_member)""")
 def c06_seminar_notifications(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     action = F.element_at(F.array(*(F.lit(a) for a in ("call", "lead", "unhost", "announce", "finish"))), (F.col("id") % 5).cast("int") + 1)
-    moves = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("id").alias("seq"), action.alias("action"), F.col("status").alias("status_before"), F.lit("Paper").alias("title"))
+    moves = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("id").alias("seq"), action.alias("action"), F.col("status").alias("status_before"), F.lit("Paper").alias("title"), F.lit("Ada").alias("actor"), F.lit("noon").alias("time"), F.lit("here").alias("platform"))
     told = t.fx_participants.groupBy("room_id", "user_id").agg(F.bool_or(F.col("id") % 3 == 0).alias("is_member"))
     return M.seminar_notifications(moves, told)
 
@@ -152,7 +152,7 @@ def a16_unread_counts(spark, sf_dir) -> DataFrame:
     return B.unread_counts(Tables(spark, sf_dir).fx_notifications)
 
 
-@query("fx_notifications", "fx_users", sql=f"SELECT n.user_id, u.email, count(*) AS n, CAST(count(*) AS VARCHAR) || ' new ' || CASE WHEN count(*) = 1 THEN 'notification' ELSE 'notifications' END AS subject, 'Hello ' || u.display_name || ',' || chr(10) || chr(10) || string_agg('- ' || content, chr(10) ORDER BY created_at, n.id) AS body FROM (SELECT *, 1 + user_id % 100 AS owner FROM fx_notifications) n JOIN fx_users u ON u.id = n.owner WHERE {DUE_SQL} GROUP BY n.user_id, u.email, u.display_name")
+@query("fx_notifications", "fx_users", sql=f"SELECT n.user_id, u.email, count(*) AS n, 'the library: ' || CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' new message' ELSE ' new messages' END || ' today' AS subject, 'Hello ' || u.display_name || ',' || chr(10) || chr(10) || 'You have ' || CAST(count(*) AS VARCHAR) || CASE WHEN count(*) = 1 THEN ' new message' ELSE ' new messages' END || ' in the library today:' || chr(10) || chr(10) || string_agg('  - ' || content, chr(10) ORDER BY created_at, n.id) || chr(10) || chr(10) || 'Read and reply in your inbox: #/inbox' || chr(10) || chr(10) || '— the library' AS body FROM (SELECT *, 1 + user_id % 100 AS owner FROM fx_notifications) n JOIN fx_users u ON u.id = n.owner WHERE {DUE_SQL} GROUP BY n.user_id, u.email, u.display_name")
 def a15_digest(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     users = t.fx_notifications.select("user_id").distinct().join(t.fx_users, F.col("id") == 1 + F.col("user_id") % 100).select(F.col("user_id").alias("id"), "email", "display_name")
@@ -180,7 +180,7 @@ def u06_mark_read(spark, sf_dir) -> DataFrame:
     return B.mark_read(n, one.union(every)).select(F.lit("n").alias("what"), "id", F.col("read").alias("flag")).union(reports.select(F.lit("f"), "id", "resolved"))
 
 
-@query("fx_feedback", "fx_users", sql="SELECT f.id, CASE WHEN u.id IS NOT NULL THEN u.display_name || ' <' || u.email || '>' WHEN length(f.contact) > 0 THEN 'a visitor <' || f.contact || '>' ELSE 'an anonymous visitor' END AS reporter, substr(string_split(f.content, chr(10))[1], 1, 60) AS subject FROM fx_feedback f LEFT JOIN fx_users u ON u.id = f.user_id")
+@query("fx_feedback", "fx_users", sql="SELECT f.id, CASE WHEN u.id IS NOT NULL THEN u.display_name || ' <' || u.email || '>' WHEN length(f.contact) > 0 THEN 'a visitor <' || f.contact || '>' ELSE 'an anonymous visitor' END AS reporter, 'the library feedback: ' || substr(string_split(f.content, chr(10))[1], 1, 60) AS subject FROM fx_feedback f LEFT JOIN fx_users u ON u.id = f.user_id")
 def s26_reporter_label(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     return B.reporter_label(t.fx_feedback, t.fx_users).select("id", "reporter", "subject")

@@ -100,7 +100,7 @@ def rules_of(table: str) -> list[tuple[str, Column]]:
         ]
     if table == "users":
         return [("email", ~F.col("email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$") | (F.length("email") > 254)), ("name", ~F.length("display_name").between(1, 80)), _too_long("affiliation", 120)]
-    limits = {"rooms": [("scheduled_time", 200), ("platform", 200), ("style_desc", 1000)], "room_messages": [("content", 4000)], "room_availabilities": [("availability", 1000)], "feedback": [("content", 4000), ("page", 200), ("contact", 254)]}
+    limits = {"rooms": [("scheduled_time", 200), ("platform", 200), ("style", 40), ("style_desc", 300)], "room_messages": [("content", 4000)], "room_availabilities": [("availability", 500)], "feedback": [("content", 4000), ("page", 300), ("contact", 254)]}
     return [_too_long(c, n) for c, n in limits[table]]
 
 

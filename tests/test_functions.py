@@ -131,7 +131,7 @@ def test_digest_bounds(spark):
     n = spark.createDataFrame(rows, "id long, user_id long, content string, read boolean, emailed boolean, at string").withColumn("created_at", F.col("at").cast("timestamp_ntz"))
     users = spark.createDataFrame([(1, "a@b", "A"), (2, "c@d", "C")], "id long, email string, display_name string")
     got = inbox.digest(n, users, F.lit("2024-01-02 21:00:00").cast("timestamp_ntz")).collect()
-    assert [(r["user_id"], r["n"], r["subject"]) for r in got] == [(1, 1, "1 new notification")]
+    assert [(r["user_id"], r["n"], r["subject"]) for r in got] == [(1, 1, "the library: 1 new message today")]
 
 
 def test_canonicalize_is_idempotent(spark):
