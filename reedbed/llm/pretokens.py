@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 
-from .textbatch import Chunk, span_hashes
+from .textbatch import LOWER, Chunk, span_hashes
 
 LETTER, NUMBER, WHITE, OTHER = range(4)
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-CACHE_PIECES = 100_000
+CACHE_PIECES = 1_000_000
 
 
 @functools.cache
@@ -53,14 +54,8 @@ def piece_starts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     # Contractions: an apostrophe that begins a piece, and the letters after it.
     quote = np.flatnonzero((code == 0x27) & start[:n])
     if len(quote):
-        pad = np.concatenate([code, np.zeros(3, np.uint32)])
-        one, two = pad[quote + 1], pad[quote + 2]
-        size = np.zeros(len(quote), np.int64)
-        size[np.isin(one, [ord(c) for c in "stmd"])] = 1
-        for a, b in ("re", "ve", "ll"):
-            size[(one == ord(a)) & (two == ord(b)) & ~doc[np.minimum(quote + 2, n)]] = 2
-        hit = (size > 0) & ~doc[quote + 1]
-        quote, size = quote[hit], size[hit]
+        size = _contraction(np.concatenate([code, np.zeros(3, np.uint32)]), quote, doc, n)
+        quote, size = quote[size > 0], size[size > 0]
         start[quote + 1] = False
         start[quote + 1 + size] = True
     at = np.flatnonzero(start[:n])
@@ -68,35 +63,97 @@ def piece_starts(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return byte, np.searchsorted(byte, offsets)
 
 
-class PieceCache:
-    """Ids of pieces by their 64-bit hash; encode is given the distinct unseen pieces of a batch."""
+def word_pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(start, end, bounds) of letter runs, single numbers, sign runs and contractions, white space dropped.
+
+    None where the cut cannot be made before the tokenizer normalises the text: beyond U+02FF, where normalisation can
+    join characters, at U+0130, whose lower case is two of them, or where a special token's bracket stands.
+    """
+    data, offsets = chunk.data, chunk.offsets
+    if len(data) and (data.max() >= 0xCC or any(x in data.tobytes() for x in (b"<|", b"\xc4\xb0"))):
+        return None
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    n = len(lead)
+    code = data[lead].astype(np.uint32)
+    two = np.flatnonzero(code >= 0xC0)
+    code[two] = (code[two] & 0x1F) << 6 | data[lead[two] + 1] & 0x3F
+    kind = _classes()[code]
+    doc = np.zeros(n + 1, bool)
+    doc[np.searchsorted(lead, offsets)] = True
+    start = doc.copy()
+    start[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    quote = np.flatnonzero((code == 0x27) & start[:n])
+    if len(quote):
+        low = np.concatenate([np.where((code >= 65) & (code <= 90), code + 32, code), np.zeros(3, np.uint32)])
+        size = _contraction(low, quote, doc, n)
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        start[quote + 1 + size] = True
+    at = np.flatnonzero(start[:n])
+    end = np.concatenate([at[1:], [n]])
+    solid = kind[at] != WHITE
+    at, end = at[solid], end[solid]
+    edge = np.concatenate([lead, [len(data)]])
+    return edge[at], edge[end], np.searchsorted(edge[at], offsets)
+
+
+def _contraction(code: np.ndarray, quote: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Letters of the contraction after each apostrophe, 0 for none. code has three more places than text."""
+    one, two = code[quote + 1], code[quote + 2]
+    size = np.zeros(len(quote), np.int64)
+    size[np.isin(one, [ord(c) for c in "stmd"])] = 1
+    for a, b in ("re", "ve", "ll"):
+        size[(one == ord(a)) & (two == ord(b)) & ~doc[np.minimum(quote + 2, n)]] = 2
+    size[doc[quote + 1]] = 0
+    return size
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.at, self.lists = encode, {}, []
+
+class PieceCache:
+    """Ids of pieces by their 64-bit hash, in sorted arrays; encode is given the distinct unseen pieces of a chunk."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
+        self.encode, self.fold = encode, fold
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, fresh: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        where = np.searchsorted(self.known, fresh)
+        self.place = np.insert(self.place, where, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.known = np.insert(self.known, where, fresh)
+        self.used += len(ids)
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and the number of ids of each piece."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        data = LOWER[data] if self.fold else data
         h, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.at) > CACHE_PIECES:
-            self.at, self.lists = {}, []
-        keys = h.tolist()
-        fresh = [k for k, x in enumerate(keys) if x not in self.at]
-        if fresh:
+        if len(self.known) > CACHE_PIECES:
+            self._clear()
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        if new.any():
             raw = data.tobytes()
-            got = self.encode([raw[start[i] : end[i]].decode("utf-8", "replace") for i in first[fresh].tolist()])
-            for k, ids in zip(fresh, got, strict=True):
-                self.at[keys[k]] = len(self.lists)
-                self.lists.append(np.array(ids, np.uint32))
-        own = [self.lists[self.at[x]] for x in keys]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        each = size[which]
+            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            self._learn(h[new], *self.encode(pieces))
+            at = np.searchsorted(self.known, h)
+        begin, each = self.place[at][which], self.size[at][which]
         total = np.cumsum(each)
-        take = np.arange(total[-1]) + np.repeat(begin[which] - (total - each), each)
-        return flat[take], each
+        return self.flat[np.arange(total[-1]) + np.repeat(begin - (total - each), each)], each
+
+
+def encode_each(tokenizer, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and their number for each piece."""
+    got = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    size = np.fromiter(map(len, got), np.int64, len(got))
+    return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -145,7 +202,7 @@ def byte_bpe(path: str):
 @functools.cache
 def byte_bpe_cache(path: str) -> PieceCache:
     tokenizer, _ = byte_bpe(path)
-    return PieceCache(lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)])
+    return PieceCache(lambda pieces: encode_each(tokenizer, pieces))
 
 
 def encode_chunk(chunk: Chunk, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

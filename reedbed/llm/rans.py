@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache
+from .pretokens import PieceCache, encode_each, word_pieces
 from .store import Workspace
 from .textbatch import chunks, words
 
@@ -78,7 +78,7 @@ class Coder:
             state = np.where(full, state >> np.uint64(32), state)
             whole, rest = np.divmod(state, f)
             state = np.where(on, (whole << np.uint64(SCALE)) + rest + self.base[grid[:, k]], state)
-        each = out.reshape(segments, -1).sum(1)
+        each = out.reshape(segments, per).sum(1)
         return state, np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.uint32) if segments else np.zeros(0, np.uint32), word[out]
 
     def decode(self, n: int, state: np.ndarray, place: np.ndarray, payload: np.ndarray) -> np.ndarray:
@@ -105,26 +105,43 @@ class Coder:
 
 
 @functools.cache
-def _word_cache(path: str) -> PieceCache:
+def _word_caches(path: str) -> tuple[PieceCache, PieceCache]:
+    """Caches for pieces that are one word of the tokenizer each, and for any white-space-separated strings."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return PieceCache(lambda pieces: [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)])
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one text; ids that end a word tell where each ends."""
+        texts = [" ".join(pieces[k : k + 2000]) for k in range(0, len(pieces), 2000)]
+        ids, _ = encode_each(tokenizer, texts)
+        ends = np.flatnonzero(last[ids]) + 1
+        if len(ends) != len(pieces):
+            return encode_each(tokenizer, pieces)
+        return ids, np.diff(np.concatenate([[0], ends]))
+
+    return PieceCache(joined, fold=True), PieceCache(lambda pieces: encode_each(tokenizer, pieces))
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids): the tokenizers library's ids of every whole text, and END_ID, packed as unsigned 16-bit.
 
-    The tokenizer drops white space and never merges across it, so each distinct white-space-separated string of a batch
-    is encoded once.
+    The tokenizer drops white space and merges within words only, so each distinct word, or white-space-separated string
+    where words cannot be cut beforehand, is encoded once by the library.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1)):
-                w = words(c, hashed=False)
-                ids, each = _word_cache(tokenizer_path).ids(c.data, w.start, w.end)
-                bounds = np.concatenate([[0], np.cumsum(each)])[w.bounds]
+                simple, any_ = _word_caches(tokenizer_path)
+                pieces = word_pieces(c)
+                if pieces is None:
+                    w = words(c, hashed=False)
+                    pieces, simple = (w.start, w.end, w.bounds), any_
+                ids, each = simple.ids(c.data, *pieces[:2])
+                bounds = np.concatenate([[0], np.cumsum(each)])[pieces[2]]
                 ids = np.insert(ids, bounds[1:], END_ID).astype("<u2")
                 bounds = bounds + np.arange(len(bounds))
                 packed = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 2).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
