@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def _word_caches(path: str) -> tuple[PieceCache, PieceCache]:
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): the tokenizers library's ids of every whole text, and END_ID, packed as unsigned 16-bit.
+    """(doc_id, ids): the tokenizers library's ids of every whole text, and END_ID, packed as unsigned 16-bit and squeezed.
 
     The tokenizer drops white space and merges within words only, so each distinct word, or white-space-separated string
     where words cannot be cut beforehand, is encoded once by the library.
@@ -144,10 +145,17 @@ def encode_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum(each)])[pieces[2]]
                 ids = np.insert(ids, bounds[1:], END_ID).astype("<u2")
                 bounds = bounds + np.arange(len(bounds))
-                packed = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 2).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), pa.array(np.diff(bounds)), packed], ["doc_id", "n_tokens", "ids"])
+                squeeze, ends = zstandard.ZstdCompressor(level=3), bounds.tolist()
+                packed = pa.array([squeeze.compress(ids[a:b].tobytes()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.lo, c.hi - c.lo), packed], ["doc_id", "ids"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, ids binary")
+
+
+def _unpacked(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each document's ids."""
+    widen = zstandard.ZstdDecompressor()
+    return (np.frombuffer(widen.decompress(x.as_buffer()), "<u2") for x in column)
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
@@ -156,8 +164,8 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for c in chunks(batch.column(0)):
-                total += np.bincount(np.ascontiguousarray(c.data).view("<u2"), minlength=1 << 16)
+            for part in range(0, batch.num_rows, 256):
+                total += np.bincount(np.concatenate([*_unpacked(batch.column(0).slice(part, 256))]), minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "count"])
 
@@ -181,18 +189,15 @@ def encode_blocks(ordered: DataFrame, frequency: bytes) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                values = np.ascontiguousarray(c.data).view("<u2")
-                for d in range(c.hi - c.lo):
-                    own = values[c.offsets[d] // 2 : c.offsets[d + 1] // 2]
-                    ids.append(own)
-                    names.append(batch.column(0)[c.lo + d].as_py())
-                    sizes.append(len(own))
-                    held += len(own)
-                    if held >= BLOCK_TOKENS:
-                        yield block()
-                        first += held
-                        ids, names, sizes, held = [], [], [], 0
+            for name, own in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), strict=True):
+                ids.append(own)
+                names.append(name)
+                sizes.append(len(own))
+                held += len(own)
+                if held >= BLOCK_TOKENS:
+                    yield block()
+                    first += held
+                    ids, names, sizes, held = [], [], [], 0
         if sizes:
             yield block()
 
@@ -249,7 +254,7 @@ def token_file_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_
     """(doc_id, start, n_tokens, ids_crc32) from the files written and read back.
 
     A null or empty text has END_ID alone. Rows with a null id are not written. Rows that repeat an id stand beside each
-    other, in the order of their ids. Other columns are ignored. An empty table gives an empty table.
+    other. Other columns are ignored. An empty table gives an empty table.
     """
     space = Workspace(docs.sparkSession, "token-files")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
