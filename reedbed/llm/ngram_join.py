@@ -10,8 +10,9 @@ Steps, all on Spark:
 2. a second pass gives each document's prefixes; tokens held by one class only are dropped by a grouped min / max;
 3. each prefix list links its members to its least member (a star, so a group of copies costs its size, not its square);
    of the star pairs found under every order, each member's with most common tokens is verified;
-4. every other pair that shares prefix tokens under every order, and is not already connected, is verified too, so no
-   link between components is lost;
+4. every other pair that shares prefix tokens under every order, and is not already connected, is compared too, so no
+   link between components is lost: inside tasks, by block pairs of each list, so that only pairs that may reach the
+   threshold become rows;
 5. components come from a distributed star contraction.
 
 Verification first bounds the overlap by the tokens that fall into equal hash buckets, then intersects whole sets.
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import Workspace
-from .textbatch import chunks, grams, long_lists, mix, sorted_sets, words
+from .textbatch import _GRAM, chunks, grams, long_lists, mix, sorted_sets, words
 
 CELLS = 1 << 22  # cells, one byte each, of the map of frequent tokens; its size does not grow with the data
 FREQUENT = 1 << 18  # tokens that the map takes at most: the most frequent; which ones it takes changes costs, never results
 SLOTS = 1 << 24  # bits of the map of tokens in two documents or more; its size does not grow with the data
 BITS = 1 << 23  # bits of the map of documents whose sets are needed; its size does not grow with the data
 ORDERS = 2
+LIST_ROWS = 2_000  # rows of a prefix list that are compared with each other in one group
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,6 +202,106 @@ def may_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "sa").join(y, "sb").select("sa", "sb", "xa", "xb", "na", "nb").mapInArrow(run, "sa long, sb long")
 
 
+def _fold(sketches: np.ndarray, buckets: int) -> np.ndarray:
+    while sketches.shape[1] > buckets:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] + sketches[:, half:]
+    return sketches
+
+
+def _reachable(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows the sketches, given as bytes and offsets, leave room for the threshold."""
+    out = np.zeros(len(a), bool)
+    length = np.diff(offsets)
+    shape = length[a] * (1 << 32) + length[b]
+    for kind in np.unique(shape).tolist():
+        own = np.flatnonzero(shape == kind)
+        la, lb = kind >> 32, kind & 0xFFFFFFFF
+        step = max(1, (1 << 21) // max(la, lb))
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            x = data[offsets[a[part]][:, None] + np.arange(la)].astype(np.uint16)
+            y = data[offsets[b[part]][:, None] + np.arange(lb)].astype(np.uint16)
+            full = (x == 255).any(1) | (y == 255).any(1)
+            both = np.minimum(_fold(x, min(la, lb)), _fold(y, min(la, lb))).sum(1, dtype=np.int64)
+            both = np.minimum(np.where(full, 1 << 40, both), np.minimum(size[a[part]], size[b[part]]))
+            out[part] = 100 * both >= percent * (size[a[part]] + size[b[part]] - both)
+    return out
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _group_pairs(table: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of each group of a sorted table that may reach the threshold and are not known to be connected."""
+    s, n, c, known = (_column(table, k) for k in ("s1", "n", "c", "known"))
+    token, b1, b2, own = (_column(table, k) for k in ("token", "b1", "b2", "own"))
+    same = np.concatenate([(token[1:] == token[:-1]) & (b1[1:] == b1[:-1]) & (b2[1:] == b2[:-1]), [False]])
+    group = np.concatenate([[0], np.cumsum(~same)[:-1]])
+    sketch = table.column("sketch").combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(sketch.buffers()[1], np.int64)[sketch.offset : sketch.offset + len(sketch) + 1]
+    data = np.frombuffer(sketch.buffers()[2], np.uint8)
+    left, right, found, held = [], [], [], 0
+
+    def flush() -> None:
+        a, b = np.concatenate(left), np.concatenate(right)
+        key = mix(np.minimum(s[a], s[b]).view(np.uint64), 61) * _GRAM[40] + mix(np.maximum(s[a], s[b]).view(np.uint64), 62)
+        first = np.unique(key, return_index=True)[1]
+        a, b = a[first], b[first]
+        good = _reachable(data, offsets, a, b, n, percent)
+        found.append((np.minimum(s[a], s[b])[good], np.maximum(s[a], s[b])[good]))
+
+    for d in range(1, len(s)):
+        at = np.flatnonzero(group[:-d] == group[d:])
+        if not len(at):
+            break
+        to = at + d
+        fine = ~(known[at] & known[to] & (c[at] == c[to])) & (s[at] != s[to]) & ((b1[at] == b2[at]) | (own[at] != own[to]))
+        fine &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
+        left.append(at[fine])
+        right.append(to[fine])
+        held += int(fine.sum())
+        if held > 1 << 19:
+            flush()
+            left, right, held = [], [], 0
+    if held:
+        flush()
+    sa, sb = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb)], ["sa", "sb"])
+
+
+def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(sa, sb): pairs inside prefix lists that their sketches leave room for, compared inside tasks and not emitted.
+
+    rows: token, s1, n, c (component, null if none), sketch, count (rows of the list). A list of more than LIST_ROWS is
+    cut into blocks, and each pair of blocks is a group of its own, so that no task holds a long list.
+    """
+    blocks = F.expr(f"cast(ceil(count / {LIST_ROWS}) as int)")
+    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = own.select("token", "s1", "n", F.coalesce("c", F.lit(0)).alias("c"), F.col("c").isNotNull().alias("known"), "sketch", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    keys = ["token", "b1", "b2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = [_column(table.slice(table.num_rows - 1), k)[0] for k in keys]
+            cut = np.ones(table.num_rows, bool)
+            for k, v in zip(keys, last, strict=True):
+                cut &= _column(table, k) == v
+            whole = int(np.argmax(cut))
+            if whole:
+                yield _group_pairs(table.slice(0, whole), percent)
+            held = table.slice(whole)
+        if held is not None and held.num_rows:
+            yield _group_pairs(held, percent)
+
+    return own.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "sa long, sb long").distinct()
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) by signature -> (a, b) by doc_id of the pairs whose sets reach the threshold, on exact set sizes."""
 
@@ -267,12 +369,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     rest = []
     for x in lists:
         x = x.join(label, "s1", "left")
-        mixed = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(F.col("c").isNull()).alias("free"), F.max(F.when(F.col("s1") == F.col("hub"), F.col("c"))).alias("main")).filter("free > 0 or lo < hi").select("token", "main")
-        x = x.join(mixed, "token")
-        left = x.filter("c is null or main is null or c <> main").select("token", F.col("s1").alias("s"), F.col("n").alias("sn"), F.col("c").alias("sc"))
-        both = left.join(x, "token").filter("s <> s1 and (sc is null or c is null or sc <> c)").filter(_fits("n", "sn", percent))
-        rest.append(both.select(F.least("s", "s1").alias("sa"), F.greatest("s", "s1").alias("sb")).distinct())
-    rest = space.keep(may_reach(meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), sketches, percent), "rest")
+        mixed = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(F.col("c").isNull()).alias("free"), F.count("*").alias("count")).filter("free > 0 or lo < hi").select("token", "count")
+        rest.append(list_pairs(x.join(mixed, "token").join(sketches.select("s1", "sketch"), "s1"), percent))
+    rest = space.keep(meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), "rest")
     more = space.keep(verify(rest, shingle_sets(docs, reps_of(rest), n, space), percent), "rest-links")
 
     held_by = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"])

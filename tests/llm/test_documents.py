@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from reedbed.llm import suffix_dedup
+from reedbed.llm import ngram_join, suffix_dedup
 from reedbed.llm.byte_bpe import decode, encode, encode_digests
 from reedbed.llm.decontam import contaminated, drop_contaminated
 from reedbed.llm.ngram_join import ngram_components
@@ -94,7 +94,9 @@ def test_ngram_components(docs, rows, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
-def test_many_near_copies_are_one_component(spark):
+@pytest.mark.parametrize("block", [2000, 3])
+def test_many_near_copies_are_one_component(spark, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", block)
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(60)] + ["shared line of six words here " + " ".join(f"u{k}x{j}" for j in range(9)) for k in range(40)]
     rows = [(k, t) for k, t in enumerate(texts)]
