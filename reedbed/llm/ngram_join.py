@@ -15,7 +15,7 @@ Steps, all on Spark:
    threshold become rows;
 5. components come from a distributed star contraction.
 
-Verification first bounds the overlap by the tokens that fall into equal hash buckets, then intersects whole sets.
+Verification first bounds the overlap by bitmaps of the tokens' hashes, then intersects whole sets.
 """
 
 from __future__ import annotations
@@ -98,20 +98,11 @@ def frequent_map(seen: DataFrame, space: Workspace) -> tuple[bytes, bytes]:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """Tokens in each of about n / 2 hash buckets, 255 for more."""
-    buckets = 1 << max(3, int(len(h)).bit_length() - 2)
-    return np.minimum(np.bincount((h & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
-
-
-def _overlap_bound(x: bytes, y: bytes) -> int:
-    """At least the size of the intersection of the sets of two sketches."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    if len(a) > len(b):
-        a, b = b, a
-    full = bool((a == 255).any() or (b == 255).any())
-    while len(b) > len(a):
-        b = b[: len(b) // 2] + b[len(b) // 2 :]
-    return 1 << 60 if full else int(np.minimum(a, b).sum())
+    """Two to four bits a token, set where a token falls."""
+    bits = 1 << max(5, int(len(h)).bit_length() + 1)
+    out = np.zeros(bits, bool)
+    out[(h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[bytes, bytes], orders: int = ORDERS) -> DataFrame:
@@ -191,41 +182,50 @@ def may_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for _, _, x, y, nx, ny in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                both = min(_overlap_bound(x, y), nx, ny)
-                good.append(100 * both >= percent * (nx + ny - both))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
+            if batch.num_rows:
+                both = pa.concat_arrays([batch.column(2), batch.column(3)]).cast(pa.large_binary())
+                size = np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)])
+                at = np.arange(batch.num_rows)
+                good = _reachable(*_bytes_of(both), at, at + batch.num_rows, size, percent)
+                yield batch.filter(pa.array(good)).select([0, 1])
 
     x = sketches.select(F.col("s1").alias("sa"), F.col("sketch").alias("xa"), F.col("n").alias("na"))
     y = sketches.select(F.col("s1").alias("sb"), F.col("sketch").alias("xb"), F.col("n").alias("nb"))
     return pairs.join(x, "sa").join(y, "sb").select("sa", "sb", "xa", "xb", "na", "nb").mapInArrow(run, "sa long, sb long")
 
 
-def _fold(sketches: np.ndarray, buckets: int) -> np.ndarray:
-    while sketches.shape[1] > buckets:
-        half = sketches.shape[1] // 2
-        sketches = sketches[:, :half] + sketches[:, half:]
-    return sketches
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8), offsets
+
+
+def _fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """The sketch that a shorter one of the same tokens would be."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
 
 
 def _reachable(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows the sketches, given as bytes and offsets, leave room for the threshold."""
+    """Which pairs of rows the sketches, given as bytes and offsets, leave room for the threshold.
+
+    A bit that only one sketch has stands for a token that the other set lacks, at least.
+    """
     out = np.zeros(len(a), bool)
     length = np.diff(offsets)
     shape = length[a] * (1 << 32) + length[b]
     for kind in np.unique(shape).tolist():
         own = np.flatnonzero(shape == kind)
         la, lb = kind >> 32, kind & 0xFFFFFFFF
-        step = max(1, (1 << 21) // max(la, lb))
+        step = max(1, (1 << 22) // max(la, lb))
         for k in range(0, len(own), step):
             part = own[k : k + step]
-            x = data[offsets[a[part]][:, None] + np.arange(la)].astype(np.uint16)
-            y = data[offsets[b[part]][:, None] + np.arange(lb)].astype(np.uint16)
-            full = (x == 255).any(1) | (y == 255).any(1)
-            both = np.minimum(_fold(x, min(la, lb)), _fold(y, min(la, lb))).sum(1, dtype=np.int64)
-            both = np.minimum(np.where(full, 1 << 40, both), np.minimum(size[a[part]], size[b[part]]))
-            out[part] = 100 * both >= percent * (size[a[part]] + size[b[part]] - both)
+            x = _fold(data[offsets[a[part]][:, None] + np.arange(la)], min(la, lb))
+            y = _fold(data[offsets[b[part]][:, None] + np.arange(lb)], min(la, lb))
+            nx, ny = size[a[part]], size[b[part]]
+            both = np.minimum(nx - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            out[part] = 100 * both >= percent * (nx + ny - both)
     return out
 
 
@@ -239,9 +239,7 @@ def _group_pairs(table: pa.Table, percent: int) -> pa.RecordBatch:
     token, b1, b2, own = (_column(table, k) for k in ("token", "b1", "b2", "own"))
     same = np.concatenate([(token[1:] == token[:-1]) & (b1[1:] == b1[:-1]) & (b2[1:] == b2[:-1]), [False]])
     group = np.concatenate([[0], np.cumsum(~same)[:-1]])
-    sketch = table.column("sketch").combine_chunks().cast(pa.large_binary())
-    offsets = np.frombuffer(sketch.buffers()[1], np.int64)[sketch.offset : sketch.offset + len(sketch) + 1]
-    data = np.frombuffer(sketch.buffers()[2], np.uint8)
+    data, offsets = _bytes_of(table.column("sketch").combine_chunks().cast(pa.large_binary()))
     left, right, found, held = [], [], [], 0
 
     def flush() -> None:
