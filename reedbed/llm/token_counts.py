@@ -7,6 +7,7 @@ the context do not come out as they were), and updates the sums above them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import byte_bpe_cache, encode_chunk, piece_starts
+from .pretokens import byte_bpe, encode_chunk, encode_each, piece_starts
 from .textbatch import Chunk, chunks
 
 LEAF = 32
+MOST_KNOWN = 300_000
 
 
 def _pieces(raw: bytes, ranks_path: str) -> tuple[list[int], list[int]]:
@@ -26,8 +28,21 @@ def _pieces(raw: bytes, ranks_path: str) -> tuple[list[int], list[int]]:
     chunk = Chunk(0, 1, data, np.array([0, len(data)]))
     start, _ = piece_starts(chunk)
     end = np.concatenate([start[1:], [len(data)]]) if len(start) else start
-    _, each = byte_bpe_cache(ranks_path).ids(data, start, end)
-    return (end - start).tolist(), each.tolist()
+    pieces = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    known = _counts(ranks_path)
+    if fresh := [p for p in dict.fromkeys(pieces) if p not in known]:
+        if len(known) > MOST_KNOWN:
+            known.clear()
+            fresh = [*dict.fromkeys(pieces)]
+        _, size = encode_each(byte_bpe(ranks_path)[0], [p.decode() for p in fresh])
+        known.update(zip(fresh, size.tolist(), strict=True))
+    return (end - start).tolist(), [known[p] for p in pieces]
+
+
+@functools.cache
+def _counts(ranks_path: str) -> dict[bytes, int]:
+    """Token counts of pre-tokens that edits met."""
+    return {}
 
 
 class TokenTree:
