@@ -110,7 +110,7 @@ def s04_extract_doi(spark, sf_dir) -> DataFrame:
 @query()
 def s05_title_from_filename(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).source("documents")
-    name = F.concat(F.regexp_replace(F.substring("text", 1, 40), r"[\s/]+", "_"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("d.pdf"))
+    name = F.concat(F.regexp_replace("text", r"[\s/]+", "_"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("d.pdf"))
     return docs.select("doc_id", S.title_from_filename(name).alias("title"))
 
 
