@@ -1,5 +1,8 @@
 """Registered queries hand whole texts and whole tables to their operators."""
 
+import datetime
+
+from reedbed.plans import queries_library
 from reedbed.plans.queries import queries
 
 
@@ -8,3 +11,19 @@ def test_title_from_filename_keeps_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text), (2, "a/b  c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["title"] for r in queries()["s05_title_from_filename"](spark, str(tmp_path)).collect()}
     assert got == {1: f"{text} 1d".title(), 2: "A B C 2D"}
+
+
+def test_export_writes_every_user(spark, tmp_path, monkeypatch):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(k, k % 5, "click", 1.0, "{}", at) for k in range(20)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    written, write = [], queries_library.IO.write_export
+
+    def note(bundle, path):
+        written.append(sorted(r["user_id"] for r in bundle.collect()))
+        return write(bundle, path)
+
+    monkeypatch.setattr(queries_library.IO, "write_export", note)
+    got = queries()["io5_write_export"](spark, str(tmp_path)).collect()
+    assert written == [[0, 1, 2, 3, 4]]
+    assert sorted(tuple(r) for r in got) == [(k, 4, k, 15 + k) for k in (0, 2, 4)]
