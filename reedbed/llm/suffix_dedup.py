@@ -7,7 +7,8 @@ string are found first, so that only they are sorted:
   on its bytes alone. Two equal strings have equal anchors at the same distance, so suffixes are dealt by anchor.
 * Only anchors whose core occurs twice go on, each with the text around it (all strings that have this anchor). Equal
   surroundings are one row. Anchors with very many different surroundings are dealt further, by distance from the
-  anchor and the bytes that all strings at these distances share.
+  anchor and the bytes that all strings at these distances share; surroundings that are equal when cut to these
+  distances are one row again, and groups that stay large are settled by counts of whole strings.
 * In a group, the suffixes at the anchors are sorted, forwards and backwards, with the longest common prefixes of
   neighbours. For each distance, suffixes whose neighbours agree on min_len bytes form runs of the suffix order; the
   previous and next smaller positions inside a run give each suffix its earlier match (longest previous factor, capped
@@ -182,7 +183,7 @@ def _group_spans(rows: DataFrame, min_len: int, keep_first: bool) -> DataFrame:
             if keep_first:
                 got, at = got[earlier], at[earlier]
             r, lo, hi = _spans(got, at)
-            return pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in r.tolist()], pa.string()), pa.array(lo + np.array([held[k][7] for k in r.tolist()], np.int64), pa.int64()), pa.array(hi + np.array([held[k][7] for k in r.tolist()], np.int64), pa.int64())], ["key", "lo", "hi"])
+            return pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in r.tolist()], pa.string()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["key", "lo", "hi"])
 
         held, size = [], 0
         stream = (tuple(x.values()) for batch in batches for part in range(0, batch.num_rows, 2048) for x in batch.slice(part, 2048).to_pylist())
@@ -197,7 +198,47 @@ def _group_spans(rows: DataFrame, min_len: int, keep_first: bool) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select("grp", "key", "left", "n_starts", "around", "doc", "first", "shift").mapInArrow(run, "key string, lo long, hi long")
+    return rows.select("grp", "key", "left", "n_starts", "around", "doc", "first").mapInArrow(run, "key string, lo long, hi long")
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    return groups.repartition("grp").sortWithinPartitions("grp")
+
+
+def _cell_spans(wide: DataFrame, space: Workspace, min_len: int, keep_first: bool) -> DataFrame:
+    """(key, lo, hi) of the surroundings of cores that have more than WIDE.
+
+    A slice holds the starts at distances d0 .. d0 + STEP - 1 of the anchor, and the bytes they all share name its group.
+    Cut to a slice, most surroundings of a common passage are equal: they are one cell, which owners tie to their keys.
+    Groups that still have more than WIDE cells are settled by counts of whole strings, a distance at a time.
+    """
+    cut = wide.select("*", F.explode(F.expr(f"sequence((left - n_starts + 1) div {STEP}, left div {STEP})")).alias("slice"))
+    cut = cut.select("*", F.expr(f"greatest(left - slice * {STEP} - {STEP} + 1, 0)").alias("skip"), F.expr(f"least(left - slice * {STEP}, n_starts - 1)").alias("end"))
+    shared = F.expr(f"substring(around, left - slice * {STEP} + 1, {min_len - STEP + 1})")
+    fine = cut.select("core", "slice", F.md5(shared).alias("shared"), "key", F.expr("left - skip").alias("left"), F.expr("end - skip + 1").cast("int").alias("n_starts"), F.expr(f"substring(around, skip + 1, end - skip + {min_len})").alias("around"), "doc", (F.col("first") + F.col("skip")).alias("first"), F.col("skip").alias("shift"))
+    fine = fine.select(F.concat_ws(":", "core", "slice", "shared").alias("grp"), F.md5(F.concat(F.concat_ws(":", "core", "left", "n_starts").cast("binary"), F.lit(b":"), F.col("around"))).alias("cell"), "key", "left", "n_starts", "around", "doc", "first", "shift")
+    cells = fine.groupBy("cell").agg(F.first("grp").alias("grp"), F.first("left").alias("left"), F.first("n_starts").alias("n_starts"), F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("times"), F.first("around").alias("around"))
+    cells = space.keep(cells.select("cell", "grp", "left", "n_starts", "around", "at.doc", "at.first", "times"), "cells")
+    sized = cells.join(cells.groupBy("grp").count().filter("count > 1"), "grp")
+    narrow = sized.filter(F.col("count") <= WIDE).select("grp", F.col("cell").alias("key"), "left", "n_starts", "around", "doc", "first")
+    found = _group_spans(_dealt(narrow), min_len, keep_first)
+    each = sized.filter(F.col("count") > WIDE).select("cell", "grp", "left", "around", "doc", "first", F.explode(F.expr("sequence(0, n_starts - 1)")).alias("lo"))
+    each = each.select("cell", "lo", "doc", (F.col("first") + F.col("lo")).alias("first"), F.md5(F.concat(F.concat_ws(":", "grp", F.col("left") - F.col("lo")).cast("binary"), F.lit(b":"), F.expr(f"substring(around, lo + 1, {min_len})"))).alias("string"))
+    each = space.keep(each, "strings")
+    again = each.groupBy("string").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first")).alias("at")).filter("n > 1")
+    hits = each.join(again, "string")
+    if keep_first:
+        hits = hits.filter("doc <> at.doc or first <> at.first")
+    found = found.union(hits.select("cell", "lo", F.col("lo").alias("hi")))
+    # All owners of a cell match whole, or all but the first, which has what its cell has.
+    owners = fine.select("cell", "key", "shift", "doc", "first").join(cells.filter("times > 1").select("cell", F.col("doc").alias("d0"), F.col("first").alias("f0"), "n_starts"), "cell")
+    single = fine.select("cell", "key", "shift", "doc", "first").join(cells.select("cell", F.col("doc").alias("d0"), F.col("first").alias("f0"), "times"), "cell")
+    if keep_first:
+        owners, single = owners.filter("doc <> d0 or first <> f0"), single.filter("doc = d0 and first = f0")
+    else:
+        single = single.filter("times = 1")
+    own = single.join(found.withColumnRenamed("key", "cell"), "cell").select("key", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
+    return own.union(owners.select("key", F.col("shift").cast("long").alias("lo"), (F.col("shift") + F.col("n_starts") - 1).cast("long").alias("hi")))
 
 
 def repeated_spans(docs: DataFrame, space: Workspace, min_len: int = 400, keep_first: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -223,14 +264,8 @@ def repeated_spans(docs: DataFrame, space: Workspace, min_len: int = 400, keep_f
     once = space.keep(once.select("key", "core", "left", "n_starts", "around", "at.doc", "at.first", "times"), "distinct")
     many = once.groupBy("core").count()
     varied = once.join(many.filter("count > 1"), "core")
-    plain = varied.filter(F.col("count") <= WIDE).select(F.col("core").cast("string").alias("grp"), "key", "left", "n_starts", "around", "doc", "first", F.lit(0).alias("shift"))
-    # A slice holds the starts at distances d0 .. d0 + STEP - 1 of the anchor, and the bytes they all share name its group.
-    cut = varied.filter(F.col("count") > WIDE).select("*", F.explode(F.expr(f"sequence((left - n_starts + 1) div {STEP}, left div {STEP})")).alias("slice"))
-    cut = cut.select("*", F.expr(f"greatest(left - slice * {STEP} - {STEP} + 1, 0)").alias("skip"), F.expr(f"least(left - slice * {STEP}, n_starts - 1)").alias("end"))
-    shared = F.expr(f"substring(around, left - slice * {STEP} + 1, {min_len - STEP + 1})")
-    fine = cut.select(F.concat_ws(":", "core", "slice", F.md5(shared)).alias("grp"), "key", F.expr("left - skip").alias("left"), F.expr("end - skip + 1").cast("int").alias("n_starts"), F.expr(f"substring(around, skip + 1, end - skip + {min_len})").alias("around"), "doc", (F.col("first") + F.col("skip")).alias("first"), F.col("skip").alias("shift"))
-    groups = plain.union(fine).repartition("grp").sortWithinPartitions("grp")
-    found = _group_spans(groups, min_len, keep_first)
+    plain = varied.filter(F.col("count") <= WIDE).select(F.col("core").cast("string").alias("grp"), "key", "left", "n_starts", "around", "doc", "first")
+    found = _group_spans(_dealt(plain), min_len, keep_first).union(_cell_spans(varied.filter(F.col("count") > WIDE), space, min_len, keep_first))
     # Equal surroundings match whole, all or all but the first.
     if keep_first:
         first = once.filter("times > 1").select("key", F.col("doc").alias("d0"), F.col("first").alias("f0"))

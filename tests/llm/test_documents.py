@@ -240,6 +240,40 @@ def test_first_copies_stay(spark):
     assert got == {1: rows[0][1], 2: "cc", 3: "dd", 4: "short"}
 
 
+def passages():
+    rng = np.random.default_rng(8)
+    made_of = lambda k: "".join(rng.choice(list("abcdefgh"), k))
+    short, long = made_of(48), made_of(130)
+    texts = [made_of(70) + (short if k % 2 else long) + made_of(70) for k in range(50)]
+    return [(k, t) for k, t in enumerate(texts)] + [(60, texts[3] + texts[4]), (61, "ab" * 60 + long), (62, texts[5])]
+
+
+@pytest.mark.parametrize("wide", [2000, 4])
+def test_passages_in_many_contexts(spark, wide, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    rows, largest, spans = passages(), [0], suffix_dedup._group_spans
+
+    def note(groups, *more):
+        largest.extend(r["count"] for r in groups.groupBy("grp").count().collect())
+        return spans(groups, *more)
+
+    monkeypatch.setattr(suffix_dedup, "_group_spans", note)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, suffix_dedup.remove_repeats(docs, 40).collect()), key=key)
+    assert got == brute_repeats(rows, 40)
+    seen, want = set(), {}
+    for k, text in rows[:-1]:
+        gone = [False] * len(text)
+        for i in range(len(text) - 39):
+            if text[i : i + 40] in seen:
+                gone[i : i + 40] = [True] * 40
+            seen.add(text[i : i + 40])
+        want[k] = "".join(c for c, g in zip(text, gone) if not g)
+    first = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.keep_first_copies(docs, 40).collect()}
+    assert first == want
+    assert max(largest) <= wide
+
+
 def test_lpf_against_definition():
     rng = np.random.default_rng(3)
     run = np.sort(rng.integers(0, 9, 60))
