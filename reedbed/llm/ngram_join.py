@@ -300,8 +300,9 @@ def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return own.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "sa long, sb long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) by signature -> (a, b) by doc_id of the pairs whose sets reach the threshold, on exact set sizes."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, named: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(a, b) by signature -> (a, b) by doc_id, or by signature if named is sa and sb, of the pairs whose sets reach the
+    threshold, on exact set sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,21 +320,12 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("s1").alias("sa"), F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("s1").alias("sb"), F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.join(x, "sa").join(y, "sb").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(x, "sa").join(y, "sb").select(*named, "ta", "tb")
+    return joined.mapInArrow(run, f"{named[0]} long, {named[1]} long")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs.
-
-    Words are runs of bytes outside \\x20 and \\x09-\\x0D, A-Z lower-cased; two documents link when
-    100 * |intersection| >= percent * |union| of their distinct n-word shingles (fewer words: the whole sequence).
-    component_id is the smallest id reachable by links, the document's own included.
-    A null or empty text has no shingles and no link. Rows with equal text link; rows that repeat an id are one document.
-    A null id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty table.
-    """
-    space = Workspace(docs.sparkSession, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _prepared(docs: DataFrame, n: int, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """(rows, classes, sketches, prefix lists under each order) of docs (doc_id, text)."""
     seen = space.keep(shingle_classes(docs, n), "classes")
     rows = space.keep(seen.drop("tokens"), "rows")
     classes = space.keep(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
@@ -347,19 +339,81 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         lists.append(space.keep(_shared_lists(held, order).distinct(), "lists"))
         if order < ORDERS - 1:
             held = held.join(lists[-1].select("s1").distinct(), "s1", "left_semi")
+    return rows, classes, sketches, lists
+
+
+def _reps_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    return classes.join(pairs.select(F.explode(F.array("sa", "sb")).alias("s1")).distinct(), "s1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+
+
+def _meet(pairs: list[DataFrame]) -> DataFrame:
+    out = pairs[0]
+    for p in pairs[1:]:
+        out = out.join(p, ["sa", "sb"], "left_semi")
+    return out
+
+
+def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): every link between different sets as (sa, sb), sa < sb, and the documents of each set as
+    (doc_id, s1), both by signature.
 
-    def reps_of(pairs: DataFrame) -> DataFrame:
-        return classes.join(pairs.select(F.explode(F.array("sa", "sb")).alias("s1")).distinct(), "s1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    Documents, their sets and the threshold are those of ngram_components; documents of one set link to each other. All
+    pairs that share prefix tokens under every order are compared and verified exactly, connected or not.
+    """
+    space = Workspace(docs.sparkSession, "ngram-links")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, sketches, lists = _prepared(docs, n, percent, space)
+    none = F.lit(None).cast("long")
+    all_ = []
+    for x in lists:
+        count = x.groupBy("token").agg(F.count("*").alias("count"))
+        all_.append(list_pairs(x.withColumn("c", none).join(count, "token").join(sketches.select("s1", "sketch"), "s1"), percent))
+    pairs = space.keep(_meet(all_), "pairs")
+    links = space.keep(verify(pairs, shingle_sets(docs, _reps_of(pairs, classes), n, space), percent, ("sa", "sb")).distinct(), "links")
+    return links, rows.filter("n > 0 and doc_id is not null").select("doc_id", "s1").distinct()
+
+
+def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_links): the number of other documents that each document links to, one row per id that is not null.
 
-    def meet(pairs: list[DataFrame]) -> DataFrame:
-        out = pairs[0]
-        for p in pairs[1:]:
-            out = out.join(p, ["sa", "sb"], "left_semi")
-        return out
+    Links are weighted by the number of documents of a set and not spread out. Ids of several sets (rows that repeat an
+    id) are counted apart, each once.
+    """
+    links, members = ngram_links(docs, n, percent, id_col, text_col)
+    sets = members.select("s1").distinct()
+    reach = links.select(F.col("sa").alias("s1"), F.col("sb").alias("to")).union(links.select("sb", "sa")).union(sets.select("s1", F.col("s1").alias("to")))
+    once = members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("s1").alias("s1"))
+    several = members.join(once.filter("sets > 1").select("doc_id"), "doc_id", "left_semi")
+    held = several.select(F.col("s1").alias("to"), F.col("doc_id").alias("other"))
+    size = once.filter("sets = 1").groupBy(F.col("s1").alias("to")).agg(F.count("*").alias("size"))
+
+    def counted(by: DataFrame, key: str) -> DataFrame:
+        """(key, total) of by (key, to), without repeats."""
+        single = by.join(size, "to").groupBy(key).agg(F.sum("size").alias("single"))
+        more = by.join(held, "to").select(key, "other").distinct().groupBy(key).agg(F.count("*").alias("more"))
+        return by.select(key).distinct().join(single, key, "left").join(more, key, "left").select(key, (F.coalesce("single", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
+
+    own = once.filter("sets = 1").join(counted(reach, "s1"), "s1").select("doc_id", "total")
+    own = own.union(counted(several.join(reach, "s1").select("doc_id", "to").distinct(), "doc_id").select("doc_id", "total"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    return ids.join(own, "doc_id", "left").select("doc_id", F.coalesce(F.col("total") - 1, F.lit(0)).cast("long").alias("n_links"))
+
+
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs.
 
-    met = meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).groupBy(F.col("hub").alias("sa"), F.col("s1").alias("sb")).count() for x in lists])
+    Words are runs of bytes outside \\x20 and \\x09-\\x0D, A-Z lower-cased; two documents link when
+    100 * |intersection| >= percent * |union| of their distinct n-word shingles (fewer words: the whole sequence).
+    component_id is the smallest id reachable by links, the document's own included.
+    A null or empty text has no shingles and no link. Rows with equal text link; rows that repeat an id are one document.
+    A null id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty table.
+    """
+    space = Workspace(docs.sparkSession, "ngram-join")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, classes, sketches, lists = _prepared(docs, n, percent, space)
+    met = _meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).groupBy(F.col("hub").alias("sa"), F.col("s1").alias("sb")).count() for x in lists])
     stars = space.keep(may_reach(met.groupBy("sb").agg(F.max(F.struct("count", "sa")).getField("sa").alias("sa")).select("sa", "sb"), sketches, percent), "stars")
-    sets = shingle_sets(docs, reps_of(stars), n, space)
+    sets = shingle_sets(docs, _reps_of(stars, classes), n, space)
     links = space.keep(verify(stars, sets, percent), "star-links")
     known = connected_components(links, space)
 
@@ -369,8 +423,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         x = x.join(label, "s1", "left")
         mixed = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(F.col("c").isNull()).alias("free"), F.count("*").alias("count")).filter("free > 0 or lo < hi").select("token", "count")
         rest.append(list_pairs(x.join(mixed, "token").join(sketches.select("s1", "sketch"), "s1"), percent))
-    rest = space.keep(meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), "rest")
-    more = space.keep(verify(rest, shingle_sets(docs, reps_of(rest), n, space), percent), "rest-links")
+    rest = space.keep(_meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), "rest")
+    more = space.keep(verify(rest, shingle_sets(docs, _reps_of(rest, classes), n, space), percent), "rest-links")
 
     held_by = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"])
     again = held_by.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")

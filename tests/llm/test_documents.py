@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reedbed.llm import ngram_join, suffix_dedup
 from reedbed.llm.byte_bpe import decode, encode, encode_digests
 from reedbed.llm.decontam import contaminated, drop_contaminated
-from reedbed.llm.ngram_join import ngram_components
+from reedbed.llm.ngram_join import link_counts, ngram_components
 from reedbed.llm.pretokens import read_ranks
 from reedbed.llm.quality import clean_documents, quality_report, quality_verdicts
 from reedbed.llm.rans import Coder, frequency_table, token_file_digests
@@ -104,6 +104,21 @@ def test_many_near_copies_are_one_component(spark, block, monkeypatch):
     assert got == brute_components(rows, 4, 60)
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_links_inside_a_component_are_counted(spark, docs, rows, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", block)
+    base = [f"w{k}" for k in range(60)]
+    near = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(30)] + [(40, " ".join(base)), (41, " ".join(base)), (0, " ".join(base)), (42, "other words")]
+    for table, own, n, percent in ((docs, rows, 4, 60), (spark.createDataFrame(near, "doc_id long, text string"), near, 4, 80)):
+        sets, linked = [shingles(r[1], n) for r in own], defaultdict(set)
+        for a, x in zip(own, sets):
+            for b, y in zip(own, sets):
+                if a[0] is not None and b[0] is not None and a[0] != b[0] and x and y and 100 * len(x & y) >= percent * len(x | y):
+                    linked[a[0]].add(b[0])
+        got = sorted(map(tuple, link_counts(table, n, percent).collect()))
+        assert got == [(k, len(linked[k])) for k in sorted({r[0] for r in own if r[0] is not None})]
+
+
 def quality(text):
     t = text or ""
     w = WORD.findall(t)
