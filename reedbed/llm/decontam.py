@@ -3,7 +3,7 @@
 The CGK random walk maps a sequence to a longer one, so that few edits become a small Hamming distance: at step j it
 writes the symbol it stands on and moves on or not by a random bit of (j, symbol). Symbols are words. Bit sampling takes a
 few steps of the walk as a bucket key; the tables needed for the target recall follow from measured collisions of
-items with the most edits that still count.
+items with the most edits that still count. Windows of items of lengths that miss it are all verified.
 
 Windows are item-sized, at the places where a document shares a run of words with the item that every match within the
 allowed edits must share (with e edits among L words, L - e words are left in e + 1 runs), so no match is passed over.
@@ -26,7 +26,8 @@ BLOCK_WORDS = 1 << 20
 PERCENT = 80  # an item matches if at most 100 - PERCENT per cent of its words are edited
 RECALL = 0.99
 SAMPLED = 3  # steps that make a bucket key
-WALKS, MOST_TABLES = 4, 96
+WALKS, MOST_TABLES = 4, 96  # items whose recall these tables do not reach are verified without them
+TRIALS = 64  # edited copies by which the recall of each length is measured
 GATE = 1 << 20
 
 
@@ -57,7 +58,8 @@ def cgk_keys(symbols: np.ndarray, length: np.ndarray, tables: int) -> np.ndarray
 
 @dataclass
 class Items:
-    """A block of benchmark items: padded words, lengths, allowed edits, gram size, gate and LSH keys."""
+    """A block of benchmark items: padded words, lengths, allowed edits, gram size, gate, LSH keys, and
+    whether all windows are verified."""
 
     ids: np.ndarray
     symbols: np.ndarray
@@ -66,6 +68,7 @@ class Items:
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     tables: int
     keys: np.ndarray
+    exact: np.ndarray
 
 
 def gram_size(length: int, edits: int) -> int:
@@ -73,30 +76,33 @@ def gram_size(length: int, edits: int) -> int:
     return max(1, -(-(length - edits) // (edits + 1)))
 
 
-def _tables(symbols: np.ndarray, length: np.ndarray, edits: np.ndarray, recall: float) -> int:
-    """Tables for the recall, from the collisions of items with copies that have all the edits they may have."""
+def _tables(symbols: np.ndarray, length: np.ndarray, edits: np.ndarray, recall: float) -> tuple[int, np.ndarray]:
+    """(tables for the recall, items that miss it even so), from the collisions of items with copies that have all the
+    edits they may have: TRIALS copies of items of each length."""
     rng = np.random.default_rng(11)
-    some = np.flatnonzero(edits > 0)[:256]
-    if not len(some):
-        return WALKS
-    width = symbols.shape[1] + int(edits.max())
-    pad = np.zeros((len(some), width), np.uint64)
-    pad[:, : symbols.shape[1]] = symbols[some]
-    changed = pad.copy()
-    for r, k in enumerate(some):
-        row = list(symbols[k, : length[k]])
-        for place in sorted(rng.choice(len(row), int(edits[k]), replace=False), reverse=True):
-            kind = rng.integers(3)
-            row[place : place + (kind != 1)] = [] if kind == 0 else [rng.integers(1, 1 << 62, dtype=np.uint64)]
-        row = row[: length[k]]
-        changed[r] = 0
-        changed[r, : len(row)] = row
-    a, b = cgk_keys(pad, length[some], MOST_TABLES), cgk_keys(changed, length[some], MOST_TABLES)
-    hit = a == b
-    for tables in range(WALKS, MOST_TABLES, WALKS):
-        if hit[:, :tables].any(1).mean() >= recall:
-            return tables
-    return MOST_TABLES
+    exact = np.zeros(len(length), bool)
+    lengths = np.unique(length[edits > 0])
+    if not len(lengths):
+        return WALKS, exact
+    some = np.concatenate([np.resize(np.flatnonzero(length == n), TRIALS) for n in lengths])
+    hits = []
+    for lo in range(0, len(some), 1024):
+        part = some[lo : lo + 1024]
+        width = int((length[part] + edits[part]).max())
+        pad, changed = np.zeros((len(part), width), np.uint64), np.zeros((len(part), width), np.uint64)
+        for r, k in enumerate(part):
+            row = list(symbols[k, : length[k]])
+            pad[r, : len(row)] = row
+            for place in sorted(rng.choice(len(row), int(edits[k]), replace=False), reverse=True):
+                kind = rng.integers(3)
+                row[place : place + (kind != 1)] = [] if kind == 0 else [rng.integers(1, 1 << 62, dtype=np.uint64)]
+            row = row[: length[k]]
+            changed[r, : len(row)] = row
+        hits.append(cgk_keys(pad, length[part], MOST_TABLES) == cgk_keys(changed, length[part], MOST_TABLES))
+    hit = np.concatenate(hits)
+    found = lambda tables: hit[:, :tables].any(1).reshape(len(lengths), TRIALS).mean(1)
+    tables = next((t for t in range(WALKS, MOST_TABLES, WALKS) if found(t).min() >= recall), MOST_TABLES)
+    return tables, np.isin(length, lengths[found(tables) < recall])
 
 
 def prepare(ids: list[int], texts: list[str], percent: int = PERCENT, recall: float = RECALL) -> Items | None:
@@ -127,8 +133,8 @@ def prepare(ids: list[int], texts: list[str], percent: int = PERCENT, recall: fl
         gate = np.zeros(GATE, bool)
         gate[(h & np.uint64(GATE - 1)).astype(np.int64)] = True
         grams[g] = (gate, h[order], item[order], place[order])
-    tables = _tables(symbols, length, edits, recall)
-    return Items(np.array(kept, np.int64), symbols, length, edits, grams, tables, cgk_keys(symbols, length, tables))
+    tables, exact = _tables(symbols, length, edits, recall)
+    return Items(np.array(kept, np.int64), symbols, length, edits, grams, tables, cgk_keys(symbols, length, tables), exact)
 
 
 def _gram_hashes(h: np.ndarray, g: int) -> np.ndarray:
@@ -194,7 +200,7 @@ def _matches(w: Words, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray
         width = int(length.max())
         rows = _gather(w, d, s, width)
         rows[np.arange(width)[None, :] >= length[:, None]] = 0
-        same = (cgk_keys(np.pad(rows, ((0, 0), (0, items.symbols.shape[1] - width))), length, items.tables) == items.keys[i]).any(1)
+        same = (cgk_keys(np.pad(rows, ((0, 0), (0, items.symbols.shape[1] - width))), length, items.tables) == items.keys[i]).any(1) | items.exact[i]
         d, i, s, length = d[same], i[same], s[same], length[same]
         if len(d):
             most = int(items.edits[i].max())
@@ -252,5 +258,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without documents that contain an item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without documents that contain an item; rows without an id are judged each by its text."""
+    named = docs.join(contaminated(docs.filter("doc_id is not null"), benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    th = F.xxhash64("text")
+    nameless = docs.filter("doc_id is null")
+    found = contaminated(nameless.select(th.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__th")).distinct()
+    return named.filter("doc_id is not null").union(nameless.join(found, th == F.col("__th"), "left_anti").select(*docs.columns))

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from reedbed.llm import ngram_join, suffix_dedup
+from reedbed.llm import decontam, ngram_join, suffix_dedup
 from reedbed.llm.byte_bpe import decode, encode, encode_digests
 from reedbed.llm.decontam import contaminated, drop_contaminated
 from reedbed.llm.ngram_join import link_counts, ngram_components
@@ -224,6 +224,28 @@ def test_decontamination(spark):
     assert contaminated(frame, bench.limit(0)).count() == 0 and contaminated(frame.limit(0), bench).count() == 0
 
 
+def test_fully_edited_passages_of_long_items(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MOST_TABLES", 8)
+    rng = np.random.default_rng(12)
+    items = [[f"i{j}w{k}" for k in range(100)] for j in range(40)]
+    texts = []
+    for item in items:
+        own = list(item)
+        for k in rng.choice(100, 20, replace=False):
+            own[k] = f"x{k}"
+        texts.append(" ".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = contaminated(frame, spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == [(k, k, 20) for k in range(40)]
+
+
+def test_rows_without_id_are_dropped_by_their_text(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    rows = [(None, f"before {item} after"), (None, "clean text here"), (1, item), (2, "other clean text"), (None, None)]
+    left = drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=key) == sorted([rows[1], rows[3], rows[4]], key=key)
+
+
 def brute_repeats(rows, n):
     count = Counter()
     for r in rows:
