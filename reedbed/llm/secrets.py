@@ -1,7 +1,7 @@
 """Secret scans: spans of credentials, and corpus-wide ownership frequency. Spark SQL expressions only.
 
-Candidates are found in each text; hashes of their values are then counted over distinct owners and repositories of the
-whole corpus. A value under few owners is a live-looking credential of theirs; one that many owners hold is a widely
+Candidates are found in each text; hashes of their values are then counted over distinct owners of the whole corpus;
+repositories are counted too, but do not decide. A value under few owners is a live-looking credential of theirs; one that many owners hold is a widely
 copied example. Base spans (assign, access, hex) always stay; long opaque strings are spans only if they are live.
 """
 
