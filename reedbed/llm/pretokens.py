@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .textbatch import LOWER, Chunk, span_hashes
+from .textbatch import LOWER, Blocks, Chunk, span_blocks
 
 LETTER, NUMBER, WHITE, OTHER = range(4)
 # The code points with the Unicode property White_Space.
@@ -109,42 +109,61 @@ def _contraction(code: np.ndarray, quote: np.ndarray, doc: np.ndarray, n: int) -
 
 
 class PieceCache:
-    """Ids of pieces by their 64-bit hash, in sorted arrays; encode is given the distinct unseen pieces of a chunk."""
+    """Ids of pieces by their 64-bit hash, in sorted arrays; encode is given the distinct unseen pieces of a chunk.
+
+    Bytes decide: a piece whose bytes differ from those kept under its hash is encoded by itself.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
         self.encode, self.fold = encode, fold
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.place, self.size, self.span = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.held = Blocks(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def _learn(self, fresh: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Append ids of some pieces; returns where each piece's begin."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        return begin
+
+    def _learn(self, fresh: np.ndarray, ids: np.ndarray, size: np.ndarray, own: Blocks) -> None:
+        begin = self._add(ids, size)
         where = np.searchsorted(self.known, fresh)
-        self.place = np.insert(self.place, where, self.used + np.cumsum(size) - size)
+        self.place = np.insert(self.place, where, begin)
         self.size = np.insert(self.size, where, size)
+        self.span = np.insert(self.span, where, len(self.held.first) + np.arange(len(fresh)))
         self.known = np.insert(self.known, where, fresh)
-        self.used += len(ids)
+        joined = [np.concatenate([a, b]) for a, b in ((self.held.value, own.value), (self.held.first, own.first + len(self.held.value)), (self.held.count, own.count), (self.held.size, own.size))]
+        self.held = Blocks(*joined)
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and the number of ids of each piece."""
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         data = LOWER[data] if self.fold else data
-        h, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        blocks = span_blocks(data, start, end)
+        h, first, which = np.unique(blocks.hashes(), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._clear()
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         new = self.known[at] != h if len(self.known) else np.ones(len(h), bool)
+        raw = data.tobytes()
+        read = lambda own: [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
         if new.any():
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            self._learn(h[new], *self.encode(pieces))
+            fresh = first[new]
+            self._learn(h[new], *self.encode(read(fresh)), span_blocks(data, start[fresh], end[fresh]))
             at = np.searchsorted(self.known, h)
         begin, each = self.place[at][which], self.size[at][which]
+        odd = np.flatnonzero(~blocks.equal(np.arange(len(start)), self.held, self.span[at][which]))
+        if len(odd):
+            ids, size = self.encode(read(odd))
+            begin[odd], each[odd] = self._add(ids, size), size
         total = np.cumsum(each)
         return self.flat[np.arange(total[-1]) + np.repeat(begin - (total - each), each)], each
 

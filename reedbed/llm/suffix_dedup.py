@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Workspace
-from .textbatch import _BASE, _BYTE, _INVERSE, chunks, mix, powers
+from .textbatch import chunks, rolling_hashes
 
 WIDE = 2_000  # different surroundings of one core in a group; more are dealt by distance too
 STEP = 16  # distances dealt together
@@ -48,9 +48,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.nda
     none = np.zeros(0, np.int64)
     if n < min_len:
         return none.astype(np.uint64), none, none, none
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, n), out=total[1:])
-    h = mix((total[k:] - total[:-k]) * powers(_INVERSE, n + 1)[: n - k + 1], 3)
+    h = rolling_hashes(data, k)
     bits = np.uint64(max(1, int(n).bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)

@@ -10,11 +10,10 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240611)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+_ROLL = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # keeps the first k bytes of a block
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -82,11 +81,67 @@ class Words:
     bounds: np.ndarray
 
 
+@dataclass
+class Blocks:
+    """Byte spans as 8-byte blocks, the last one filled up with zeros: values, each span's first block, blocks and bytes."""
+
+    value: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    size: np.ndarray
+
+    @property
+    def within(self) -> np.ndarray:
+        """Each block's number in its span."""
+        return np.arange(len(self.value)) - np.repeat(self.first, self.count)
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes: every block is mixed with its number before blocks are summed."""
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        number = self.within.astype(np.uint64)
+        mixed = mix(mix(self.value, 3) + number * np.uint64(0x9E3779B97F4A7C15), 4)
+        return mix(np.add.reduceat(mixed, self.first), 1) ^ mix(self.size.astype(np.uint64), 5)
+
+    def equal(self, own: np.ndarray, other: Blocks, theirs: np.ndarray) -> np.ndarray:
+        """Whether spans own[k] here and theirs[k] in other have the same bytes."""
+        out = self.size[own] == other.size[theirs]
+        at = np.flatnonzero(out)
+        count = self.count[own[at]]
+        total = np.cumsum(count)
+        step = np.arange(total[-1] if len(total) else 0) - np.repeat(total - count, count)
+        differs = self.value[np.repeat(self.first[own[at]], count) + step] != other.value[np.repeat(other.first[theirs[at]], count) + step]
+        out[np.repeat(at, count)[differs]] = False
+        return out
+
+
+def span_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Blocks:
+    size = (end - start).astype(np.int64)
+    count = np.maximum(1, (size + 7) // 8)
+    total = np.cumsum(count)
+    first = total - count
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    window = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    value = window[np.arange(total[-1] if len(total) else 0) * 8 + np.repeat(start - 8 * first, count)]
+    if len(total):
+        value[total - 1] &= _TAIL[size - 8 * (count - 1)]
+    return Blocks(value, first, count, size)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the byte spans, through one prefix sum."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix((total[end] - total[start]) * powers(_INVERSE, len(data) + 1)[start], 1) ^ (end - start).astype(np.uint64)
+    return span_blocks(data, start, end).hashes()
+
+
+def rolling_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k bytes in a row, through one prefix sum: good for choosing places, not for telling bytes apart."""
+    n = len(data)
+    power, inverse = (np.full(n + 1, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    for x in (power, inverse):
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_ROLL[data] * power[:n], out=total[1:])
+    return mix((total[k:] - total[:-k]) * inverse[: n - k + 1], 3)
 
 
 def words(chunk: Chunk, lower: bool = True, hashed: bool = True) -> Words:
@@ -115,7 +170,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(w.bounds), np.int64)
     full = np.zeros(len(w.hash), np.uint64)
     for k in range(n):
-        full[: len(full) - k] += w.hash[k:] * _GRAM[k]
+        full[: max(0, len(full) - k)] += w.hash[k:] * _GRAM[k]
     each = np.where(count >= n, count - n + 1, (count > 0).astype(count.dtype))
     bounds = np.concatenate([[0], np.cumsum(each)])
     take = np.arange(bounds[-1]) + np.repeat(w.bounds[:-1] - bounds[:-1], each)
@@ -123,7 +178,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < n))
     for d in short:
         s, e = w.bounds[d], w.bounds[d + 1]
-        out[bounds[d]] = (w.hash[s:e] * _GRAM[: e - s]).sum(dtype=np.uint64) + _GRAM[32 + int(e - s)]
+        out[bounds[d]] = np.concatenate([w.hash[s:e] * _GRAM[: e - s], _GRAM[32 + e - s : 33 + e - s]]).sum(dtype=np.uint64)
     return mix(out, 2), bounds
 
 
