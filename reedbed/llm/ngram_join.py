@@ -1,21 +1,21 @@
 """N-gram Jaccard join: multiple-global-order prefix filtering, then exact verification.
 
-Every document is its set of distinct word shingles. Two sets that reach the threshold share a token among the first
-n - ceil(t n) + 1 tokens under ANY global order of tokens, so a pair must share a prefix token under each of several
-orders. All orders put rare tokens first; each permutes them differently. Frequencies are counted exactly for a quarter of
-all tokens, chosen by hash, which come before the others, so that prefixes consist of tokens known to be rare.
+Every document is its set of distinct word shingles (tokens). Two sets that reach the threshold share a token among the
+first n - ceil(t n) + 1 tokens under ANY global order of tokens, so a pair must share a prefix token under each of several
+orders. All orders put rare tokens first and permute tokens of like frequency differently.
 
 Steps, all on Spark:
-1. one pass gives each document's set size, 128-bit set signature and countable tokens; equal sets are one class;
-2. a second pass gives each document's prefixes; tokens held by one class only are dropped by a grouped min / max;
-3. each prefix list links its members to its least member (a star, so a group of copies costs its size, not its square);
-   of the star pairs found under every order, each member's with most common tokens is verified;
-4. every other pair that shares prefix tokens under every order, and is not already connected, is compared too, so no
-   link between components is lost: inside tasks, by block pairs of each list, so that only pairs that may reach the
-   threshold become rows;
-5. components come from a distributed star contraction.
-
-Verification first bounds the overlap by bitmaps of the tokens' hashes, then intersects whole sets.
+1. one pass gives each document's set size and 128-bit set signature; equal sets are one class;
+2. sets are thinned: a set of n tokens of which u occur in no other set can overlap no set by more than n - u, so it has
+   no partner below the threshold. Tokens are looked at by quarters, each only for the sets that are left, so that most
+   sets go before most of their tokens are shuffled;
+3. tokens of the sets that are left are counted exactly; those of one set are dropped (they come first in every order);
+4. under the first order, every prefix list has a hub, its set with the least share of dropped tokens; sets are grouped by
+   hub, so that a set travels once for each hub instead of once for each of its prefix tokens;
+5. inside a group, pairs that share prefix tokens under every order are verified on their whole sets. Each set leaves its
+   group as one row: the least set that it is connected with there, and its number of links; a pair that meets in several
+   groups is counted in the one with the smallest hub. Large groups are dealt into blocks, and block pairs are groups;
+6. components come from a distributed star contraction.
 """
 
 from __future__ import annotations
@@ -29,14 +29,12 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import Workspace
-from .textbatch import _GRAM, chunks, grams, long_lists, mix, sorted_sets, words
+from .textbatch import chunks, grams, long_lists, mix, sorted_sets, words
 
-CELLS = 1 << 22  # cells, one byte each, of the map of frequent tokens; its size does not grow with the data
-FREQUENT = 1 << 18  # tokens that the map takes at most: the most frequent; which ones it takes changes costs, never results
-SLOTS = 1 << 24  # bits of the map of tokens in two documents or more; its size does not grow with the data
-BITS = 1 << 23  # bits of the map of documents whose sets are needed; its size does not grow with the data
 ORDERS = 2
-LIST_ROWS = 2_000  # rows of a prefix list that are compared with each other in one group
+ROUNDS = ((0,), (1,), (2, 3))  # quarters of the tokens that each round of thinning looks at
+BLOCK_ROWS, BLOCK_TOKENS = 1_000, 1 << 20  # of a block; a group is compared by pairs of blocks, so that no task holds more than two
+CELLS = 1 << 21  # counts that a task adds up at once
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,385 +51,296 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray,
         yield c.lo, c.hi, *sorted_sets(*grams(words(c), n))
 
 
-def _countable(h: np.ndarray) -> np.ndarray:
-    return (mix(h, 50) & np.uint64(3)) == 0
-
-
-def shingle_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, s1, s2, tokens): each document's set size, signature and countable tokens."""
+def shingle_sets(docs: DataFrame, n: int, tokens: bool = True) -> DataFrame:
+    """(doc_id, n, s1, s2[, tokens]): each document's set size, signature and set."""
+    names = ["doc_id", "n", "s1", "s2", *(["tokens"] if tokens else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, h, bounds in _sets(batch, n):
                 size, s1, s2 = _signatures(h, bounds)
-                some = _countable(h)
-                tokens = long_lists(h[some], np.concatenate([[0], np.cumsum(some)])[bounds])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(s1), pa.array(s2), tokens], ["doc_id", "n", "s1", "s2", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(s1), pa.array(s2), *([long_lists(h, bounds)] if tokens else [])], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long" + ", tokens array<long>" * tokens)
 
 
-def frequent_map(seen: DataFrame, space: Workspace) -> tuple[bytes, bytes]:
-    """(levels, repeats) of the countable tokens.
+def shared_counts(docs: DataFrame, n: int, quarters: tuple[int, ...]) -> DataFrame:
+    """(s1, seen, shared): each set's number of tokens in the quarters, and of those that other sets hold too, at least.
 
-    levels: one byte a cell, the doublings of the count of the cell's most frequent token, 0 below three documents; it
-    takes the FREQUENT most frequent tokens, to the nearest doubling. repeats: one bit a slot, set if a token of the slot
-    is in two documents or more. Both have a fixed size; a full map costs time, never results.
+    A token that two sets of one chunk hold is counted there, and only says so to the other chunks: a token that very many
+    documents hold is one row a chunk. Repeated texts may be counted twice as shared, which thins less.
     """
-    counts = seen.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1")
-    counts = space.keep(counts.select("token", F.when(F.col("count") > 2, F.floor(F.log2("count"))).otherwise(0).cast("int").alias("level")), "repeats")
-    least, taken = 1, 0
-    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # at most 64 rows
-        taken += row["count"]
-        if taken > FREQUENT:
-            least = row["level"] + 1
-            break
-    got = counts.filter(F.col("level") >= max(1, least)).groupBy(F.col("token").bitwiseAND(CELLS - 1).alias("cell")).agg(F.max("level").alias("level")).toPandas()
-    levels = np.zeros(CELLS, np.uint8)
-    levels[got["cell"].to_numpy(np.int64)] = got["level"].to_numpy(np.uint8)
-    slot = F.col("token").bitwiseAND(SLOTS - 1)
-    got = counts.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
-    repeats = np.zeros(SLOTS // 64, np.int64)
-    repeats[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    space.drop(counts)
-    return levels.tobytes(), repeats.tobytes()
-
-
-def _sketch(h: np.ndarray) -> bytes:
-    """Two to four bits a token, set where a token falls."""
-    bits = 1 << max(5, int(len(h)).bit_length() + 1)
-    out = np.zeros(bits, bool)
-    out[(h & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[bytes, bytes], orders: int = ORDERS) -> DataFrame:
-    """(s1, n, sketch, p0, p1, ...): each non-empty set's prefix tokens under each order, without tokens of one document."""
-    names = ["s1", "n", "sketch", *(f"p{o}" for o in range(orders))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, repeats = np.frombuffer(frequent[0], np.uint8), np.frombuffer(frequent[1], np.uint32)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, h, bounds in _sets(batch, n):
                 size, s1, _ = _signatures(h, bounds)
-                some = np.flatnonzero(size)
-                keep = size - -(-percent * size // 100) + 1
-                count = _countable(h)
-                high = np.where(count, np.minimum(level[(h & np.uint64(CELLS - 1)).astype(np.int64)], 31), 1).astype(np.uint64) << np.uint64(58)
-                slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-                alone = count & ((repeats[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 0)
-                lists = []
-                for o in range(orders):
-                    # The lowest bit, which does not order tokens, says that no other document has the token.
-                    key = high | (mix(h, 100 + o) >> np.uint64(6)) & ~np.uint64(1) | alone.astype(np.uint64)
-                    parts = []
-                    for d in some.tolist():
-                        own = key[bounds[d] : bounds[d + 1]]
-                        own.sort()
-                        own = own[: keep[d]]
-                        parts.append(own[own & np.uint64(1) == 0])
-                    lists.append(long_lists(np.concatenate([np.zeros(0, np.uint64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)))
-                sketches = pa.array([_sketch(h[bounds[d] : bounds[d + 1]]) for d in some.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(s1[some]), pa.array(size[some]), sketches, *lists], names)
-
-    return docs.mapInArrow(run, "s1 long, n long, sketch binary, " + ", ".join(f"p{o} array<long>" for o in range(orders)))
-
-
-def _shared_lists(held: DataFrame, order: int) -> DataFrame:
-    """(token, s1, n, hub, hub_n): the rows of prefix lists that hold two classes or more; hub is the list's least class."""
-    rows = held.select("s1", "n", F.explode(f"p{order}").alias("token"))
-    lists = rows.groupBy("token").agg(F.min(F.struct("s1", "n")).alias("low"), F.max("s1").alias("high")).filter("low.s1 < high")
-    return rows.join(lists.select("token", F.col("low.s1").alias("hub"), F.col("low.n").alias("hub_n")), "token")
-
-
-def _fits(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def _bitmap(keys: DataFrame) -> bytes:
-    """A bit for each key's hash. BITS / 64 rows reach the driver at most; a full map lets everything through."""
-    slot = F.pmod(F.xxhash64("s1"), F.lit(BITS))
-    got = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas()
-    words_ = np.zeros(BITS // 32, np.uint32)
-    words_[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return words_.tobytes()
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, n: int, space: Workspace) -> DataFrame:
-    """(s1, doc_id, tokens): the sets of the class representatives in ids (doc_id).
-
-    Texts are not shuffled: a fixed-size map of ids is applied while texts are read; the ids it lets through wrongly go
-    by the join that follows.
-    """
-    slots = _bitmap(ids.select(F.col("doc_id").alias("s1")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(slots, np.uint8), bitorder="little").astype(bool)
+                owner = np.repeat(np.arange(len(size)), size)
+                some = np.isin(h & np.uint64(3), np.array(quarters, np.uint64))
+                token, owner = h[some].view(np.int64), owner[some]
+                order = np.lexsort((s1[owner], token))
+                token, owner = token[order], owner[order]
+                fresh = np.ones(len(token), bool)
+                fresh[1:] = (token[1:] != token[:-1]) | (s1[owner[1:]] != s1[owner[:-1]])
+                token, owner = token[fresh], owner[fresh]
+                first = np.ones(len(token), bool)
+                first[1:] = token[1:] != token[:-1]
+                several = ~(first & np.append(first[1:], True))
+                mine, said = owner[several], token[several & first]
+                docs_ = np.unique(owner)
+                rows = [
+                    (s1[docs_], s1[docs_], np.bincount(owner, minlength=len(size))[docs_], np.bincount(mine, minlength=len(size))[docs_]),
+                    (token[~several], s1[owner[~several]], -np.ones(int((~several).sum()), np.int64), np.zeros(int((~several).sum()), np.int64)),
+                    (said, np.zeros(len(said), np.int64), -2 * np.ones(len(said), np.int64), np.zeros(len(said), np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows, strict=True)], ["key", "s1", "seen", "shared"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column(2).to_numpy(zero_copy_only=False)]))
-            for lo, hi, h, bounds in _sets(batch, n):
-                _, s1, _ = _signatures(h, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(s1), batch.column(0).slice(lo, hi - lo), long_lists(h, bounds)], ["s1", "doc_id", "tokens"])
-
-    slotted = docs.filter("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
-    return space.keep(slotted.mapInArrow(run, "s1 long, doc_id long, tokens array<long>").dropDuplicates(["doc_id", "s1"]).join(ids, "doc_id", "left_semi"), "sets")
-
-
-def may_reach(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (sa, sb) whose sketches leave room for the threshold; no pair that reaches it is dropped."""
+            key, s1, seen, shared = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            whole = seen >= 0
+            # Rows of a token in order: the note of another chunk (-2) first, then its sets.
+            token, own, kind = (np.concatenate([a, b[~whole]]) for a, b in zip(held, (key, s1, seen), strict=True))
+            out_s, out_n, out_k = [s1[whole]], [seen[whole]], [shared[whole]]
+            if len(token):
+                begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+                size = np.diff(np.append(begin, len(token)))
+                real = kind == -1
+                low = np.minimum.reduceat(np.where(real, own, np.iinfo(np.int64).max), begin)
+                high = np.maximum.reduceat(np.where(real, own, np.iinfo(np.int64).min), begin)
+                both = (np.minimum.reduceat(kind, begin) == -2) | (low < high)
+                good = np.repeat(both, size) & real
+                good[1:] &= (own[1:] != own[:-1]) | (token[1:] != token[:-1]) | ~real[:-1]
+                out_s.append(own[good])
+                out_n.append(np.zeros(int(good.sum()), np.int64))
+                out_k.append(np.ones(int(good.sum()), np.int64))
+                held = (token[-1:], own[-1:], np.array([-2 if both[-1] else kind[-1]]))
+            s, which = np.unique(np.concatenate(out_s), return_inverse=True)
+            most = np.zeros(len(s), np.int64)
+            np.maximum.at(most, which, np.concatenate(out_n))
+            total = np.bincount(which, np.concatenate(out_k), len(s)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(most), pa.array(total)], ["s1", "seen", "shared"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(local, "key long, s1 long, seen long, shared long")
+    rows = rows.repartition("key").sortWithinPartitions("key", "seen", "s1").mapInArrow(met, "s1 long, seen long, shared long")
+    return rows.groupBy("s1").agg(F.max("seen").alias("seen"), F.sum("shared").alias("shared"))
+
+
+def thinned_sets(docs: DataFrame, classes: DataFrame, n: int, percent: int, space: Workspace, orders: int = ORDERS) -> DataFrame:
+    """(s1, rep, docs, n, left, tokens, p0, p1, ...): the sets that can have partners, without tokens of one set, and their
+    prefix tokens under each order. left: share of the tokens that are left."""
+    alive, texts = classes.withColumn("gone", F.lit(0).cast("long")), docs
+    for k, quarters in enumerate(ROUNDS):
+        found = shared_counts(texts, n, quarters)
+        gone = F.col("gone") + F.greatest(F.coalesce(F.col("seen") - F.col("shared"), F.lit(0)), F.lit(0))
+        left = alive.join(found, "s1", "left").withColumn("gone", gone).select(*alive.columns)
+        left = space.keep(left.filter(F.col("n") * 100 - F.col("gone") * 100 >= F.col("n") * percent), "alive")
+        fewer = space.keep(texts.join(left.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+        if k:
+            space.drop(alive)
+            space.drop(texts)
+        alive, texts = left, fewer
+
+    held = shingle_sets(texts, n).withColumnRenamed("doc_id", "rep").drop("n")
+    held = space.keep(held.join(alive.select("rep", "s1").hint("shuffle_hash"), ["rep", "s1"], "left_semi").dropDuplicates(["s1"]), "sets")
+    space.drop(texts)
+    tokens = held.select("s1", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").count().filter("count > 1")
+    ranked = tokens.join(counts, "token").groupBy("s1").agg(F.collect_list(F.struct("token", F.floor(F.log2("count")).cast("long").alias("level"))).alias("ranked"))
+    ranked = ranked.join(alive.drop("gone"), "s1").filter(F.size("ranked") * 100 >= F.col("n") * percent)
+    names = ["s1", "rep", "docs", "n", "left", "tokens", *(f"p{o}" for o in range(orders))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                both = pa.concat_arrays([batch.column(2), batch.column(3)]).cast(pa.large_binary())
-                size = np.concatenate([batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)])
-                at = np.arange(batch.num_rows)
-                good = _reachable(*_bytes_of(both), at, at + batch.num_rows, size, percent)
-                yield batch.filter(pa.array(good)).select([0, 1])
-
-    x = sketches.select(F.col("s1").alias("sa"), F.col("sketch").alias("xa"), F.col("n").alias("na"))
-    y = sketches.select(F.col("s1").alias("sb"), F.col("sketch").alias("xb"), F.col("n").alias("nb"))
-    return pairs.join(x, "sa").join(y, "sb").select("sa", "sb", "xa", "xb", "na", "nb").mapInArrow(run, "sa long, sb long")
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8), offsets
-
-
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    """The sketch that a shorter one of the same tokens would be."""
-    while bits.shape[1] > width:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
+            lists = batch.column(4)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            token, level = (lists.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            size, n_ = np.diff(offsets), batch.column(3).to_numpy(zero_copy_only=False)
+            keep = size - -(-percent * n_ // 100) + 1
+            outs = []
+            for o in range(orders):
+                key = (level.astype(np.uint64) << np.uint64(58)) | (mix(token.view(np.uint64), 100 + o) >> np.uint64(6))
+                parts = [token[s + np.argsort(key[s:e])[:p]] for s, e, p in zip(offsets[:-1], offsets[1:], keep, strict=True)]
+                outs.append(long_lists(np.concatenate([np.zeros(0, np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(size / n_), pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(token[offsets[0] : offsets[-1]])), *outs], names)
+
+    kinds = "s1 long, rep long, docs long, n long, left double, tokens array<long>" + "".join(f", p{o} array<long>" for o in range(orders))
+    out = space.keep(ranked.select("s1", "rep", "docs", "n", "ranked").mapInArrow(run, kinds), "prefixes")
+    space.drop(held)
+    space.drop(alive)
+    return out
 
 
-def _reachable(data: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows the sketches, given as bytes and offsets, leave room for the threshold.
+def hub_groups(sets: DataFrame, space: Workspace, orders: int = ORDERS) -> DataFrame:
+    """(hub, b1, b2, own, hubs, and the columns of sets): sets by the hubs of their prefix lists under the first order.
 
-    A bit that only one sketch has stands for a token that the other set lacks, at least.
+    A set that shares no prefix token with another under one of the orders is dropped. Pairs of blocks of a group are
+    groups of their own, b1 <= b2; own is the row's block. hubs are all hubs of the set.
     """
-    out = np.zeros(len(a), bool)
-    length = np.diff(offsets)
-    shape = length[a] * (1 << 32) + length[b]
-    for kind in np.unique(shape).tolist():
-        own = np.flatnonzero(shape == kind)
-        la, lb = kind >> 32, kind & 0xFFFFFFFF
-        step = max(1, (1 << 22) // max(la, lb))
-        for k in range(0, len(own), step):
-            part = own[k : k + step]
-            x = _fold(data[offsets[a[part]][:, None] + np.arange(la)], min(la, lb))
-            y = _fold(data[offsets[b[part]][:, None] + np.arange(lb)], min(la, lb))
-            nx, ny = size[a[part]], size[b[part]]
-            both = np.minimum(nx - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            out[part] = 100 * both >= percent * (nx + ny - both)
+    posts = sets.select("s1", "left", *(f"p{o}" for o in range(orders)))
+    for o in range(orders - 1, 0, -1):
+        one = posts.select("s1", F.explode(f"p{o}").alias("token"))
+        lists = one.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).filter("low < high")
+        posts = posts.join(one.join(lists, "token", "left_semi").select("s1").distinct(), "s1", "left_semi")
+    one = posts.select("s1", "left", F.explode("p0").alias("token"))
+    lists = one.groupBy("token").agg(F.min(F.struct(-F.col("left"), "s1")).getField("s1").alias("hub"), F.count("*").alias("count")).filter("count > 1")
+    members = space.keep(one.join(lists, "token").select("hub", "s1").distinct(), "members")
+    size = members.join(sets.select("s1", F.size("tokens").alias("m")), "s1").groupBy("hub").agg(F.expr(f"cast(ceil(greatest(count(*) / {BLOCK_ROWS}, sum(m) / {BLOCK_TOKENS})) as int)").alias("blocks"))
+    hubs = members.groupBy("s1").agg(F.collect_list("hub").alias("hubs"))
+    rows = members.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    rows = rows.select("hub", "s1", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("hub", "s1", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    return rows.join(sets.join(hubs, "s1"), "s1")
+
+
+def _overlaps(owner: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
+    """How many tokens each two rows, the first before the second, share; owner ascends. Tokens of many rows go by a matrix
+    product, others by the pairs of their rows."""
+    out = np.zeros((rows, rows), np.float32)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(token)))
+    many = np.flatnonzero(size > max(2, rows // 16))
+    step = max(1, CELLS // rows)
+    for k in range(0, len(many), step):
+        part = many[k : k + step]
+        column = np.repeat(np.arange(len(part)), size[part])
+        at = np.repeat(begin[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(len(column))
+        held = np.zeros((rows, len(part)), np.float32)
+        held[owner[at], column] = 1
+        out += held @ held.T
+    few = np.flatnonzero((size > 1) & (size <= max(2, rows // 16)))
+    flat = out.reshape(-1)
+    for distance in range(1, int(size[few].max()) if len(few) else 0):
+        far = few[size[few] > distance]
+        for k in range(0, len(far), step):
+            part = far[k : k + step]
+            count = size[part] - distance
+            at = np.repeat(begin[part] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            np.add.at(flat, owner[at] * rows + owner[at + distance], np.float32(1))
     return out
 
 
-def _column(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
-
-
-def _group_pairs(table: pa.Table, percent: int) -> pa.RecordBatch:
-    """Pairs of each group of a sorted table that may reach the threshold and are not known to be connected."""
-    s, n, c, known = (_column(table, k) for k in ("s1", "n", "c", "known"))
-    token, b1, b2, own = (_column(table, k) for k in ("token", "b1", "b2", "own"))
-    same = np.concatenate([(token[1:] == token[:-1]) & (b1[1:] == b1[:-1]) & (b2[1:] == b2[:-1]), [False]])
-    group = np.concatenate([[0], np.cumsum(~same)[:-1]])
-    data, offsets = _bytes_of(table.column("sketch").combine_chunks().cast(pa.large_binary()))
-    left, right, found, held = [], [], [], 0
-
-    def flush() -> None:
-        a, b = np.concatenate(left), np.concatenate(right)
-        key = mix(np.minimum(s[a], s[b]).view(np.uint64), 61) * _GRAM[40] + mix(np.maximum(s[a], s[b]).view(np.uint64), 62)
-        first = np.unique(key, return_index=True)[1]
-        a, b = a[first], b[first]
-        good = _reachable(data, offsets, a, b, n, percent)
-        found.append((np.minimum(s[a], s[b])[good], np.maximum(s[a], s[b])[good]))
-
-    for d in range(1, len(s)):
-        at = np.flatnonzero(group[:-d] == group[d:])
-        if not len(at):
-            break
-        to = at + d
-        fine = ~(known[at] & known[to] & (c[at] == c[to])) & (s[at] != s[to]) & ((b1[at] == b2[at]) | (own[at] != own[to]))
-        fine &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
-        left.append(at[fine])
-        right.append(to[fine])
-        held += int(fine.sum())
-        if held > 1 << 19:
-            flush()
-            left, right, held = [], [], 0
-    if held:
-        flush()
-    sa, sb = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(sa), pa.array(sb)], ["sa", "sb"])
-
-
-def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(sa, sb): pairs inside prefix lists that their sketches leave room for, compared inside tasks and not emitted.
-
-    rows: token, s1, n, c (component, null if none), sketch, count (rows of the list). A list of more than LIST_ROWS is
-    cut into blocks, and each pair of blocks is a group of its own, so that no task holds a long list.
-    """
-    blocks = F.expr(f"cast(ceil(count / {LIST_ROWS}) as int)")
-    own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
-    own = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    own = own.select("token", "s1", "n", F.coalesce("c", F.lit(0)).alias("c"), F.col("c").isNotNull().alias("known"), "sketch", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-    keys = ["token", "b1", "b2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table])
-            last = [_column(table.slice(table.num_rows - 1), k)[0] for k in keys]
-            cut = np.ones(table.num_rows, bool)
-            for k, v in zip(keys, last, strict=True):
-                cut &= _column(table, k) == v
-            whole = int(np.argmax(cut))
-            if whole:
-                yield _group_pairs(table.slice(0, whole), percent)
-            held = table.slice(whole)
-        if held is not None and held.num_rows:
-            yield _group_pairs(held, percent)
-
-    return own.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "sa long, sb long").distinct()
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, named: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """(a, b) by signature -> (a, b) by doc_id, or by signature if named is sa and sb, of the pairs whose sets reach the
-    threshold, on exact set sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            lo, ro = left.offsets.to_numpy(), right.offsets.to_numpy()
-            lv, rv = left.values.to_numpy(zero_copy_only=False).view(np.uint64), right.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            good = []
-            for k in range(len(left)):
-                x, y = lv[lo[k] : lo[k + 1]], rv[ro[k] : ro[k + 1]]
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = len(y) - 1
-                both = int(np.count_nonzero(y[at] == x))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
-
-    x = sets.select(F.col("s1").alias("sa"), F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    y = sets.select(F.col("s1").alias("sb"), F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    joined = pairs.join(x, "sa").join(y, "sb").select(*named, "ta", "tb")
-    return joined.mapInArrow(run, f"{named[0]} long, {named[1]} long")
-
-
-def _prepared(docs: DataFrame, n: int, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """(rows, classes, sketches, prefix lists under each order) of docs (doc_id, text)."""
-    seen = space.keep(shingle_classes(docs, n), "classes")
-    rows = space.keep(seen.drop("tokens"), "rows")
-    classes = space.keep(rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "reps")
-    frequent = frequent_map(seen, space)
-    space.drop(seen)
-    kept = space.keep(prefixes(docs, n, percent, frequent), "prefixes")
-    held, sketches = kept, kept.select("s1", "sketch", "n").dropDuplicates(["s1"])
-
-    lists = []
-    for order in range(ORDERS):
-        lists.append(space.keep(_shared_lists(held, order).distinct(), "lists"))
-        if order < ORDERS - 1:
-            held = held.join(lists[-1].select("s1").distinct(), "s1", "left_semi")
-    return rows, classes, sketches, lists
-
-
-def _reps_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    return classes.join(pairs.select(F.explode(F.array("sa", "sb")).alias("s1")).distinct(), "s1", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-
-
-def _meet(pairs: list[DataFrame]) -> DataFrame:
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.join(p, ["sa", "sb"], "left_semi")
-    return out
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every entry of a list column."""
+    column = table.column(name).combine_chunks()
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(column)), np.diff(offsets)), column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+
+
+def _linked(table: pa.Table, percent: int, orders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, counted): the linked pairs of rows of a group; counted: this is the pair's group with the smallest hub."""
+    rows = table.num_rows
+    n, own = (table.column(k).to_numpy() for k in ("n", "own"))
+    a, b = np.triu_indices(rows, 1)
+    fine = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+    if table.column("b1")[0].as_py() != table.column("b2")[0].as_py():
+        fine &= own[a] != own[b]
+    a, b = a[fine], b[fine]
+    for o in range(orders):
+        if len(a):
+            shared = _overlaps(*_lists(table, f"p{o}"), rows)[a, b] > 0
+            a, b = a[shared], b[shared]
+    if not len(a):
+        return a, b, np.zeros(0, bool)
+    some = np.unique(np.concatenate([a, b]))
+    owner, token = _lists(table, "tokens")
+    inside = np.isin(owner, some)
+    both = _overlaps(np.searchsorted(some, owner[inside]), token[inside], len(some))[np.searchsorted(some, a), np.searchsorted(some, b)].astype(np.int64)
+    good = 100 * both >= percent * (n[a] + n[b] - both)
+    a, b = a[good], b[good]
+    owner, hub = _lists(table, "hubs")
+    less = hub < table.column("hub")[0].as_py()
+    return a, b, _overlaps(owner[less], hub[less], rows)[a, b] == 0 if less.any() else np.ones(len(a), bool)
+
+
+def _least_reached(a: np.ndarray, b: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """The least rep that each row reaches by the pairs."""
+    low = rep.copy()
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        if (new == low).all():
+            return low
+        low = new
+
+
+def group_links(groups: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
+    """(s1, rep, root, links): each set of each group with the least representative that it is connected with there, and
+    the number of documents of other sets that it links to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        s1, rep, docs = (table.column(k).to_numpy() for k in ("s1", "rep", "docs"))
+        a, b, counted = _linked(table, percent, orders)
+        links = np.bincount(a[counted], docs[b[counted]], len(s1)) + np.bincount(b[counted], docs[a[counted]], len(s1))
+        return pa.table({"s1": s1, "rep": rep, "root": _least_reached(a, b, rep), "links": links.astype(np.int64)})
+
+    return groups.groupBy("hub", "b1", "b2").applyInArrow(run, "s1 long, rep long, root long, links long")
+
+
+def _classes(docs: DataFrame, n: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): each row's set size and signature; each set's least document and number of documents."""
+    rows = space.keep(shingle_sets(docs, n, tokens=False), "rows")
+    named = rows.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2", "doc_id").agg(F.lit(1).alias("one"))
+    return rows, space.keep(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "classes")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, members): every link between different sets as (sa, sb), sa < sb, and the documents of each set as
     (doc_id, s1), both by signature.
 
-    Documents, their sets and the threshold are those of ngram_components; documents of one set link to each other. All
-    pairs that share prefix tokens under every order are compared and verified exactly, connected or not.
+    Documents, their sets and the threshold are those of ngram_components; documents of one set link to each other. A
+    group of near copies has as many links as it has pairs: ngram_components counts them without giving them out.
     """
+
+    def run(table: pa.Table) -> pa.Table:
+        s1 = table.column("s1").to_numpy()
+        a, b, counted = _linked(table, percent, ORDERS)
+        a, b = s1[a[counted]], s1[b[counted]]
+        return pa.table({"sa": np.minimum(a, b), "sb": np.maximum(a, b)})
+
     space = Workspace(docs.sparkSession, "ngram-links")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, classes, sketches, lists = _prepared(docs, n, percent, space)
-    none = F.lit(None).cast("long")
-    all_ = []
-    for x in lists:
-        count = x.groupBy("token").agg(F.count("*").alias("count"))
-        all_.append(list_pairs(x.withColumn("c", none).join(count, "token").join(sketches.select("s1", "sketch"), "s1"), percent))
-    pairs = space.keep(_meet(all_), "pairs")
-    links = space.keep(verify(pairs, shingle_sets(docs, _reps_of(pairs, classes), n, space), percent, ("sa", "sb")).distinct(), "links")
-    return links, rows.filter("n > 0 and doc_id is not null").select("doc_id", "s1").distinct()
-
-
-def link_counts(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_links): the number of other documents that each document links to, one row per id that is not null.
-
-    Links are weighted by the number of documents of a set and not spread out. Ids of several sets (rows that repeat an
-    id) are counted apart, each once.
-    """
-    links, members = ngram_links(docs, n, percent, id_col, text_col)
-    sets = members.select("s1").distinct()
-    reach = links.select(F.col("sa").alias("s1"), F.col("sb").alias("to")).union(links.select("sb", "sa")).union(sets.select("s1", F.col("s1").alias("to")))
-    once = members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("s1").alias("s1"))
-    several = members.join(once.filter("sets > 1").select("doc_id"), "doc_id", "left_semi")
-    held = several.select(F.col("s1").alias("to"), F.col("doc_id").alias("other"))
-    size = once.filter("sets = 1").groupBy(F.col("s1").alias("to")).agg(F.count("*").alias("size"))
-
-    def counted(by: DataFrame, key: str) -> DataFrame:
-        """(key, total) of by (key, to), without repeats."""
-        single = by.join(size, "to").groupBy(key).agg(F.sum("size").alias("single"))
-        more = by.join(held, "to").select(key, "other").distinct().groupBy(key).agg(F.count("*").alias("more"))
-        return by.select(key).distinct().join(single, key, "left").join(more, key, "left").select(key, (F.coalesce("single", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("total"))
-
-    own = once.filter("sets = 1").join(counted(reach, "s1"), "s1").select("doc_id", "total")
-    own = own.union(counted(several.join(reach, "s1").select("doc_id", "to").distinct(), "doc_id").select("doc_id", "total"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    return ids.join(own, "doc_id", "left").select("doc_id", F.coalesce(F.col("total") - 1, F.lit(0)).cast("long").alias("n_links"))
+    docs = _plain(docs, id_col, text_col)
+    rows, classes = _classes(docs, n, space)
+    groups = hub_groups(thinned_sets(docs, classes.drop("s2"), n, percent, space), space)
+    return groups.groupBy("hub", "b1", "b2").applyInArrow(run, "sa long, sb long"), rows.filter("n > 0 and doc_id is not null").select("doc_id", "s1").distinct()
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs.
+    """(doc_id, n_shingles, component_id, n_links), one row per row of docs.
 
     Words are runs of bytes outside \\x20 and \\x09-\\x0D, A-Z lower-cased; two documents link when
     100 * |intersection| >= percent * |union| of their distinct n-word shingles (fewer words: the whole sequence).
-    component_id is the smallest id reachable by links, the document's own included.
-    A null or empty text has no shingles and no link. Rows with equal text link; rows that repeat an id are one document.
-    A null id keeps its row, with a null component. Other columns are ignored. An empty table gives an empty table.
+    component_id is the smallest id reachable by links, the document's own included; n_links is the number of other
+    documents that this row's set links to, equal sets included. All links are verified and counted, none is given out.
+    A null or empty text has no shingles and no link. Rows with equal text link; rows that repeat an id are one document,
+    and one with several sets is counted once for each of them. A null id keeps its row, with a null component and null
+    links. Other columns are ignored. An empty table gives an empty table.
     """
     space = Workspace(docs.sparkSession, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows, classes, sketches, lists = _prepared(docs, n, percent, space)
-    met = _meet([x.filter("s1 <> hub").filter(_fits("n", "hub_n", percent)).groupBy(F.col("hub").alias("sa"), F.col("s1").alias("sb")).count() for x in lists])
-    stars = space.keep(may_reach(met.groupBy("sb").agg(F.max(F.struct("count", "sa")).getField("sa").alias("sa")).select("sa", "sb"), sketches, percent), "stars")
-    sets = shingle_sets(docs, _reps_of(stars, classes), n, space)
-    links = space.keep(verify(stars, sets, percent), "star-links")
-    known = connected_components(links, space)
-
-    label = classes.join(known.withColumnRenamed("id", "rep"), "rep").groupBy("s1").agg(F.min("component").alias("c"))
-    rest = []
-    for x in lists:
-        x = x.join(label, "s1", "left")
-        mixed = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if(F.col("c").isNull()).alias("free"), F.count("*").alias("count")).filter("free > 0 or lo < hi").select("token", "count")
-        rest.append(list_pairs(x.join(mixed, "token").join(sketches.select("s1", "sketch"), "s1"), percent))
-    rest = space.keep(_meet(rest).join(stars.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")), ["sa", "sb"], "left_anti"), "rest")
-    more = space.keep(verify(rest, shingle_sets(docs, _reps_of(rest, classes), n, space), percent), "rest-links")
+    docs = _plain(docs, id_col, text_col)
+    rows, classes = _classes(docs, n, space)
+    sets = thinned_sets(docs, classes.drop("s2"), n, percent, space)
+    found = space.keep(group_links(hub_groups(sets, space), percent), "links")
+    space.drop(sets)
+    counts = found.groupBy("s1").agg(F.sum("links").alias("links"))
 
     held_by = rows.filter("n > 0 and doc_id is not null").join(classes, ["n", "s1", "s2"])
     again = held_by.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     again = held_by.join(again.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    final = connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(again), space)
-    label = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    final = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(again).filter("a <> b"), space)
+    label = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").join(counts, "s1", "left")
+    label = label.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"))
+    named = F.col("doc_id").isNotNull()
     return (
         rows.join(label, ["n", "s1", "s2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(named, F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     )

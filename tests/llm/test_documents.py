@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from reedbed.llm import decontam, ngram_join, suffix_dedup
 from reedbed.llm.byte_bpe import decode, encode, encode_digests
 from reedbed.llm.decontam import contaminated, drop_contaminated
-from reedbed.llm.ngram_join import link_counts, ngram_components
+from reedbed.llm.ngram_join import ngram_components, ngram_links
 from reedbed.llm.pretokens import read_ranks
 from reedbed.llm.quality import clean_documents, quality_report, quality_verdicts
 from reedbed.llm.rans import Coder, frequency_table, token_file_digests
 from reedbed.llm.secrets import redact, secret_report
+from reedbed.llm.textbatch import chunks, grams, sorted_sets, words
 from reedbed.llm.token_counts import edited_counts, made_edits
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,7 +87,9 @@ def brute_components(rows, n, percent):
     least = defaultdict(lambda: 1 << 60)
     for k in named:
         least[find(k)] = min(least[find(k)], rows[k][0])
-    return sorted([(r[0], len(s), least[find(k)] if r[0] is not None else None) for k, (r, s) in enumerate(zip(rows, sets))], key=key)
+    once = {(rows[k][0], sets[k]) for k in named}
+    links = {x: sum(1 for i, y in once if x and y and 100 * len(x & y) >= percent * len(x | y)) - 1 for x in set(sets)}
+    return sorted([(r[0], len(s), least[find(k)] if r[0] is not None else None, max(0, links[s]) if r[0] is not None else None) for k, (r, s) in enumerate(zip(rows, sets))], key=key)
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 50)])
@@ -94,9 +98,9 @@ def test_ngram_components(docs, rows, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
-@pytest.mark.parametrize("block", [2000, 3])
+@pytest.mark.parametrize("block", [1000, 7])
 def test_many_near_copies_are_one_component(spark, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST_ROWS", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base[:k] + [f"n{k}"] + base[k + 1 :]) for k in range(60)] + ["shared line of six words here " + " ".join(f"u{k}x{j}" for j in range(9)) for k in range(40)]
     rows = [(k, t) for k, t in enumerate(texts)]
@@ -104,19 +108,51 @@ def test_many_near_copies_are_one_component(spark, block, monkeypatch):
     assert got == brute_components(rows, 4, 60)
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_links_inside_a_component_are_counted(spark, docs, rows, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIST_ROWS", block)
-    base = [f"w{k}" for k in range(60)]
-    near = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(30)] + [(40, " ".join(base)), (41, " ".join(base)), (0, " ".join(base)), (42, "other words")]
-    for table, own, n, percent in ((docs, rows, 4, 60), (spark.createDataFrame(near, "doc_id long, text string"), near, 4, 80)):
-        sets, linked = [shingles(r[1], n) for r in own], defaultdict(set)
-        for a, x in zip(own, sets):
-            for b, y in zip(own, sets):
-                if a[0] is not None and b[0] is not None and a[0] != b[0] and x and y and 100 * len(x & y) >= percent * len(x | y):
-                    linked[a[0]].add(b[0])
-        got = sorted(map(tuple, link_counts(table, n, percent).collect()))
-        assert got == [(k, len(linked[k])) for k in sorted({r[0] for r in own if r[0] is not None})]
+@pytest.mark.parametrize("block", [1000, 7])
+def test_links_of_random_near_copies(spark, block, monkeypatch):
+    """Near copies about the threshold, by three bases with a common passage, and all links given out."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(9)
+    passage = [f"p{k}" for k in range(20)]
+    bases = [[f"b{g}x{k}" for k in range(60)] + passage for g in range(3)]
+    texts = []
+    for k in range(120):
+        words_ = list(bases[k % 3])
+        for _ in range(int(rng.integers(0, 4))):
+            words_[int(rng.integers(80))] = f"e{int(rng.integers(40))}"
+        texts.append(" ".join(words_))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, ngram_components(table, 4, 85).collect())) == brute_components(rows, 4, 85)
+    links, members = ngram_links(table, 4, 85)
+    of = {r["s1"]: r["doc_id"] for r in members.collect()}
+    sets = {k: shingles(t, 4) for k, t in rows}
+    want = {frozenset([sets[a], sets[b]]) for a in sets for b in sets if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    got = [frozenset([sets[of[r["sa"]]], sets[of[r["sb"]]]]) for r in links.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_a_large_group_of_near_copies(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[: k % 120] + [f"n{k}"] + base[k % 120 + 1 :])) for k in range(2000)]
+    got = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 85).collect()
+    assert {r["component_id"] for r in got} == {0}
+    sets = [shingles(t, 4) for _, t in rows]
+    by = {r["doc_id"]: r["n_links"] for r in got}
+    for k in (0, 3, 60, 1999):
+        assert by[k] == sum(1 for s in sets if 100 * len(s & sets[k]) >= 85 * len(s | sets[k])) - 1
+
+
+@pytest.mark.parametrize(("n", "text"), [(4, ""), (4, "a b"), (5, "a b c"), (5, "a b c d e f")])
+def test_one_short_text_alone(spark, n, text):
+    assert [tuple(r) for r in ngram_components(spark.createDataFrame([(7, text)], "doc_id long, text string"), n, 80).collect()] == brute_components([(7, text)], n, 80)
+
+
+@pytest.mark.parametrize("n", [2, 4, 5])
+def test_shingles_of_few_words(n):
+    for texts in (["a"], ["a b"], ["a b c"], ["a b c d"], ["a b c d e"], ["a b c d e f"], ["", "a b c"], [None, "a", "a b c d e f g"]):
+        for c in chunks(pa.array(texts, pa.string())):
+            assert np.diff(sorted_sets(*grams(words(c), n))[1]).tolist() == [len(shingles(t, n)) for t in texts]
 
 
 def quality(text):
