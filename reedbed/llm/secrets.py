@@ -1,8 +1,9 @@
 """Secret scans: spans of credentials, and corpus-wide ownership frequency. Spark SQL expressions only.
 
-Candidates are found in each text; hashes of their values are then counted over distinct owners of the whole corpus;
-repositories are counted too, but do not decide. A value under few owners is a live-looking credential of theirs; one that many owners hold is a widely
-copied example. Base spans (assign, access, hex) always stay; long opaque strings are spans only if they are live.
+Candidates are found in each text; hashes of their values are then counted over distinct owners and distinct repositories
+of the whole corpus. A value under few owners and in few repositories is a live-looking credential of theirs; one that
+many owners or many repositories hold is a widely copied example. Base spans (assign, access, hex) always stay; long
+opaque strings are spans only if they are live.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 MAX_OWNERS = 2  # owners of a live value
+MAX_REPOS = 3  # repositories of a live value
+SALTS = 16  # parts that the occurrences of a value are dealt into when they meet its counts
 
 
 def _places(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
@@ -66,7 +69,7 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
+def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
     """doc_id, th (the text's hash), base and spans (arrays of start, kind, end), n_live, n_example; one row per row of docs.
 
     An owner is a value of owner_col; a repository is an owner and a value of repo_col. Null text is empty; a null owner
@@ -80,8 +83,9 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "d
     each = found.select("doc_id", "owner", "repo", "th", F.explode(F.concat("base", "extra")).alias("s")).select("doc_id", "owner", "repo", "th", "s.*")
     repos = each.groupBy("value", "owner", "repo").count()
     owners = repos.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    use = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.drop("owner", "repo").distinct().join(use, "value").withColumn("live", F.col("owners") <= max_owners)
+    use = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.drop("owner", "repo").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+    judged = salted.join(use, ["value", "salt"]).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     per_doc = judged.groupBy("doc_id", "th").agg(
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
@@ -93,13 +97,20 @@ def secret_spans(docs: DataFrame, max_owners: int = MAX_OWNERS, id_col: str = "d
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example)."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one row per row of docs.
+
+    Null and empty texts have no spans; null owners, repositories and ids are values like others; rows that repeat an id
+    and a text repeat their row; other columns are ignored; an empty table gives an empty table.
+    """
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return secret_spans(docs).select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), "n_live", "n_example")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the union of each text's spans replaced by mark; n_chars follows the text. No row is dropped."""
+    """docs with the union of each text's spans replaced by mark; n_chars, where there is one, follows the text.
+
+    No row is dropped: null texts stay null, repeated rows stay repeated, all other columns are kept as they are.
+    """
     spans = secret_spans(docs).filter("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__of"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__of"])
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(spans, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
@@ -110,5 +121,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     joined = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), cut))
-    new = {"text": F.coalesce("__new", "text"), "n_chars": F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    new = {"text": F.coalesce("__new", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
