@@ -1,8 +1,8 @@
 """Quality rules: per-document rules, and cross-document line frequency. Spark SQL expressions only.
 
-Normalised lines are hashed and counted over distinct documents (texts) of each host. A line that more than max_docs
-documents of its host hold is removed everywhere but in the host's first document that has it, so that text in many
-copies keeps one; a document that is depleted by this is rejected.
+Normalised lines are hashed and counted over the distinct documents of each host. A line that more than max_docs documents
+of its host hold is removed; a document that is depleted by this is rejected. keep_first leaves such a line in the host's
+first document that has it, so that a page in very many copies keeps one.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from .store import Workspace
 GAP = r"[\x20\x09-\x0D]+"
 MAX_DOCS = 100  # documents of one host that may share a line
 MIN_WORDS = 10
+SALTS = 16  # parts that the documents with a frequent line are dealt into when they meet it
 MIN_LEFT = 20  # per cent of a document's words that must be left
 
 
@@ -69,13 +70,22 @@ def document_rules(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rules: DataFrame, max_docs: int) -> DataFrame:
-    """(host, h, first_doc): lines in more than max_docs distinct texts of a host; null is a host too."""
-    each = rules.select("host", "th", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    texts = each.groupBy("host", "h", "th").agg(F.min("doc_id").alias("doc_id"))
-    return texts.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter(F.col("docs") > max_docs).select("host", "h", "first_doc")
+    """(host, h, first_doc): lines in more than max_docs documents of a host; null is a host too.
 
+    Rows that repeat an id and a text are one document. Lines are counted before they are shuffled.
+    """
+    each = rules.dropDuplicates(["doc_id", "th", "host"]).select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    return each.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter(F.col("docs") > max_docs).select("host", "h", "first_doc")
+
+
+def _met(lines: DataFrame, heavy: DataFrame, keep_first: bool, how: str, host: str, h: str, doc: str, key: str) -> DataFrame:
+    """lines joined with the frequent ones, whose many rows are dealt into parts."""
+    parts = heavy.select(F.col("host").alias("__host"), F.col("h").alias("__key"), F.col("first_doc").alias("__first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__part"))
+    on = (F.col(h) == F.col("__key")) & (F.pmod(F.xxhash64(doc, key), F.lit(SALTS)) == F.col("__part")) & F.col(host).eqNullSafe(F.col("__host"))
+    return lines.join(parts, on & ~F.col(doc).eqNullSafe(F.col("__first")) if keep_first else on, how)
 
-def quality_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> tuple[DataFrame, DataFrame]:
+
+def quality_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int = MIN_LEFT, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(verdicts, frequent lines). verdicts: doc_id, th, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_words, kept; one row per row of docs.
 
@@ -87,8 +97,7 @@ def quality_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int =
     rules = space.keep(rules, "rules")
     heavy = space.keep(frequent_lines(rules, max_docs), "lines")
     held = rules.dropDuplicates(["doc_id", "th", "host"]).select("doc_id", "th", "host", F.explode("lines").alias("x")).select("doc_id", "th", "host", "x.h", "x.words")
-    hit = held.alias("a").join(heavy.alias("b"), (F.col("a.h") == F.col("b.h")) & F.col("a.host").eqNullSafe(F.col("b.host")) & ~F.col("a.doc_id").eqNullSafe(F.col("b.first_doc")))
-    lost = hit.groupBy("a.doc_id", "a.th", "a.host").agg(F.sum("words").alias("lost"))
+    lost = _met(held, heavy, keep_first, "inner", "host", "h", "doc_id", "th").groupBy("doc_id", "th", "host").agg(F.sum("words").alias("lost"))
     joined = rules.alias("r").join(lost.alias("l"), (F.col("r.th") == F.col("l.th")) & F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & F.col("r.host").eqNullSafe(F.col("l.host")), "left")
     left = F.col("n_words") - F.col("n_removed_words")
     verdicts = joined.select("r.doc_id", "r.host", "r.th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("lost", F.lit(0)).cast("long").alias("n_removed_words"))
@@ -96,22 +105,28 @@ def quality_verdicts(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: int =
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
+    """The verdicts of quality_verdicts, with its rules for nulls, repeats and empty tables, for the query."""
     return quality_verdicts(docs)[0].drop("host", "th")
 
 
-def clean_documents(docs: DataFrame) -> DataFrame:
-    """docs without its rejected documents; those kept lose their frequent lines, and n_chars follows their text."""
-    verdicts, heavy = quality_verdicts(docs)
+def clean_documents(docs: DataFrame, keep_first: bool = False, max_docs: int = MAX_DOCS) -> DataFrame:
+    """docs without its rejected documents; those kept lose their frequent lines, and n_chars, where there is one, follows.
+
+    Null and empty texts are rejected; null ids and hosts are values like others; rows that repeat an id, a host and a
+    text stay repeated, or become one if they lose lines; all columns stay; an empty table gives an empty table.
+    """
+    verdicts, heavy = quality_verdicts(docs, max_docs, keep_first=keep_first)
     good = verdicts.filter("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("th").alias("__of"), F.col("n_removed_words").alias("__lost")).dropDuplicates(["__id", "__host", "__of"])
-    heavy = heavy.select(F.col("host").alias("__host"), F.col("h").alias("__key"), F.col("first_doc").alias("__first"))
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = own.join(good, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__host"))).select(*docs.columns, "__th", "__lost")
     whole = kept.filter("__lost = 0").select(*docs.columns)
-    part = kept.filter("__lost > 0").drop("__lost")
+    part = kept.filter("__lost > 0").drop("__lost").dropDuplicates(["doc_id", "source", "__th"])
     lines = part.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__of"), F.col("source").alias("__source"), F.posexplode(F.split("text", "\n")).alias("__at", "__line")).withColumn("__h", line_key(F.col("__line")))
-    left = lines.join(heavy, (F.col("__h") == F.col("__key")) & F.col("__source").eqNullSafe(F.col("__host")) & ~F.col("__id").eqNullSafe(F.col("__first")), "left_anti")
-    ordered = F.sort_array(F.collect_set(F.struct("__at", "__line")))
+    left = _met(lines, heavy, keep_first, "left_anti", "__source", "__h", "__id", "__of")
+    ordered = F.sort_array(F.collect_list(F.struct("__at", "__line")))
     text = left.groupBy("__id", "__of", "__source").agg(F.array_join(F.transform(ordered, lambda x: x["__line"]), "\n").alias("__text"))
     part = part.join(text, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)}
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
     return whole.union(part.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)))

@@ -81,22 +81,22 @@ g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(list
 c AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM g, range(5) t(j) WHERE g.n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')) AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-h AS (SELECT source, k, min(doc_id) AS first_doc FROM l GROUP BY source, k HAVING count(DISTINCT text) > 100),
-x AS (SELECT l.doc_id, sum(l.words) AS n FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source AND h.k = l.k AND h.first_doc <> l.doc_id GROUP BY 1),
+h AS (SELECT source, k FROM l GROUP BY source, k HAVING count(DISTINCT doc_id) > 100),
+x AS (SELECT l.doc_id, sum(l.words) AS n FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source AND h.k = l.k GROUP BY 1),
 a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 10 AND 100 * (n_words - n_removed_words) >= 20 * n_words AS kept FROM a"""
 
 
 def _places_sql(kind: int, pattern: str, group: int, least: int) -> str:
     quoted = pattern.replace("'", "''")
-    return f"""SELECT doc_id, source, {kind} AS kind, p + g - n AS s, p + g AS e, v FROM (SELECT doc_id, source, v, n, sum(n) OVER o AS p, sum(length(gap)) OVER o AS g FROM
-    (SELECT doc_id, source, unnest(h) AS hit, unnest(vs) AS v, unnest(list_slice(gaps, 1, len(h))) AS gap, unnest(range(len(h))) AS i, length(unnest(h)) AS n FROM (SELECT doc_id, source, regexp_extract_all(text, '{quoted}', 0) AS h, regexp_extract_all(text, '{quoted}', {group}) AS vs, string_split_regex(text, '{quoted}') AS gaps FROM d)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE length(v) >= {least}"""
+    return f"""SELECT doc_id, source, lang, {kind} AS kind, p + g - n AS s, p + g AS e, v FROM (SELECT doc_id, source, lang, v, n, sum(n) OVER o AS p, sum(length(gap)) OVER o AS g FROM
+    (SELECT doc_id, source, lang, unnest(h) AS hit, unnest(vs) AS v, unnest(list_slice(gaps, 1, len(h))) AS gap, unnest(range(len(h))) AS i, length(unnest(h)) AS n FROM (SELECT doc_id, source, lang, regexp_extract_all(text, '{quoted}', 0) AS h, regexp_extract_all(text, '{quoted}', {group}) AS vs, string_split_regex(text, '{quoted}') AS gaps FROM d)) WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE length(v) >= {least}"""
 
 
-OP2_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+OP2_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 b AS ({_places_sql(0, ASSIGN, 2, 12)} UNION ALL {_places_sql(1, ACCESS, 0, 18)} UNION ALL {_places_sql(2, HEX, 0, 16)}),
 x AS (SELECT * FROM ({_places_sql(3, OPAQUE, 0, 24)}) o WHERE len(regexp_extract_all(v, '[0-9]')) >= 4 AND len(regexp_extract_all(v, '[A-Za-z]')) >= 4 AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = o.doc_id AND b.s < o.e AND o.s < b.e)),
-a AS (SELECT *, v IN (SELECT v FROM (SELECT v, source FROM b UNION ALL SELECT v, source FROM x) GROUP BY v HAVING count(DISTINCT source) <= 2) AS live FROM (SELECT * FROM b UNION ALL SELECT * FROM x)),
+a AS (SELECT *, v IN (SELECT v FROM (SELECT v, source, lang FROM b UNION ALL SELECT v, source, lang FROM x) GROUP BY v HAVING count(DISTINCT source) <= 2 AND count(DISTINCT (source, lang)) <= 3) AS live FROM (SELECT * FROM b UNION ALL SELECT * FROM x)),
 t AS (SELECT doc_id, kind, live, s, ['assign', 'access', 'hex', 'opaque'][kind + 1] || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR) AS j FROM a)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg(j, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
   coalesce(string_agg(j, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id"""
