@@ -91,7 +91,11 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and its ids decoded, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, and its ids decoded, in one pass.
+
+    Null is the empty text, which has no ids; ids of rows stay as they are, null or repeated; other columns are ignored;
+    an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -111,6 +111,8 @@ def _word_caches(path: str) -> tuple[PieceCache, PieceCache]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError(f"{path} has {tokenizer.get_vocab_size()} ids; the file format holds ids of 16 bits")
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from reedbed.llm import decontam, ngram_join, suffix_dedup
+from reedbed.llm import decontam, ngram_join, pretokens, suffix_dedup, textbatch
 from reedbed.llm.byte_bpe import decode, encode, encode_digests
 from reedbed.llm.decontam import contaminated, drop_contaminated
 from reedbed.llm.ngram_join import ngram_components, ngram_links
@@ -20,7 +20,7 @@ from reedbed.llm.quality import clean_documents, quality_report, quality_verdict
 from reedbed.llm.rans import Coder, frequency_table, token_file_digests
 from reedbed.llm.secrets import redact, secret_report
 from reedbed.llm.textbatch import chunks, grams, sorted_sets, words
-from reedbed.llm.token_counts import edited_counts, made_edits
+from reedbed.llm.token_counts import edit_trees, edited_counts, made_edits, token_trees
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -169,16 +169,39 @@ def test_quality_rules(docs, rows):
     assert got == sorted([(r[0], *quality(r[1])) for r in rows], key=key)
 
 
-def test_frequent_lines(spark):
-    line = "All rights are reserved by the owner of this site"
-    rows = [(k, f"{line}\n" + " ".join(f"word{k}x{j}" for j in range(12)), "en", "a", 0) for k in range(8)]
-    rows += [(20 + k, f"{line.upper()}  \nok{k}", "en", "a", 0) for k in range(4)] + [(40 + k, f"{line}\nok{k}", "en", "b", 0) for k in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    verdicts, heavy = quality_verdicts(docs, max_docs=5)
-    assert [(r["host"], r["first_doc"]) for r in heavy.collect()] == [("a", 0)]
-    kept = {r["doc_id"]: (r["kept"], r["n_removed_words"]) for r in verdicts.collect()}
-    assert kept[0] == (True, 0) and kept[3] == (True, 10)
-    assert not any(kept[20 + k][0] for k in range(4)) and all(kept[40 + k][0] for k in range(4))
+@pytest.mark.parametrize("first", [False, True])
+def test_frequent_lines(spark, first):
+    """The verdict against brute force: copies count as documents, lines are normalised, hosts may be null."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"l{k}w{j}" for j in range(int(rng.integers(3, 9)))) for k in range(12)]
+    rows = []
+    for k in range(120):
+        own = [lines[i].upper() + "  " * int(rng.integers(2)) for i in rng.choice(12, int(rng.integers(0, 5)), p=np.arange(1, 13) / 78)]
+        own += [" ".join(f"d{k}w{j}" for j in range(int(rng.integers(0, 14))))] * int(rng.integers(1, 3))
+        rows.append((k, "\n".join(own), ["a", "b", None][k % 3]))
+    rows += [(200 + k, rows[0][1], "a") for k in range(15)] + [rows[1]] * 20 + [(None, rows[2][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    held = defaultdict(set)
+    for r in rows:
+        for x in r[1].split("\n"):
+            if WORD.search(x):
+                held[r[2], norm(x)].add((r[0], r[1]))
+    heavy = {k: min(i for i, _ in v if i is not None) for k, v in held.items() if len(v) > 10}
+    gone = lambda r, x: (r[2], norm(x)) in heavy and not (first and heavy[r[2], norm(x)] == r[0])
+    want, clean = [], set()
+    for r in rows:
+        lost = sum(len(WORD.findall(x)) for x in r[1].split("\n") if gone(r, x))
+        n, failed = quality(r[1])[0], quality(r[1])[-1]
+        kept = not failed and n - lost >= 10 and 100 * (n - lost) >= 20 * n
+        want.append((r[0], lost, kept))
+        if kept:
+            clean.add((r[0], "\n".join(x for x in r[1].split("\n") if not gone(r, x)) if lost else r[1], r[2]))
+    verdicts, _ = quality_verdicts(docs, max_docs=10, keep_first=first)
+    assert sorted([(r["doc_id"], r["n_removed_words"], r["kept"]) for r in verdicts.collect()], key=key) == sorted(want, key=key)
+    assert 5 < sum(x[2] for x in want) < 115 and any(x[1] for x in want if x[2])
+    got = {tuple(r) for r in clean_documents(docs, first, max_docs=10).collect()}
+    assert got == clean
 
 
 def test_clean_documents_keeps_columns(docs):
@@ -210,11 +233,24 @@ def test_secret_scan(docs, rows):
 
 
 def test_owned_and_copied_secrets(spark):
-    same, own = "Xy12Zw34Xy56Zw78Xy90Zw12Qq", "Mn12Op34Mn56Op78Mn90Op12Rr"
-    rows = [(k, f"see {same} here", "en", f"s{k}") for k in range(5)] + [(9, f"see {own} here", "en", "s1")]
-    got = {r["doc_id"]: r for r in secret_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert got[0]["spans"] == "" and got[0]["n_example"] == 1
-    assert got[9]["spans"] == "opaque:4:30" and got[9]["n_live"] == 1
+    """Verdicts against brute force: a live value has few owners and few repositories."""
+    rng = np.random.default_rng(5)
+    values = [f"Xy{k:02d}Zw34Xy56Zw78Xy90Zw12Q{k:02d}" for k in range(20)]
+    rows = []
+    for k in range(80):
+        own = [values[i] for i in rng.choice(20, 2, replace=False, p=np.arange(1, 21) / 210)]
+        rows.append((k, f"see {own[0]} and {own[1]} here", [f"l{i}" for i in range(4)][int(rng.integers(4))] if own[0] < values[16] else "l0", f"s{min(int(rng.integers(4)), 20 - values.index(own[0]))}"))
+    rows += [(90 + k, f"see {values[0]}9 and {values[1]}9 here", f"l{k % 4}", "s9") for k in range(8)] + [rows[0], (None, rows[1][1], None, None)]
+    owners, repos = defaultdict(set), defaultdict(set)
+    for _, t, lang, source in rows:
+        for v in t.split()[1:4:2]:
+            owners[v].add(source or "")
+            repos[v].add((source or "", lang or ""))
+    live = {v for v in owners if len(owners[v]) <= 2 and len(repos[v]) <= 3}
+    want = [(r[0], sum(v in live for v in r[1].split()[1:4:2])) for r in rows]
+    got = secret_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted([(r["doc_id"], r["n_live"]) for r in got], key=key) == sorted(want, key=key) and all(r["n_live"] + r["n_example"] == 2 for r in got)
+    assert all(len([x for x in r["spans"].split(",") if x]) == r["n_live"] for r in got) and live and any(len(owners[v]) <= 2 and v not in live for v in owners)
 
 
 def test_redact(docs, rows):
@@ -442,13 +478,54 @@ def test_random_edits(spark):
     for k in range(60):
         edits = [(int(rng.integers(0, 700)), int(rng.integers(0, 40)), text(int(rng.integers(0, 30)))) for _ in range(8)]
         rows.append((k, text(int(rng.integers(0, 900))), edits))
-    frame = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,length:int,text:string>>")
+    kind = "array<struct<start:int,length:int,text:string>>"
+    frame = spark.createDataFrame(rows, f"doc_id long, text string, edits {kind}")
     got = {r["doc_id"]: r["n_tokens_after"] for r in edited_counts(frame, BYTE_BPE).collect()}
+    # Stored trees take two batches of edits, one after the other.
+    trees = token_trees(frame, BYTE_BPE)
+    for part in (slice(0, 3), slice(3, 8)):
+        batch = spark.createDataFrame([(k, e[part]) for k, _, e in rows], f"doc_id long, edits {kind}")
+        trees = edit_trees(trees.join(batch, "doc_id"), BYTE_BPE)
+    stored = {r["doc_id"]: r for r in trees.collect()}
     for k, t, edits in rows:
         for s, n, new in edits:
             s = min(s, len(t))
             t = t[:s] + new + t[s + n :]
         assert got[k] == len(enc.encode_ordinary(t)), k
+        assert stored[k]["text"] == t and stored[k]["n_tokens"] == got[k] == sum(stored[k]["tokens"]), k
+
+
+def thue_morse():
+    """Two different words that any polynomial hash modulo 2 ** 64 takes for one."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse()
+    rows = [(0, a), (1, b), (2, f"{a} one two three four"), (3, f"{b} one two three four")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    enc = encoding()
+    got = {r["doc_id"]: r for r in encode_digests(frame, BYTE_BPE).collect()}
+    for k, t in rows:
+        assert got[k]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and got[k]["n_tokens"] == len(enc.encode_ordinary(t))
+    assert {r["doc_id"]: r["n_tokens_after"] for r in edited_counts(frame.withColumn("edits", F.expr("array(struct(0 as start, 1 as length, 'a' as text))")), BYTE_BPE).collect()} == {k: len(enc.encode_ordinary("a" + t[1:])) for k, t in rows}
+    assert sorted(map(tuple, ngram_components(frame, 4, 85).collect())) == brute_components(rows, 4, 85)
+
+
+def test_a_piece_whose_hash_is_taken_is_encoded_by_itself(monkeypatch):
+    monkeypatch.setattr(textbatch.Blocks, "hashes", lambda self: (self.size % 3).astype(np.uint64))
+    pretokens.byte_bpe_cache.cache_clear()
+    try:
+        texts, enc = ["many words of all sizes are here", "and other words are there again and again", ""], encoding()
+        for _ in range(2):
+            for c in chunks(pa.array(texts)):
+                ids, bounds, _, _ = pretokens.encode_chunk(c, BYTE_BPE)
+                assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [enc.encode_ordinary(t) for t in texts]
+    finally:
+        pretokens.byte_bpe_cache.cache_clear()
 
 
 @pytest.mark.parametrize(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reedbed.llm import url_filter
-from reedbed.llm.chat import SCHEMAS, format_conversations, link_calls
+from reedbed.llm.chat import SCHEMAS, call_levels, format_conversations, link_calls
 from reedbed.llm.store import Workspace
 from reedbed.llm.url_filter import LISTED_LABELS, RULES, build_cascade, in_cascade, judge_urls
 
@@ -75,7 +75,51 @@ def test_format_conversations(spark):
     frame = spark.createDataFrame([(*r, "n", 1) for r in rows], "conv_id long, turn long, role string, text string, name string, level int")
     got = {r["call_id"]: r for r in format_conversations(frame).collect()}
     assert set(got) == {"call-1-1", "call-1-3", "call-2-0"}
-    assert json.loads(got["call-1-1"]["json"])["arguments"] == {"n_words": 2, "text": 'Say "é"?\n'}
-    assert got["call-1-1"]["n_results"] == 1 and got["call-1-3"]["level"] == 1 and all(r["valid"] for r in got.values())
+    assert json.loads(got["call-1-1"]["json"])["arguments"] == {"n_words": 2, "text": 'Say "é"?\n', "system": "s"}
+    assert got["call-1-1"]["n_results"] == 1 and got["call-1-3"]["level"] == 1 and json.loads(got["call-1-1"]["json"])["arguments"]["system"] == "s" and all(r["valid"] for r in got.values())
     assert format_conversations(frame.limit(0)).count() == 0
     assert frame.filter(F.col("role") == "user").count() == 5
+
+
+def test_calls_without_id_and_clashing_calls_stay_defined(spark):
+    calls = [(1, None, 1, "f", {"x": "1"}, ["a"]), (1, None, 1, "f", {"x": "1"}, None), (1, "a", 2, "g", None, None), (1, "a", 1, "g", {"x": "2"}, None), (1, "a", 1, "f", {"x": "3"}, None)]
+    schemas = spark.createDataFrame([("f", "x", "integer", True)], SCHEMAS)
+    out = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([(None, 1, "n")], "call_id string, turn long, content string"), schemas, Workspace(spark, "t")).collect()
+    assert sorted((r["call_id"] or "", r["name"], r["level"], r["json"]) for r in out) == [("", "f", 0, '{"arguments":{"x":1},"id":null,"name":"f","results":[]}')] * 2 + [("a", "f", 0, '{"arguments":{"x":3},"id":"a","name":"f","results":[]}')]
+
+
+def test_arguments_become_canonical_json(spark):
+    texts = {"a": '{"b": 1, "a": {"d": [1, {"z": 2, "y": null}]}}', "b": '"a" , "b"', "c": "2.50", "d": "tru", "e": '1, "c": 2', "f": "1], [2", "g": '"\\u00e9"', "h": None, "i": "1}", "j": "true", "k": ""}
+    schemas = spark.createDataFrame([("f", k, v, False) for k, v in (("a", "object"), ("b", "string"), ("c", "number"), ("g", "string"), ("j", "boolean"), ("h", "string"))], SCHEMAS)
+    r = link_calls(spark.createDataFrame([(1, "x", 1, "f", texts, None)], CALLS), spark.createDataFrame([], "call_id string, turn long, content string"), schemas, Workspace(spark, "t")).first()
+    good = {"a": {"a": {"d": [1, {"y": None, "z": 2}]}, "b": 1}, "c": 2.5, "g": "é", "h": None, "j": True}
+    assert json.loads(r["json"])["arguments"] == texts | good
+    assert r["json"] == json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert r["problems"] == "json:b,json:d,json:e,json:f,json:i,json:k,type:h"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_levels_against_brute_force(spark, seed):
+    """Long chains, joins of chains, cycles and what waits for them, and needs of unknown calls."""
+    rng = np.random.default_rng(seed)
+    n = 150
+    needs = {k: set() for k in range(n)}
+    for k in range(1, n):
+        if k % 50:
+            needs[k].add(k - 1)
+        for _ in range(int(rng.integers(0, 8)) // 6):
+            needs[k].add(int(rng.integers(0, k)))
+    if seed > 1:
+        needs[20].add(int(rng.integers(20, 40)))
+    if seed > 2:
+        needs[100] = {100}
+    needs[7].add(999)
+    level, more = {}, True
+    while more:
+        found = {k: max((level[x] + 1 for x in v if x < n), default=0) for k, v in needs.items() if k not in level and all(x in level or x >= n for x in v)}
+        level |= found
+        more = bool(found)
+    calls = spark.createDataFrame([(str(k),) for k in needs], "call_id string")
+    pairs = spark.createDataFrame([(str(k), str(x)) for k, v in needs.items() for x in v], "call_id string, needed string")
+    got = {int(r["call_id"]): r["level"] for r in call_levels(calls, pairs, Workspace(spark, "t")).collect()}
+    assert got == {k: level.get(k) for k in needs} and (seed == 1) == all(v is not None for v in got.values())
