@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under one of our own only where that is unset."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under one of our own on a local master (tests), and an
+    error on a cluster, whose executors would not see it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("reedbed.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="reedbed-")
         spark.conf.set("reedbed.scratch.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
