@@ -109,14 +109,16 @@ class SeminarState:
     def __init__(self, room: int = 0, status: str = "none", leader: int | None = None, members: tuple[int, ...] = ()):
         self.room, self.status, self.leader, self.members = room, status, leader, list(members)
 
-    def apply(self, action: str, actor: int, eligible: bool, successor: int | None = None) -> str:
+    def apply(self, action: str, actor: int, eligible: bool, successor: int | None = None, heir_reads: bool = True) -> str:
         """Change the state; the reason why the action is rejected, or an empty text."""
         rules = {"call": self._call, "join": self._join, "lead": self._lead, "unhost": self._unhost, "announce": self._announce, "finish": self._finish}
         if action == "leave":
-            return self._leave(actor, successor)
+            return self._leave(actor, successor, heir_reads)
         return rules[action](actor, eligible) if action in rules else "unknown action"
 
     def _call(self, actor: int, eligible: bool) -> str:
+        if not eligible:
+            return "not a reader"
         if self.status in ("open", "planning"):
             return "a seminar is already called"
         self.room, self.status, self.leader, self.members = self.room + 1, "open", None, [actor]
@@ -165,12 +167,14 @@ class SeminarState:
         self.status = "finished"
         return ""
 
-    def _leave(self, actor: int, successor: int | None) -> str:
+    def _leave(self, actor: int, successor: int | None, heir_reads: bool) -> str:
         if actor not in self.members:
             return "not a member"
         if self.leader == actor and self.status in ("planning", "scheduled"):
             if successor is None or successor == actor or successor not in self.members:
                 return "no successor"
+            if not heir_reads:
+                return "successor is not a reader"
             self.leader = successor
         self.members.remove(actor)
         return ""
@@ -179,7 +183,7 @@ class SeminarState:
 def fold_rows(state: SeminarState, key: str, rows: Iterator) -> list[tuple]:
     out = []
     for r in rows:
-        reason = state.apply(r.action, int(r.actor_id), bool(r.eligible), None if pd.isna(r.successor) else int(r.successor))
+        reason = state.apply(r.action, int(r.actor_id), bool(r.eligible), None if pd.isna(r.successor) else int(r.successor), bool(r.successor_eligible))
         out.append((key, int(r.seq), r.action, int(r.actor_id), not reason, reason, state.room, state.status, state.leader, len(state.members)))
     return out
 
@@ -193,7 +197,8 @@ def folded_frame(rows: list[tuple]) -> pd.DataFrame:
 def seminar_fold(events: DataFrame) -> DataFrame:
     """Every event with its outcome and the state after it.
 
-    events: paper_key, seq, ts, actor_id, action, eligible, successor. A paper's log is applied in (ts, seq) order by one
+    events: paper_key, seq, ts, actor_id, action, eligible, successor, successor_eligible (whether each displays the paper).
+    A paper's log is applied in (ts, seq) order by one
     helper call: each action is accepted or rejected by the state that the accepted ones before it left.
     """
 

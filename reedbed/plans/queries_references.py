@@ -14,6 +14,7 @@ from ..operators import references as R
 from ..operators.seminars import eligible_readers
 from .fixtures import Tables
 from .queries_library import Canon, match_sql, words_sql
+from .queries_seminars import HEIRS
 from .registry import query
 
 NOW = datetime.datetime(2024, 1, 20, 21)
@@ -238,7 +239,7 @@ def j17_ink_hits(spark, sf_dir) -> DataFrame:
     return K.ink_hits(strokes.filter("id % 5 = 0").select(F.col("id").alias("pointer_id"), "edition_id", "page", first["x"].alias("px"), first["y"].alias("py")), strokes, 0.02)
 
 
-@query("m", "fx_comments", sql="SELECT 'copy' AS what, id FROM m_copies WHERE id % 4 <> 0 UNION ALL SELECT 'note', id FROM fx_comments WHERE paper_id % 3 <> 0")
+@query("m", "fx_comments", sql="SELECT 'copy' AS what, id FROM m_copies WHERE id % 4 <> 0 UNION ALL SELECT 'note', id FROM fx_comments n WHERE paper_id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM m_copies c WHERE c.id % 4 = 0 AND c.paper_id < 20 AND c.paper_id = n.paper_id AND c.user_id = n.user_id)")
 def j16_remove_from_shelf(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t).copies
@@ -286,16 +287,13 @@ def w11_export_file_names(spark, sf_dir) -> DataFrame:
     return V.export_file_names(rows)
 
 
-HEIR = "(SELECT min_by(p.user_id, (p.created_at, p.id)) FROM fx_participants p WHERE p.room_id = r.id AND p.user_id % 4 <> 0 AND EXISTS (SELECT 1 FROM m_copies c WHERE c.paper_key = r.paper_key AND c.user_id = p.user_id))"
-
-
-@query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""SELECT 'room' AS what, r.id, CASE WHEN gone THEN {HEIR} ELSE leader_id END AS v, CASE WHEN gone AND {HEIR} IS NULL THEN 'open' ELSE status END AS s FROM (SELECT *, status <> 'finished' AND coalesce(leader_id % 4 = 0, FALSE) AS gone FROM fx_rooms) r
+@query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""WITH {HEIRS} SELECT 'room' AS what, r.id, CASE WHEN h.room_id IS NOT NULL THEN h.new_leader ELSE r.leader_id END AS v, CASE WHEN h.room_id IS NOT NULL AND h.new_leader IS NULL THEN 'open' ELSE r.status END AS s FROM fx_rooms r LEFT JOIN heirs h ON h.room_id = r.id
 UNION ALL SELECT 'user', id, NULL, CASE WHEN id % 4 = 0 THEN 'deleted-' || CAST(id AS VARCHAR) || '@erased.invalid' ELSE email END FROM fx_users UNION ALL SELECT 'copy', id, user_id, NULL FROM m_copies WHERE user_id % 4 <> 0 UNION ALL SELECT 'note', id, user_id, NULL FROM fx_comments WHERE user_id % 4 <> 0 UNION ALL SELECT 'notice', id, user_id, NULL FROM fx_notifications WHERE user_id % 4 <> 0 UNION ALL SELECT 'member', id, user_id, NULL FROM fx_participants WHERE user_id % 4 <> 0""")
 def u08_erase_readers(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
     leaving = t.fx_users.filter("id % 4 = 0").select("id")
-    after = V.erase_readers(leaving, t.fx_users, {"copy": c.copies, "note": t.fx_comments, "notice": t.fx_notifications}, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies, public_only=False))
+    after = V.erase_readers(leaving, t.fx_users, {"copy": c.copies, "note": t.fx_comments, "notice": t.fx_notifications}, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies))
     none = F.lit(None).cast("string")
     out = after["rooms"].select(F.lit("room").alias("what"), "id", F.col("leader_id").alias("v"), F.col("status").alias("s"))
     out = out.union(after["users"].select(F.lit("user"), "id", F.lit(None).cast("long"), "email"))
@@ -304,13 +302,13 @@ def u08_erase_readers(spark, sf_dir) -> DataFrame:
     return out
 
 
-@query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""WITH h AS (SELECT r.leader_id AS user_id, count(*) FILTER ({HEIR} IS NULL) AS reopened, count(*) FILTER ({HEIR} IS NOT NULL) AS handed_on FROM fx_rooms r WHERE r.status <> 'finished' AND r.leader_id % 4 = 0 GROUP BY 1)
+@query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""WITH {HEIRS}, h AS (SELECT old_leader AS user_id, count(*) FILTER (new_leader IS NULL) AS reopened, count(*) FILTER (new_leader IS NOT NULL) AS handed_on FROM heirs GROUP BY 1)
 SELECT u.id AS user_id, coalesce(n.n, 0) AS notes, coalesce(c.n, 0) AS papers, coalesce(o.n, 0) AS notifications, coalesce(s.n, 0) AS left, coalesce(h.handed_on, 0) AS handed_on, coalesce(h.reopened, 0) AS reopened FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id LEFT JOIN (SELECT user_id, count(DISTINCT room_id) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN h ON h.user_id = u.id WHERE u.id % 4 = 0""")
 def u09_erasure_report(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
     leaving = t.fx_users.filter("id % 4 = 0").select("id")
-    return V.erasure_report(leaving, {"notes": t.fx_comments, "papers": c.copies, "notifications": t.fx_notifications}, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies, public_only=False))
+    return V.erasure_report(leaving, {"notes": t.fx_comments, "papers": c.copies, "notifications": t.fx_notifications}, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies))
 
 
 @query("fx_users", sql="SELECT id, NOT (id % 3 <> 0) OR (is_admin AND (SELECT count(*) FROM fx_users WHERE is_admin AND NOT is_deleted AND id % 40 <> 0) = 0) AS refused FROM fx_users WHERE id % 20 = 0")

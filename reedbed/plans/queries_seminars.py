@@ -19,9 +19,9 @@ from .registry import query
 ELIGIBLE = "SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed"
 
 
-def _eligible(t: Tables) -> DataFrame:
+def _eligible(t: Tables, public_only: bool = True) -> DataFrame:
     c = Canon(t)
-    return M.eligible_readers(c.papers, c.copies)
+    return M.eligible_readers(c.papers, c.copies, public_only)
 
 
 @query("m", sql=f"{ELIGIBLE}")
@@ -47,10 +47,10 @@ def j15_active_cohort(spark, sf_dir) -> DataFrame:
     return M.active_cohort(t.fx_rooms, t.fx_participants)
 
 
-@query("m", "fx_rooms", "fx_participants", sql="WITH told AS (SELECT r.id AS room_id, c.user_id FROM fx_rooms r JOIN m_copies c ON c.paper_key = r.paper_key AND c.marketed UNION SELECT room_id, user_id FROM fx_participants) SELECT t.room_id, t.user_id FROM told t WHERE NOT EXISTS (SELECT 1 FROM fx_rooms r WHERE r.id = t.room_id AND r.created_by = t.user_id)")
+@query("m", "fx_rooms", "fx_participants", sql="WITH told AS (SELECT r.id AS room_id, c.user_id FROM fx_rooms r JOIN m_copies c ON c.paper_key = r.paper_key UNION SELECT room_id, user_id FROM fx_participants) SELECT t.room_id, t.user_id FROM told t WHERE NOT EXISTS (SELECT 1 FROM fx_rooms r WHERE r.id = t.room_id AND r.created_by = t.user_id)")
 def u02_recipients(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return M.recipients(t.fx_rooms, _eligible(t), t.fx_participants, t.fx_rooms.select(F.col("id").alias("room_id"), F.col("created_by").alias("actor_id")))
+    return M.recipients(t.fx_rooms, _eligible(t, public_only=False), t.fx_participants, t.fx_rooms.select(F.col("id").alias("room_id"), F.col("created_by").alias("actor_id")))
 
 
 @query("m", "fx_rooms", "fx_participants", sql="""WITH mem AS (SELECT DISTINCT room_id, user_id FROM fx_participants), el AS (SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed), al AS (SELECT DISTINCT paper_key, user_id FROM m_copies), v AS (SELECT room_id, user_id FROM mem UNION SELECT id, created_by FROM fx_rooms)
@@ -62,57 +62,61 @@ def c04_room_detail(spark, sf_dir) -> DataFrame:
     return M.room_detail(t.fx_rooms, viewers, M.eligible_readers(c.papers, c.copies), t.fx_participants, M.eligible_readers(c.papers, c.copies, public_only=False))
 
 
-@query("m", "fx_rooms", "fx_participants", sql="""WITH al AS (SELECT DISTINCT r.id AS room_id, c.user_id FROM fx_rooms r JOIN m_copies c ON c.paper_key = r.paper_key JOIN fx_participants p ON p.room_id = r.id AND p.user_id = c.user_id),
-s AS (SELECT id AS seq, room_id, user_id, 'slot ' || CAST(id AS VARCHAR) AS availability FROM fx_participants WHERE id % 2 = 0), g AS (SELECT s.* FROM s JOIN fx_rooms r ON r.id = s.room_id WHERE r.status <> 'scheduled' AND EXISTS (SELECT 1 FROM al WHERE al.room_id = s.room_id AND al.user_id = s.user_id)),
-e AS (SELECT room_id, user_id, 'old' AS availability, -1 AS seq FROM (SELECT DISTINCT room_id, user_id FROM fx_participants WHERE id % 3 = 0))
-SELECT room_id, user_id, max_by(availability, seq) AS availability, FALSE AS refused FROM (SELECT room_id, user_id, availability, seq FROM e UNION ALL SELECT room_id, user_id, availability, seq FROM g) GROUP BY room_id, user_id UNION ALL SELECT room_id, user_id, availability, TRUE FROM s WHERE seq NOT IN (SELECT seq FROM g)""")
+@query("m", "fx_rooms", "fx_participants", sql="""WITH al AS (SELECT DISTINCT r.id AS room_id, c.user_id FROM fx_rooms r JOIN m_copies c ON c.paper_key = r.paper_key AND c.marketed JOIN fx_participants p ON p.room_id = r.id AND p.user_id = c.user_id),
+s AS (SELECT id AS seq, room_id, user_id, 'slot ' || CAST(id AS VARCHAR) AS availability, created_at FROM fx_participants WHERE id % 2 = 0), g AS (SELECT s.* FROM s JOIN fx_rooms r ON r.id = s.room_id WHERE r.status <> 'scheduled' AND EXISTS (SELECT 1 FROM al WHERE al.room_id = s.room_id AND al.user_id = s.user_id)),
+e AS (SELECT room_id, user_id, 'old' AS availability, min(created_at) AS created_at, -1 AS seq FROM fx_participants WHERE id % 3 = 0 GROUP BY room_id, user_id)
+SELECT room_id, user_id, max_by(availability, seq) AS availability, min_by(created_at, seq) AS created_at, FALSE AS refused FROM (SELECT room_id, user_id, availability, created_at, seq FROM e UNION ALL SELECT room_id, user_id, availability, created_at, seq FROM g) GROUP BY room_id, user_id UNION ALL SELECT room_id, user_id, availability, created_at, TRUE FROM s WHERE seq NOT IN (SELECT seq FROM g)""")
 def u04_availability_upsert(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    c = Canon(t)
-    holders = M.eligible_readers(c.papers, c.copies, public_only=False)
-    allowed = t.fx_participants.join(t.fx_rooms.select(F.col("id").alias("room_id"), "paper_key"), "room_id").join(holders, ["paper_key", "user_id"], "left_semi").select("room_id", "user_id").distinct()
+    allowed = t.fx_participants.join(t.fx_rooms.select(F.col("id").alias("room_id"), "paper_key"), "room_id").join(_eligible(t), ["paper_key", "user_id"], "left_semi").select("room_id", "user_id").distinct()
     text = F.concat(F.lit("slot "), F.col("id").cast("string"))
     submitted = t.fx_participants.filter("id % 2 = 0").select(F.col("id").alias("seq"), "room_id", "user_id", text.alias("availability"), "created_at")
     existing = t.fx_participants.filter("id % 3 = 0").groupBy("room_id", "user_id").agg(F.min("created_at").alias("created_at")).withColumn("availability", F.lit("old"))
     kept, refused = M.availability_upsert(existing, submitted, t.fx_rooms, allowed)
-    return kept.select("room_id", "user_id", "availability", F.lit(False).alias("refused")).union(refused.select("room_id", "user_id", "availability", F.lit(True)))
+    return kept.select("room_id", "user_id", "availability", "created_at", F.lit(False).alias("refused")).union(refused.select("room_id", "user_id", "availability", "created_at", F.lit(True)))
 
 
-@query("m", "fx_rooms", "fx_participants", sql="""WITH el AS (SELECT DISTINCT paper_key, user_id FROM m_copies), mem AS (SELECT DISTINCT room_id, user_id FROM fx_participants),
+@query("m", "fx_rooms", "fx_participants", sql="""WITH el AS (SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed), mem AS (SELECT DISTINCT room_id, user_id FROM fx_participants),
 ch AS (SELECT room_id, user_id, 'leave' AS action, user_id + 1 AS successor FROM mem WHERE (room_id + user_id) % 3 = 0 UNION ALL SELECT id, created_by, 'join', NULL FROM fx_rooms r WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.room_id = r.id AND m.user_id = r.created_by)),
 j AS (SELECT ch.*, CASE WHEN action = 'join' THEN e.user_id IS NOT NULL ELSE NOT (coalesce(r.leader_id = ch.user_id, FALSE) AND r.status <> 'finished') OR EXISTS (SELECT 1 FROM mem m JOIN el x ON x.paper_key = r.paper_key AND x.user_id = m.user_id WHERE m.room_id = ch.room_id AND m.user_id = ch.successor) END AS ok FROM ch JOIN fx_rooms r ON r.id = ch.room_id LEFT JOIN el e ON e.paper_key = r.paper_key AND e.user_id = ch.user_id)
 SELECT room_id, user_id, 'member' AS outcome FROM mem WHERE (room_id, user_id) NOT IN (SELECT (room_id, user_id) FROM j WHERE ok AND action = 'leave') UNION ALL SELECT room_id, user_id, 'member' FROM j WHERE ok AND action = 'join' UNION ALL SELECT room_id, user_id, 'rejected' FROM j WHERE NOT ok""")
 def u05_cohort_changes(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    c = Canon(t)
     members = t.fx_participants.select("room_id", "user_id").distinct()
     leave = members.filter("(room_id + user_id) % 3 = 0").select("room_id", "user_id", F.lit("leave").alias("action"), (F.col("user_id") + 1).alias("successor"))
     join = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("created_by").alias("user_id")).join(members, ["room_id", "user_id"], "left_anti").select("room_id", "user_id", F.lit("join"), F.lit(None).cast("long"))
-    kept, rejected = M.apply_cohort_changes(t.fx_rooms, t.fx_participants, M.eligible_readers(c.papers, c.copies, public_only=False), leave.union(join))
+    kept, rejected = M.apply_cohort_changes(t.fx_rooms, t.fx_participants, _eligible(t), leave.union(join))
     return kept.withColumn("outcome", F.lit("member")).union(rejected.select("room_id", "user_id", F.lit("rejected")))
 
 
-@query("m", "fx_rooms", "fx_participants", sql="""SELECT r.id AS room_id, r.leader_id AS old_leader, (SELECT min_by(p.user_id, (p.created_at, p.id)) FROM fx_participants p WHERE p.room_id = r.id AND p.user_id % 4 <> 0 AND EXISTS (SELECT 1 FROM m_copies c WHERE c.paper_key = r.paper_key AND c.user_id = p.user_id)) AS new_leader FROM fx_rooms r WHERE r.status <> 'finished' AND r.leader_id % 4 = 0""")
+# Who takes over a room whose leader (id % 4 = 0) goes: the earliest member who stays and displays the paper.
+HEIRS = """heirs AS (SELECT r.id AS room_id, r.leader_id AS old_leader, any_value(h.heir) AS new_leader FROM fx_rooms r LEFT JOIN (SELECT p.room_id, min_by(p.user_id, (p.created_at, p.id)) AS heir FROM fx_participants p JOIN fx_rooms q ON q.id = p.room_id
+  JOIN (SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed) c ON c.paper_key = q.paper_key AND c.user_id = p.user_id WHERE p.user_id % 4 <> 0 GROUP BY p.room_id) h ON h.room_id = r.id WHERE r.status <> 'finished' AND r.leader_id % 4 = 0 GROUP BY r.id, r.leader_id)"""
+
+
+@query("m", "fx_rooms", "fx_participants", sql=f"WITH {HEIRS} SELECT room_id, old_leader, new_leader FROM heirs")
 def w10_successors(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    c = Canon(t)
     leaving = t.fx_users.filter("id % 4 = 0").select(F.col("id").alias("user_id"))
-    return M.successors(t.fx_rooms, t.fx_participants, M.eligible_readers(c.papers, c.copies, public_only=False), leaving)
+    return M.successors(t.fx_rooms, t.fx_participants, _eligible(t), leaving)
 
 
 def _seminar_log(t: Tables) -> DataFrame:
-    e = t.fx_room_events
-    return e.select(F.concat(F.lit("paper:"), (F.col("room_id") % 50).cast("string")).alias("paper_key"), "seq", "ts", F.col("actor_id").cast("long").alias("actor_id"), "action", (F.col("seq") % 11 != 0).alias("eligible"), F.lit(None).cast("long").alias("successor"))
+    """Logs of papers of twenty rooms each; every thirteenth event is a leave that names a successor."""
+    key = F.concat(F.lit("paper:"), (F.col("room_id") - F.col("room_id") % 20).cast("string"))
+    action = F.when(F.col("seq") % 13 == 0, "leave").otherwise(F.col("action"))
+    return t.fx_room_events.select(key.alias("paper_key"), "seq", "ts", F.col("actor_id").cast("long").alias("actor_id"), action.alias("action"), (F.col("seq") % 11 != 0).alias("eligible"), F.when(F.col("seq") % 4 != 0, F.col("seq") % 3).alias("successor"), (F.col("seq") % 5 != 0).alias("successor_eligible"))
 
 
-FOLD_SQL = """WITH RECURSIVE ev AS (SELECT 'paper:' || CAST(room_id % 50 AS VARCHAR) AS paper_key, seq, CAST(actor_id AS BIGINT) AS a, action, seq % 11 <> 0 AS el, row_number() OVER (PARTITION BY room_id % 50 ORDER BY ts, seq) AS n FROM fx_room_events),
+FOLD_SQL = """WITH RECURSIVE ev AS (SELECT 'paper:' || CAST(room_id - room_id % 20 AS VARCHAR) AS paper_key, seq, CAST(actor_id AS BIGINT) AS a, CASE WHEN seq % 13 = 0 THEN 'leave' ELSE action END AS action, seq % 11 <> 0 AS el, CASE WHEN seq % 4 <> 0 THEN seq % 3 END AS heir, seq % 5 <> 0 AS hel, row_number() OVER (PARTITION BY room_id - room_id % 20 ORDER BY ts, seq) AS n FROM fx_room_events),
 st AS (SELECT paper_key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, FALSE AS accepted, 0 AS room, 'none' AS status, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS m FROM (SELECT DISTINCT paper_key FROM ev)
 UNION ALL SELECT s.paper_key, e.n, e.seq, ok, CASE WHEN ok AND e.action = 'call' THEN s.room + 1 ELSE s.room END,
   CASE WHEN NOT ok THEN s.status WHEN e.action IN ('call', 'unhost') THEN 'open' WHEN e.action = 'lead' THEN 'planning' WHEN e.action = 'announce' THEN 'scheduled' WHEN e.action = 'finish' THEN 'finished' ELSE s.status END,
-  CASE WHEN NOT ok THEN s.leader WHEN e.action IN ('call', 'unhost') THEN NULL WHEN e.action = 'lead' THEN e.a ELSE s.leader END,
-  CASE WHEN NOT ok THEN s.m WHEN e.action = 'call' THEN [e.a] WHEN e.action = 'join' AND NOT list_contains(s.m, e.a) THEN list_append(s.m, e.a) ELSE s.m END
-FROM st s JOIN (SELECT * FROM ev) e ON e.paper_key = s.paper_key AND e.n = s.n + 1, LATERAL (SELECT coalesce(CASE e.action WHEN 'call' THEN s.status NOT IN ('open', 'planning') WHEN 'join' THEN s.status <> 'none' AND e.el WHEN 'lead' THEN s.status = 'open' AND list_contains(s.m, e.a) AND e.el
-  WHEN 'unhost' THEN s.leader = e.a AND s.status = 'planning' WHEN 'announce' THEN s.leader = e.a AND s.status IN ('planning', 'scheduled') WHEN 'finish' THEN s.leader = e.a AND s.status = 'scheduled' END, FALSE) AS ok) x)
+  CASE WHEN NOT ok THEN s.leader WHEN e.action IN ('call', 'unhost') THEN NULL WHEN e.action = 'lead' THEN e.a WHEN e.action = 'leave' AND s.leader = e.a AND s.status IN ('planning', 'scheduled') THEN e.heir ELSE s.leader END,
+  CASE WHEN NOT ok THEN s.m WHEN e.action = 'call' THEN [e.a] WHEN e.action = 'join' AND NOT list_contains(s.m, e.a) THEN list_append(s.m, e.a) WHEN e.action = 'leave' THEN list_filter(s.m, lambda x: x <> e.a) ELSE s.m END
+FROM st s JOIN (SELECT * FROM ev) e ON e.paper_key = s.paper_key AND e.n = s.n + 1, LATERAL (SELECT coalesce(CASE e.action WHEN 'call' THEN e.el AND s.status NOT IN ('open', 'planning') WHEN 'join' THEN s.status <> 'none' AND e.el WHEN 'lead' THEN s.status = 'open' AND list_contains(s.m, e.a) AND e.el
+  WHEN 'unhost' THEN s.leader = e.a AND s.status = 'planning' WHEN 'announce' THEN s.leader = e.a AND s.status IN ('planning', 'scheduled') WHEN 'finish' THEN s.leader = e.a AND s.status = 'scheduled'
+  WHEN 'leave' THEN list_contains(s.m, e.a) AND (NOT coalesce(s.leader = e.a AND s.status IN ('planning', 'scheduled'), FALSE) OR coalesce(e.heir <> e.a AND list_contains(s.m, e.heir) AND e.hel, FALSE)) END, FALSE) AS ok) x)
 SELECT paper_key, seq, accepted, room, status, leader, len(m) AS n_members FROM st WHERE n > 0"""
 
 
@@ -241,18 +245,19 @@ def u13_live_sessions(spark, sf_dir) -> DataFrame:
 # Streams: each reads a table that it wrote as a stream's files
 
 
-def _stream(spark, rows: DataFrame, name: str, files: int = 1) -> tuple[DataFrame, str]:
+def _stream(spark, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A stream of the files that rows' own tasks write; what a key needs in order is sorted by key where its state is kept."""
     folder = scratch(spark, name)
-    rows.repartition(files).write.parquet(f"{folder}/in")
+    rows.write.parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
 
 
-@query("m", "fx_room_events", sql="SELECT c.user_id, e.seq, e.action AS content FROM (SELECT *, 'doi:10.5555/part.' || CAST(room_id AS VARCHAR) AS paper_key FROM fx_room_events) e JOIN (SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed) c ON c.paper_key = e.paper_key AND c.user_id <> e.actor_id")
+@query("m", "fx_room_events", sql="SELECT c.user_id, e.seq, e.action AS content FROM (SELECT *, 'doi:10.5555/part.' || CAST(room_id AS VARCHAR) AS paper_key FROM fx_room_events) e JOIN (SELECT DISTINCT paper_key, user_id FROM m_copies) c ON c.paper_key = e.paper_key AND c.user_id <> e.actor_id")
 def st1_stream_notifications(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     rows = t.fx_room_events.select(F.concat(F.lit("doi:10.5555/part."), F.col("room_id").cast("string")).alias("paper_key"), "seq", "actor_id", F.col("action").alias("content"))
     stream, folder = _stream(spark, rows, "st1")
-    return ST.run_to_end(ST.stream_notifications(stream, _eligible(t)), folder)
+    return ST.run_to_end(ST.stream_notifications(stream, _eligible(t, public_only=False)), folder)
 
 
 @query("fx_notifications", sql="SELECT user_id, count(*) AS n, CAST(epoch(time_bucket(INTERVAL 1 DAY, created_at, TIMESTAMP '1970-01-01 21:00:00')) AS BIGINT) AS day FROM fx_notifications WHERE NOT read AND NOT emailed GROUP BY user_id, day HAVING epoch(time_bucket(INTERVAL 1 DAY, max(created_at), TIMESTAMP '1970-01-01 21:00:00')) + 86400 <= (SELECT epoch(max(created_at)) FROM fx_notifications WHERE NOT read AND NOT emailed) - 86400")
@@ -277,11 +282,11 @@ def st4_stream_last_used(spark, sf_dir) -> DataFrame:
 
 @query("fx_statements", sql="SELECT CASE WHEN statement LIKE '%select%' THEN 'SELECT' WHEN statement LIKE 'INS%' THEN 'INSERT' WHEN statement LIKE 'UPD%' THEN 'UPDATE' WHEN statement LIKE 'PRAG%' THEN 'PRAGMA' ELSE 'DELETE' END AS operation, count(*) AS n, round(sum(ms), 2) AS total_ms, round(max(ms), 2) AS max_ms FROM fx_statements GROUP BY 1")
 def st5_stream_statement_metrics(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_statements, "st5", 4)
+    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_statements, "st5")
     return ST.run_to_end(ST.stream_statement_metrics(stream), folder, "complete").drop("table")
 
 
 @query("fx_entries", sql="SELECT DISTINCT sha256 FROM fx_entries")
 def st6_stream_upload_dedup(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_entries.select("sha256", "file_path"), "st6", 4)
+    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_entries.select("sha256", "file_path"), "st6")
     return ST.run_to_end(ST.stream_upload_dedup(stream), folder).select("sha256")
