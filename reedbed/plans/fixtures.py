@@ -1,4 +1,7 @@
-"""Projections of the star-schema tables into the library's tables, as SQL that Spark and DuckDB both run."""
+"""Projections of the star-schema tables into the library's tables, as SQL that Spark and DuckDB both run.
+
+Texts are taken whole; a work's title is its text's first sentence.
+"""
 
 from __future__ import annotations
 
@@ -35,13 +38,13 @@ FROM fx_line l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_p
     "fx_requests": "SELECT event_id AS id, user_id AS token, ts, event_type = 'error' AS revokes FROM events",
     "fx_statements": """SELECT event_id AS id, CASE event_type WHEN 'view' THEN '  select * FROM "papers" WHERE id = 1' WHEN 'click' THEN 'INSERT INTO copies VALUES (1)' WHEN 'purchase' THEN 'UPDATE OR IGNORE users SET a = 1' WHEN 'error' THEN 'PRAGMA table_info(users)' ELSE 'DELETE FROM auth_tokens' END AS statement, value AS ms, ts AS at FROM events""",
     "fx_feedback": "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, 'report ' || props AS content, CASE WHEN event_id % 2 = 0 THEN '#/library' END AS page, CASE WHEN event_id % 6 = 0 THEN 'v@example.org' END AS contact, value > 200 AS resolved, ts AS created_at FROM events WHERE event_type = 'error'",
-    "fx_comments": """SELECT doc_id AS id, doc_id % 20 AS paper_id, n_chars % 15 AS user_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE substr(text, 1, 120) END AS content,
+    "fx_comments": """SELECT doc_id AS id, doc_id % 20 AS paper_id, n_chars % 15 AS user_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS content,
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 3 END AS edition_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 1 + n_chars % 12 END AS page,
   CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '{"x": ' || CAST(CAST(doc_id % 50 AS DOUBLE) / CAST(64 AS DOUBLE) AS STRING) || ', "y": 0.5}' END AS anchor, doc_id % 4 = 0 AS current_place FROM documents""",
-    "fx_references": """SELECT doc_id AS id, doc_id % 50 AS edition_id, 'b' || CAST(doc_id AS STRING) AS key, substr(text, 1, 4000) AS raw, CAST(NULL AS STRING) AS title, CAST(1990 + doc_id % 12 AS INT) AS year,
+    "fx_references": """SELECT doc_id AS id, doc_id % 50 AS edition_id, 'b' || CAST(doc_id AS STRING) AS key, text AS raw, CAST(NULL AS STRING) AS title, CAST(1990 + doc_id % 12 AS INT) AS year,
   CASE WHEN doc_id % 6 = 0 THEN 'https://doi.org/10.5555/PART.' || CAST(doc_id % 200 AS STRING) END AS doi, 1 + doc_id % 9 AS page, CAST(n_chars % 97 AS DOUBLE) / CAST(128 AS DOUBLE) AS y FROM documents""",
-    "fx_works": """SELECT item_id AS id, '10.6666/w.' || CAST(item_id AS STRING) AS doi, substr(text, 1, 60) AS title, CAST(1990 + item_id % 12 AS INT) AS year, 0 AS source_rank FROM benchmark
-UNION ALL SELECT 1000000 + doc_id AS id, '10.6666/d.' || CAST(doc_id AS STRING) AS doi, substr(text, 1, 60) AS title, CAST(1990 + doc_id % 15 AS INT) AS year, 1 AS source_rank FROM documents""",
+    "fx_works": """SELECT item_id AS id, '10.6666/w.' || CAST(item_id AS STRING) AS doi, regexp_extract(text, '^[^.\n]*', 0) AS title, CAST(1990 + item_id % 12 AS INT) AS year, 0 AS source_rank FROM benchmark
+UNION ALL SELECT 1000000 + doc_id AS id, '10.6666/d.' || CAST(doc_id AS STRING) AS doi, regexp_extract(text, '^[^.\n]*', 0) AS title, CAST(1990 + doc_id % 15 AS INT) AS year, 1 AS source_rank FROM documents""",
     "fx_page_links": "SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey % 50 AS edition_id, CAST(1 + l_partkey % 9 AS INT) AS page, l_quantity / CAST(64 AS DOUBLE) AS y FROM fx_line",
 }
 NEEDS = {"fx_entries": ["fx_line"], "fx_participants": ["fx_line"], "fx_page_links": ["fx_line"]}
@@ -51,7 +54,7 @@ class Tables:
     """The projections of one folder of tables; each is a DataFrame made when it is asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -15,17 +15,44 @@ from .registry import KEY, query
 
 
 class Canon:
-    """Canonical papers, editions and copies of the projected entries."""
+    """Canonical papers, editions and copies of the projected entries; each is written once for all queries on one Tables."""
 
     def __init__(self, t: Tables):
-        self.entries = t.fx_entries
-        self.papers, self.mapping = I.canonicalize(self.entries)
+        self.t = t
+
+    def _kept(self, name: str, make) -> DataFrame:
+        if name not in self.t.kept:
+            rows, path = make(), scratch(self.t.spark, f"canon-{name}")
+            rows.write.parquet(path)
+            self.t.kept[name] = self.t.spark.read.schema(rows.schema).parquet(path)
+        return self.t.kept[name]
+
+    @property
+    def entries(self) -> DataFrame:
+        return self._kept("entries", lambda: self.t.fx_entries)
+
+    @property
+    def papers(self) -> DataFrame:
+        return self._kept("papers", lambda: I.canonicalize(self.entries)[0])
+
+    @property
+    def mapping(self) -> DataFrame:
+        return self._kept("mapping", lambda: I.canonicalize(self.entries)[1])
+
+    @property
+    def editions(self) -> DataFrame:
         named = self.entries.join(self.mapping, F.col("id") == F.col("entry_id"))
-        self.editions = I.dedup_editions(named.select("paper_id", "sha256", "id"))
+        return self._kept("editions", lambda: I.dedup_editions(named.select("paper_id", "sha256", "id")))
+
+    @property
+    def copies(self) -> DataFrame:
+        return self._kept("copies", self._copies)
+
+    def _copies(self) -> DataFrame:
         copies = I.copies_from_entries(self.entries, self.mapping)
         own = self.editions.select("paper_id", "sha256", F.col("id").alias("own"))
         latest = I.latest_edition(self.editions).select("paper_id", F.col("edition_id").alias("latest"))
-        self.copies = copies.join(own, ["paper_id", "sha256"]).join(latest, "paper_id").withColumn("edition_id", F.expr("CASE WHEN id % 3 = 0 THEN own END")).withColumn("ignored_edition_id", F.expr("CASE WHEN id % 5 = 0 THEN latest END")).drop("own", "latest")
+        return copies.join(own, ["paper_id", "sha256"]).join(latest, "paper_id").withColumn("edition_id", F.expr("CASE WHEN id % 3 = 0 THEN own END")).withColumn("ignored_edition_id", F.expr("CASE WHEN id % 5 = 0 THEN latest END")).drop("own", "latest")
 
 
 # Sources and sinks
@@ -58,12 +85,12 @@ def io4_partition_replace(spark, sf_dir) -> DataFrame:
     return spark.read.schema("id long, page long, edition_id long").parquet(path)
 
 
-@query("fx_notifications", sql="SELECT user_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM fx_notifications WHERE user_id % 2 = 0 GROUP BY user_id")
+@query("fx_notifications", sql="SELECT user_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM fx_notifications GROUP BY user_id")
 def io5_write_export(spark, sf_dir) -> DataFrame:
     path, rows = scratch(spark, "io5"), Tables(spark, sf_dir).fx_notifications
     bundle = rows.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("notifications"))
     IO.write_export(bundle, path)
-    back = spark.read.schema("user_id long, notifications array<struct<id:long,content:string>>").json(path).filter("user_id % 2 = 0")
+    back = spark.read.schema("user_id long, notifications array<struct<id:long,content:string>>").json(path)
     return back.select("user_id", F.size("notifications").cast("long").alias("n"), F.get("notifications", F.lit(0))["id"].alias("first_id"), F.element_at("notifications", -1)["id"].alias("last_id"))
 
 
@@ -99,7 +126,7 @@ def s03_arxiv_as_doi(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).sql(ARXIV).select("id", S.arxiv_as_doi("arxiv_id").alias("doi"))
 
 
-PAGES = "SELECT doc_id, p.page_num, CASE WHEN p.page_num = doc_id % 5 THEN substr(text, 1, 50) || ' doi 10.5555/doc.' || CAST(doc_id AS STRING) || '.), and 10.1/x' ELSE substr(text, 1, 30) END AS text FROM documents CROSS JOIN (SELECT 0 AS page_num UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p"
+PAGES = "SELECT doc_id, p.page_num, CASE WHEN p.page_num = doc_id % 5 THEN text || ' doi 10.5555/doc.' || CAST(doc_id AS STRING) || '.), and 10.1/x' ELSE text END AS text FROM documents CROSS JOIN (SELECT 0 AS page_num UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p"
 
 
 @query(sql=f"""SELECT doc_id, nullif(regexp_replace(regexp_extract(string_agg(text, chr(10) ORDER BY page_num), '10\\.\\d{{4,}}/[^\\s\\])>"]+'), '[.,;:]+$', ''), '') AS doi FROM ({PAGES}) WHERE page_num < 3 GROUP BY doc_id""")
@@ -107,7 +134,7 @@ def s04_extract_doi(spark, sf_dir) -> DataFrame:
     return I.first_pages_text(Tables(spark, sf_dir).sql(PAGES)).select("doc_id", S.first_doi("text").alias("doi"))
 
 
-@query()
+@query(sql="""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(replace(replace(regexp_replace(text, '[\\s/]+', '_', 'g'), '_', ' '), '-', ' ') || ' ' || doc_id || 'd', '\\p{L}+|[^\\p{L}]+'), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), '') AS title FROM documents""")
 def s05_title_from_filename(spark, sf_dir) -> DataFrame:
     docs = Tables(spark, sf_dir).source("documents")
     name = F.concat(F.regexp_replace("text", r"[\s/]+", "_"), F.lit("-"), F.col("doc_id").cast("string"), F.lit("d.pdf"))
@@ -122,7 +149,7 @@ def s06_plausible_year(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).sql(YEAR_SOURCES).select("id", S.plausible_year(F.col("date_when"), F.col("date_text")).alias("year"))
 
 
-NOISY = "SELECT id, substr(raw, 1, 700) || CASE WHEN id % 2 = 0 THEN ' arXiv preprint arXiv:1607.06450 ' ELSE ' see https://example.org/a?b=1 ' END || year AS raw FROM (SELECT id, raw, CAST(year AS STRING) AS year FROM fx_references)"
+NOISY = "SELECT id, raw || CASE WHEN id % 2 = 0 THEN ' arXiv preprint arXiv:1607.06450 ' ELSE ' see https://example.org/a?b=1 ' END || year AS raw FROM (SELECT id, raw, CAST(year AS STRING) AS year FROM fx_references)"
 
 
 @query("fx_references", sql=f"SELECT id, substr(trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)arXiv\\s*preprint\\s*arXiv:\\s*[\\d.]+(v\\d+)?', ' ', 'g'), 'https?://\\S+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 500) AS q FROM ({NOISY})")
@@ -154,18 +181,6 @@ def match_sql(n: str, common: str, hay: str) -> str:
     return f"CASE WHEN {n} = 0 OR {hay} = 0 THEN FALSE WHEN {n} <= 4 THEN {common} = {n} ELSE {common} / {n} >= 0.6 END"
 
 
-@query(
-    "fx_references", "fx_works",
-    sql=f"""SELECT id, work_id, {match_sql('len(c)', 'len(list_intersect(c, h))', 'len(h)')} AS matches FROM (
-    SELECT r.id, w.id AS work_id, {words_sql('w.title')} AS c, {words_sql("r.raw || ' ' || coalesce(r.title, '')")} AS h FROM fx_references r JOIN fx_works w ON w.id % 20 = r.id % 20 AND w.source_rank = 0)""",
-)
-def s10_title_matches(spark, sf_dir) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    refs = t.fx_references.select("id", (F.col("id") % 20).alias("k"), S.content_words(F.concat_ws(" ", "raw", "title")).alias("h"))
-    works = t.fx_works.filter("source_rank = 0").select(F.col("id").alias("work_id"), (F.col("id") % 20).alias("k"), S.content_words("title").alias("c"))
-    return refs.join(works, "k").select("id", "work_id", S.words_match(F.col("c"), F.col("h")).alias("matches"))
-
-
 def _records(t: Tables) -> DataFrame:
     """Records of both indexes as JSON, from works."""
     w = t.fx_works
@@ -220,9 +235,9 @@ def s19_typed_anchor(spark, sf_dir) -> DataFrame:
     return rows.select("id", "a.x", "a.y")
 
 
-@query(sql="SELECT doc_id, coalesce(nullif(trim(substr(regexp_replace(lower(trim(regexp_replace(regexp_replace(strip_accents(nfc_normalize(substr(text, 1, 80))), '[^\\x00-\\x7F]', '', 'g'), '[^\\w\\s-]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))), '[\\s_-]+', '-', 'g'), 1, 60), '-'), ''), 'paper') AS slug FROM documents")
+@query(sql="SELECT doc_id, coalesce(nullif(trim(substr(regexp_replace(lower(trim(regexp_replace(regexp_replace(strip_accents(nfc_normalize(text)), '[^\\x00-\\x7F]', '', 'g'), '[^\\w\\s-]', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))), '[\\s_-]+', '-', 'g'), 1, 60), '-'), ''), 'paper') AS slug FROM documents")
 def s20_slug(spark, sf_dir) -> DataFrame:
-    return Tables(spark, sf_dir).source("documents").select("doc_id", S.slug(F.substring("text", 1, 80)).alias("slug"))
+    return Tables(spark, sf_dir).source("documents").select("doc_id", S.slug("text").alias("slug"))
 
 
 @query("fx_statements", sql="SELECT id, upper(regexp_extract(statement, '^\\s*(\\S+)', 1)) AS operation, CASE WHEN statement LIKE '%PRAGMA%' THEN '-' WHEN statement LIKE '%select%' THEN 'papers' WHEN statement LIKE 'INSERT%' THEN 'copies' WHEN statement LIKE 'UPDATE%' THEN 'users' ELSE 'auth_tokens' END AS tbl FROM fx_statements")
@@ -361,7 +376,7 @@ def f01_displayed_copies(spark, sf_dir) -> DataFrame:
     return L.displayed_copies(Canon(Tables(spark, sf_dir)).copies).select("id", "paper_id")
 
 
-@query("fx_comments", sql="""SELECT id, CASE WHEN page IS NULL AND trim(content) = '' THEN 'a plain note needs text' ELSE '' END AS violations FROM fx_comments""")
+@query("fx_comments", sql="""SELECT id, concat_ws(',', CASE WHEN page IS NULL AND NOT regexp_matches(content, '\\S') THEN 'a plain note needs text' END, CASE WHEN length(content) > 4000 THEN 'content too long' END) AS violations FROM fx_comments""")
 def f02_validate(spark, sf_dir) -> DataFrame:
     return IO.validate(Tables(spark, sf_dir).fx_comments, "comments").select("id", F.array_join("violations", ",").alias("violations"))
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WORK
+from ..functions.text import WORK, words_match
 from ..operators import marks as K
 from ..operators import privacy as V
 from ..operators import references as R
@@ -69,6 +69,18 @@ def j08_candidates(spark, sf_dir) -> DataFrame:
     return R.candidates(t.fx_references, t.fx_works).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "fx_references", "fx_works",
+    sql=f"""SELECT id, work_id, {match_sql('len(c)', 'len(list_intersect(c, h))', 'len(h)')} AS matches FROM (
+    SELECT c.id, c.work_id, {words_sql('w.title')} AS c, {words_sql("coalesce(r.raw, '') || ' ' || coalesce(r.title, '')")} AS h FROM ({candidates_sql('fx_references', 'fx_works')}) c JOIN fx_references r ON r.id = c.id JOIN fx_works w ON w.id = c.work_id)""",
+)
+def s10_title_matches(spark, sf_dir) -> DataFrame:
+    """The title test on every reference's candidates among all works."""
+    t = Tables(spark, sf_dir)
+    pairs = R.candidates(t.fx_references, t.fx_works).join(R.work_columns(t.fx_works), "work_id").join(R.with_words(t.fx_references).select("id", "hay"), "id")
+    return pairs.select("id", "work_id", words_match(F.col("work_words"), F.col("hay")).alias("matches"))
+
+
 JUDGED = f"""SELECT c.id, c.work_id, c.rank, w.source_rank, {distance_sql('w.year', 'r.year')} AS distance, {words_sql('w.title')} AS cw, {words_sql("coalesce(r.raw, '') || ' ' || coalesce(r.title, '')")} AS h FROM %s c JOIN indexed w ON w.id = c.work_id JOIN named r ON r.id = c.id"""
 MATCHED = match_sql("len(cw)", "len(list_intersect(cw, h))", "len(h)")
 
@@ -173,7 +185,7 @@ def a17_edition_bundle(spark, sf_dir) -> DataFrame:
 
 def _tei(t: Tables) -> DataFrame:
     """A small TEI document for each edition, from its references; one of nine is broken."""
-    r = t.fx_references
+    r = t.fx_references.withColumn("edition_id", F.col("id") - F.col("id") % 20)
     entry = F.concat(F.lit('<biblStruct xml:id="'), F.col("key"), F.lit('" coords="1,2,3,4,5"><analytic><title level="a">T '), F.col("key"), F.lit('</title><author><persName><forename>A</forename><surname>S'), F.col("key"), F.lit('</surname></persName></author></analytic><monogr><title level="j">J</title><imprint><date when="0190">'), F.col("year").cast("string"), F.lit('</date></imprint></monogr><idno type="DOI">10.1/'), F.col("key"), F.lit("</idno></biblStruct>"))
     marker = F.concat(F.lit('<ref type="bibr" target="#'), F.col("key"), F.lit('" coords="1,1,1,1,1">['), F.col("id").cast("string"), F.lit("]</ref>"))
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", c.alias("x")))), lambda s: s["x"]), "")
@@ -182,12 +194,12 @@ def _tei(t: Tables) -> DataFrame:
     return docs.select("edition_id", xml.alias("xml"))
 
 
-@query("fx_references", sql="SELECT edition_id, 'ready' AS status, key, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY id) - 1 AS INT) AS index, 'T ' || key AS title, 'A S' || key AS authors, 'J' AS journal, year, '10.1/' || key AS doi, '1,2,3,4,5' AS coords FROM fx_references WHERE edition_id % 9 <> 0 UNION ALL SELECT DISTINCT edition_id, 'failed', NULL, CAST(NULL AS INT), NULL, NULL, NULL, CAST(NULL AS INT), NULL, NULL FROM fx_references WHERE edition_id % 9 = 0")
+@query("fx_references", sql="SELECT edition_id, 'ready' AS status, key, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY id) - 1 AS INT) AS index, 'T ' || key AS title, 'A S' || key AS authors, 'J' AS journal, year, '10.1/' || key AS doi, '1,2,3,4,5' AS coords FROM (SELECT id, key, year, id - id % 20 AS edition_id FROM fx_references) WHERE edition_id % 9 <> 0 UNION ALL SELECT DISTINCT edition_id, 'failed', NULL, CAST(NULL AS INT), NULL, NULL, NULL, CAST(NULL AS INT), NULL, NULL FROM (SELECT id, key, year, id - id % 20 AS edition_id FROM fx_references) WHERE edition_id % 9 = 0")
 def c07_tei_references(spark, sf_dir) -> DataFrame:
     return R.tei_references(_tei(Tables(spark, sf_dir))).select("edition_id", "status", "key", "index", "title", "authors", "journal", "year", "doi", "coords")
 
 
-@query("fx_references", sql="SELECT edition_id, 'ready' AS status, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY id) - 1 AS INT) AS marker, key AS target, '[' || CAST(id AS VARCHAR) || ']' AS label FROM fx_references WHERE edition_id % 9 <> 0 UNION ALL SELECT DISTINCT edition_id, 'failed', CAST(NULL AS INT), NULL, NULL FROM fx_references WHERE edition_id % 9 = 0")
+@query("fx_references", sql="SELECT edition_id, 'ready' AS status, CAST(row_number() OVER (PARTITION BY edition_id ORDER BY id) - 1 AS INT) AS marker, key AS target, '[' || CAST(id AS VARCHAR) || ']' AS label FROM (SELECT id, key, year, id - id % 20 AS edition_id FROM fx_references) WHERE edition_id % 9 <> 0 UNION ALL SELECT DISTINCT edition_id, 'failed', CAST(NULL AS INT), NULL, NULL FROM (SELECT id, key, year, id - id % 20 AS edition_id FROM fx_references) WHERE edition_id % 9 = 0")
 def c08_tei_citations(spark, sf_dir) -> DataFrame:
     return R.tei_citations(_tei(Tables(spark, sf_dir))).select("edition_id", "status", "marker", "target", "label")
 
@@ -266,11 +278,11 @@ def u16_mark_edits(spark, sf_dir) -> DataFrame:
 # Export and erasure
 
 
-@query("m", "fx_users", "fx_comments", "fx_participants", "fx_notifications", sql="SELECT u.id AS user_id, u.display_name, coalesce(c.n, 0) AS copies, coalesce(n.n, 0) AS notes, coalesce(s.n, 0) AS seminars, coalesce(o.n, 0) AS notices, coalesce(c.f, -1) AS first_copy FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n, min(id) AS f FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id WHERE u.id % 2 = 0")
+@query("m", "fx_users", "fx_comments", "fx_participants", "fx_notifications", sql="SELECT u.id AS user_id, u.display_name, coalesce(c.n, 0) AS copies, coalesce(n.n, 0) AS notes, coalesce(s.n, 0) AS seminars, coalesce(o.n, 0) AS notices, coalesce(c.f, -1) AS first_copy FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n, min(id) AS f FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id")
 def a19_export_bundle(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     parts = {"copies": (Canon(t).copies, ["id"], ["paper_id"]), "notes": (t.fx_comments, ["id"], ["content"]), "seminars": (t.fx_participants, ["created_at", "id"], ["room_id"]), "notices": (t.fx_notifications, ["created_at", "id"], ["content"])}
-    out = V.export_bundle(t.fx_users.filter("id % 2 = 0").select("id"), t.fx_users, parts)
+    out = V.export_bundle(t.fx_users.select("id"), t.fx_users, parts)
     return out.select("user_id", "display_name", *(F.size(n).cast("long").alias(n) for n in parts), F.coalesce(F.get("copies", F.lit(0))["id"], F.lit(-1)).alias("first_copy"))
 
 
@@ -280,7 +292,13 @@ def a20_notes_markdown(spark, sf_dir) -> DataFrame:
     return V.notes_markdown(notes)
 
 
-@query()
+NAMES_SQL = """WITH RECURSIVE f AS (SELECT c.user_id, c.id AS copy_id, coalesce(nullif(trim(substr(regexp_replace(lower(trim(regexp_replace(strip_accents(coalesce(p.title, '')), '[^\\w\\s-]', '', 'g'))), '[\\s_-]+', '-', 'g'), 1, 60), '-'), ''), 'paper') || CASE WHEN p.year IS NOT NULL AND p.year <> 0 THEN '-' || CAST(p.year AS VARCHAR) ELSE '' END AS base, row_number() OVER (PARTITION BY c.user_id ORDER BY c.id) AS n FROM m_copies c JOIN m_papers p ON p.id = c.paper_id),
+s AS (SELECT user_id, CAST(NULL AS BIGINT) AS copy_id, '' AS name, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken FROM (SELECT DISTINCT user_id FROM f)
+UNION ALL SELECT s.user_id, f.copy_id, x.name, f.n, list_append(s.taken, x.name) FROM s JOIN f ON f.user_id = s.user_id AND f.n = s.n + 1, LATERAL (SELECT list_filter(list_transform(range(1, len(s.taken) + 2), lambda k: CASE WHEN k = 1 THEN f.base ELSE f.base || '-' || CAST(k AS VARCHAR) END), lambda b: NOT list_contains(s.taken, b))[1] AS name) x)
+SELECT user_id, copy_id, name || '.pdf' AS file_name FROM s WHERE n > 0"""
+
+
+@query("m", sql=NAMES_SQL)
 def w11_export_file_names(spark, sf_dir) -> DataFrame:
     c = Canon(Tables(spark, sf_dir))
     rows = c.copies.join(c.papers.select(F.col("id").alias("paper_id"), "title", "year"), "paper_id").select("user_id", F.col("id").alias("copy_id"), "title", "year")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 # Columns and types of each table.
 SCHEMAS: dict[str, str] = {
     "users": "id long, email string, display_name string, affiliation string, avatar_path string, email_public boolean, is_admin boolean, created_at timestamp_ntz, deleted_at timestamp_ntz",
@@ -83,7 +85,7 @@ def rules_of(table: str) -> list[tuple[str, Column]]:
         spot = F.from_json("anchor", "x double, y double")
         return [
             ("page and anchor go together", placed != F.col("anchor").isNotNull()),
-            ("a plain note needs text", ~placed & (F.length(F.trim(F.coalesce("content", F.lit("")))) == 0)),
+            ("a plain note needs text", ~placed & (F.length(strip(F.coalesce("content", F.lit("")))) == 0)),
             _too_long("content", 4000),
             ("anchor out of range", ~(spot["x"].between(0, 1) & spot["y"].between(0, 1))),
             ("page out of range", F.col("page") < 1),

@@ -2,6 +2,9 @@
 
 import datetime
 
+import pytest
+
+from reedbed.operators import references
 from reedbed.plans import queries_library
 from reedbed.plans.queries import queries
 
@@ -26,4 +29,24 @@ def test_export_writes_every_user(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries_library.IO, "write_export", note)
     got = queries()["io5_write_export"](spark, str(tmp_path)).collect()
     assert written == [[0, 1, 2, 3, 4]]
-    assert sorted(tuple(r) for r in got) == [(k, 4, k, 15 + k) for k in (0, 2, 4)]
+    assert sorted(tuple(r) for r in got) == [(k, 4, k, 15 + k) for k in range(5)]
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_candidates_in_blocks(spark, block, monkeypatch):
+    """Every reference meets every work, whatever the blocks: against counts of common words, ties by work id."""
+    monkeypatch.setattr(references, "QUERY_BLOCK", block)
+    monkeypatch.setattr(references, "INDEX_BLOCK", block)
+    word = lambda k: f"w{k}x"
+    texts = [(k, " ".join(word((k * j + j * j) % 23) for j in range(1, 4 + k % 7)), None) for k in range(20)] + [(50, None, None), (51, "short", None), (52, None, "w1x w2x of a title")]
+    titles = [(100 + k, None, " ".join(word((3 * k + j) % 19) for j in range(k % 5)), 2000, 0) for k in range(25)]
+    refs = spark.createDataFrame(texts, "id long, raw string, title string")
+    works = spark.createDataFrame(titles, "id long, doi string, title string, year int, source_rank int")
+    want = []
+    for i, raw, title in texts:
+        own = set(f"{raw or ''} {title or ''}".split())
+        if len(title or raw or "") >= 8:
+            found = sorted((-len(own & set(t.split())), w) for w, _, t, _, _ in titles if own & set(t.split()))[:5]
+            want += [(i, w, -n, rank + 1) for rank, (n, w) in enumerate(found)]
+    assert sorted(tuple(r) for r in references.candidates(refs, works).collect()) == sorted(want) and len(want) > 60
+    assert references.candidates(refs.limit(0), works).count() == references.candidates(refs, works.limit(0)).count() == 0
