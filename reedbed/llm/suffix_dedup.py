@@ -203,8 +203,8 @@ def _dealt(groups: DataFrame) -> DataFrame:
     return groups.repartition("grp").sortWithinPartitions("grp")
 
 
-def _cell_spans(wide: DataFrame, space: Workspace, min_len: int, keep_first: bool) -> DataFrame:
-    """(key, lo, hi) of the surroundings of cores that have more than WIDE.
+def _cell_spans(wide: DataFrame, space: Workspace, min_len: int, keep_first: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, lo, hi) of the surroundings of cores that have more than WIDE, and the tables to drop once they are read.
 
     A slice holds the starts at distances d0 .. d0 + STEP - 1 of the anchor, and the bytes they all share name its group.
     Cut to a slice, most surroundings of a common passage are equal: they are one cell, which owners tie to their keys.
@@ -236,7 +236,7 @@ def _cell_spans(wide: DataFrame, space: Workspace, min_len: int, keep_first: boo
     else:
         single = single.filter("times = 1")
     own = single.join(found.withColumnRenamed("key", "cell"), "cell").select("key", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
-    return own.union(owners.select("key", F.col("shift").cast("long").alias("lo"), (F.col("shift") + F.col("n_starts") - 1).cast("long").alias("hi")))
+    return own.union(owners.select("key", F.col("shift").cast("long").alias("lo"), (F.col("shift") + F.col("n_starts") - 1).cast("long").alias("hi"))), [cells, each]
 
 
 def repeated_spans(docs: DataFrame, space: Workspace, min_len: int = 400, keep_first: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -255,27 +255,37 @@ def repeated_spans(docs: DataFrame, space: Workspace, min_len: int = 400, keep_f
     wanted = wanted.join(classes, "h")
     texts = docs.join(wanted, "h").filter(F.col("doc_id").eqNullSafe(F.col("doc"))).select("h", "text", "wanted", F.coalesce("doc", F.lit(-1)).alias("doc")).dropDuplicates(["h"])
     texts = space.keep(texts, "texts")
+    slim = space.keep(rows.select("doc_id", "h", "n_bytes", "whole"), "rows")
+    classes = slim.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
+    space.drop(rows)
 
     around = _surroundings(texts, min_len).withColumn("key", F.md5(F.concat(F.col("core").cast("string").cast("binary"), F.lit(b":"), F.col("left").cast("string").cast("binary"), F.lit(b":"), F.col("around"))))
     around = space.keep(around, "surroundings")
     once = around.groupBy("key").agg(F.first("core").alias("core"), F.first("left").alias("left"), F.first("n_starts").alias("n_starts"), F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("times"), F.first("around").alias("around"))
     once = space.keep(once.select("key", "core", "left", "n_starts", "around", "at.doc", "at.first", "times"), "distinct")
+    # Bytes are needed only to sort groups; what ties keys to places goes on without them.
+    places = space.keep(around.select("key", "h", "doc", "first", "n_starts"), "places")
+    space.drop(around)
+    heads = space.keep(once.select("key", "doc", "first", "times"), "heads")
     many = once.groupBy("core").count()
     varied = once.join(many.filter("count > 1"), "core")
     plain = varied.filter(F.col("count") <= WIDE).select(F.col("core").cast("string").alias("grp"), "key", "left", "n_starts", "around", "doc", "first")
-    found = _group_spans(_dealt(plain), min_len, keep_first).union(_cell_spans(varied.filter(F.col("count") > WIDE), space, min_len, keep_first))
+    wide, used = _cell_spans(varied.filter(F.col("count") > WIDE), space, min_len, keep_first)
+    found = space.keep(_group_spans(_dealt(plain), min_len, keep_first).union(wide), "found")
+    for table in (once, *used):
+        space.drop(table)
     # Equal surroundings match whole, all or all but the first.
     if keep_first:
-        first = once.filter("times > 1").select("key", F.col("doc").alias("d0"), F.col("first").alias("f0"))
-        same = around.join(first, "key").filter("doc <> d0 or first <> f0")
-        one = around.join(once.select("key", F.col("doc").alias("d0"), F.col("first").alias("f0")), "key").filter("doc = d0 and first = f0")
+        first = heads.filter("times > 1").select("key", F.col("doc").alias("d0"), F.col("first").alias("f0"))
+        same = places.join(first, "key").filter("doc <> d0 or first <> f0")
+        one = places.join(heads.select("key", F.col("doc").alias("d0"), F.col("first").alias("f0")), "key").filter("doc = d0 and first = f0")
     else:
-        same = around.join(once.filter("times > 1").select("key"), "key")
-        one = around
+        same = places.join(heads.filter("times > 1").select("key"), "key")
+        one = places
     spans = one.select("key", "h", "first").join(found, "key").select("h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
     spans = spans.union(same.select("h", F.col("first").alias("lo"), (F.col("first") + F.col("n_starts") - 1).alias("hi")))
     spans = spans.groupBy("h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(texts.select("h", "text"), "h")
-    return rows.select("doc_id", "h", "n_bytes", "whole"), classes, spans
+    return slim, classes, spans
 
 
 def _cut(spans: DataFrame, min_len: int) -> DataFrame:
