@@ -121,13 +121,19 @@ class PieceCache:
     def _clear(self) -> None:
         self.known, self.place, self.size, self.span = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.held = Blocks(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.held, self.blocks, self.spans = Blocks(np.zeros(1 << 16, np.uint64), *(np.zeros(1 << 16, np.int64) for _ in range(3))), 0, 0
+
+    @staticmethod
+    def _put(whole: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        """whole with new behind its used entries, in an array twice as long where it is full."""
+        while used + len(new) > len(whole):
+            whole = np.concatenate([whole, np.zeros_like(whole)])
+        whole[used : used + len(new)] = new
+        return whole
 
     def _add(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Append ids of some pieces; returns where each piece's begin."""
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
+        self.flat = self._put(self.flat, self.used, ids)
         begin = self.used + np.cumsum(size) - size
         self.used += len(ids)
         return begin
@@ -137,10 +143,13 @@ class PieceCache:
         where = np.searchsorted(self.known, fresh)
         self.place = np.insert(self.place, where, begin)
         self.size = np.insert(self.size, where, size)
-        self.span = np.insert(self.span, where, len(self.held.first) + np.arange(len(fresh)))
+        self.span = np.insert(self.span, where, self.spans + np.arange(len(fresh)))
         self.known = np.insert(self.known, where, fresh)
-        joined = [np.concatenate([a, b]) for a, b in ((self.held.value, own.value), (self.held.first, own.first + len(self.held.value)), (self.held.count, own.count), (self.held.size, own.size))]
-        self.held = Blocks(*joined)
+        at = (self.blocks, self.spans, self.spans, self.spans)
+        new = (own.value, own.first + self.blocks, own.count, own.size)
+        kept = (self.held.value, self.held.first, self.held.count, self.held.size)
+        self.held = Blocks(*(self._put(x, k, y) for x, k, y in zip(kept, at, new, strict=True)))
+        self.blocks, self.spans = self.blocks + len(own.value), self.spans + len(own.first)
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the pieces in order, and the number of ids of each piece."""
