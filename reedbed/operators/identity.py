@@ -24,10 +24,15 @@ def canonicalize(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return papers, mapping.select("entry_id", "paper_id")
 
 
+# Fields that a copy takes over from its entry, where entries have them.
+OWN_FIELDS = ("summary", "thought", "marketed", "is_author", "rating_expertise", "rating_reading", "rating_liking", "created_at", "sha256", "file_path")
+
+
 def copies_from_entries(entries: DataFrame, mapping: DataFrame) -> DataFrame:
     """One copy for each (paper, user): the first entry's; entries of nobody make none; unset display means displayed."""
     rows = entries.filter("user_id is not null").join(mapping, entries["id"] == mapping["entry_id"])
-    first = rows.groupBy("paper_id", "user_id").agg(F.min_by(F.struct("id", "marketed", "is_author", "rating_liking", "created_at", "sha256", "file_path"), "id").alias("c"))
+    own = [c for c in OWN_FIELDS if c in entries.columns]
+    first = rows.groupBy("paper_id", "user_id").agg(F.min_by(F.struct("id", *own), "id").alias("c"))
     return first.select("paper_id", "user_id", "c.*").withColumn("marketed", F.coalesce("marketed", F.lit(True)))
 
 

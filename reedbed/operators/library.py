@@ -59,10 +59,15 @@ def public_user(user: str = "id") -> Column:
     return F.struct(F.col(user).alias("id"), F.col("display_name").alias("name"), "affiliation")
 
 
+# What a reader says of a paper, and its type.
+OPINIONS = {"thought": "string", "rating_expertise": "int", "rating_reading": "int", "rating_liking": "int"}
+
+
 def readers_of(copies: DataFrame, users: DataFrame) -> DataFrame:
-    """(paper_id, readers): the readers who display each paper, ordered by copy. Slim structs keep hot papers' rows small."""
+    """(paper_id, readers): the readers who display each paper, with thought and ratings, ordered by copy."""
     rows = displayed_copies(copies).join(users.select(F.col("id").alias("user_id"), "display_name", "affiliation"), "user_id")
-    reader = F.struct(F.col("id").alias("copy_id"), F.col("user_id").alias("user_id"), F.col("display_name").alias("name"), "affiliation", "is_author", "rating_liking")
+    said = [F.col(c) if c in copies.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPINIONS.items()]
+    reader = F.struct(F.col("id").alias("copy_id"), F.col("user_id").alias("user_id"), F.col("display_name").alias("name"), "affiliation", "is_author", *said)
     return rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(reader)).alias("readers"))
 
 
@@ -154,19 +159,41 @@ def shelf_order(rows: DataFrame, is_own: bool) -> DataFrame:
     return rows.withColumn("month", month).withColumn("starts_month", ~F.col("month").eqNullSafe(F.lag("month").over(w))).orderBy("user_id", F.desc("created_at"), F.desc("id"))
 
 
-def paper_detail(viewers: DataFrame, papers: DataFrame, copies: DataFrame, comments: DataFrame, rooms: DataFrame) -> DataFrame:
-    """Per (viewer, paper): own ratings and notes, others who display it, rooms newest first, whether one holds it.
+def paper_detail(viewers: DataFrame, papers: DataFrame, copies: DataFrame, comments: DataFrame, rooms: DataFrame, editions: DataFrame) -> DataFrame:
+    """Per (viewer, paper): own words, ratings, notes and edition, others who display it, rooms newest first, what one may see.
 
-    viewers: user_id, paper_id. Every fact table is aggregated by its key before it is joined.
+    viewers: user_id, paper_id; comments: with created_at. Notes are the holder's own, by (created_at, id); the edition is
+    the pinned one, else the latest. Every fact
+    table is aggregated by its key before it is joined. What all viewers of a paper share is in paper_page, so that no
+    list of readers is repeated for each viewer.
     """
-    own = copies.select("paper_id", "user_id", "rating_liking", "marketed")
-    notes = comments.groupBy("paper_id", "user_id").agg(F.count("*").alias("n_notes"))
+    said = [c for c in ("summary", *OPINIONS) if c in copies.columns]
+    latest = latest_edition(editions.select("paper_id", "id")).withColumnRenamed("edition_id", "latest")
+    own = copies.select("paper_id", "user_id", "marketed", "is_author", F.col("edition_id").alias("pinned"), "ignored_edition_id", *said)
+    note = F.struct("created_at", "id", "content")
+    notes = comments.groupBy("paper_id", "user_id").agg(F.sort_array(F.collect_list(note)).alias("notes"))
     shown = displayed_copies(copies).groupBy("paper_id").agg(F.count("*").alias("n_displayed"))
     own_rooms = rooms.groupBy("paper_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id")), asc=False), lambda r: r["id"]).alias("rooms"))
     out = viewers.join(papers.select(F.col("id").alias("paper_id"), "paper_key", "title"), "paper_id")
-    out = out.join(own, ["paper_id", "user_id"], "left").join(notes, ["paper_id", "user_id"], "left").join(shown, "paper_id", "left").join(own_rooms, "paper_key", "left")
+    out = out.join(own, ["paper_id", "user_id"], "left").join(notes, ["paper_id", "user_id"], "left").join(shown, "paper_id", "left").join(own_rooms, "paper_key", "left").join(latest, "paper_id", "left")
     held = F.col("marketed").isNotNull()
-    return out.select("user_id", "paper_id", "title", "rating_liking", held.alias("holds"), F.coalesce("n_notes", F.lit(0)).alias("n_notes"), (F.coalesce("n_displayed", F.lit(0)) - F.when(F.col("marketed"), 1).otherwise(0)).alias("also_read_by"), F.coalesce("rooms", F.array().cast("array<bigint>")).alias("rooms"))
+    flags = [held.alias("holds"), F.coalesce("marketed", F.lit(False)).alias("is_reader")]
+    kept = F.when(held, F.coalesce("notes", F.array().cast(notes.schema["notes"].dataType))).otherwise(F.array().cast(notes.schema["notes"].dataType))
+    others = F.coalesce("n_displayed", F.lit(0)) - F.when(F.col("marketed"), 1).otherwise(0)
+    return out.select("user_id", "paper_id", "title", "is_author", F.coalesce("pinned", "latest").alias("edition_id"), "ignored_edition_id", *said, *flags, kept.alias("notes"), others.alias("also_read_by"), F.coalesce("rooms", F.array().cast("array<bigint>")).alias("rooms"))
+
+
+def paper_page(papers: DataFrame, copies: DataFrame, users: DataFrame, editions: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Per paper: editions by id, the latest one, all who display it, and its rooms' summaries, newest first.
+
+    summaries: rooms as room_summary gives them.
+    """
+    files = editions.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("id", "sha256"))).alias("editions"), F.max("id").alias("latest_edition"))
+    own = summaries.groupBy("paper_key").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "status", "creator", "leader", "n_members")), asc=False).alias("rooms"))
+    out = papers.withColumnRenamed("id", "paper_id").join(files, "paper_id", "left").join(readers_of(copies, users), "paper_id", "left").join(own, "paper_key", "left")
+    for c, part in (("editions", files), ("readers", out), ("rooms", own)):
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(part.schema[c].dataType)))
+    return out
 
 
 def add_to_shelf(copies: DataFrame, requests: DataFrame, papers: DataFrame, editions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
 from .seminars import successors
 
 # What an erased account is called, and its address.
-ERASED_NAME, ERASED_EMAIL = "Deleted reader", "deleted-{id}@erased.invalid"
+ERASED_NAME, ERASED_EMAIL = "A former reader", "deleted-{id}@erased.invalid"
 
 
 def _array(rows: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -30,6 +30,16 @@ def export_bundle(user_ids: DataFrame, users: DataFrame, parts: dict[str, tuple[
     return out
 
 
+def own_seminars(rooms: DataFrame, participants: DataFrame, messages: DataFrame) -> DataFrame:
+    """(user_id, created_at, id, status, started, leads, my_messages): each member's rooms with their own messages by (created_at, id)."""
+    said = messages.groupBy("room_id", "user_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "content"))).alias("my_messages"))
+    member = participants.select("room_id", "user_id").distinct().join(said, ["room_id", "user_id"], "left")
+    rows = member.join(rooms.withColumnRenamed("id", "room_id"), "room_id")
+    is_ = lambda c: F.coalesce(F.col(c) == F.col("user_id"), F.lit(False))
+    words = F.coalesce("my_messages", F.array().cast(said.schema["my_messages"].dataType))
+    return rows.select("user_id", "created_at", F.col("room_id").alias("id"), "status", is_("created_by").alias("started"), is_("leader_id").alias("leads"), words.alias("my_messages"))
+
+
 def notes_markdown(notes: DataFrame) -> DataFrame:
     """(user_id, markdown): notes under their papers' titles, papers in order of their first note.
 
@@ -80,11 +90,12 @@ def allowed_erasures(users: DataFrame, leaving: DataFrame) -> DataFrame:
     return rows.select("id", (~F.lower(F.trim("confirm_email")).eqNullSafe(F.lower("email")) | (F.col("is_admin") & (F.col("admins") == 0))).alias("refused"))
 
 
-def erase_readers(leaving: DataFrame, users: DataFrame, private: dict[str, DataFrame], rooms: DataFrame, participants: DataFrame, eligible: DataFrame) -> dict[str, DataFrame]:
-    """All tables after the readers in leaving (id) are gone.
+def erase_readers(leaving: DataFrame, users: DataFrame, private: dict[str, DataFrame], rooms: DataFrame, participants: DataFrame, eligible: DataFrame, at: Column) -> dict[str, DataFrame]:
+    """All tables after the readers in leaving (id) are gone at a time.
 
-    private tables lose their rows; the user's row is scrubbed; rooms they led go to a successor, or open again without
-    leader. Messages and editions are not touched. leaving is joined as it is: Spark broadcasts it while it is small.
+    private tables (notes, ink, copies, notifications, sessions, availabilities) lose their rows; the user's row is
+    scrubbed; rooms they led go to a successor, or open again without leader. Messages and editions are not touched.
+    leaving is joined as it is: Spark broadcasts it while it is small.
     """
     gone = leaving.select(F.col("id").alias("user_id")).distinct()
     out = {name: rows.join(gone, "user_id", "left_anti") for name, rows in private.items()}
@@ -94,6 +105,8 @@ def erase_readers(leaving: DataFrame, users: DataFrame, private: dict[str, DataF
         "email": F.replace(F.lit(ERASED_EMAIL), F.lit("{id}"), F.col("id").cast("string")),
         "display_name": F.lit(ERASED_NAME),
         "affiliation": F.lit(None).cast("string"),
+        "avatar_path": F.lit(None).cast("string"),
+        "deleted_at": at,
         "email_public": F.lit(False),
         "is_admin": F.lit(False),
         "is_deleted": F.lit(True),

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def eligible_readers(papers: DataFrame, copies: DataFrame, public_only: bool = True) -> DataFrame:
     """(paper_key, user_id): who holds the paper, on display only or at all."""
@@ -61,6 +63,20 @@ def room_thread(messages: DataFrame) -> DataFrame:
     return messages.groupBy("room_id").agg(ordered.alias("thread"))
 
 
+def room_page(summaries: DataFrame, messages: DataFrame, availabilities: DataFrame) -> DataFrame:
+    """Per room what all its viewers see: summary with the leader first, thread, availabilities by id.
+
+    summaries: rooms as room_summary gives them. A leader who is not a member is not put among the members.
+    """
+    times = availabilities.groupBy("room_id").agg(F.sort_array(F.collect_list(F.struct("id", "user_id", "availability"))).alias("availabilities"))
+    threads = room_thread(messages)
+    out = summaries.join(threads.withColumnRenamed("room_id", "id"), "id", "left").join(times.withColumnRenamed("room_id", "id"), "id", "left")
+    for c, part in (("thread", threads), ("availabilities", times)):
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(part.schema[c].dataType)))
+    leads = lambda m: m.eqNullSafe(F.col("leader_id"))
+    return out.withColumn("members", F.concat(F.filter("members", leads), F.filter("members", lambda m: ~leads(m))))
+
+
 def availability_upsert(existing: DataFrame, submitted: DataFrame, rooms: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(availabilities, refused). submitted: seq, room_id, user_id, availability, created_at.
 
@@ -74,10 +90,12 @@ def availability_upsert(existing: DataFrame, submitted: DataFrame, rooms: DataFr
     return both.groupBy("room_id", "user_id").agg(F.max_by("availability", "seq").alias("availability"), F.min_by("created_at", "seq").alias("created_at")), refused
 
 
-def apply_cohort_changes(rooms: DataFrame, participants: DataFrame, eligible: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, rejected) after a batch of joins and leaves: room_id, user_id, action, successor, one a (room, user).
+def apply_cohort_changes(rooms: DataFrame, participants: DataFrame, eligible: DataFrame, changes: DataFrame, availabilities: DataFrame | None = None) -> dict[str, DataFrame]:
+    """members, posted, leaders, availabilities and rejected after a batch of changes, one a (room, user).
 
-    Join: readers only, once. Leave: members only; the leader of an unfinished room must name another eligible member.
+    changes: room_id, user_id, action, successor, content. Join: readers only, once. Post: members who display the paper;
+    the text is stripped. Leave: members only; the leader of an unfinished room must name another eligible member, who
+    leads from then on; the leaver's availability goes too.
     """
     keys = rooms.select(F.col("id").alias("room_id"), "paper_key", "leader_id", "status")
     now = participants.select("room_id", "user_id").distinct()
@@ -85,11 +103,22 @@ def apply_cohort_changes(rooms: DataFrame, participants: DataFrame, eligible: Da
     heir = now.join(keys, "room_id").join(eligible, ["paper_key", "user_id"], "left_semi").select("room_id", F.col("user_id").alias("successor"), F.lit(True).alias("heir"))
     rows = rows.join(heir, ["room_id", "successor"], "left")
     leads = (F.col("leader_id") == F.col("user_id")) & (F.col("status") != "finished")
-    ok = F.when(F.col("action") == "join", F.col("r").isNotNull()).otherwise(F.col("m").isNotNull() & (~F.coalesce(leads, F.lit(False)) | (F.col("heir").isNotNull() & (F.col("successor") != F.col("user_id")))))
+    reads, member = F.col("r").isNotNull(), F.col("m").isNotNull()
+    may_go = ~F.coalesce(leads, F.lit(False)) | (F.col("heir").isNotNull() & (F.col("successor") != F.col("user_id")))
+    ok = F.when(F.col("action") == "join", reads).when(F.col("action") == "post", reads & member).otherwise(member & may_go)
     rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     left = rows.filter("ok and action = 'leave'").select("room_id", "user_id")
     joined = rows.filter("ok and action = 'join'").select("room_id", "user_id")
-    return now.join(left, ["room_id", "user_id"], "left_anti").union(joined).distinct(), rows.filter("not ok").select("room_id", "user_id", "action")
+    out = {
+        "members": now.join(left, ["room_id", "user_id"], "left_anti").union(joined).distinct(),
+        "leaders": rows.filter("ok and action = 'leave'").filter(leads).select("room_id", F.col("successor").alias("leader_id")),
+        "rejected": rows.filter("not ok").select("room_id", "user_id", "action"),
+    }
+    if "content" in changes.columns:
+        out["posted"] = rows.filter("ok and action = 'post'").select("room_id", "user_id", strip(F.col("content")).alias("content"))
+    if availabilities is not None:
+        out["availabilities"] = availabilities.join(left, ["room_id", "user_id"], "left_anti")
+    return out
 
 
 def successors(rooms: DataFrame, participants: DataFrame, eligible: DataFrame, leaving: DataFrame) -> DataFrame:

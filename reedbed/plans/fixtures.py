@@ -25,6 +25,8 @@ FROM customer""",
   's' || CAST(l.l_suppkey AS STRING) AS sha256, 'file-' || CAST(l.l_suppkey AS STRING) || '.pdf' AS file_path,
   l.l_returnflag <> 'R' AS marketed, l.l_linestatus = 'F' AND l.l_linenumber = 1 AS is_author,
   CASE WHEN l.l_linenumber % 3 = 0 THEN NULL ELSE 1 + CAST(l.l_quantity AS INT) % 5 END AS rating_liking,
+  CAST(1 + l.l_suppkey % 5 AS INT) AS rating_expertise, CASE WHEN l.l_linenumber % 4 = 0 THEN NULL ELSE CAST(1 + l.l_partkey % 5 AS INT) END AS rating_reading,
+  CASE WHEN l.l_linenumber % 3 = 1 THEN 'thought ' || CAST(l.l_orderkey AS STRING) END AS thought, 'summary ' || CAST(l.l_orderkey AS STRING) AS summary,
   o.o_orderdate AS created_at
 FROM fx_line l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey""",
     "fx_rooms": """SELECT o_orderkey AS id, CASE WHEN (o_orderkey % 200) % 4 = 0 THEN 'title:none' ELSE 'doi:10.5555/part.' || CAST(o_orderkey % 200 AS STRING) END AS paper_key,

@@ -77,6 +77,13 @@ def io3_content_address(spark, sf_dir) -> DataFrame:
     return I.content_address(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content")))
 
 
+@query(sql="SELECT CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS n_bytes FROM documents")
+def io3_read_files(spark, sf_dir) -> DataFrame:
+    path = scratch(spark, "io3")
+    Tables(spark, sf_dir).source("documents").select("text").write.text(path)
+    return IO.read_files(spark, path, "*.txt").agg(F.sum("length").alias("n_bytes"))
+
+
 @query("fx_references", sql="SELECT id, edition_id, CASE WHEN edition_id % 3 = 0 THEN page + 100 ELSE page END AS page FROM fx_references WHERE NOT (edition_id % 3 = 0 AND id % 100 >= 50)")
 def io4_partition_replace(spark, sf_dir) -> DataFrame:
     path, refs = scratch(spark, "io4"), Tables(spark, sf_dir).fx_references.select("id", "edition_id", "page")
@@ -276,11 +283,11 @@ def a01_canonicalize(spark, sf_dir) -> DataFrame:
     return papers.select("id", "paper_key", "doi", "title", "year")
 
 
-@query("m", sql="SELECT id, paper_id, user_id, marketed, is_author, rating_liking FROM m_copies")
+@query("m", sql="SELECT id, paper_id, user_id, marketed, is_author, summary, thought, rating_expertise, rating_reading, rating_liking FROM m_copies")
 def a02_copies_from_entries(spark, sf_dir) -> DataFrame:
     entries = Tables(spark, sf_dir).fx_entries
     _, mapping = I.canonicalize(entries)
-    return I.copies_from_entries(entries, mapping).select("id", "paper_id", "user_id", "marketed", "is_author", "rating_liking")
+    return I.copies_from_entries(entries, mapping).select("id", "paper_id", "user_id", "marketed", "is_author", "summary", "thought", "rating_expertise", "rating_reading", "rating_liking")
 
 
 @query("m", "fx_comments", sql="SELECT 'note' AS what, c.id, coalesce(m.paper_id, c.paper_id) AS paper_id, CAST(NULL AS VARCHAR) AS file_path FROM fx_comments c LEFT JOIN m_map m ON m.id = c.paper_id UNION ALL SELECT 'file', id, CAST(NULL AS BIGINT), file_path FROM m_map WHERE id <> paper_id")
@@ -381,6 +388,37 @@ def f02_validate(spark, sf_dir) -> DataFrame:
     return IO.validate(Tables(spark, sf_dir).fx_comments, "comments").select("id", F.array_join("violations", ",").alias("violations"))
 
 
+# Texts of 0 to so many characters, made from event ids, and the limit of each.
+LONG = {"copies": {"thought": (250, 200)}, "users": {"affiliation": (130, 120)}, "rooms": {"scheduled_time": (210, 200), "platform": (300, 200), "style": (50, 40), "style_desc": (400, 300)}, "room_messages": {"content": (5000, 4000)}, "room_availabilities": {"availability": (600, 500)}, "feedback": {"content": (5000, 4000), "page": (310, 300), "contact": (260, 254)}, "ink_strokes": {}}
+OTHER = {
+    "copies": "CAST(event_id % 8 AS INT) AS rating_expertise, CAST(event_id % 6 AS INT) AS rating_reading, CAST(NULL AS INT) AS rating_liking",
+    "users": "CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'a@b.org' END AS email, repeat('n', CAST(event_id % 90 AS INT)) AS display_name",
+    "ink_strokes": "CASE WHEN event_id % 5 = 0 THEN array() ELSE array(named_struct('x', (event_id % 4) * 0.5D, 'y', 0.5D)) END AS points, CASE WHEN event_id % 7 = 0 THEN 'red' ELSE '#00ff00' END AS color, (event_id % 3) * 0.05D AS width, CASE WHEN event_id % 11 = 0 THEN 1.5D ELSE 1D END AS opacity, CASE WHEN event_id % 13 = 0 THEN 'star' ELSE 'flat' END AS shape",
+}
+BROKEN = {
+    "copies": [("rating_expertise out of range", "id % 8 IN (0, 6, 7)"), ("rating_reading out of range", "id % 6 = 0")],
+    "users": [("email", "id % 3 = 0"), ("name", "id % 90 = 0 OR id % 90 > 80")],
+    "ink_strokes": [("number of points", "id % 5 = 0"), ("point out of range", "id % 5 <> 0 AND id % 4 = 3"), ("color", "id % 7 = 0"), ("width", "id % 3 = 0"), ("opacity", "id % 11 = 0"), ("shape", "id % 13 = 0")],
+}
+
+
+def _broken_sql(table: str) -> str:
+    rules = [*BROKEN.get(table, []), *((f"{c} too long", f"id % {n} > {limit}") for c, (n, limit) in LONG[table].items())]
+    return f"SELECT '{table}' AS tbl, id, concat_ws(',', " + ", ".join(f"CASE WHEN {bad} THEN '{name}' END" for name, bad in rules) + ") AS violations FROM (SELECT event_id AS id FROM events)"
+
+
+@query(sql=" UNION ALL ".join(_broken_sql(t) for t in LONG))
+def f02_validate_tables(spark, sf_dir) -> DataFrame:
+    events, out = Tables(spark, sf_dir).source("events"), None
+    for table, texts in LONG.items():
+        made = [f"repeat('x', CAST(event_id % {n} AS INT)) AS {c}" for c, (n, _) in texts.items()]
+        fields = ", ".join(["event_id AS id", *made, *([OTHER[table]] if table in OTHER else [])])
+        rows = events.selectExpr(f"struct({fields}) AS r").select("r.*")
+        part = IO.validate(rows, table).select(F.lit(table).alias("tbl"), "id", F.array_join("violations", ",").alias("violations"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query("m", "fx_users", sql="SELECT p.paper_id AS id FROM m_papers p WHERE EXISTS (SELECT 1 FROM m_copies c WHERE c.paper_id = p.paper_id AND c.marketed) AND (lower(p.title) LIKE '%brand#2%' OR lower(p.authors) LIKE '%brand#2%' OR lower(p.journal) LIKE '%brand#2%' OR EXISTS (SELECT 1 FROM m_copies c JOIN fx_users u ON u.id = c.user_id WHERE c.paper_id = p.paper_id AND c.marketed AND lower(u.display_name) LIKE '%brand#2%'))")
 def f07_library_search(spark, sf_dir) -> DataFrame:
     return L.library_search(_library(Tables(spark, sf_dir)), "BRAND#2").select("id")
@@ -422,16 +460,30 @@ def j05_adopt_editions(spark, sf_dir) -> DataFrame:
     return adopted.union(L.ignore_editions(c.copies, choices, c.editions).select(F.lit("ignore"), *cols))
 
 
-@query("m", "fx_comments", "fx_rooms", sql="""SELECT v.user_id, v.paper_id, p.title, c.rating_liking, c.id IS NOT NULL AS holds, coalesce(n.n, 0) AS n_notes, coalesce(s.n, 0) - CASE WHEN c.marketed THEN 1 ELSE 0 END AS also_read_by, coalesce(r.rooms, '') AS rooms
+@query("m", "fx_comments", "fx_rooms", sql="""SELECT v.user_id, v.paper_id, p.title, c.is_author, c.summary, c.thought, c.rating_expertise, c.rating_reading, c.rating_liking, coalesce(c.edition_id, l.latest) AS edition_id, c.ignored_edition_id, c.id IS NOT NULL AS holds, coalesce(c.marketed, FALSE) AS is_reader, CASE WHEN c.id IS NULL THEN '' ELSE coalesce(n.notes, '') END AS notes, coalesce(s.n, 0) - CASE WHEN c.marketed THEN 1 ELSE 0 END AS also_read_by, coalesce(r.rooms, '') AS rooms
 FROM (SELECT DISTINCT user_id, paper_id FROM m_copies WHERE id % 3 = 0 UNION SELECT DISTINCT 5, paper_id FROM m_papers) v JOIN m_papers p ON p.paper_id = v.paper_id LEFT JOIN m_copies c ON c.paper_id = v.paper_id AND c.user_id = v.user_id
-LEFT JOIN (SELECT paper_id, user_id, count(*) AS n FROM fx_comments GROUP BY ALL) n ON n.paper_id = v.paper_id AND n.user_id = v.user_id LEFT JOIN (SELECT paper_id, count(*) AS n FROM m_copies WHERE marketed GROUP BY paper_id) s ON s.paper_id = v.paper_id
+JOIN m_latest l ON l.paper_id = v.paper_id LEFT JOIN (SELECT paper_id, user_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id % 7, id) AS notes FROM fx_comments GROUP BY paper_id, user_id) n ON n.paper_id = v.paper_id AND n.user_id = v.user_id LEFT JOIN (SELECT paper_id, count(*) AS n FROM m_copies WHERE marketed GROUP BY paper_id) s ON s.paper_id = v.paper_id
 LEFT JOIN (SELECT paper_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at DESC, id DESC) AS rooms FROM fx_rooms GROUP BY paper_key) r ON r.paper_key = p.paper_key""")
 def j14_paper_detail(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
     viewers = c.copies.filter("id % 3 = 0").select("user_id", "paper_id").union(c.papers.select(F.lit(5).cast("long"), "id")).distinct()
-    out = L.paper_detail(viewers, c.papers, c.copies, t.fx_comments, t.fx_rooms)
-    return out.withColumn("rooms", F.array_join(F.transform("rooms", lambda r: r.cast("string")), ","))
+    notes = t.fx_comments.withColumn("created_at", F.expr("DATE '2024-01-01' + CAST(id % 7 AS INT)"))
+    out = L.paper_detail(viewers, c.papers, c.copies, notes, t.fx_rooms, c.editions)
+    return out.withColumn("rooms", F.array_join(F.transform("rooms", lambda r: r.cast("string")), ",")).withColumn("notes", F.array_join(F.transform("notes", lambda n: n["id"].cast("string")), ","))
+
+
+@query("m", "fx_users", "fx_rooms", "fx_participants", sql="""SELECT p.paper_id, l.latest AS latest_edition, e.editions, coalesce(c.n, 0) AS n_readers, coalesce(r.rooms, '') AS rooms FROM m_papers p JOIN m_latest l ON l.paper_id = p.paper_id
+JOIN (SELECT paper_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS editions FROM m_editions GROUP BY paper_id) e ON e.paper_id = p.paper_id LEFT JOIN (SELECT paper_id, count(*) AS n FROM m_copies k JOIN fx_users u ON u.id = k.user_id WHERE marketed GROUP BY paper_id) c ON c.paper_id = p.paper_id
+LEFT JOIN (SELECT paper_key, string_agg(concat_ws(':', q.id, q.status, coalesce(u.display_name, '-'), coalesce(m.n, 0)), ',' ORDER BY q.created_at DESC, q.id DESC) AS rooms FROM fx_rooms q LEFT JOIN fx_users u ON u.id = q.leader_id LEFT JOIN (SELECT room_id, count(DISTINCT user_id) AS n FROM fx_participants GROUP BY room_id) m ON m.room_id = q.id GROUP BY paper_key) r ON r.paper_key = p.paper_key""")
+def j14_paper_page(spark, sf_dir) -> DataFrame:
+    from ..operators.seminars import room_summary
+
+    t = Tables(spark, sf_dir)
+    c = Canon(t)
+    out = L.paper_page(c.papers, c.copies, t.fx_users, c.editions, room_summary(t.fx_rooms, t.fx_participants, t.fx_users))
+    room = lambda r: F.concat_ws(":", r["id"].cast("string"), r["status"], F.coalesce(r["leader"], F.lit("-")), r["n_members"].cast("string"))
+    return out.select("paper_id", "latest_edition", F.array_join(F.transform("editions", lambda e: e["id"].cast("string")), ",").alias("editions"), F.size("readers").cast("long").alias("n_readers"), F.array_join(F.transform("rooms", room), ",").alias("rooms"))
 
 
 @query("fx_rooms", sql="SELECT paper_key, status FROM fx_rooms QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY created_at DESC, id DESC) = 1")
@@ -439,11 +491,12 @@ def a06_room_status(spark, sf_dir) -> DataFrame:
     return L.room_status(Tables(spark, sf_dir).fx_rooms)
 
 
-@query("m", "fx_users", sql="SELECT c.paper_id, count(*) AS n, string_agg(u.display_name, ',' ORDER BY c.id) AS names, count(*) FILTER (c.is_author) AS authors FROM m_copies c JOIN fx_users u ON u.id = c.user_id WHERE c.marketed GROUP BY c.paper_id")
+@query("m", "fx_users", sql="SELECT c.paper_id, count(*) AS n, string_agg(u.display_name, ',' ORDER BY c.id) AS names, count(*) FILTER (c.is_author) AS authors, string_agg(concat_ws('/', c.thought, c.rating_expertise, c.rating_reading, c.rating_liking), ',' ORDER BY c.id) AS said FROM m_copies c JOIN fx_users u ON u.id = c.user_id WHERE c.marketed GROUP BY c.paper_id")
 def a07_readers_of(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     r = L.readers_of(Canon(t).copies, t.fx_users)
-    return r.select("paper_id", F.size("readers").cast("long").alias("n"), F.array_join(F.transform("readers", lambda x: x["name"]), ",").alias("names"), F.size(F.filter("readers", lambda x: x["is_author"])).cast("long").alias("authors"))
+    said = lambda x: F.concat_ws("/", *(x[c].cast("string") for c in L.OPINIONS))
+    return r.select("paper_id", F.size("readers").cast("long").alias("n"), F.array_join(F.transform("readers", lambda x: x["name"]), ",").alias("names"), F.size(F.filter("readers", lambda x: x["is_author"])).cast("long").alias("authors"), F.array_join(F.transform("readers", said), ",").alias("said"))
 
 
 @query("m", "fx_users", sql="SELECT u.id, u.display_name, coalesce(c.n, 0) AS n_displayed FROM fx_users u LEFT JOIN (SELECT user_id, count(*) FILTER (marketed) AS n FROM m_copies GROUP BY user_id) c ON c.user_id = u.id WHERE NOT u.is_deleted")
@@ -474,12 +527,11 @@ def c01_library(spark, sf_dir) -> DataFrame:
     return rows.select("id", "title", F.size("readers").cast("long").alias("n_readers"), F.round("merit", 6).alias("merit"), "status", "edition_id")
 
 
-@query("m", "fx_rooms", sql="SELECT c.id, c.user_id, c.paper_id, coalesce(c.edition_id, l.latest) AS reads, s.status, CASE WHEN c.user_id = 7 THEN 'sum' || CAST(c.id AS VARCHAR) END AS summary FROM m_copies c JOIN m_latest l ON l.paper_id = c.paper_id LEFT JOIN (SELECT paper_key, status FROM fx_rooms QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY created_at DESC, id DESC) = 1) s ON s.paper_key = c.paper_key WHERE c.marketed OR c.user_id = 7")
+@query("m", "fx_rooms", sql="SELECT c.id, c.user_id, c.paper_id, coalesce(c.edition_id, l.latest) AS reads, s.status, CASE WHEN c.user_id = 7 THEN c.summary END AS summary FROM m_copies c JOIN m_latest l ON l.paper_id = c.paper_id LEFT JOIN (SELECT paper_key, status FROM fx_rooms QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY created_at DESC, id DESC) = 1) s ON s.paper_key = c.paper_key WHERE c.marketed OR c.user_id = 7")
 def c02_shelf(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
-    copies = c.copies.withColumn("summary", F.concat(F.lit("sum"), F.col("id").cast("string")))
-    return L.shelf(copies, c.papers, t.fx_rooms, c.editions, 7).select("id", "user_id", "paper_id", "reads", "status", "summary")
+    return L.shelf(c.copies, c.papers, t.fx_rooms, c.editions, 7).select("id", "user_id", "paper_id", "reads", "status", "summary")
 
 
 @query("m", "fx_users", "fx_rooms", sql=f"SELECT id, CASE status WHEN 'open' THEN 0 WHEN 'planning' THEN 1 WHEN 'scheduled' THEN 2 WHEN 'finished' THEN 3 ELSE 4 END AS place, title FROM ({LIBRARY_SQL})")
@@ -519,3 +571,12 @@ def u07_personal_fields(spark, sf_dir) -> DataFrame:
     meta = c.papers.filter("id % 2 = 0").select("id", F.lit(True).alias("sent_title"), F.lit("New title").alias("new_title"))
     none = lambda k: F.lit(None).cast(k)
     return own.union(L.set_metadata(c.papers, meta).select(F.lit("paper"), "id", none("boolean"), none("int"), none("boolean"), "title"))
+
+
+PROFILES = "SELECT id, CASE WHEN id % 3 = 0 THEN '  ' ELSE ' Name ' || CAST(id AS STRING) END AS name, CASE WHEN id % 2 = 0 THEN ' ' ELSE ' Lab ' END AS affiliation FROM fx_users WHERE id % 5 <> 0"
+
+
+@query("fx_users", sql="""SELECT id, CASE WHEN id % 5 <> 0 AND id % 3 <> 0 THEN 'Name ' || CAST(id AS VARCHAR) ELSE display_name END AS display_name, CASE WHEN id % 5 <> 0 AND id % 3 <> 0 THEN CASE WHEN id % 2 <> 0 THEN 'Lab' END ELSE affiliation END AS affiliation, id % 5 <> 0 AND id % 3 = 0 AS rejected FROM fx_users""")
+def u07_edit_profiles(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return L.edit_profiles(t.fx_users, t.sql(PROFILES)).select("id", "display_name", "affiliation", "rejected")

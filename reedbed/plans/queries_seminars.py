@@ -62,6 +62,21 @@ def c04_room_detail(spark, sf_dir) -> DataFrame:
     return M.room_detail(t.fx_rooms, viewers, M.eligible_readers(c.papers, c.copies), t.fx_participants, M.eligible_readers(c.papers, c.copies, public_only=False))
 
 
+MESSAGES = "SELECT id, room_id, user_id, 'said ' || CAST(id AS STRING) AS content, created_at FROM fx_participants WHERE id % 2 = 0"
+TIMES = "SELECT min(id) AS id, room_id, user_id, 'slot ' || CAST(min(id) AS STRING) AS availability FROM fx_participants WHERE id % 3 = 0 GROUP BY room_id, user_id"
+
+
+@query("fx_rooms", "fx_users", "fx_participants", sql=f"""SELECT r.id, r.status, u.display_name AS leader, coalesce(m.members, '') AS members, coalesce(s.thread, '') AS thread, coalesce(a.times, '') AS times FROM fx_rooms r LEFT JOIN fx_users u ON u.id = r.leader_id
+LEFT JOIN (SELECT room_id, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY leads DESC, j, i, user_id) AS members FROM (SELECT p.room_id, p.user_id, coalesce(q.leader_id = p.user_id, FALSE) AS leads, min(p.created_at) AS j, min_by(p.id, (p.created_at, p.id)) AS i FROM fx_participants p JOIN fx_rooms q ON q.id = p.room_id GROUP BY ALL) GROUP BY room_id) m ON m.room_id = r.id
+LEFT JOIN (SELECT room_id, string_agg(content, ',' ORDER BY created_at, id) AS thread FROM ({MESSAGES}) GROUP BY room_id) s ON s.room_id = r.id LEFT JOIN (SELECT room_id, string_agg(user_id || ' ' || availability, ',' ORDER BY id) AS times FROM ({TIMES}) GROUP BY room_id) a ON a.room_id = r.id""")
+def c04_room_page(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    out = M.room_page(M.room_summary(t.fx_rooms, t.fx_participants, t.fx_users), t.sql(MESSAGES), t.sql(TIMES))
+    members = F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members")
+    times = F.transform("availabilities", lambda a: F.concat_ws(" ", a["user_id"].cast("string"), a["availability"]))
+    return out.select("id", "status", "leader", members, F.array_join(F.transform("thread", lambda m: m["content"]), ",").alias("thread"), F.array_join(times, ",").alias("times"))
+
+
 @query("m", "fx_rooms", "fx_participants", sql="""WITH al AS (SELECT DISTINCT r.id AS room_id, c.user_id FROM fx_rooms r JOIN m_copies c ON c.paper_key = r.paper_key AND c.marketed JOIN fx_participants p ON p.room_id = r.id AND p.user_id = c.user_id),
 s AS (SELECT id AS seq, room_id, user_id, 'slot ' || CAST(id AS VARCHAR) AS availability, created_at FROM fx_participants WHERE id % 2 = 0), g AS (SELECT s.* FROM s JOIN fx_rooms r ON r.id = s.room_id WHERE r.status <> 'scheduled' AND EXISTS (SELECT 1 FROM al WHERE al.room_id = s.room_id AND al.user_id = s.user_id)),
 e AS (SELECT room_id, user_id, 'old' AS availability, min(created_at) AS created_at, -1 AS seq FROM fx_participants WHERE id % 3 = 0 GROUP BY room_id, user_id)
@@ -77,16 +92,22 @@ def u04_availability_upsert(spark, sf_dir) -> DataFrame:
 
 
 @query("m", "fx_rooms", "fx_participants", sql="""WITH el AS (SELECT DISTINCT paper_key, user_id FROM m_copies WHERE marketed), mem AS (SELECT DISTINCT room_id, user_id FROM fx_participants),
-ch AS (SELECT room_id, user_id, 'leave' AS action, user_id + 1 AS successor FROM mem WHERE (room_id + user_id) % 3 = 0 UNION ALL SELECT id, created_by, 'join', NULL FROM fx_rooms r WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.room_id = r.id AND m.user_id = r.created_by)),
-j AS (SELECT ch.*, CASE WHEN action = 'join' THEN e.user_id IS NOT NULL ELSE NOT (coalesce(r.leader_id = ch.user_id, FALSE) AND r.status <> 'finished') OR EXISTS (SELECT 1 FROM mem m JOIN el x ON x.paper_key = r.paper_key AND x.user_id = m.user_id WHERE m.room_id = ch.room_id AND m.user_id = ch.successor) END AS ok FROM ch JOIN fx_rooms r ON r.id = ch.room_id LEFT JOIN el e ON e.paper_key = r.paper_key AND e.user_id = ch.user_id)
-SELECT room_id, user_id, 'member' AS outcome FROM mem WHERE (room_id, user_id) NOT IN (SELECT (room_id, user_id) FROM j WHERE ok AND action = 'leave') UNION ALL SELECT room_id, user_id, 'member' FROM j WHERE ok AND action = 'join' UNION ALL SELECT room_id, user_id, 'rejected' FROM j WHERE NOT ok""")
+ch AS (SELECT room_id, user_id, 'leave' AS action, user_id + 1 AS successor FROM mem WHERE (room_id + user_id) % 3 = 0 UNION ALL SELECT room_id, user_id, 'post', NULL FROM mem WHERE (room_id + user_id) % 3 = 1 UNION ALL SELECT id, created_by, 'join', NULL FROM fx_rooms r WHERE NOT EXISTS (SELECT 1 FROM mem m WHERE m.room_id = r.id AND m.user_id = r.created_by)),
+j AS (SELECT ch.*, coalesce(r.leader_id = ch.user_id, FALSE) AND r.status <> 'finished' AS leads, CASE WHEN action IN ('join', 'post') THEN e.user_id IS NOT NULL ELSE NOT (coalesce(r.leader_id = ch.user_id, FALSE) AND r.status <> 'finished') OR EXISTS (SELECT 1 FROM mem m JOIN el x ON x.paper_key = r.paper_key AND x.user_id = m.user_id WHERE m.room_id = ch.room_id AND m.user_id = ch.successor) END AS ok FROM ch JOIN fx_rooms r ON r.id = ch.room_id LEFT JOIN el e ON e.paper_key = r.paper_key AND e.user_id = ch.user_id)
+SELECT room_id, user_id, 'member' AS outcome FROM mem WHERE (room_id, user_id) NOT IN (SELECT (room_id, user_id) FROM j WHERE ok AND action = 'leave') UNION ALL SELECT room_id, user_id, 'member' FROM j WHERE ok AND action = 'join' UNION ALL SELECT room_id, user_id, 'rejected' FROM j WHERE NOT ok
+UNION ALL SELECT room_id, user_id, 'said ' || CAST(user_id AS VARCHAR) FROM j WHERE ok AND action = 'post' UNION ALL SELECT room_id, successor, 'leader' FROM j WHERE ok AND action = 'leave' AND leads UNION ALL SELECT DISTINCT room_id, user_id, 'times' FROM fx_participants WHERE id % 3 = 0 AND (room_id, user_id) NOT IN (SELECT (room_id, user_id) FROM j WHERE ok AND action = 'leave')""")
 def u05_cohort_changes(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     members = t.fx_participants.select("room_id", "user_id").distinct()
     leave = members.filter("(room_id + user_id) % 3 = 0").select("room_id", "user_id", F.lit("leave").alias("action"), (F.col("user_id") + 1).alias("successor"))
     join = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("created_by").alias("user_id")).join(members, ["room_id", "user_id"], "left_anti").select("room_id", "user_id", F.lit("join"), F.lit(None).cast("long"))
-    kept, rejected = M.apply_cohort_changes(t.fx_rooms, t.fx_participants, _eligible(t), leave.union(join))
-    return kept.withColumn("outcome", F.lit("member")).union(rejected.select("room_id", "user_id", F.lit("rejected")))
+    post = members.filter("(room_id + user_id) % 3 = 1").select("room_id", "user_id", F.lit("post"), F.lit(None).cast("long"))
+    changes = leave.union(join).union(post).withColumn("content", F.concat(F.lit(" said "), F.col("user_id").cast("string"), F.lit("\n")))
+    after = M.apply_cohort_changes(t.fx_rooms, t.fx_participants, _eligible(t), changes, t.sql(TIMES))
+    out = after["members"].withColumn("outcome", F.lit("member"))
+    for name, user, outcome in (("rejected", "user_id", F.lit("rejected")), ("posted", "user_id", F.col("content")), ("leaders", "leader_id", F.lit("leader")), ("availabilities", "user_id", F.lit("times"))):
+        out = out.union(after[name].select("room_id", user, outcome))
+    return out
 
 
 # Who takes over a room whose leader (id % 4 = 0) goes: the earliest member who stays and displays the paper.
@@ -211,9 +232,14 @@ def u12_register_users(spark, sf_dir) -> DataFrame:
 # Operations
 
 
-@query("fx_statements", sql="SELECT CASE WHEN statement LIKE '%select%' THEN 'SELECT' WHEN statement LIKE 'INS%' THEN 'INSERT' WHEN statement LIKE 'UPD%' THEN 'UPDATE' WHEN statement LIKE 'PRAG%' THEN 'PRAGMA' ELSE 'DELETE' END AS operation, count(*) AS n, round(sum(ms), 2) AS total_ms, round(avg(ms), 2) AS avg_ms, round(max(ms), 2) AS max_ms FROM fx_statements GROUP BY 1")
+@query("fx_statements", sql="SELECT CASE WHEN statement LIKE '%select%' THEN 'SELECT' WHEN statement LIKE 'INS%' THEN 'INSERT' WHEN statement LIKE 'UPD%' THEN 'UPDATE' WHEN statement LIKE 'PRAG%' THEN 'PRAGMA' ELSE 'DELETE' END AS operation, CASE WHEN statement LIKE '%PRAGMA%' THEN '-' WHEN statement LIKE '%select%' THEN 'papers' WHEN statement LIKE 'INSERT%' THEN 'copies' WHEN statement LIKE 'UPDATE%' THEN 'users' ELSE 'auth_tokens' END AS tbl, count(*) AS n, round(sum(ms), 2) AS total_ms, round(avg(ms), 2) AS avg_ms, round(max(ms), 2) AS max_ms FROM fx_statements GROUP BY 1, 2")
 def a14_statement_metrics(spark, sf_dir) -> DataFrame:
-    return P.statement_metrics(Tables(spark, sf_dir).fx_statements).drop("table")
+    return P.statement_metrics(Tables(spark, sf_dir).fx_statements).withColumnRenamed("table", "tbl")
+
+
+@query("fx_statements", sql="SELECT count(*) AS n, round(sum(ms), 2) AS total_ms FROM fx_statements")
+def a14_statement_totals(spark, sf_dir) -> DataFrame:
+    return P.statement_totals(Tables(spark, sf_dir).fx_statements)
 
 
 @query("fx_statements", sql="SELECT id, substr(statement, 1, 300) AS statement, round(ms, 2) AS ms FROM fx_statements ORDER BY fx_statements.ms DESC, fx_statements.at, id LIMIT 10")
@@ -260,12 +286,14 @@ def st1_stream_notifications(spark, sf_dir) -> DataFrame:
     return ST.run_to_end(ST.stream_notifications(stream, _eligible(t, public_only=False)), folder)
 
 
-@query("fx_notifications", sql="SELECT user_id, count(*) AS n, CAST(epoch(time_bucket(INTERVAL 1 DAY, created_at, TIMESTAMP '1970-01-01 21:00:00')) AS BIGINT) AS day FROM fx_notifications WHERE NOT read AND NOT emailed GROUP BY user_id, day HAVING epoch(time_bucket(INTERVAL 1 DAY, max(created_at), TIMESTAMP '1970-01-01 21:00:00')) + 86400 <= (SELECT epoch(max(created_at)) FROM fx_notifications WHERE NOT read AND NOT emailed) - 86400")
+@query("fx_notifications", "fx_users", sql="SELECT d.user_id, d.day, u.email, d.n, 'the library: ' || d.n || CASE WHEN d.n = 1 THEN ' new message' ELSE ' new messages' END || ' today' AS subject, 'Hello ' || u.display_name || ',' || chr(10) || chr(10) || 'You have ' || d.n || CASE WHEN d.n = 1 THEN ' new message' ELSE ' new messages' END || ' in the library today:' || chr(10) || chr(10) || d.lines || chr(10) || chr(10) || 'Read and reply in your inbox: #/inbox' || chr(10) || chr(10) || '— the library' AS body FROM (SELECT user_id, count(*) AS n, string_agg('  - ' || content, chr(10) ORDER BY created_at, id) AS lines, CAST(epoch(time_bucket(INTERVAL 1 DAY, created_at, TIMESTAMP '1970-01-01 21:00:00')) AS BIGINT) AS day FROM fx_notifications WHERE NOT read AND NOT emailed GROUP BY user_id, day HAVING epoch(time_bucket(INTERVAL 1 DAY, max(created_at), TIMESTAMP '1970-01-01 21:00:00')) + 86400 <= (SELECT epoch(max(created_at)) FROM fx_notifications WHERE NOT read AND NOT emailed) - 86400) d JOIN fx_users u ON u.id = 1 + d.user_id % 100")
 def st2_stream_digest(spark, sf_dir) -> DataFrame:
-    rows = Tables(spark, sf_dir).fx_notifications.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    t = Tables(spark, sf_dir)
+    rows = t.fx_notifications.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    users = rows.select("user_id").distinct().join(t.fx_users, F.col("id") == 1 + F.col("user_id") % 100).select(F.col("user_id").alias("id"), "email", "display_name")
     stream, folder = _stream(spark, rows, "st2")
-    out = ST.run_to_end(ST.stream_digest(stream), folder)
-    return out.select("user_id", "n", F.col("window.start").cast("long").alias("day"))
+    out = ST.run_to_end(ST.stream_digest(stream, users), folder)
+    return out.select("user_id", F.col("window.start").cast("long").alias("day"), "email", "n", "subject", "body")
 
 
 @query("fx_room_events", sql=FOLD_SQL)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import classify_statement
+from ..operators.inbox import mails
 from ..operators.ops import kept_uses
 from ..operators.seminars import FOLDED, SeminarState, fold_rows, folded_frame
 
@@ -22,13 +23,14 @@ def stream_notifications(events: DataFrame, readers: DataFrame) -> DataFrame:
     return events.join(readers, "paper_key").filter("user_id <> actor_id").select("user_id", "seq", "content")
 
 
-def stream_digest(notifications: DataFrame) -> DataFrame:
-    """(user_id, window, n): due notifications of each day that ends at 21:00; a row a day late is never mailed.
+def stream_digest(notifications: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, window, email, n, subject, body): the mail of each day that ends at 21:00; a row a day late is never mailed.
 
-    created_at must be a timestamp with time zone. A closed window is emitted once.
+    created_at must be a timestamp with time zone. A closed window is emitted once. users is a table that the stream meets.
     """
     rows = notifications.filter("not read and not emailed").withWatermark("created_at", "1 day")
-    return rows.groupBy("user_id", F.window("created_at", "1 day", startTime="21 hours")).agg(F.count("*").alias("n"))
+    own = F.sort_array(F.collect_list(F.struct("created_at", "id", "content"))).alias("own")
+    return mails(rows.groupBy("user_id", F.window("created_at", "1 day", startTime="21 hours")).agg(F.count("*").alias("n"), own), users)
 
 
 def stream_seminar_state(events: DataFrame) -> DataFrame:
