@@ -279,7 +279,7 @@ def u16_mark_edits(spark, sf_dir) -> DataFrame:
 
 
 # Readers' strokes and sessions.
-STROKES = "SELECT event_id AS id, user_id, event_id % 20 AS edition_id, event_id % 9 AS page FROM events WHERE event_type = 'click'"
+OWN_INK = "SELECT event_id AS id, user_id, event_id % 20 AS edition_id, event_id % 9 AS page FROM events WHERE event_type = 'click'"
 SESSIONS = "SELECT event_id AS id, user_id FROM events WHERE event_type <> 'click'"
 
 
@@ -288,7 +288,7 @@ def _uploads(c: Canon) -> DataFrame:
     return c.editions.join(c.entries.select("id", "user_id", "file_path", "created_at"), "id")
 
 
-@query("m", "fx_users", "fx_rooms", "fx_comments", "fx_participants", "fx_notifications", sql=f"SELECT u.id AS user_id, u.display_name, coalesce(c.n, 0) AS copies, coalesce(n.n, 0) AS notes, coalesce(k.n, 0) AS ink, coalesce(s.n, 0) AS seminars, coalesce(w.n, 0) AS messages, coalesce(o.n, 0) AS notices, coalesce(e.n, 0) AS uploads, coalesce(c.f, -1) AS first_copy FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n FROM ({STROKES}) GROUP BY 1) k ON k.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({MESSAGES}) GROUP BY 1) w ON w.user_id = u.id LEFT JOIN (SELECT m.user_id, count(*) AS n FROM m_editions d JOIN m_map m ON m.id = d.id GROUP BY 1) e ON e.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n, min_by(id, (created_at, id)) AS f FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(DISTINCT room_id) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id")
+@query("m", "fx_users", "fx_rooms", "fx_comments", "fx_participants", "fx_notifications", sql=f"SELECT u.id AS user_id, u.display_name, coalesce(c.n, 0) AS copies, coalesce(n.n, 0) AS notes, coalesce(k.n, 0) AS ink, coalesce(s.n, 0) AS seminars, coalesce(w.n, 0) AS messages, coalesce(o.n, 0) AS notices, coalesce(e.n, 0) AS uploads, coalesce(c.f, -1) AS first_copy FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n FROM ({OWN_INK}) GROUP BY 1) k ON k.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({MESSAGES}) GROUP BY 1) w ON w.user_id = u.id LEFT JOIN (SELECT m.user_id, count(*) AS n FROM m_editions d JOIN m_map m ON m.id = d.id GROUP BY 1) e ON e.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n, min_by(id, (created_at, id)) AS f FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(DISTINCT room_id) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id")
 def a19_export_bundle(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
@@ -296,7 +296,7 @@ def a19_export_bundle(spark, sf_dir) -> DataFrame:
     parts = {
         "copies": (c.copies, ["created_at", "id"], ["paper_id", "summary", "thought", "marketed", "is_author", "rating_expertise", "rating_reading", "rating_liking"]),
         "notes": (t.fx_comments, ["paper_id", "page", "id"], ["content", "anchor", "current_place"]),
-        "ink": (t.sql(STROKES), ["id"], ["edition_id", "page"]),
+        "ink": (t.sql(OWN_INK), ["id"], ["edition_id", "page"]),
         "seminars": (seminars, ["created_at", "id"], ["status", "started", "leads", "my_messages"]),
         "notices": (t.fx_notifications, ["created_at", "id"], ["content", "read"]),
         "uploads": (_uploads(c), ["created_at", "id"], ["paper_id", "file_path"]),
@@ -326,13 +326,13 @@ def w11_export_file_names(spark, sf_dir) -> DataFrame:
 
 
 @query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""WITH {HEIRS} SELECT 'room' AS what, r.id, CASE WHEN h.room_id IS NOT NULL THEN h.new_leader ELSE r.leader_id END AS v, CASE WHEN h.room_id IS NOT NULL AND h.new_leader IS NULL THEN 'open' ELSE r.status END AS s FROM fx_rooms r LEFT JOIN heirs h ON h.room_id = r.id
-UNION ALL SELECT 'user', id, NULL, CASE WHEN id % 4 = 0 THEN 'deleted-' || CAST(id AS VARCHAR) || '@erased.invalid|A former reader|2024-01-20' ELSE email || '|' || display_name || '|' END FROM fx_users UNION ALL SELECT 'ink', id, user_id, NULL FROM ({STROKES}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'session', id, user_id, NULL FROM ({SESSIONS}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'times', id, user_id, NULL FROM ({TIMES}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'copy', id, user_id, NULL FROM m_copies WHERE user_id % 4 <> 0 UNION ALL SELECT 'note', id, user_id, NULL FROM fx_comments WHERE user_id % 4 <> 0 UNION ALL SELECT 'notice', id, user_id, NULL FROM fx_notifications WHERE user_id % 4 <> 0 UNION ALL SELECT 'member', id, user_id, NULL FROM fx_participants WHERE user_id % 4 <> 0""")
+UNION ALL SELECT 'user', id, NULL, CASE WHEN id % 4 = 0 THEN 'deleted-' || CAST(id AS VARCHAR) || '@erased.invalid|A former reader|2024-01-20' ELSE email || '|' || display_name || '|' END FROM fx_users UNION ALL SELECT 'ink', id, user_id, NULL FROM ({OWN_INK}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'session', id, user_id, NULL FROM ({SESSIONS}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'times', id, user_id, NULL FROM ({TIMES}) WHERE user_id NOT IN (SELECT id FROM fx_users WHERE id % 4 = 0) UNION ALL SELECT 'copy', id, user_id, NULL FROM m_copies WHERE user_id % 4 <> 0 UNION ALL SELECT 'note', id, user_id, NULL FROM fx_comments WHERE user_id % 4 <> 0 UNION ALL SELECT 'notice', id, user_id, NULL FROM fx_notifications WHERE user_id % 4 <> 0 UNION ALL SELECT 'member', id, user_id, NULL FROM fx_participants WHERE user_id % 4 <> 0""")
 def u08_erase_readers(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
     leaving = t.fx_users.filter("id % 4 = 0").select("id")
     users = t.fx_users.withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
-    private = {"copy": c.copies, "note": t.fx_comments, "notice": t.fx_notifications, "ink": t.sql(STROKES), "session": t.sql(SESSIONS), "times": t.sql(TIMES)}
+    private = {"copy": c.copies, "note": t.fx_comments, "notice": t.fx_notifications, "ink": t.sql(OWN_INK), "session": t.sql(SESSIONS), "times": t.sql(TIMES)}
     after = V.erase_readers(leaving, users, private, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies), F.lit(NOW).cast("timestamp_ntz"))
     none = F.lit(None).cast("string")
     out = after["rooms"].select(F.lit("room").alias("what"), "id", F.col("leader_id").alias("v"), F.col("status").alias("s"))
@@ -343,12 +343,12 @@ def u08_erase_readers(spark, sf_dir) -> DataFrame:
 
 
 @query("m", "fx_users", "fx_rooms", "fx_participants", "fx_comments", "fx_notifications", sql=f"""WITH {HEIRS}, h AS (SELECT old_leader AS user_id, count(*) FILTER (new_leader IS NULL) AS reopened, count(*) FILTER (new_leader IS NOT NULL) AS handed_on FROM heirs GROUP BY 1)
-SELECT u.id AS user_id, coalesce(n.n, 0) AS notes, coalesce(c.n, 0) AS papers, coalesce(o.n, 0) AS notifications, coalesce(s.n, 0) AS left, coalesce(h.handed_on, 0) AS handed_on, coalesce(h.reopened, 0) AS reopened, coalesce(k.n, 0) AS ink, coalesce(z.n, 0) AS sessions, coalesce(w.n, 0) AS messages_kept, coalesce(e.n, 0) AS pdfs_kept FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n FROM ({STROKES}) GROUP BY 1) k ON k.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({SESSIONS}) GROUP BY 1) z ON z.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({MESSAGES}) GROUP BY 1) w ON w.user_id = u.id LEFT JOIN (SELECT m.user_id, count(*) AS n FROM m_editions d JOIN m_map m ON m.id = d.id GROUP BY 1) e ON e.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id LEFT JOIN (SELECT user_id, count(DISTINCT room_id) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN h ON h.user_id = u.id WHERE u.id % 4 = 0""")
+SELECT u.id AS user_id, coalesce(n.n, 0) AS notes, coalesce(c.n, 0) AS papers, coalesce(o.n, 0) AS notifications, coalesce(s.n, 0) AS left, coalesce(h.handed_on, 0) AS handed_on, coalesce(h.reopened, 0) AS reopened, coalesce(k.n, 0) AS ink, coalesce(z.n, 0) AS sessions, coalesce(w.n, 0) AS messages_kept, coalesce(e.n, 0) AS pdfs_kept FROM fx_users u LEFT JOIN (SELECT user_id, count(*) AS n FROM ({OWN_INK}) GROUP BY 1) k ON k.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({SESSIONS}) GROUP BY 1) z ON z.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM ({MESSAGES}) GROUP BY 1) w ON w.user_id = u.id LEFT JOIN (SELECT m.user_id, count(*) AS n FROM m_editions d JOIN m_map m ON m.id = d.id GROUP BY 1) e ON e.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_comments GROUP BY 1) n ON n.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM m_copies GROUP BY 1) c ON c.user_id = u.id LEFT JOIN (SELECT user_id, count(*) AS n FROM fx_notifications GROUP BY 1) o ON o.user_id = u.id LEFT JOIN (SELECT user_id, count(DISTINCT room_id) AS n FROM fx_participants GROUP BY 1) s ON s.user_id = u.id LEFT JOIN h ON h.user_id = u.id WHERE u.id % 4 = 0""")
 def u09_erasure_report(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
     c = Canon(t)
     leaving = t.fx_users.filter("id % 4 = 0").select("id")
-    tables = {"notes": t.fx_comments, "ink": t.sql(STROKES), "papers": c.copies, "notifications": t.fx_notifications, "sessions": t.sql(SESSIONS), "messages_kept": t.sql(MESSAGES), "pdfs_kept": _uploads(c)}
+    tables = {"notes": t.fx_comments, "ink": t.sql(OWN_INK), "papers": c.copies, "notifications": t.fx_notifications, "sessions": t.sql(SESSIONS), "messages_kept": t.sql(MESSAGES), "pdfs_kept": _uploads(c)}
     return V.erasure_report(leaving, tables, t.fx_rooms, t.fx_participants, eligible_readers(c.papers, c.copies))
 
 
