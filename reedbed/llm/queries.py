@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_digests
 from .chat import format_conversations
 from .decontam import contaminated
+from .mixing import mix_report
 from .ngram_join import ngram_components
 from .quality import quality_report
 from .rans import token_file_digests
@@ -66,8 +67,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe, op11_source_mix)}
 
 
 OP7_SQL = """WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
