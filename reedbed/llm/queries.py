@@ -12,6 +12,7 @@ from .chat import format_conversations
 from .decontam import contaminated
 from .mixing import mix_report
 from .ngram_join import ngram_components
+from .prefix_trie import prefix_trie
 from .quality import quality_report
 from .rans import token_file_digests
 from .secrets import ACCESS, ASSIGN, HEX, OPAQUE, secret_report
@@ -71,8 +72,12 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe, op11_source_mix)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe, op11_source_mix, op13_prefix_trie)}
 
 
 OP7_SQL = """WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -107,5 +112,18 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
   coalesce(string_agg(j, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+# The CRC-32 goes bit by bit over the digits of the id.
+OP13_SQL = """WITH t AS (SELECT conv_id, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM own),
+s AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) AS s FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d AS depth, len(s) = d AS ends, array_to_string(list_transform(list_slice(s, 1, d), lambda x: x.k), '') AS path, array_to_string(list_transform(list_slice(s, 1, d - 1), lambda x: x.k), '') AS up, CASE WHEN d = 0 THEN 0 ELSE s[d].w END AS w FROM s, generate_series(0, len(s)) g(d)),
+n AS (SELECT path, any_value(up) AS up, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+k AS (SELECT up AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.path = n.path AND k.depth = n.depth),
+r AS (SELECT left(path, 32 * CAST(d AS INT)) AS path, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM a, generate_series(0, a.depth) g(d) GROUP BY ALL)
+SELECT a.conv_id, a.depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, r.n_leaves, CAST(r.saved AS BIGINT) AS saved_tokens, a.ends_sha256 FROM a JOIN r ON r.path = a.path AND r.depth = a.depth LEFT JOIN a u ON a.depth > 0 AND u.path = a.up AND u.depth = a.depth - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL, "op13_prefix_trie": OP13_SQL}
