@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import encode_digests
 from .chat import format_conversations
 from .decontam import contaminated
+from .hard_negatives import hard_negatives
 from .mixing import mix_report
 from .ngram_join import ngram_components
 from .prefix_trie import prefix_trie
@@ -72,12 +73,16 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe, op11_source_mix, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_decontamination, op5_edited_token_counts, op6_suffix_dedup, op7_url_filter, op8_tool_calls, op9_token_files, op10_byte_bpe, op11_source_mix, op12_hard_negatives, op13_prefix_trie)}
 
 
 OP7_SQL = """WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -112,6 +117,11 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
   coalesce(string_agg(j, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+OP12_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER o AS INT) AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score WINDOW o AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER o <= 3"""
+
 # The CRC-32 goes bit by bit over the digits of the id.
 OP13_SQL = """WITH t AS (SELECT conv_id, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own FROM t GROUP BY conv_id),
@@ -126,4 +136,4 @@ SELECT a.conv_id, a.depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op3_quality_rules": OP3_SQL, "op7_url_filter": OP7_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
