@@ -5,19 +5,18 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import arxiv_as_doi, content_words, normalize_doi, paper_key, plausible_year, safe_url, words_match, year_distance
+from ..functions.text import arxiv_as_doi, content_words, match_query, normalize_doi, paper_key, plausible_year, safe_url, strip, words_match, year_distance
+from .title_search import top_titles
 
 YEAR_LIMIT = 3
 ABOVE, BELOW = -0.012, 0.06
 STALE = "INTERVAL 15 MINUTES"
-QUERY_BLOCK, INDEX_BLOCK = 1_000, 4_000  # references and works that one task compares
 
 
 def analysis_queue(editions: DataFrame, now: Column) -> DataFrame:
@@ -65,52 +64,27 @@ def resolve_by_identifier(refs: DataFrame, works: DataFrame) -> DataFrame:
     return best.select("id", "b.work_id", "b.distance", "b.via")
 
 
-def candidates(refs: DataFrame, works: DataFrame, k: int = 5, min_len: int = 8) -> DataFrame:
-    """(id, work_id, common, rank): up to k works of each reference by common title words.
+def first_query() -> Column:
+    """What the first index is asked: the printed line without addresses and arXiv notes."""
+    return match_query("raw")
 
-    References are the queries of a search, in blocks, against all works, in blocks: a pair of blocks counts common words in
-    one task and gives out k works of each reference, so that a word of very many titles makes no rows. Words are compared
-    by their 64-bit hashes. Ranks go by common words, then work id. References with less than min_len characters to search
-    by have none.
+
+def second_query(min_len: int = 8) -> Column:
+    """What the second index is asked: the parsed title, else the printed line, of min_len characters at least."""
+    text = F.regexp_replace(strip(F.coalesce(F.nullif("title", F.lit("")), "raw")), r"(?U)\s+", " ")
+    return F.when(F.length(text) >= min_len, text)
+
+
+def candidates(refs: DataFrame, works: DataFrame, k: int = 5, min_len: int = 8, text: Column | None = None) -> DataFrame:
+    """(id, work_id, common, rank): up to k works of each reference by common title words; see title_search.
+
+    Ranks go by common words, then work id. text is what a reference is searched by, null or empty for no search; without it,
+    the printed line and the parsed title together, for references with min_len characters to search by at least.
     """
-    text = F.coalesce("title", "raw")
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    query = refs.filter(F.length(F.coalesce(text, F.lit(""))) >= min_len).select("id", hashed(content_words(F.concat_ws(" ", "raw", "title"))).alias("words"))
-    index = works.select(F.col("id").alias("work_id"), hashed(content_words("title")).alias("words")).filter(F.size("words") > 0)
-    sides = []
-    blocks = [max(1, -(-side.count() // size)) for side, size in ((query, QUERY_BLOCK), (index, INDEX_BLOCK))]
-    for side, key, own, other in ((query, "id", 0, 1), (index, "work_id", 1, 0)):
-        named = side.withColumn(f"b{own}", F.pmod(F.xxhash64(key), F.lit(blocks[own])))
-        sides.append(named.withColumn(f"b{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[other] - 1).cast("long")))).groupBy("b0", "b1"))
-    best = sides[0].cogroup(sides[1]).applyInArrow(lambda a, b: _most_common(a, b, k), "id long, work_id long, common long")
-    order = W.partitionBy("id").orderBy(F.desc("common"), "work_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _most_common(refs: pa.Table, works: pa.Table, k: int) -> pa.Table:
-    """For each reference the k works of most common words, by (common, work id); works without any are left out."""
-    works = works.sort_by("work_id")
-    rows, cols = refs.num_rows, works.num_rows
-    common = np.zeros((rows, cols), np.int16)
-    if rows and cols:
-        sides = []
-        for table in (refs, works):
-            lists = table.column("words").combine_chunks()
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            word = lists.flatten().to_numpy(zero_copy_only=False)
-            order = np.argsort(word, kind="stable")
-            sides.append((word[order], owner[order]))
-        (a, left), (b, right) = sides
-        shared = np.intersect1d(a, b)
-        bounds = [np.searchsorted(x, shared, side) for x in (a, b) for side in ("left", "right")]
-        for s, e, p, q in zip(*(x.tolist() for x in bounds), strict=True):
-            common[np.ix_(left[s:e], right[p:q])] += 1
-    key = common.astype(np.int64) * cols + (cols - 1 - np.arange(cols))
-    top = np.argpartition(-key, min(k, cols) - 1, axis=1)[:, :k] if rows and cols else np.zeros((rows, 0), np.int64)
-    row, col = np.repeat(np.arange(rows), top.shape[1]), top.reshape(-1)
-    some = common[row, col] > 0
-    row, col = row[some], col[some]
-    return pa.table({"id": refs.column("id").to_numpy()[row], "work_id": works.column("work_id").to_numpy()[col], "common": common[row, col].astype(np.int64)})
+    hashed = lambda c: F.transform(content_words(c), lambda w: F.xxhash64(w))
+    if text is None:
+        text = F.when(F.length(F.coalesce("title", "raw")) >= min_len, F.concat_ws(" ", "raw", "title"))
+    return top_titles(refs.select("id", hashed(text).alias("words")), works.select(F.col("id").alias("work_id"), hashed(F.col("title")).alias("words")), k)
 
 
 def best_candidate(cands: DataFrame, limit: int = YEAR_LIMIT) -> DataFrame:
