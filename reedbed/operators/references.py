@@ -12,9 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import arxiv_as_doi, content_words, match_query, normalize_doi, paper_key, plausible_year, safe_url, strip, words_match, year_distance
+from ..sources.shared import kept
 from .title_search import top_titles
 
 YEAR_LIMIT = 3
+FIELDS = ["title", "authors", "year", "venue", "abstract", "citations", "doi", "url", "pdf_url", "source"]  # of a record, in order
 ABOVE, BELOW = -0.012, 0.06
 STALE = "INTERVAL 15 MINUTES"
 
@@ -99,13 +101,13 @@ def best_candidate(cands: DataFrame, limit: int = YEAR_LIMIT) -> DataFrame:
 def merge_works(primary: str, secondary: str, printed_year: Column) -> Column:
     """Fields of two work structs: the first that is not empty, zero or missing; the year printed, if one has it."""
     p, s = F.col(primary), F.col(secondary)
-    out = []
+    out = {}
     for name in ("title", "authors", "venue", "abstract", "citations", "doi", "url", "pdf_url", "source"):
         a, b = p[name], s[name]
         full = F.size(a) > 0 if name == "authors" else (a != 0 if name == "citations" else F.length(a) > 0)
-        out.append(F.when(F.coalesce(full, F.lit(False)), a).otherwise(b).alias(name))
-    year = F.when(p["year"] == printed_year, p["year"]).when(s["year"] == printed_year, s["year"]).otherwise(F.coalesce(F.nullif(p["year"], F.lit(0)), s["year"]))
-    return F.struct(*out, year.alias("year"))
+        out[name] = F.when(F.coalesce(full, F.lit(False)), a).otherwise(b)
+    out["year"] = F.when(p["year"] == printed_year, p["year"]).when(s["year"] == printed_year, s["year"]).otherwise(F.coalesce(F.nullif(p["year"], F.lit(0)), s["year"]))
+    return F.struct(*(out[f].alias(f) for f in FIELDS))
 
 
 def resolve_references(refs: DataFrame, works: DataFrame, k: int = 5, second_available: bool = True) -> DataFrame:
@@ -123,7 +125,7 @@ def resolve_references(refs: DataFrame, works: DataFrame, k: int = 5, second_ava
         pairs = part.join(w, "work_id").join(open_.select("id", "year", "hay"), "id")
         return accepted(pairs).select("id", "work_id", "distance", "source_rank", "rank")
 
-    first = judged(0)
+    first = kept(judged(0), "judged")
     sure = first.filter("distance = 0").select("id").distinct()
     both = first.union(judged(1).join(sure, "id", "left_anti")) if second_available else first
     best = best_candidate(both).select("id", "work_id", "distance", F.lit("title").alias("via"))
@@ -133,6 +135,69 @@ def resolve_references(refs: DataFrame, works: DataFrame, k: int = 5, second_ava
     return out.select("id", F.when(F.col("work_id").isNotNull(), "ok").otherwise(none).alias("status"), "work_id", "distance", "via")
 
 
+def _by_doi(works: DataFrame) -> DataFrame:
+    """(k, work_id, found): the record of each DOI, of the work with the least id."""
+    return works.select(normalize_doi("record.doi").alias("k"), F.struct("id", "record").alias("w")).filter("k is not null and k <> ''").groupBy("k").agg(F.min_by("w", "w.id").alias("w")).select("k", F.col("w.id").alias("work_id"), F.col("w.record").alias("found"))
+
+
+def resolve_records(refs: DataFrame, first: DataFrame, second: DataFrame, k: int = 5, second_available: bool = True) -> DataFrame:
+    """(id, status, via, distance, work_id, enriched, record): each reference's work with its whole record.
+
+    refs: id, raw, title, year, doi, arxiv_id. first and second are the two indexes: id, record (a struct of WORK). In turn:
+    1. the record that the second index has under the reference's DOI, then under its arXiv number, if title and year agree;
+    2. what the first index finds for the printed line, and, unless one of that is of the printed year, what the second finds
+       for the title: the nearest in year, then of the first index, then the best found. A farther one than YEAR_LIMIT is none;
+    3. a winner of the first index with a DOI that the second knows is merged with that record, if what comes out still has the
+       title and year of the reference.
+    Nothing found is a miss; it is an error, to be tried again, if the second index was asked while it was out. An index is
+    searched by bounds (see title_search); records only travel for the works that are chosen.
+    """
+    plain = lambda works, rank: works.select("id", F.col("record.doi").alias("doi"), F.col("record.title").alias("title"), F.col("record.year").alias("year"), F.lit(rank).alias("source_rank"))
+    own = with_words(refs)
+    known = resolve_by_identifier(refs, plain(second, 1))
+    known = known if second_available else known.limit(0)
+    open_ = own.join(known.select("id"), "id", "left_anti")
+
+    def judged(works: DataFrame, rank: int, asked: DataFrame, text: Column) -> DataFrame:
+        pairs = candidates(asked, plain(works, rank), k, text=text).join(work_columns(plain(works, rank)), "work_id").join(asked.select("id", "year", "hay"), "id")
+        return accepted(pairs).select("id", "work_id", "distance", "source_rank", "rank")
+
+    found = kept(judged(first, 0, open_, first_query()), "judged")
+    sure = found.filter("distance = 0").select("id").distinct()
+    unsure = open_.join(sure, "id", "left_anti")
+    both = found.union(judged(second, 1, unsure, second_query())) if second_available else found
+    best = best_candidate(both)
+
+    printed = own.select("id", F.col("year").alias("printed"), "hay")
+    one = best.filter("source_rank = 0").join(first.select(F.col("id").alias("work_id"), "record"), "work_id").join(printed, "id")
+    if second_available:
+        one = one.withColumn("k", normalize_doi("record.doi")).join(_by_doi(second).drop("work_id"), "k", "left")
+        one = one.withColumn("merged", F.when(F.col("found").isNotNull(), merge_works("found", "record", F.col("printed"))))
+        holds = words_match(content_words("merged.title"), F.col("hay")) & (year_distance("merged.year", "printed") <= YEAR_LIMIT)
+        one = one.withColumn("enriched", F.coalesce(F.col("merged").isNotNull() & holds, F.lit(False))).withColumn("record", F.when(F.col("enriched"), F.col("merged")).otherwise(F.col("record")))
+    else:
+        one = one.withColumn("enriched", F.lit(False))
+    columns = ["id", "work_id", "distance", "via", "enriched", "record"]
+    one = one.withColumn("via", F.lit("first")).select(columns)
+    rest = best.filter("source_rank = 1").select("id", "work_id", "distance", F.lit("second").alias("via"))
+    rest = rest.union(known.select("id", "work_id", "distance", F.when(F.col("via") == 0, "doi").otherwise("arxiv")))
+    two = rest.join(second.select(F.col("id").alias("work_id"), "record"), "work_id").withColumn("enriched", F.lit(False)).select(columns)
+    out = refs.join(one.union(two), "id", "left").join(sure.withColumn("sure", F.lit(True)), "id", "left")
+    has = lambda c: F.coalesce(F.length(c) > 0, F.lit(False))
+    asked = F.lit(False) if second_available else has(F.col("doi")) | has(F.col("arxiv_id")) | (F.col("sure").isNull() & second_query().isNotNull())
+    status = F.when(F.col("work_id").isNotNull(), "ok").when(asked, "error").otherwise("miss")
+    return out.select("id", status.alias("status"), "via", "distance", "work_id", F.coalesce("enriched", F.lit(False)).alias("enriched"), "record")
+
+
+def store_records(refs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """refs with resolved_status, resolved_at and resolution taken from outcomes (id, status, record). An error changes nothing,
+    so that the reference stays in the queue."""
+    done = outcomes.filter("status in ('ok', 'miss')").select("id", F.col("status").alias("__s"), F.col("record").alias("__r"))
+    new = {"resolved_status": F.col("__s"), "resolved_at": now, "resolution": F.to_json("__r")}
+    rows = refs.join(done, "id", "left")
+    return rows.select(*(F.when(F.col("__s").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in refs.columns))
+
+
 def library_match(refs: DataFrame, papers: DataFrame) -> DataFrame:
     """(id, paper_id): references that name a paper held; the DOI key first, then the title key; least paper id a key.
 

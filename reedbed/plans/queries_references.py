@@ -58,9 +58,9 @@ def j07_resolve_by_identifier(spark, sf_dir) -> DataFrame:
     return R.resolve_by_identifier(t.sql(NAMED), t.sql(INDEXED)).select("id", "via", "work_id", "distance")
 
 
-def candidates_sql(refs: str, works: str, k: int = 5) -> str:
+def candidates_sql(refs: str, works: str, k: int = 5, text: str = "CASE WHEN length(coalesce(title, raw, '')) >= 8 THEN coalesce(raw, '') || ' ' || coalesce(title, '') END") -> str:
     return f"""SELECT id, work_id, common, rank FROM (SELECT id, work_id, count(*) AS common, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, work_id) AS rank
-  FROM (SELECT id, unnest({words_sql("coalesce(raw, '') || ' ' || coalesce(title, '')")}) AS w FROM {refs} WHERE length(coalesce(title, raw, '')) >= 8) q JOIN (SELECT id AS work_id, unnest({words_sql('title')}) AS w FROM {works}) p ON p.w = q.w GROUP BY id, work_id) WHERE rank <= {k}"""
+  FROM (SELECT id, unnest({words_sql('text')}) AS w FROM (SELECT id, {text} AS text FROM {refs}) WHERE text IS NOT NULL) q JOIN (SELECT id AS work_id, unnest({words_sql('title')}) AS w FROM {works}) p ON p.w = q.w GROUP BY id, work_id) WHERE rank <= {k}"""
 
 
 @query("fx_references", "fx_works", sql=candidates_sql("fx_references", "fx_works"))
@@ -105,6 +105,68 @@ def c03_resolve_references(spark, sf_dir) -> DataFrame:
     return R.resolve_references(t.sql(NAMED), t.sql(INDEXED))
 
 
+# What each index is asked, and two indexes that share DOIs: the second has other years, and for some works another title.
+FIRST_QUERY = r"substr(trim(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)arXiv\s*preprint\s*arXiv:\s*[\d.]+(v\d+)?', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')), 1, 500)"
+SECOND_QUERY = r"CASE WHEN length(trim(regexp_replace(coalesce(nullif(title, ''), raw), '\s+', ' ', 'g'))) >= 8 THEN coalesce(nullif(title, ''), raw) END"
+PRINTED = "SELECT r.id, r.raw, CASE WHEN r.id % 4 = 1 THEN regexp_extract(r.raw, '^[^.\n]*', 0) END AS title, r.year, CASE WHEN r.id % 7 = 0 THEN 'https://doi.org/10.6666/D.' || CAST(r.id - r.id % 2 AS STRING) END AS doi, CASE WHEN r.id % 11 = 5 THEN 'arXiv:' || CAST(r.id AS STRING) END AS arxiv_id FROM fx_references r"
+FIRST = "SELECT id, CASE WHEN id % 9 = 4 THEN '' ELSE doi END AS doi, title, year, 'Venue ' || CAST(id % 5 AS STRING) AS venue, CAST(NULL AS INT) AS citations, 'one' AS source FROM fx_works WHERE source_rank = 0 OR id % 2 = 0"
+SECOND = "SELECT 10000000 + id AS id, CASE WHEN id % 11 = 1 THEN '10.48550/arXiv.' || CAST(id - 1000000 AS STRING) ELSE upper(doi) END AS doi, CASE WHEN id % 10 = 4 THEN 'Quite another title altogether' ELSE title END AS title, CAST(year + id % 2 + CASE WHEN id % 8 = 6 THEN 9 ELSE 0 END AS INT) AS year, CASE WHEN id % 3 = 0 THEN '' ELSE 'Place ' || CAST(id % 7 AS STRING) END AS venue, CAST(id % 6 AS INT) AS citations, 'two' AS source FROM fx_works WHERE id % 3 <> 1 OR source_rank = 0"
+
+
+def records_sql(available: bool) -> str:
+    """SQL of resolve_records over PRINTED, FIRST and SECOND."""
+    hay = words_sql("coalesce(r.raw, '') || ' ' || coalesce(r.title, '')")
+    by_id = BY_ID.replace("named", "printed").replace("indexed w", "two w").replace("w.source_rank", "1 AS source_rank")
+    judged = f"""SELECT c.id, c.work_id, c.rank, %d AS source_rank, {distance_sql('w.year', 'r.year')} AS distance, {words_sql('w.title')} AS cw, {hay} AS h FROM (%s) c JOIN %s w ON w.id = c.work_id JOIN printed r ON r.id = c.id"""
+    second = f"UNION ALL SELECT * FROM ({judged % (1, candidates_sql('unsure', 'two', text=SECOND_QUERY), 'two')}) WHERE {MATCHED}" if available else ""
+    merged = """m AS (SELECT b.id, b.distance, b.work_id, w.title AS t1, w.year AS y1, w.doi AS d1, w.venue AS v1, w.citations AS c1, s.id IS NOT NULL AS met, coalesce(nullif(s.title, ''), w.title) AS t, coalesce(nullif(s.doi, ''), w.doi) AS d, coalesce(nullif(s.venue, ''), w.venue) AS v, coalesce(nullif(s.citations, 0), w.citations) AS c,
+      CASE WHEN s.year = r.year THEN s.year WHEN w.year = r.year THEN w.year ELSE coalesce(nullif(s.year, 0), w.year) END AS y, r.year AS printed, """ + hay + """ AS h FROM b JOIN one w ON w.id = b.work_id JOIN printed r ON r.id = b.id LEFT JOIN (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY lower(doi) ORDER BY id) = 1) s ON %s AND s.doi <> '' AND lower(s.doi) = lower(w.doi) WHERE b.source_rank = 0),
+    e AS (SELECT *, coalesce(met AND %s AND %s <= 3, FALSE) AS ok FROM (SELECT *, %s AS cw FROM m))""" % ("TRUE" if available else "FALSE", MATCHED, distance_sql("y", "printed"), words_sql("t"))
+    known = "known" if available else "(SELECT * FROM known LIMIT 0)"
+    asked = "FALSE" if available else f"length(coalesce(p.doi, '')) > 0 OR length(coalesce(p.arxiv_id, '')) > 0 OR (p.id NOT IN (SELECT id FROM sure) AND p.id IN (SELECT id FROM printed WHERE ({SECOND_QUERY}) IS NOT NULL))"
+    return f"""WITH printed AS ({PRINTED}), one AS ({FIRST}), two AS ({SECOND}), known AS ({by_id}), op AS (SELECT * FROM printed WHERE id NOT IN (SELECT id FROM {known})),
+    j0 AS (SELECT * FROM ({judged % (0, candidates_sql('op', 'one', text=FIRST_QUERY), 'one')}) WHERE {MATCHED}), sure AS (SELECT id FROM j0 WHERE distance = 0), unsure AS (SELECT * FROM op WHERE id NOT IN (SELECT id FROM sure)),
+    b AS (SELECT * FROM (SELECT * FROM j0 {second}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, source_rank, rank, work_id) = 1 AND distance <= 3), {merged},
+    f AS (SELECT id, 'first' AS via, distance, work_id, ok AS enriched, CASE WHEN ok THEN t ELSE t1 END AS title, CASE WHEN ok THEN y ELSE y1 END AS year, CASE WHEN ok THEN d ELSE d1 END AS doi, CASE WHEN ok THEN v ELSE v1 END AS venue, CASE WHEN ok THEN c ELSE c1 END AS citations, CASE WHEN ok THEN 'two' ELSE 'one' END AS source FROM e
+    UNION ALL SELECT x.id, x.via, x.distance, x.work_id, FALSE, w.title, w.year, w.doi, w.venue, w.citations, w.source FROM (SELECT id, 'second' AS via, distance, work_id FROM b WHERE source_rank = 1 UNION ALL SELECT id, CASE WHEN via = 0 THEN 'doi' ELSE 'arxiv' END, distance, work_id FROM {known}) x JOIN two w ON w.id = x.work_id)
+    SELECT p.id, CASE WHEN f.id IS NOT NULL THEN 'ok' WHEN {asked} THEN 'error' ELSE 'miss' END AS status, f.via, f.distance, f.work_id, coalesce(f.enriched, FALSE) AS enriched, f.title, f.year, f.doi, f.venue, f.citations, f.source FROM printed p LEFT JOIN f ON f.id = p.id"""
+
+
+def _records(t: Tables, available: bool) -> DataFrame:
+    none = lambda kind: F.lit(None).cast(kind)
+    fields = {"authors": none("array<string>"), "abstract": none("string"), "url": none("string"), "pdf_url": none("string")}
+    of = lambda works: works.select("id", F.struct(*(fields[n].alias(n) if n in fields else F.col(n) for n in ("title", "authors", "year", "venue", "abstract", "citations", "doi", "url", "pdf_url", "source"))).cast(WORK).alias("record"))
+    return R.resolve_records(t.sql(PRINTED), of(t.sql(FIRST)), of(t.sql(SECOND)), second_available=available)
+
+
+def _fields(out: DataFrame) -> DataFrame:
+    return out.select("id", "status", "via", "distance", "work_id", "enriched", *(f"record.{n}" for n in ("title", "year", "doi", "venue", "citations", "source")))
+
+
+@query("fx_references", "fx_works", sql=records_sql(True))
+def c03_records(spark, sf_dir) -> DataFrame:
+    """Every reference's whole record, those of the first index enriched from the second."""
+    return _fields(_records(Tables(spark, sf_dir), True))
+
+
+@query("fx_references", "fx_works", sql=records_sql(False))
+def c03_records_in_outage(spark, sf_dir) -> DataFrame:
+    """The same while the second index cannot be asked."""
+    return _fields(_records(Tables(spark, sf_dir), False))
+
+
+@query("fx_references", "fx_works", sql=f"SELECT id, resolved_status, resolved_status IS NULL AS queued, json_extract_string(resolution, '$.doi') AS doi, CAST(json_extract_string(resolution, '$.year') AS INT) AS year FROM (SELECT id, CASE WHEN status <> 'error' THEN status END AS resolved_status, CASE WHEN status = 'ok' THEN json_object('doi', doi, 'year', year) END AS resolution FROM ({records_sql(False)}))")
+def c03_stored_records(spark, sf_dir) -> DataFrame:
+    """Outcomes of an outage as they are stored: errors stay in the queue."""
+    t = Tables(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    refs = t.fx_references.withColumns({"resolved_status": none, "resolved_at": F.lit(None).cast("timestamp_ntz"), "resolution": none})
+    kept = R.store_records(refs, _records(t, False), F.lit(NOW).cast("timestamp_ntz"))
+    queue = R.resolution_queue(kept).select("id", F.lit(True).alias("q"))
+    out = kept.join(queue, "id", "left")
+    return out.select("id", "resolved_status", F.col("q").isNotNull().alias("queued"), F.get_json_object("resolution", "$.doi").alias("doi"), F.get_json_object("resolution", "$.year").cast("int").alias("year"))
+
+
 @query("m", "fx_references", sql="""WITH r AS (SELECT r.id, replace(lower(trim(coalesce(CASE WHEN r.id % 5 = 0 THEN '10.5555/part.' || CAST(r.id % 200 AS VARCHAR) END, r.doi))), 'https://doi.org/', '') AS d, lower(p.title) AS tt FROM fx_references r LEFT JOIN (SELECT paper_id % 100 AS n, min_by(title, paper_id) AS title FROM m_papers GROUP BY 1) p ON p.n = r.id % 100 AND r.id % 3 = 0),
 pk AS (SELECT paper_key, min(paper_id) AS paper_id FROM m_papers GROUP BY paper_key) SELECT r.id, coalesce(a.paper_id, b.paper_id) AS paper_id FROM r LEFT JOIN pk a ON a.paper_key = 'doi:' || nullif(r.d, '') LEFT JOIN pk b ON b.paper_key = 'title:' || trim(r.tt) WHERE coalesce(a.paper_id, b.paper_id) IS NOT NULL""")
 def j09_library_match(spark, sf_dir) -> DataFrame:
