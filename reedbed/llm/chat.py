@@ -89,7 +89,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, space:
     an unknown or ill-typed argument, with one that is no JSON, or without a required one has problems. Calls are in
     topological order by (level, turn, call_id). Of calls with one id the least by (turn, name, arguments) stays; calls
     without id all stay, on level 0 and without results. A text that is no JSON is serialised as a string, and a null
-    argument as null. Results without call are left out; other columns are ignored. Empty tables give an empty table.
+    argument as null. Results without call are left out (lone_results reports them); other columns are ignored. Empty tables
+    give an empty table.
     """
     own = ["conv_id", "turn", "name", "arguments", "needs"]
     plain = calls.select("call_id", "conv_id", F.col("turn"), "name", _entries(F.col("arguments")).alias("arguments"), "needs")
@@ -120,20 +121,33 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, space:
     return out.select("conv_id", "call_id", "turn", "name", level, F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), (F.size("problems") == 0).alias("valid"), F.array_join("problems", ",").alias("problems"), canonical_json(body).alias("json"))
 
 
+def lone_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The results (conv_id, call_id, turn, content) whose call is not in calls, as rows like those of link_calls: one for each
+    call_id, or for each conversation and turn if that is null, on level 0, with the problem "no call" and without name and
+    arguments. Rows that repeat a content are counted and serialised once. Empty tables give an empty table."""
+    lone = results.join(calls.filter("call_id is not null").select("call_id"), "call_id", "left_anti")
+    alone = F.when(F.col("call_id").isNull(), F.struct("conv_id", "turn"))
+    lone = lone.groupBy("call_id", alone.alias("alone")).agg(F.min("conv_id").alias("conv_id"), F.min("turn").alias("turn"), F.count("*").alias("n_results"), F.transform(F.sort_array(F.collect_set(F.struct("turn", "content"))), lambda x: x["content"]).alias("contents"))
+    said = F.create_map(F.lit("id"), F.coalesce(json_text(F.col("call_id")), F.lit("null")), F.lit("results"), F.to_json("contents"))
+    return lone.select("conv_id", "call_id", "turn", F.lit(None).cast("string").alias("name"), F.lit(0).alias("level"), "n_results", F.lit(False).alias("valid"), F.lit("no call").alias("problems"), canonical_json(said).alias("json"))
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain conversations, whose turns name no tools.
 
     A user's turn is a call, named by its form (question with a question mark, else statement), with its text, its number
     of words and, if it is the conversation's first, the text of its system turns as arguments; it needs the user's turn
-    before it. The assistant's next turn is its result. Rows without conversation or turn are left out; different texts of
+    before it. Every other turn that is not a system's is a result of the latest call at its turn or before, whatever its
+    role; one without a call before it has no call_id. Rows without conversation or turn are left out; different texts of
     one turn and role are one text, joined in their order.
     """
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn", "role").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
     ident = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     system = turns.filter("role = 'system'").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("system"))
     asked = turns.filter("role = 'user'").withColumn("before", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))).join(system, "conv_id", "left")
-    said = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("asked"), "turn", F.col("text").alias("content"))
-    results = said.select(ident(F.col("asked")).alias("call_id"), "turn", "content")
+    order = Window.partitionBy("conv_id").orderBy("turn", ~F.col("role").eqNullSafe("user"))
+    said = turns.filter("role is null or role <> 'system'").withColumn("asked", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(order)).filter("role is null or role <> 'user'")
+    results = said.select("conv_id", F.when(F.col("asked").isNotNull(), ident(F.col("asked"))).alias("call_id"), "turn", F.col("text").alias("content"))
     words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     arguments = F.create_map(F.lit("text"), json_text(F.col("text")), F.lit("n_words"), words.cast("string"))
     led = F.create_map(F.lit("text"), json_text(F.col("text")), F.lit("n_words"), words.cast("string"), F.lit("system"), json_text(F.array_join("system", "\n")))
@@ -146,9 +160,10 @@ SCHEMAS = T.StructType([T.StructField("name", T.StringType()), T.StructField("ar
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Calls of plain conversations, linked: see turns_as_calls and link_calls."""
+    """Calls of plain conversations, linked, and their turns without a call: see turns_as_calls, link_calls and lone_results."""
     spark = conversations.sparkSession
     space = Workspace(spark, "chat")
     calls, results = turns_as_calls(conversations)
     schemas = spark.createDataFrame([(n, a, k, must) for n in ("question", "statement") for a, k, must in (("text", "string", True), ("n_words", "integer", True), ("system", "string", False))], SCHEMAS)
-    return link_calls(space.keep(calls, "calls"), results, schemas, space)
+    calls, results = space.keep(calls, "calls"), space.keep(results, "results")
+    return link_calls(calls, results, schemas, space).union(lone_results(calls, results))

@@ -72,9 +72,13 @@ def document_rules(docs: DataFrame) -> DataFrame:
 def frequent_lines(rules: DataFrame, max_docs: int) -> DataFrame:
     """(host, h, first_doc): lines in more than max_docs documents of a host; null is a host too.
 
-    Rows that repeat an id and a text are one document. Lines are counted before they are shuffled.
+    Documents are distinct ids, null one of them. Ids that are repeated in a host have their lines made distinct before they
+    are counted; all others are counted before they are shuffled.
     """
-    each = rules.dropDuplicates(["doc_id", "th", "host"]).select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    again = rules.groupBy("doc_id", "host").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("host").eqNullSafe(F.col("__host"))
+    held = lambda rows: rows.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    each = held(rules.join(again, same, "left_anti")).union(held(rules.join(again, same, "left_semi")).distinct())
     return each.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc")).filter(F.col("docs") > max_docs).select("host", "h", "first_doc")
 
 

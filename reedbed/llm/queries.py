@@ -96,7 +96,7 @@ g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(list
 c AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM g, range(5) t(j) WHERE g.n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, line, lower(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')) AS k, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-h AS (SELECT source, k FROM l GROUP BY source, k HAVING count(DISTINCT doc_id) > 100),
+h AS (SELECT source, k FROM l GROUP BY source, k HAVING count(DISTINCT doc_id) + CAST(bool_or(doc_id IS NULL) AS INT) > 100),
 x AS (SELECT l.doc_id, sum(l.words) AS n FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source AND h.k = l.k GROUP BY 1),
 a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id)
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - n_removed_words >= 10 AND 100 * (n_words - n_removed_words) >= 20 * n_words AS kept FROM a"""

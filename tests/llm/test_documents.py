@@ -544,3 +544,14 @@ def test_a_piece_whose_hash_is_taken_is_encoded_by_itself(monkeypatch):
 )
 def test_empty_table(empty, run):
     assert run(empty).count() == 0
+
+
+def test_lines_count_distinct_documents(spark):
+    """Several texts of one id are one document of a line's count, null ids are one, and other hosts do not count."""
+    from reedbed.llm.quality import document_rules, frequent_lines
+
+    rows = [(1, "h", f"same\nown {k}") for k in range(8)] + [(k, "g", "line") for k in range(4)] + [(None, "g", f"line\n{k}") for k in range(5)] + [(7, None, "line"), (7, None, "line\nline")]
+    docs = spark.createDataFrame(rows, "doc_id long, host string, text string")
+    got = {(r["host"], r["first_doc"]) for r in frequent_lines(document_rules(docs), 4).collect()}
+    assert got == {("g", 0)}
+    assert {r["host"] for r in frequent_lines(document_rules(docs), 0).collect()} == {"g", "h", None}

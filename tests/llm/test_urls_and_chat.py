@@ -45,6 +45,24 @@ def test_judge_urls(spark, limit, monkeypatch):
     assert judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_filter_urls_by_a_list(spark, limit, monkeypatch):
+    """A table of listed keys, clashing column names, null keys, repeated and very long urls."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 8)
+    rows = [(k, k if k % 9 else None, "s", b"c", 1.5) for k in range(80)] * 2
+    urls = spark.createDataFrame(rows, "shard long, key long, part string, cascade binary, u0 double")
+    listed = spark.createDataFrame([(k,) for k in [*range(0, 200, 5), 3, 3, None]], "key long")
+    out = url_filter.filter_urls(urls, listed, Workspace(spark, "t"))
+    assert out.columns == [*urls.columns, "member"]
+    want = sorted(((*r, r[1] is not None and (r[1] % 5 == 0 or r[1] == 3)) for r in rows), key=str)
+    assert sorted(((*r[:3], bytes(r[3]), *r[4:]) for r in out.collect()), key=str) == want
+    assert url_filter.filter_urls(urls.limit(0), listed.limit(0), Workspace(spark, "t")).count() == 0
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x" * 300_000), (2, "http://b.com/y"), (3, None)], "page_id long, url string")
+    own = url_filter.url_keys(pages.filter("page_id = 1")).select("key")
+    assert {r["page_id"]: r["verdict"] for r in judge_urls(pages, own).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 CALLS = "conv_id long, call_id string, turn long, name string, arguments map<string,string>, needs array<string>"
 
 
@@ -81,6 +99,47 @@ def test_format_conversations(spark):
     assert frame.filter(F.col("role") == "user").count() == 5
 
 
+def plain_chat(rows):
+    """Calls, results and lone turns of conversations, one after the other."""
+    texts = {}
+    for c, turn, role, text in rows:
+        if c is not None and turn is not None:
+            texts.setdefault((c, turn, role), set()).add(text or "")
+    said = {k: "\n".join(sorted(v)) for k, v in texts.items()}
+    out = []
+    for c in {k[0] for k in said}:
+        own = sorted(((t, r != "user", r or ""), r, x) for (k, t, r), x in said.items() if k == c)
+        system = [x for _, r, x in own if r == "system"]
+        calls, lone = [], []
+        for (turn, *_), role, text in own:
+            if role == "user":
+                calls.append([turn, text, []])
+            elif role != "system":
+                (calls[-1][2] if calls else lone).append((turn, text))
+        for level, (turn, text, results) in enumerate(calls):
+            arguments = {"n_words": len(re.findall(r"[^\x20\x09-\x0D]+", text)), "text": text}
+            if system and not level:
+                arguments["system"] = "\n".join(system)
+            body = {"arguments": arguments, "id": f"call-{c}-{turn}", "name": "question" if "?" in text else "statement", "results": [x for _, x in sorted(set(results))]}
+            out.append((c, body["id"], turn, body["name"], level, len(results), True, "", json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
+        for turn in sorted({t for t, _ in lone}):
+            here = [x for t, x in lone if t == turn]
+            out.append((c, None, turn, None, 0, len(here), False, "no call", json.dumps({"id": None, "results": sorted(set(here))}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_turns_of_any_order(spark, seed):
+    """Tool turns, several answers, answers before any call, two roles in one turn, repeated rows and nulls."""
+    rng = np.random.default_rng(seed)
+    roles = ["user", "assistant", "tool", "system", None]
+    rows = [(int(rng.integers(0, 25)), int(rng.integers(0, 9)), roles[int(rng.integers(0, 5))], ["a", "b?", "", "é \n c", None][int(rng.integers(0, 5))]) for _ in range(300)]
+    rows += rows[:20] + [(None, 1, "user", "x"), (1, None, "user", "y"), (90, 3, "assistant", "alone"), (91, 0, "user", "long " * 30_000), (91, 1, "tool", "t"), (91, 2, "assistant", "u"), (91, 3, "assistant", "v")]
+    frame = spark.createDataFrame([(*r, "n", 1) for r in rows], "conv_id long, turn long, role string, text string, name string, level int")
+    got = sorted((tuple(r) for r in format_conversations(frame).collect()), key=str)
+    assert got == plain_chat(rows)
+
+
 def test_calls_without_id_and_clashing_calls_stay_defined(spark):
     calls = [(1, None, 1, "f", {"x": "1"}, ["a"]), (1, None, 1, "f", {"x": "1"}, None), (1, "a", 2, "g", None, None), (1, "a", 1, "g", {"x": "2"}, None), (1, "a", 1, "f", {"x": "3"}, None)]
     schemas = spark.createDataFrame([("f", "x", "integer", True)], SCHEMAS)
