@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.shared import kept
 
 
 def eligible_readers(papers: DataFrame, copies: DataFrame, public_only: bool = True) -> DataFrame:
@@ -133,24 +134,60 @@ FOLDED = "paper_key string, seq long, action string, actor_id long, accepted boo
 
 
 class SeminarState:
-    """The seminars of one paper: the current room's number, status, leader and members."""
+    """The seminars of one paper: the current room's number, status, leader, members, and what was announced and shared in it."""
+
+    DETAILS = ("time", "platform", "style", "style_desc")
 
     def __init__(self, room: int = 0, status: str = "none", leader: int | None = None, members: tuple[int, ...] = ()):
         self.room, self.status, self.leader, self.members = room, status, leader, list(members)
-
-    def apply(self, action: str, actor: int, eligible: bool, successor: int | None = None, heir_reads: bool = True) -> str:
-        """Change the state; the reason why the action is rejected, or an empty text."""
-        rules = {"call": self._call, "join": self._join, "lead": self._lead, "unhost": self._unhost, "announce": self._announce, "finish": self._finish}
+        self.creator: int | None = None
+        self.details: dict[str, str | None] = dict.fromkeys(self.DETAILS)
+        self.times: dict[int, str | None] = {}
+        self.notice: str | None = None
+
+    def apply(self, action: str, actor: int, eligible: bool, successor: int | None = None, heir_reads: bool = True, said: dict | None = None) -> str:
+        """Change the state; the reason why the action is rejected, or an empty text.
+
+        said: time, platform, style and style_desc of an announcement, availability of a share. notice is what an accepted
+        action is to be told as, if at all.
+        """
+        rules = {"call": self._call, "join": self._join, "lead": self._lead, "unhost": self._unhost, "announce": self._announce, "finish": self._finish, "share": self._share}
+        before, self.notice = self.status, None
         if action == "leave":
-            return self._leave(actor, successor, heir_reads)
-        return rules[action](actor, eligible) if action in rules else "unknown action"
+            led = self.leader
+            reason = self._leave(actor, successor, heir_reads)
+            self.notice = "handover" if not reason and self.leader != led else None
+            return reason
+        reason = rules[action](actor, eligible) if action in rules else "unknown action"
+        if reason:
+            return reason
+        if action == "announce":
+            self.notice = "updated" if before == "scheduled" else "scheduled"
+            given = {k: (said or {}).get(k) for k in self.DETAILS}
+            style, desc = (given["style"] or "").strip(), (given["style_desc"] or "").strip()
+            self.details = given | {"style": style, "style_desc": desc or None}
+        elif action == "share":
+            self.times[actor] = (said or {}).get("availability")
+        elif action in ("call", "lead", "unhost"):
+            self.notice = action
+        return ""
+
+    def _share(self, actor: int, eligible: bool) -> str:
+        if self.status == "none":
+            return "no seminar"
+        if self.status == "scheduled":
+            return "already scheduled"
+        if not eligible:
+            return "not a reader"
+        return "" if actor in self.members else "not a member"
 
     def _call(self, actor: int, eligible: bool) -> str:
         if not eligible:
             return "not a reader"
         if self.status in ("open", "planning"):
             return "a seminar is already called"
-        self.room, self.status, self.leader, self.members = self.room + 1, "open", None, [actor]
+        self.room, self.status, self.leader, self.members, self.creator = self.room + 1, "open", None, [actor], actor
+        self.details, self.times = dict.fromkeys(self.DETAILS), {}
         return ""
 
     def _join(self, actor: int, eligible: bool) -> str:
@@ -206,6 +243,7 @@ class SeminarState:
                 return "successor is not a reader"
             self.leader = successor
         self.members.remove(actor)
+        self.times.pop(actor, None)
         return ""
 
 
@@ -237,6 +275,63 @@ def seminar_fold(events: DataFrame) -> DataFrame:
     return events.groupBy("paper_key").applyInPandas(fold, FOLDED)
 
 
+HISTORY = (
+    "kind string, paper_key string, seq long, action string, actor_id long, accepted boolean, reason string, notice string, heir long, room int, status string, creator long, leader long, "
+    "members array<long>, time string, platform string, style string, style_desc string, availabilities array<struct<user_id:long,availability:string>>"
+)
+
+
+def _history_row(kind: str, key: str, own: SeminarState, event: tuple = (None,) * 7) -> tuple:
+    shared = [{"user_id": u, "availability": t} for u, t in sorted(own.times.items())]
+    return (kind, key, *event, own.room, own.status, own.creator, own.leader, list(own.members), *(own.details[k] for k in SeminarState.DETAILS), shared)
+
+
+def _text(value: object) -> str | None:
+    return None if value is None or pd.isna(value) else str(value)
+
+
+def history_rows(own: SeminarState, key: str, rows: Iterator) -> list[tuple]:
+    """A row of kind event for every event, and one of kind room for each room that a later call leaves behind."""
+    out = []
+    for r in rows:
+        said = {k: _text(getattr(r, k, None)) for k in (*SeminarState.DETAILS, "availability")}
+        room, left = own.room, _history_row("room", key, own)
+        heir = None if pd.isna(r.successor) else int(r.successor)
+        reason = own.apply(r.action, int(r.actor_id), bool(r.eligible), heir, bool(r.successor_eligible), said)
+        if own.room != room and room:
+            out.append(left)
+        out.append(_history_row("event", key, own, (int(r.seq), r.action, int(r.actor_id), not reason, reason, own.notice, heir if own.notice == "handover" else None)))
+    return out
+
+
+def history_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in HISTORY.replace("struct<user_id:long,availability:string>", "x").split(", ")])
+    for c in ("seq", "actor_id", "heir", "creator", "leader"):
+        out[c] = out[c].astype("Int64")
+    out["accepted"] = out["accepted"].astype("boolean")
+    return out
+
+
+def seminar_history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rooms) of the logs of all papers.
+
+    events: those of seminar_fold, with time, platform, style, style_desc (of an announcement) and availability (of a share) where
+    there are any. outcomes: every event with accepted or the reason against it, the notice it is told as, the heir of a
+    handover, and the room after it with its members. rooms: every room as it ends: status, creator, leader, members,
+    time, platform, style, and what its members shared. A style is stripped, an empty description is none; who leaves takes
+    their availability along; sharing is refused only without a room, in a scheduled one, or to those who are no eligible
+    members. A call starts a new room, and the one before stays as it is.
+    """
+
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = SeminarState()
+        rows = history_rows(own, key[0], pdf.sort_values(["ts", "seq"]).itertuples(index=False))
+        return history_frame([*rows, *([_history_row("room", key[0], own)] if own.room else [])])
+
+    both = kept(events.groupBy("paper_key").applyInPandas(fold, HISTORY), "history")
+    return both.filter("kind = 'event'").drop("kind"), both.filter("kind = 'room'").select("paper_key", "room", "status", "creator", "leader", "members", "time", "platform", "style", "style_desc", "availabilities")
+
+
 # What readers are told of each accepted action.
 MESSAGES = {
     "call": "{actor} called for a seminar on “{title}”. A reader of the paper can answer to host.",
@@ -253,14 +348,39 @@ def notice_of(action: Column, before: Column) -> Column:
     return F.when(action == "announce", F.when(before == "scheduled", "updated").otherwise("scheduled")).when(action.isin("call", "lead", "unhost", "handover"), action)
 
 
-def seminar_notifications(transitions: DataFrame, told: DataFrame) -> DataFrame:
-    """(room_id, user_id, seq, content). transitions: room_id, seq, action, status_before, actor, title, time, platform;
-    told: room_id, user_id, is_member. An unhosted room's notice goes to members only."""
+def _told_as() -> Column:
+    """The text of a notice, from columns notice, actor, title, time and platform."""
     text = F.lit(None).cast("string")
     for name, message in MESSAGES.items():
         filled = F.lit(message)
         for field in ("actor", "title", "time", "platform"):
             filled = F.replace(filled, F.lit(f"{{{field}}}"), F.coalesce(F.col(field), F.lit(""))) if f"{{{field}}}" in message else filled
         text = F.when(F.col("notice") == name, filled).otherwise(text)
+    return text
+
+
+def seminar_notifications(transitions: DataFrame, told: DataFrame) -> DataFrame:
+    """(room_id, user_id, seq, content). transitions: room_id, seq, action, status_before, actor, title, time, platform, and
+    successor where there are handovers; told: room_id, user_id, is_member. An unhosted room's notice goes to members
+    only, a handover's to the successor alone."""
     rows = transitions.withColumn("notice", notice_of(F.col("action"), F.col("status_before"))).filter("notice is not null")
-    return rows.join(told, "room_id").filter("notice <> 'unhost' or is_member").select("room_id", "user_id", "seq", text.alias("content"))
+    out = rows.filter("notice <> 'handover'").join(told, "room_id").filter("notice <> 'unhost' or is_member").select("room_id", "user_id", "seq", _told_as().alias("content"))
+    if "successor" not in transitions.columns:
+        return out
+    return out.union(rows.filter("notice = 'handover' and successor is not null").select("room_id", "successor", "seq", _told_as()))
+
+
+def route_notices(outcomes: DataFrame, readers: DataFrame, titles: DataFrame, users: DataFrame) -> DataFrame:
+    """(paper_key, room, seq, user_id, content): who is told of each accepted outcome of seminar_history, and what.
+
+    A call, a host, a schedule and its update go to all readers (paper_key, user_id; hidden copies too) and members; a host's step
+    back to members; a handover to the successor alone; nobody is told of their own action. titles: paper_key, title; users:
+    id, display_name. Texts are made after the recipients are distinct.
+    """
+    notices = outcomes.filter("accepted and notice is not null").select("paper_key", "room", "seq", "notice", "actor_id", "heir", "members", "time", "platform")
+    whole = notices.filter("notice not in ('unhost', 'handover')").join(readers, "paper_key").select("paper_key", "seq", "user_id", "actor_id")
+    members = notices.filter("notice <> 'handover'").select("paper_key", "seq", F.explode("members").alias("user_id"), "actor_id")
+    heirs = notices.filter("notice = 'handover'").select("paper_key", "seq", F.col("heir").alias("user_id"), "actor_id")
+    to = whole.union(members).union(heirs).filter("user_id is not null and user_id <> actor_id").select("paper_key", "seq", "user_id").distinct()
+    named = notices.drop("members").join(titles, "paper_key", "left").join(users.select(F.col("id").alias("actor_id"), F.col("display_name").alias("actor")), "actor_id", "left")
+    return to.join(named, ["paper_key", "seq"]).select("paper_key", "room", "seq", "user_id", _told_as().alias("content"))

@@ -146,12 +146,90 @@ def c05_seminar_fold(spark, sf_dir) -> DataFrame:
     return M.seminar_fold(_seminar_log(Tables(spark, sf_dir))).select("paper_key", "seq", "accepted", "room", "status", "leader", F.col("n_members").cast("long").alias("n_members"))
 
 
+def _seminar_story(t: Tables) -> DataFrame:
+    """The same logs with what is announced and shared; every seventeenth event shares times."""
+    log = _seminar_log(t)
+    seq = F.col("seq").cast("string")
+    said = {"time": F.concat(F.lit("at "), seq), "platform": F.concat(F.lit("room "), (F.col("seq") % 3).cast("string")), "style": F.concat(F.lit(" style "), (F.col("seq") % 4).cast("string"), F.lit(" ")), "style_desc": F.when(F.col("seq") % 2 == 0, F.concat(F.lit("like "), seq)).otherwise(" "), "availability": F.concat(F.lit("free "), seq)}
+    return log.withColumn("action", F.when((F.col("seq") % 17 == 0) & (F.col("seq") % 13 != 0), "share").otherwise(F.col("action"))).withColumns(said)
+
+
+STORY = """ev AS (SELECT 'paper:' || CAST(room_id - room_id % 20 AS VARCHAR) AS paper_key, seq, CAST(actor_id AS BIGINT) AS a, CASE WHEN seq % 13 = 0 THEN 'leave' WHEN seq % 17 = 0 THEN 'share' ELSE action END AS action, seq % 11 <> 0 AS el, CASE WHEN seq % 4 <> 0 THEN seq % 3 END AS heir, seq % 5 <> 0 AS hel, row_number() OVER (PARTITION BY room_id - room_id % 20 ORDER BY ts, seq) AS n FROM fx_room_events),
+st AS (SELECT paper_key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, '' AS action, CAST(NULL AS BIGINT) AS a, '' AS why, CAST(NULL AS VARCHAR) AS notice, CAST(NULL AS BIGINT) AS heir, 0 AS room, 'none' AS status, CAST(NULL AS BIGINT) AS creator, CAST(NULL AS BIGINT) AS leader, CAST([] AS BIGINT[]) AS m, CAST(NULL AS BIGINT) AS told, CAST([] AS STRUCT(u BIGINT, f BIGINT)[]) AS av FROM (SELECT DISTINCT paper_key FROM ev)
+UNION ALL SELECT s.paper_key, e.n, e.seq, e.action, e.a, reason,
+  CASE WHEN reason <> '' THEN NULL WHEN e.action IN ('call', 'lead', 'unhost') THEN e.action WHEN e.action = 'announce' THEN CASE WHEN s.status = 'scheduled' THEN 'updated' ELSE 'scheduled' END WHEN e.action = 'leave' AND hands THEN 'handover' END,
+  CASE WHEN reason = '' AND e.action = 'leave' AND hands THEN e.heir END,
+  CASE WHEN reason = '' AND e.action = 'call' THEN s.room + 1 ELSE s.room END,
+  CASE WHEN reason <> '' THEN s.status WHEN e.action IN ('call', 'unhost') THEN 'open' WHEN e.action = 'lead' THEN 'planning' WHEN e.action = 'announce' THEN 'scheduled' WHEN e.action = 'finish' THEN 'finished' ELSE s.status END,
+  CASE WHEN reason = '' AND e.action = 'call' THEN e.a ELSE s.creator END,
+  CASE WHEN reason <> '' THEN s.leader WHEN e.action IN ('call', 'unhost') THEN NULL WHEN e.action = 'lead' THEN e.a WHEN e.action = 'leave' AND hands THEN e.heir ELSE s.leader END,
+  CASE WHEN reason <> '' THEN s.m WHEN e.action = 'call' THEN [e.a] WHEN e.action = 'join' AND NOT list_contains(s.m, e.a) THEN list_append(s.m, e.a) WHEN e.action = 'leave' THEN list_filter(s.m, lambda x: x <> e.a) ELSE s.m END,
+  CASE WHEN reason <> '' THEN s.told WHEN e.action = 'call' THEN NULL WHEN e.action = 'announce' THEN e.seq ELSE s.told END,
+  CASE WHEN reason <> '' THEN s.av WHEN e.action = 'call' THEN [] WHEN e.action = 'leave' THEN list_filter(s.av, lambda x: x.u <> e.a) WHEN e.action = 'share' THEN list_append(list_filter(s.av, lambda x: x.u <> e.a), {'u': e.a, 'f': e.seq}) ELSE s.av END
+FROM st s JOIN ev e ON e.paper_key = s.paper_key AND e.n = s.n + 1, LATERAL (SELECT coalesce(s.leader = e.a AND s.status IN ('planning', 'scheduled'), FALSE) AS hands, coalesce(s.leader = e.a AND s.status <> 'none', FALSE) AS leads, list_contains(s.m, e.a) AS inside) y, LATERAL (SELECT CASE e.action
+  WHEN 'call' THEN CASE WHEN NOT e.el THEN 'not a reader' WHEN s.status IN ('open', 'planning') THEN 'a seminar is already called' ELSE '' END
+  WHEN 'join' THEN CASE WHEN s.status = 'none' THEN 'no seminar' WHEN NOT e.el THEN 'not a reader' ELSE '' END
+  WHEN 'lead' THEN CASE WHEN s.status <> 'open' THEN 'not open' WHEN NOT inside THEN 'not a member' WHEN NOT e.el THEN 'not a reader' ELSE '' END
+  WHEN 'unhost' THEN CASE WHEN NOT leads THEN 'not the leader' WHEN s.status <> 'planning' THEN 'not in planning' ELSE '' END
+  WHEN 'announce' THEN CASE WHEN NOT leads THEN 'not the leader' WHEN s.status NOT IN ('planning', 'scheduled') THEN 'not in planning' ELSE '' END
+  WHEN 'finish' THEN CASE WHEN NOT leads THEN 'not the leader' WHEN s.status <> 'scheduled' THEN 'not scheduled' ELSE '' END
+  WHEN 'share' THEN CASE WHEN s.status = 'none' THEN 'no seminar' WHEN s.status = 'scheduled' THEN 'already scheduled' WHEN NOT e.el THEN 'not a reader' WHEN NOT inside THEN 'not a member' ELSE '' END
+  ELSE CASE WHEN NOT inside THEN 'not a member' WHEN NOT hands THEN '' WHEN e.heir IS NULL OR e.heir = e.a OR NOT list_contains(s.m, e.heir) THEN 'no successor' WHEN NOT e.hel THEN 'successor is not a reader' ELSE '' END END AS reason) x)"""
+DETAILS = "CASE WHEN told IS NOT NULL THEN 'at ' || told END AS time, CASE WHEN told IS NOT NULL THEN 'room ' || told % 3 END AS platform"
+
+
+@query("fx_room_events", sql=f"WITH RECURSIVE {STORY} SELECT paper_key, seq, action, why = '' AS accepted, why AS reason, notice, heir, room, status, leader, array_to_string(m, ',') AS members, {DETAILS} FROM st WHERE n > 0")
+def c05_seminar_outcomes(spark, sf_dir) -> DataFrame:
+    """Every event with the reason why it is rejected or the notice that it is told as."""
+    out, _ = M.seminar_history(_seminar_story(Tables(spark, sf_dir)))
+    return out.select("paper_key", "seq", "action", "accepted", "reason", "notice", "heir", "room", "status", "leader", F.array_join("members", ",").alias("members"), "time", "platform")
+
+
+@query("fx_room_events", sql=f"""WITH RECURSIVE {STORY} SELECT paper_key, room, status, creator, leader, array_to_string(m, ',') AS members, {DETAILS}, CASE WHEN told IS NOT NULL THEN 'style ' || told % 4 END AS style, CASE WHEN told % 2 = 0 THEN 'like ' || told END AS style_desc, array_to_string(list_transform(list_sort(av), lambda x: x.u || ':free ' || x.f), ',') AS shared FROM st WHERE room > 0 QUALIFY row_number() OVER (PARTITION BY paper_key, room ORDER BY n DESC) = 1""")
+def c05_seminar_rooms(spark, sf_dir) -> DataFrame:
+    """Every room as it ends."""
+    _, rooms = M.seminar_history(_seminar_story(Tables(spark, sf_dir)))
+    shared = F.array_join(F.transform("availabilities", lambda x: F.concat(x["user_id"].cast("string"), F.lit(":"), x["availability"])), ",")
+    return rooms.select("paper_key", "room", "status", "creator", "leader", F.array_join("members", ",").alias("members"), "time", "platform", "style", "style_desc", shared.alias("shared"))
+
+
+# Readers of the logs' papers: some users for each, hidden copies too. The first three users are the actors.
+TOLD = """r AS (SELECT DISTINCT 'paper:' || CAST(e.room_id - e.room_id % 20 AS VARCHAR) AS paper_key, u.id AS user_id FROM fx_room_events e JOIN fx_users u ON u.id % 40 = (e.room_id - e.room_id % 20) // 20 % 40),
+q AS (SELECT paper_key, room, seq, notice, a, heir, m, told FROM st WHERE n > 0 AND why = '' AND notice IS NOT NULL),
+t AS (SELECT DISTINCT paper_key, seq, user_id FROM (SELECT q.paper_key, seq, user_id, a FROM q JOIN r ON r.paper_key = q.paper_key WHERE notice NOT IN ('unhost', 'handover') UNION ALL SELECT paper_key, seq, unnest(m), a FROM q WHERE notice <> 'handover' UNION ALL SELECT paper_key, seq, heir, a FROM q WHERE notice = 'handover') WHERE user_id <> a),
+c AS (SELECT q.paper_key, q.room, q.seq, t.user_id, CASE notice WHEN 'call' THEN w || ' called for a seminar on “' || p || '”. A reader of the paper can answer to host.' WHEN 'lead' THEN w || ' will host the seminar on “' || p || '”. Share your availability in the cohort.' WHEN 'unhost' THEN w || ' stepped back from hosting the seminar on “' || p || '”. A reader of the paper can answer to host.' WHEN 'handover' THEN w || ' handed you hosting of the seminar on “' || p || '”.' ELSE 'Seminar on “' || p || '” ' || notice || ': at ' || told || ' · room ' || told % 3 || '.' END AS content
+  FROM (SELECT q.*, coalesce(u.display_name, '') AS w, 'About ' || q.paper_key AS p FROM q LEFT JOIN fx_users u ON u.id = q.a) q JOIN t ON t.paper_key = q.paper_key AND t.seq = q.seq)"""
+
+
+def _notices(t: Tables) -> DataFrame:
+    story = _seminar_story(t)
+    outcomes, _ = M.seminar_history(story)
+    papers = story.select("paper_key").distinct()
+    readers = papers.withColumn("k", F.pmod((F.regexp_extract("paper_key", r"\d+", 0).cast("long") / 20).cast("long"), F.lit(40))).join(t.fx_users.select(F.col("id").alias("user_id"), (F.col("id") % 40).alias("k")), "k").select("paper_key", "user_id")
+    return M.route_notices(outcomes, readers, papers.withColumn("title", F.concat(F.lit("About "), "paper_key")), t.fx_users)
+
+
+@query("fx_room_events", "fx_users", sql=f"WITH RECURSIVE {STORY}, {TOLD} SELECT paper_key, room, seq, user_id, content FROM c")
+def c06_notices_of_the_log(spark, sf_dir) -> DataFrame:
+    """Who is told of what the fold accepts: readers, members, or one successor."""
+    return _notices(Tables(spark, sf_dir))
+
+
+@query("fx_room_events", "fx_users", sql=f"WITH RECURSIVE {STORY}, {TOLD} SELECT user_id, seq AS id, content, row_number() OVER (PARTITION BY user_id ORDER BY c.at DESC, seq DESC) AS rank FROM (SELECT c.*, e.ts AS at FROM c JOIN fx_room_events e ON e.seq = c.seq) c QUALIFY rank <= 50")
+def c06_inbox_of_the_log(spark, sf_dir) -> DataFrame:
+    """From the log to each user's inbox: fold, routing, newest fifty."""
+    t = Tables(spark, sf_dir)
+    rows = _notices(t).join(t.fx_room_events.select("seq", F.col("ts").alias("created_at")), "seq").withColumnRenamed("seq", "id")
+    return B.inbox(rows).select("user_id", "id", "content", F.col("rank").cast("long").alias("rank"))
+
+
 @query("fx_rooms", "fx_participants", sql="""SELECT t.room_id, p.user_id, t.seq, CASE t.action WHEN 'call' THEN 'Ada called for a seminar on “Paper”. A reader of the paper can answer to host.' WHEN 'lead' THEN 'Ada will host the seminar on “Paper”. Share your availability in the cohort.' WHEN 'unhost' THEN 'Ada stepped back from hosting the seminar on “Paper”. A reader of the paper can answer to host.' WHEN 'announce' THEN 'Seminar on “Paper” ' || CASE WHEN t.status_before = 'scheduled' THEN 'updated' ELSE 'scheduled' END || ': noon · here.' END AS content
-FROM (SELECT id AS room_id, id AS seq, ['call', 'lead', 'unhost', 'announce', 'finish'][CAST(id % 5 AS INT) + 1] AS action, status AS status_before FROM fx_rooms) t JOIN (SELECT room_id, user_id, bool_or(id % 3 = 0) AS is_member FROM fx_participants GROUP BY 1, 2) p ON p.room_id = t.room_id WHERE t.action <> 'finish' AND (t.action <> 'unhost' OR p.is_member)""")
+FROM (SELECT id AS room_id, id AS seq, ['call', 'lead', 'unhost', 'announce', 'finish', 'handover'][CAST(id % 6 AS INT) + 1] AS action, status AS status_before FROM fx_rooms) t JOIN (SELECT room_id, user_id, bool_or(id % 3 = 0) AS is_member FROM fx_participants GROUP BY 1, 2) p ON p.room_id = t.room_id WHERE t.action NOT IN ('finish', 'handover') AND (t.action <> 'unhost' OR p.is_member)
+UNION ALL SELECT id, created_by + 1, id, 'Ada handed you hosting of the seminar on “Paper”.' FROM fx_rooms WHERE id % 6 = 5""")
 def c06_seminar_notifications(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
-    action = F.element_at(F.array(*(F.lit(a) for a in ("call", "lead", "unhost", "announce", "finish"))), (F.col("id") % 5).cast("int") + 1)
-    moves = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("id").alias("seq"), action.alias("action"), F.col("status").alias("status_before"), F.lit("Paper").alias("title"), F.lit("Ada").alias("actor"), F.lit("noon").alias("time"), F.lit("here").alias("platform"))
+    action = F.element_at(F.array(*(F.lit(a) for a in ("call", "lead", "unhost", "announce", "finish", "handover"))), (F.col("id") % 6).cast("int") + 1)
+    moves = t.fx_rooms.select(F.col("id").alias("room_id"), F.col("id").alias("seq"), action.alias("action"), F.col("status").alias("status_before"), F.lit("Paper").alias("title"), F.lit("Ada").alias("actor"), F.lit("noon").alias("time"), F.lit("here").alias("platform"), (F.col("created_by") + 1).alias("successor"))
     told = t.fx_participants.groupBy("room_id", "user_id").agg(F.bool_or(F.col("id") % 3 == 0).alias("is_member"))
     return M.seminar_notifications(moves, told)
 
