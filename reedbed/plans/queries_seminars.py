@@ -349,13 +349,24 @@ def u13_live_sessions(spark, sf_dir) -> DataFrame:
 # Streams: each reads a table that it wrote as a stream's files
 
 
+FILES = 6  # that a stream of several batches has
+
+
 def _stream(spark, rows: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """A stream of the files that rows' own tasks write; what a key needs in order is sorted by key where its state is kept."""
+    """A stream of the files that rows' own tasks write."""
     folder = scratch(spark, name)
     rows.write.parquet(f"{folder}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder
 
 
+def _batches(spark, rows: DataFrame, name: str, part: str) -> tuple[DataFrame, str]:
+    """A stream of FILES batches, one file each, in the order of part (0 and up); a file's rows are in any order."""
+    folder = scratch(spark, name)
+    for k in range(FILES):
+        rows.filter(F.expr(part) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(rows.schema).parquet(f"{folder}/in"), folder
+
+
 @query("m", "fx_room_events", sql="SELECT c.user_id, e.seq, e.action AS content FROM (SELECT *, 'doi:10.5555/part.' || CAST(room_id AS VARCHAR) AS paper_key FROM fx_room_events) e JOIN (SELECT DISTINCT paper_key, user_id FROM m_copies) c ON c.paper_key = e.paper_key AND c.user_id <> e.actor_id")
 def st1_stream_notifications(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -364,35 +375,71 @@ def st1_stream_notifications(spark, sf_dir) -> DataFrame:
     return ST.run_to_end(ST.stream_notifications(stream, _eligible(t, public_only=False)), folder)
 
 
+def _digest_input(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = t.fx_notifications.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return rows, rows.select("user_id").distinct().join(t.fx_users, F.col("id") == 1 + F.col("user_id") % 100).select(F.col("user_id").alias("id"), "email", "display_name")
+
+
 @query("fx_notifications", "fx_users", sql="SELECT d.user_id, d.day, u.email, d.n, 'the library: ' || d.n || CASE WHEN d.n = 1 THEN ' new message' ELSE ' new messages' END || ' today' AS subject, 'Hello ' || u.display_name || ',' || chr(10) || chr(10) || 'You have ' || d.n || CASE WHEN d.n = 1 THEN ' new message' ELSE ' new messages' END || ' in the library today:' || chr(10) || chr(10) || d.lines || chr(10) || chr(10) || 'Read and reply in your inbox: #/inbox' || chr(10) || chr(10) || '— the library' AS body FROM (SELECT user_id, count(*) AS n, string_agg('  - ' || content, chr(10) ORDER BY created_at, id) AS lines, CAST(epoch(time_bucket(INTERVAL 1 DAY, created_at, TIMESTAMP '1970-01-01 21:00:00')) AS BIGINT) AS day FROM fx_notifications WHERE NOT read AND NOT emailed GROUP BY user_id, day HAVING epoch(time_bucket(INTERVAL 1 DAY, max(created_at), TIMESTAMP '1970-01-01 21:00:00')) + 86400 <= (SELECT epoch(max(created_at)) FROM fx_notifications WHERE NOT read AND NOT emailed) - 86400) d JOIN fx_users u ON u.id = 1 + d.user_id % 100")
 def st2_stream_digest(spark, sf_dir) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    rows = t.fx_notifications.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    users = rows.select("user_id").distinct().join(t.fx_users, F.col("id") == 1 + F.col("user_id") % 100).select(F.col("user_id").alias("id"), "email", "display_name")
+    """Each day's mails, with nothing mailed again by a second run from a new checkpoint."""
+    rows, users = _digest_input(Tables(spark, sf_dir))
     stream, folder = _stream(spark, rows, "st2")
-    out = ST.run_to_end(ST.stream_digest(stream, users), folder)
-    return out.select("user_id", F.col("window.start").cast("long").alias("day"), "email", "n", "subject", "body")
+    ST.each_batch(ST.stream_digest(stream, users), ST.mail_once(folder), f"{folder}/state")
+    ST.each_batch(ST.stream_digest(stream, users), ST.mail_once(folder), f"{folder}/again")
+    return spark.read.parquet(f"{folder}/mails").select("user_id", F.col("window.start").cast("long").alias("day"), "email", "n", "subject", "body")
 
 
-@query("fx_room_events", sql=FOLD_SQL)
+LAST_DAY = "(SELECT max({0}) - INTERVAL 1 DAY FROM {1})"
+
+
+@query("fx_notifications", "fx_users", sql="SELECT id, emailed OR (NOT read AND epoch(time_bucket(INTERVAL 1 DAY, created_at, TIMESTAMP '1970-01-01 21:00:00')) + 86400 <= (SELECT epoch(max(created_at)) FROM fx_notifications WHERE NOT read AND NOT emailed) - 86400 AND EXISTS (SELECT 1 FROM fx_users u WHERE u.id = 1 + fx_notifications.user_id % 100)) AS emailed FROM fx_notifications")
+def st2_mailed_flags(spark, sf_dir) -> DataFrame:
+    """The flags after the stream: of exactly the rows that went into a mail."""
+    rows, users = _digest_input(Tables(spark, sf_dir))
+    stream, folder = _stream(spark, rows, "st2")
+    ST.each_batch(ST.stream_digest(stream, users), ST.mail_once(folder), f"{folder}/state")
+    return ST.with_claims(rows, folder).select("id", "emailed")
+
+
+# Events of six files, of which many come a file late: the stream gives what the batch gives, up to the watermark.
+LATE = "1 day"
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows with file: six parts in order of ts, whose neighbours are mixed."""
+    times = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    share = (F.unix_micros("ts") - F.unix_micros("a")) / F.greatest(F.unix_micros("b") - F.unix_micros("a"), F.lit(1))
+    moved = F.floor(share * FILES + F.pmod(F.col(key) * 7919, F.lit(100)) / 250.0)
+    return rows.crossJoin(F.broadcast(times)).withColumn("file", F.least(F.lit(FILES - 1), moved).cast("int")).drop("a", "b")
+
+
+@query("fx_room_events", sql=f"SELECT f.* FROM ({FOLD_SQL}) f JOIN fx_room_events e ON e.seq = f.seq WHERE e.ts <= {LAST_DAY.format('ts', 'fx_room_events')}")
 def st3_stream_seminar_state(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, _seminar_log(Tables(spark, sf_dir)), "st3")
-    return ST.run_to_end(ST.stream_seminar_state(stream), folder).select("paper_key", "seq", "accepted", "room", "status", "leader", F.col("n_members").cast("long").alias("n_members"))
+    rows = _seminar_log(Tables(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream, folder = _batches(spark, _spread(rows, "seq"), "st3", "file")
+    return ST.run_to_end(ST.stream_seminar_state(stream.drop("file"), LATE), folder).select("paper_key", "seq", "accepted", "room", "status", "leader", F.col("n_members").cast("long").alias("n_members"))
 
 
-@query("fx_requests", sql=THIN_SQL)
+@query("fx_requests", sql=f"SELECT token, id FROM ({THIN_SQL}) WHERE id IN (SELECT id FROM fx_requests WHERE ts <= {LAST_DAY.format('ts', 'fx_requests')})")
 def st4_stream_last_used(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_requests, "st4")
-    return ST.run_to_end(ST.stream_last_used(stream), folder).select("token", "id")
+    rows = Tables(spark, sf_dir).fx_requests.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream, folder = _batches(spark, _spread(rows, "id"), "st4", "file")
+    return ST.run_to_end(ST.stream_last_used(stream.drop("file"), LATE), folder).select("token", "id")
 
 
 @query("fx_statements", sql="SELECT CASE WHEN statement LIKE '%select%' THEN 'SELECT' WHEN statement LIKE 'INS%' THEN 'INSERT' WHEN statement LIKE 'UPD%' THEN 'UPDATE' WHEN statement LIKE 'PRAG%' THEN 'PRAGMA' ELSE 'DELETE' END AS operation, count(*) AS n, round(sum(ms), 2) AS total_ms, round(max(ms), 2) AS max_ms FROM fx_statements GROUP BY 1")
 def st5_stream_statement_metrics(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_statements, "st5")
-    return ST.run_to_end(ST.stream_statement_metrics(stream), folder, "complete").drop("table")
+    stream, folder = _batches(spark, Tables(spark, sf_dir).fx_statements, "st5", f"pmod(id, {FILES})")
+    ST.each_batch(ST.stream_statement_metrics(stream), ST.into_keyed_table(f"{folder}/table", ["operation", "table"]), f"{folder}/state", "update")
+    return spark.read.parquet(f"{folder}/table").select("operation", "n", "total_ms", "max_ms")
 
 
-@query("fx_entries", sql="SELECT DISTINCT sha256 FROM fx_entries")
+@query("fx_entries", sql="SELECT sha256, count(*) OVER () AS stored FROM fx_entries GROUP BY sha256")
 def st6_stream_upload_dedup(spark, sf_dir) -> DataFrame:
-    stream, folder = _stream(spark, Tables(spark, sf_dir).fx_entries.select("sha256", "file_path"), "st6")
-    return ST.run_to_end(ST.stream_upload_dedup(stream), folder).select("sha256")
+    """Every digest once, after a replay of all uploads from a new checkpoint too."""
+    stream, folder = _batches(spark, Tables(spark, sf_dir).fx_entries.select("id", "sha256", "file_path"), "st6", f"pmod(id, {FILES})")
+    for checkpoint in ("state", "again"):
+        ST.each_batch(stream.drop("id"), ST.only_new_uploads(f"{folder}/table"), f"{folder}/{checkpoint}")
+    stored = spark.read.parquet(f"{folder}/table")
+    return stored.select("sha256").distinct().crossJoin(stored.agg(F.count("*").alias("stored")))
