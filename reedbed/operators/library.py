@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept, scratch
 from .identity import latest_edition
+from .numbering import running_totals
 
 
 def displayed_copies(copies: DataFrame) -> DataFrame:
@@ -125,35 +127,51 @@ def library_search(listing: DataFrame, term: str, with_readers: bool = True) ->
     return listing.filter(hit)
 
 
-# Rank of a seminar's status in listings.
-STATUS_RANK = {"open": 0, "planning": 1, "scheduled": 2, "finished": 3}
+# Rank of a seminar's status in listings; every other status, and none, comes after them.
+STATUS_RANK = {"open": 0, "planning": 0, "scheduled": 1}
+ORDERS = ("activity", "newest", "readers", "merit", "year", "title")
 
 
 def status_rank(status: Column) -> Column:
-    rank = F.lit(4)
+    rank = F.lit(2)
     for name, k in STATUS_RANK.items():
         rank = F.when(status == name, F.lit(k)).otherwise(rank)
     return rank
 
 
-def library_order(listing: DataFrame, mode: str) -> DataFrame:
-    """listing in one of six orders; ties go by newest, but for titles."""
+def _order(mode: str) -> list[Column]:
     newest = [F.desc("created_at"), F.desc("id")]
     first = {
-        "activity": [status_rank(F.col("status")).asc(), *newest],
-        "newest": newest,
-        "readers": [F.size("readers").desc(), *newest],
-        "merit": [F.desc_nulls_last("merit"), *newest],
-        "year": [F.coalesce("year", F.lit(0)).desc(), *newest],
-        "title": [F.collate(F.coalesce("title", F.lit("")), "UNICODE").asc()],
+        "activity": status_rank(F.col("status")).asc(),
+        "readers": F.size("readers").desc(),
+        "merit": F.desc_nulls_last("merit"),
+        "year": F.coalesce("year", F.lit(0)).desc(),
+        "title": F.collate(F.coalesce("title", F.lit("")), "UNICODE").asc(),
     }
-    return listing.orderBy(*first[mode])
+    return [first[mode], *newest] if mode in first else newest
+
+
+def library_order(listing: DataFrame, mode: str) -> DataFrame:
+    """listing in one of ORDERS; ties go by newest."""
+    return listing.orderBy(*_order(mode))
+
+
+def library_places(listing: DataFrame, modes: tuple[str, ...] = ORDERS) -> DataFrame:
+    """(mode, id, place): each paper's place, from 1, in each of the orders. Rows are numbered in ranges, without a global window;
+    what an order goes by is worked out before, so that lists of readers do not travel."""
+    slim = kept(listing.select("id", "created_at", "status", F.transform("readers", lambda r: F.lit(1)).alias("readers"), "merit", "year", "title"), "listing")
+    out = None
+    for mode in modes:
+        placed = running_totals(slim, _order(mode), scratch(listing.sparkSession, mode), {"place": None})
+        rows = placed.select(F.lit(mode).alias("mode"), "id", (F.col("place") + 1).alias("place"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def shelf_order(rows: DataFrame, is_own: bool) -> DataFrame:
     """One's own shelf newest first, with each month's first row marked; others' by seminar rank, then newest."""
     if not is_own:
-        return rows.orderBy(status_rank(F.col("status")).asc(), F.desc("created_at"), F.desc("id"))
+        return rows.orderBy(*_order("activity"))
     month = F.date_format("created_at", "MMMM yyyy")
     w = W.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
     return rows.withColumn("month", month).withColumn("starts_month", ~F.col("month").eqNullSafe(F.lag("month").over(w))).orderBy("user_id", F.desc("created_at"), F.desc("id"))

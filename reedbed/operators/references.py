@@ -18,6 +18,7 @@ from .title_search import top_titles
 YEAR_LIMIT = 3
 FIELDS = ["title", "authors", "year", "venue", "abstract", "citations", "doi", "url", "pdf_url", "source"]  # of a record, in order
 ABOVE, BELOW = -0.012, 0.06
+SLACK = 1e-9  # that bins are wider by than the distances that count
 STALE = "INTERVAL 15 MINUTES"
 
 
@@ -213,10 +214,13 @@ def library_match(refs: DataFrame, papers: DataFrame) -> DataFrame:
 def link_references(links: DataFrame, refs: DataFrame) -> DataFrame:
     """(link_id, ref_id): the reference that a PDF link lands on: on its page, from 0.012 above to 0.06 below, the nearest.
 
-    (edition, page) bounds the range join; of equally near references the first in the list wins.
+    A page is cut into bins of that height; a link meets the references of the one or two bins that it can land in, so that a page
+    of very many references is many small groups. Of equally near references the first in the list wins.
     """
-    r = refs.select("edition_id", "page", F.col("y").alias("ref_y"), F.col("id").alias("ref_id"))
-    near = links.filter("y is not null").join(r, ["edition_id", "page"]).withColumn("drop", F.col("ref_y") - F.col("y")).filter(F.col("drop").between(ABOVE, BELOW))
+    height = BELOW - ABOVE
+    r = refs.filter("y is not null").select("edition_id", "page", F.col("y").alias("ref_y"), F.col("id").alias("ref_id"), F.floor(F.col("y") / height).alias("bin"))
+    bins = F.sequence(F.floor((F.col("y") + ABOVE - SLACK) / height), F.floor((F.col("y") + BELOW + SLACK) / height))
+    near = links.filter("y is not null").withColumn("bin", F.explode(bins)).join(r, ["edition_id", "page", "bin"]).withColumn("drop", F.col("ref_y") - F.col("y")).filter(F.col("drop").between(ABOVE, BELOW))
     return near.groupBy(F.col("id").alias("link_id")).agg(F.min(F.struct(F.abs("drop").alias("d"), "ref_id"))["ref_id"].alias("ref_id"))
 
 

@@ -84,6 +84,49 @@ def io3_read_files(spark, sf_dir) -> DataFrame:
     return IO.read_files(spark, path, "*.txt").agg(F.sum("length").alias("n_bytes"))
 
 
+@query(sql="SELECT s_suppkey AS id, sha256('nation ' || CAST(s_nationkey AS VARCHAR) || chr(10)) AS sha256, s_suppkey = min(s_suppkey) OVER (PARTITION BY s_nationkey) AS stored, FALSE AS stored_again, count(DISTINCT s_nationkey) OVER () AS in_store, CAST(strlen('nation ' || CAST(s_nationkey AS VARCHAR)) + 1 AS BIGINT) AS n_bytes FROM supplier")
+def io3_store_files(spark, sf_dir) -> DataFrame:
+    """Files listed, read, and stored under their address; a second run over the same files stores nothing."""
+    folder = scratch(spark, "io3-files")
+    suppliers = Tables(spark, sf_dir).source("supplier").select(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("value"), F.format_string("%012d", "s_suppkey").alias("of"))
+    suppliers.write.partitionBy("of").text(f"{folder}/in")
+    files = IO.read_files(spark, f"{folder}/in", "*.txt")
+    one, two = (IO.store_files(files, f"{folder}/store") for _ in range(2))
+    store = spark.read.parquet(f"{folder}/store")
+    sizes = store.filter(F.sha2("content", 256) == F.col("sha256")).select("sha256", F.length("content").cast("long").alias("n_bytes"))
+    number = store.agg(F.count("*").alias("in_store"))
+    rows = one.join(two.select("path", F.col("stored").alias("stored_again")), "path").join(sizes, "sha256")
+    return rows.select(F.regexp_extract("path", r"of=0*(\d+)/", 1).cast("long").alias("id"), "sha256", "stored", "stored_again", "n_bytes").crossJoin(number)
+
+
+@query(
+    "fx_users",
+    sql="""WITH u AS (SELECT * FROM fx_users) SELECT 'json' AS format, 'row' AS what, CAST(id AS VARCHAR) AS id, email, affiliation, is_admin FROM u WHERE id % 7 NOT IN (3, 5) UNION ALL SELECT 'json', 'reject', CAST(id AS VARCHAR), NULL, NULL, NULL FROM u WHERE id % 7 IN (3, 5)
+    UNION ALL SELECT 'csv', 'row', CAST(id AS VARCHAR), email, affiliation, is_admin FROM u WHERE id % 7 NOT IN (3, 5) UNION ALL SELECT 'csv', 'reject', CAST(id AS VARCHAR), NULL, NULL, NULL FROM u WHERE id % 7 IN (3, 5)""",
+)
+def io1_read_with_rejects(spark, sf_dir) -> DataFrame:
+    """Users as JSON and as CSV, where some lines are cut off or have a word for a number: good rows and rejected lines."""
+    folder, users = scratch(spark, "io1-rejects"), Tables(spark, sf_dir).fx_users
+    fields = ["id", "email", "display_name", "affiliation", "email_public", "is_admin"]
+    text = F.to_json(F.struct(*fields))
+    text = F.when(F.col("id") % 7 == 3, F.expr("substring(t, 1, length(t) - 5)")).when(F.col("id") % 7 == 5, F.regexp_replace("t", '"id":(\\d+)', '"id":"no $1"')).otherwise(F.col("t"))
+    users.withColumn("t", F.to_json(F.struct(*fields))).select(text.alias("value")).write.text(f"{folder}/json")
+    blank = F.lit("")
+    cells = [F.when(F.col("id") % 7 == 5, F.concat(F.lit("no "), F.col("id").cast("string"))).otherwise(F.col("id").cast("string")), F.col("email"), F.col("display_name"), F.coalesce("affiliation", blank), blank, F.when(F.col("id") % 7 == 3, "maybe").otherwise(F.col("email_public").cast("string")), F.col("is_admin").cast("string"), blank, blank]
+    line = F.concat_ws(",", *cells)
+    users.select(line.alias("value")).write.option("lineSep", "\n").text(f"{folder}/lines")
+    names = IO.schema_of("users").names
+    spark.read.text(f"{folder}/lines").select(F.split("value", ",").alias("c")).select(*(F.get("c", F.lit(k)).alias(n) for k, n in enumerate(names))).write.option("header", True).option("emptyValue", "").csv(f"{folder}/csv")
+    out = None
+    for fmt in ("json", "csv"):
+        rows, rejects = IO.read_with_rejects(spark, f"{folder}/{fmt}", "users", fmt)
+        good = rows.select(F.lit(fmt).alias("format"), F.lit("row").alias("what"), F.col("id").cast("string").alias("id"), "email", "affiliation", "is_admin")
+        number = F.regexp_extract("line", r"(\d+)", 1)
+        bad = rejects.select(F.lit(fmt), F.lit("reject"), number, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+        out = good.union(bad) if out is None else out.union(good).union(bad)
+    return out
+
+
 @query("fx_references", sql="SELECT id, edition_id, CASE WHEN edition_id % 3 = 0 THEN page + 100 ELSE page END AS page FROM fx_references WHERE NOT (edition_id % 3 = 0 AND id % 100 >= 50)")
 def io4_partition_replace(spark, sf_dir) -> DataFrame:
     path, refs = scratch(spark, "io4"), Tables(spark, sf_dir).fx_references.select("id", "edition_id", "page")
@@ -261,6 +304,19 @@ def s22_coerce_column(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).sql(LOOSE).select("id", S.coerce_column("v", "bigint").alias("c")).select("id", "c.value", "c.rejected")
 
 
+TYPED = "SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '2024-01-0' || CAST(1 + event_id % 9 AS STRING) || 'T10:20:30' WHEN 2 THEN '2024-02-30' WHEN 3 THEN CAST(event_id % 3 AS STRING) WHEN 4 THEN ' 12 ' WHEN 5 THEN '2.5' WHEN 6 THEN 'true' WHEN 7 THEN '2024-03-01' WHEN 8 THEN CAST(NULL AS STRING) END AS v FROM events"
+ISO = r"regexp_matches(v, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$')"
+
+
+@query(sql=f"SELECT id, time, flag, number, v IS NOT NULL AND time IS NULL AS no_time, v IS NOT NULL AND flag IS NULL AS no_flag, v IS NOT NULL AND number IS NULL AS no_number FROM (SELECT id, v, CASE WHEN {ISO} THEN try_cast(v AS TIMESTAMP) END AS time, try_cast(CASE WHEN v NOT LIKE '%.%' THEN trim(v) END AS BIGINT) <> 0 AS flag, try_cast(trim(v) AS DOUBLE) AS number FROM (SELECT id, nullif(v, '') AS v FROM ({TYPED})))")
+def s22_coerce_kinds(spark, sf_dir) -> DataFrame:
+    """The same texts as times, booleans and floating-point numbers, with rejects of each."""
+    rows = Tables(spark, sf_dir).sql(TYPED)
+    kinds = {"time": "timestamp_ntz", "flag": "boolean", "number": "double"}
+    rows = rows.select("id", *(S.coerce_column("v", kind).alias(name) for name, kind in kinds.items()))
+    return rows.select("id", F.col("time.value").alias("time"), F.col("flag.value").alias("flag"), F.col("number.value").alias("number"), F.col("time.rejected").alias("no_time"), F.col("flag.rejected").alias("no_flag"), F.col("number.rejected").alias("no_number"))
+
+
 @query("fx_users", sql="SELECT id, CASE WHEN email_public THEN email END AS email FROM fx_users")
 def s23_mask_email(spark, sf_dir) -> DataFrame:
     return Tables(spark, sf_dir).fx_users.select("id", S.mask_email("email", "email_public").alias("email"))
@@ -534,11 +590,24 @@ def c02_shelf(spark, sf_dir) -> DataFrame:
     return L.shelf(c.copies, c.papers, t.fx_rooms, c.editions, 7).select("id", "user_id", "paper_id", "reads", "status", "summary")
 
 
-@query("m", "fx_users", "fx_rooms", sql=f"SELECT id, CASE status WHEN 'open' THEN 0 WHEN 'planning' THEN 1 WHEN 'scheduled' THEN 2 WHEN 'finished' THEN 3 ELSE 4 END AS place, title FROM ({LIBRARY_SQL})")
+@query("m", "fx_users", "fx_rooms", sql=f"SELECT id, CASE status WHEN 'open' THEN 0 WHEN 'planning' THEN 0 WHEN 'scheduled' THEN 1 ELSE 2 END AS place, title FROM ({LIBRARY_SQL})")
 def w02_library_order(spark, sf_dir) -> DataFrame:
     return L.library_order(_library(Tables(spark, sf_dir)), "activity").select("id", L.status_rank(F.col("status")).alias("place"), "title")
 
 
+PLACES = {
+    "activity": "CASE WHEN status IN ('open', 'planning') THEN 0 WHEN status = 'scheduled' THEN 1 ELSE 2 END", "newest": "0", "readers": "n_readers DESC", "merit": "full_merit DESC NULLS LAST",
+    "year": "coalesce(year, 0) DESC", "title": "lower(title), title DESC",
+}
+LISTED = LIBRARY_SQL.replace("SELECT p.paper_id AS id, p.title,", "SELECT p.paper_id AS id, p.title, p.year, p.created_at, r.merit AS full_merit,")
+
+
+@query("m", "fx_users", "fx_rooms", sql=" UNION ALL ".join(f"SELECT '{mode}' AS mode, id, row_number() OVER (ORDER BY {by}, created_at DESC, id DESC) AS place FROM ({LISTED})" for mode, by in PLACES.items()))
+def w02_library_places(spark, sf_dir) -> DataFrame:
+    """Each paper's place in all six orders of the listing."""
+    return L.library_places(_library(Tables(spark, sf_dir)))
+
+
 @query("m", sql="SELECT id, strftime(created_at, '%B %Y') AS month, lag(strftime(created_at, '%B %Y')) OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) IS DISTINCT FROM strftime(created_at, '%B %Y') AS starts_month FROM m_copies")
 def w03_shelf_order(spark, sf_dir) -> DataFrame:
     return L.shelf_order(Canon(Tables(spark, sf_dir)).copies, True).select("id", "month", "starts_month")

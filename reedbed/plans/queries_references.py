@@ -276,6 +276,13 @@ def w06_notes_order(spark, sf_dir) -> DataFrame:
     return K.notes_order(c, reads).select("id", "drifted")
 
 
+@query("fx_comments", sql="SELECT id, row_number() OVER (PARTITION BY paper_id, user_id ORDER BY page NULLS LAST, id) AS place FROM fx_comments")
+def w06_notes_places(spark, sf_dir) -> DataFrame:
+    c = Tables(spark, sf_dir).fx_comments
+    reads = c.filter("user_id % 2 = 0").select("paper_id", "user_id", (F.col("paper_id") % 3).alias("reads")).distinct()
+    return K.notes_places(c, reads).select("id", F.col("place").cast("long").alias("place"))
+
+
 @query("fx_comments", sql="SELECT id, current_place FROM fx_comments WHERE NOT current_place OR id IN (SELECT max(id) FROM fx_comments WHERE current_place GROUP BY paper_id, user_id)")
 def w07_current_place(spark, sf_dir) -> DataFrame:
     return K.current_place(Tables(spark, sf_dir).fx_comments, ["id"]).select("id", "current_place")
@@ -337,6 +344,26 @@ def u16_mark_edits(spark, sf_dir) -> DataFrame:
     return after.select("id", "content", "name", "edition_id", F.lit("mark").alias("what")).union(rejected.select("mark_id", none, none, F.lit(None).cast("long"), F.lit("rejected")))
 
 
+# Every second stroke is moved, every fifth rubbed out, every seventh by somebody else; every third is drawn again elsewhere.
+INKED = "SELECT vec_id AS id, vec_id % 13 AS user_id, vec_id % 20 AS edition_id, CAST(1 + vec_id % 3 AS INT) AS page, 'm' || CAST(vec_id AS STRING) AS points, '#000000' AS color, CAST(0.01 AS DOUBLE) AS width, CAST(1 AS DOUBLE) AS opacity, 'round' AS shape FROM embeddings"
+INK_EDITS = "SELECT id * 10 AS seq, id AS stroke_id, CASE WHEN id % 7 = 0 THEN user_id + 1 ELSE user_id END AS user_id, CASE WHEN id % 5 = 0 THEN 'delete' ELSE 'move' END AS action, edition_id, page, 'to ' || CAST(id AS STRING) AS points, color, width, opacity, shape FROM inked WHERE id % 2 = 0 UNION ALL SELECT id * 10 + 1, id, user_id, 'move', edition_id, page, 'last ' || CAST(id AS STRING), color, width, opacity, shape FROM inked WHERE id % 6 = 0 UNION ALL SELECT id * 10 + 2, CASE WHEN id % 9 = 0 THEN id ELSE id + 1000000 END, user_id, 'insert', edition_id, page, 'new', '#ff0000', width, opacity, 'flat' FROM inked WHERE id % 3 = 0"
+
+
+@query(sql=f"""WITH inked AS ({INKED}), edits AS ({INK_EDITS}), may AS (SELECT DISTINCT edition_id, user_id FROM inked WHERE edition_id % 4 <> 0),
+m AS (SELECT * FROM edits WHERE action = 'insert' AND (edition_id, user_id) IN (SELECT (edition_id, user_id) FROM may) AND stroke_id NOT IN (SELECT id FROM inked)), e AS (SELECT id, user_id, points, color FROM inked UNION ALL SELECT stroke_id, user_id, points, color FROM m),
+g AS (SELECT d.* FROM edits d JOIN e ON e.id = d.stroke_id AND e.user_id = d.user_id WHERE d.action <> 'insert')
+SELECT 'stroke' AS what, e.id, e.user_id, coalesce(v.points, e.points) AS points, e.color FROM e LEFT JOIN (SELECT stroke_id, max_by(points, seq) AS points FROM g WHERE action = 'move' GROUP BY 1) v ON v.stroke_id = e.id WHERE e.id NOT IN (SELECT stroke_id FROM g WHERE action = 'delete')
+UNION ALL SELECT 'rejected', seq, user_id, NULL, NULL FROM edits WHERE seq NOT IN (SELECT seq FROM m UNION ALL SELECT seq FROM g)""")
+def u16_ink_edits(spark, sf_dir) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    inked = t.sql(INKED)
+    inked.createOrReplaceTempView("inked")
+    readable = inked.filter("edition_id % 4 <> 0").select("edition_id", "user_id").distinct()
+    after, rejected = K.apply_ink_edits(inked, t.sql(INK_EDITS), readable)
+    none = F.lit(None).cast("string")
+    return after.select(F.lit("stroke").alias("what"), "id", "user_id", "points", "color").union(rejected.select(F.lit("rejected"), "seq", "user_id", none, none))
+
+
 # Export and erasure
 
 

@@ -273,6 +273,11 @@ def w08_feedback_order(spark, sf_dir) -> DataFrame:
     return B.feedback_order(Tables(spark, sf_dir).fx_feedback).select("id", "resolved")
 
 
+@query("fx_feedback", sql="SELECT id, row_number() OVER (ORDER BY resolved, created_at DESC, id DESC) AS place FROM fx_feedback")
+def w08_feedback_places(spark, sf_dir) -> DataFrame:
+    return B.feedback_places(Tables(spark, sf_dir).fx_feedback).select("id", "place")
+
+
 @query("fx_notifications", "fx_feedback", sql="SELECT 'n' AS what, id, read OR user_id % 5 = 0 OR (id % 7 = 0 AND id % 2 = 0) AS flag FROM fx_notifications UNION ALL SELECT 'f', id, CASE WHEN id % 3 = 0 THEN TRUE ELSE resolved END FROM fx_feedback")
 def u06_mark_read(spark, sf_dir) -> DataFrame:
     t = Tables(spark, sf_dir)

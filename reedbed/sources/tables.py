@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from .shared import kept
 
 # Columns and types of each table.
 SCHEMAS: dict[str, str] = {
@@ -51,8 +52,43 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     return align_to_schema(reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path), schema, DEFAULTS.get(name))
 
 
+def read_with_rejects(spark: SparkSession, path: str, name: str, fmt: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a declared table in JSON lines or CSV files with a header.
+
+    A line that is broken, or has a value of another type than its column, is no row: rejects has its text and the file it is
+    in. Files that lack a declared column have its default. The files are read once for each of the two that is used.
+    """
+    schema = schema_of(name)
+    raw = spark.read.schema(T.StructType([*schema.fields, T.StructField("__broken", T.StringType())])).options(mode="PERMISSIVE", columnNameOfCorruptRecord="__broken")
+    parsed = raw.option("header", True).csv(path) if fmt == "csv" else raw.json(path)
+    held = kept(parsed.withColumn("__file", F.input_file_name()), "parsed")
+    rejects = held.filter("__broken is not null").select(F.col("__broken").alias("line"), F.col("__file").alias("file"))
+    return align_to_schema(held.filter("__broken is null").select(*schema.names), schema, DEFAULTS.get(name)), rejects
+
+
+def store_files(files: DataFrame, store: str) -> DataFrame:
+    """Keep binary files (path, content) under the digest of their bytes: (path, sha256, file_name, stored) of each file, stored
+    where its bytes were new and this path, the least of equal ones, brought them.
+
+    The store is a table by the first two digits of the digest. Digests that are there are found by a join that reads no
+    content, and nothing is written for them; a second run over the same files writes nothing.
+    """
+    spark = files.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    schema = "sha256 string, file_name string, content binary, prefix string"
+    held = (spark.read.schema(schema).parquet(store) if there else spark.createDataFrame([], schema)).select("sha256")
+    named = files.select("path", F.sha2("content", 256).alias("sha256"))
+    new = named.join(held, "sha256", "left_anti").groupBy("sha256").agg(F.min("path").alias("path"))
+    out = kept(named.join(new.select("path", F.lit(True).alias("__new")), "path", "left").select("path", "sha256", F.concat("sha256", F.lit(".pdf")).alias("file_name"), F.coalesce("__new", F.lit(False)).alias("stored")), "files")
+    if not out.filter("stored").isEmpty():
+        bytes_ = files.join(out.filter("stored").select("path", "sha256", "file_name"), "path").select("sha256", "file_name", "content", F.substring("sha256", 1, 2).alias("prefix"))
+        bytes_.write.mode("append").partitionBy("prefix").parquet(store)
+    return out
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """Binary files: path, modificationTime, length, content."""
+    """Binary files: path, modificationTime, length, content. Files without a byte are not listed by Spark."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
