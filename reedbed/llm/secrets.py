@@ -8,6 +8,8 @@ opaque strings are spans only if they are live.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,26 +25,63 @@ HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 MAX_OWNERS = 2  # owners of a live value
 MAX_REPOS = 3  # repositories of a live value
+BLOCK = 256  # entries of an array that are gone through at once
+NONE = -(1 << 30)  # below all places
 SALTS = 16  # parts that the occurrences of a value are dealt into when they meet its counts
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], none: int) -> Column:
+    """For each entry of an array of ints, all entries up to it combined (a sum or a maximum); none changes nothing.
+
+    Arrays go by blocks: inside a block, over the blocks' last values, and then both together, since an array that grows by
+    one entry is copied each time.
+    """
+
+    def scan(block: Column) -> Column:
+        return F.aggregate(block, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(combine(x, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(none))))))
+
+    def parts(v: Column) -> Column:
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: scan(F.slice(v, k * BLOCK + 1, F.lit(BLOCK))))
+
+    def whole(blocks: Column) -> Column:
+        ends = scan(F.transform(blocks, lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit(none))))
+        return bind(ends, lambda e: F.flatten(F.transform(blocks, lambda x, k: F.transform(x, lambda y: combine(y, F.coalesce(F.get(e, k - 1), F.lit(none)))))))
+
+    return bind(values, lambda v: bind(parts(v), whole))
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _places(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """Spans of all leftmost non-overlapping matches, those whose group has fewer than least characters dropped.
 
-    The texts between matches (split) and the matches give each match's place by their lengths.
+    The texts between matches (split) and the matches give each match's place by running sums of their lengths.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), value.alias("val"))
-    steps = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("n"), x["val"].alias("val")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,val:string>>")
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+
+    def spans(x: Column) -> Column:
+        moves = F.transform(x["hits"], lambda h, i: F.get(x["gaps"], i) + F.length(h))
+        placed = bind(running(moves, _sum, 0), lambda ends: F.transform(x["hits"], lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), F.get(x["values"], i).alias("val"))))
+        return F.filter(placed, lambda s: F.length(s["val"]) >= least)
+
+    return bind(F.struct(found.alias("hits"), value.alias("values"), gaps.alias("gaps")), spans)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"), x["val"].alias("val"))
-        return F.struct((start + F.coalesce(x["n"], F.lit(0))).alias("at"), F.when(F.length(x["val"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+def _apart(base: Column, opaque: Column) -> Column:
+    """The spans of opaque that overlap none of base, both in one sorted list: no base span before goes beyond a span's start,
+    and none after starts before its end."""
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+    def extra(both: Column) -> Column:
+        ends = running(F.transform(both, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(-1)), F.greatest, -1)
+        starts = F.reverse(running(F.transform(F.reverse(both), lambda s: F.when(s["kind"] < 3, -s["start"]).otherwise(NONE)), F.greatest, NONE))
+        return bind(F.struct(ends.alias("ends"), starts.alias("starts")), lambda x: F.filter(both, lambda s, i: (s["kind"] == 3) & (F.get(x["ends"], i) <= s["start"]) & (-F.get(x["starts"], i) >= s["end"])))
+
+    return F.when(F.size(opaque) == 0, opaque).otherwise(bind(F.sort_array(F.concat(base, opaque)), extra))
 
 
 def _looks_random(value: Column) -> Column:
@@ -57,7 +96,7 @@ def _spans(text: Column) -> Column:
     hexes = F.when(text.rlike("[0-9a-f]{16}"), _places(text, HEX, 2, 0, 16)).otherwise(none)
     opaque = F.when(text.rlike("[A-Za-z0-9+/_-]{24}"), _places(text, OPAQUE, 3, 0, 24)).otherwise(none)
     base = F.sort_array(F.concat(assign, access, hexes))
-    return bind(base, lambda b: F.struct(b.alias("base"), F.filter(opaque, lambda o: _looks_random(o["val"]) & ~F.exists(b, lambda s: (s["start"] < o["end"]) & (o["start"] < s["end"]))).alias("extra")))
+    return bind(F.struct(base.alias("base"), F.filter(opaque, lambda o: _looks_random(o["val"])).alias("random")), lambda x: F.struct(x["base"].alias("base"), _apart(x["base"], x["random"]).alias("extra")))
 
 
 def _hashed(spans: Column) -> Column:
@@ -115,11 +154,24 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     own = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = own.join(spans, (F.col("__th") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def blanked(x: Column) -> Column:
+        """The text between spans (from, to), joined by the mark; cut by way of longer pieces, since a cut costs its distance."""
+        last = F.floor((F.size(x["gaps"]) - 1) / BLOCK).cast("int")
+
+        def piece(k: Column) -> Column:
+            own = F.slice(x["gaps"], k * BLOCK + 1, F.lit(BLOCK))
+            start = F.get(x["gaps"], k * BLOCK)["from"]
+            long = F.substring(F.col("text"), start + 1, F.get(own, F.size(own) - 1)["to"] - start)
+            return bind(F.struct(long.alias("long"), start.alias("start")), lambda y: F.transform(own, lambda g: F.substring(y["long"], g["from"] - y["start"] + 1, g["to"] - g["from"])))
+
+        between = F.flatten(F.transform(F.sequence(F.lit(0), last), piece))
+        return F.array_join(F.concat(between, F.array(F.substring(F.col("text"), x["at"] + 1, F.length("text")))), mark)
+
+    def gaps(ends: Column) -> Column:
+        each = F.transform("__spans", lambda s, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("from"), s["start"].alias("to")))
+        return F.struct(F.filter(each, lambda g: g["to"] >= g["from"]).alias("gaps"), F.get(ends, F.size(ends) - 1).alias("at"))
 
-    cut = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    cut = bind(bind(running(F.transform("__spans", lambda s: s["end"]), F.greatest, 0), gaps), blanked)
     joined = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), cut))
     new = {"text": F.coalesce("__new", "text")}
     if "n_chars" in docs.columns:

@@ -1,7 +1,10 @@
 """Operators on documents against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import bisect
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,7 +21,7 @@ from reedbed.llm.ngram_join import ngram_components, ngram_links
 from reedbed.llm.pretokens import read_ranks
 from reedbed.llm.quality import clean_documents, quality_report, quality_verdicts
 from reedbed.llm.rans import Coder, frequency_table, token_file_digests
-from reedbed.llm.secrets import redact, secret_report
+from reedbed.llm.secrets import ACCESS, ASSIGN, HEX, OPAQUE, redact, secret_report
 from reedbed.llm.textbatch import chunks, grams, sorted_sets, words
 from reedbed.llm.token_counts import edit_trees, edited_counts, made_edits, token_trees
 
@@ -555,3 +558,35 @@ def test_lines_count_distinct_documents(spark):
     got = {(r["host"], r["first_doc"]) for r in frequent_lines(document_rules(docs), 4).collect()}
     assert got == {("g", 0)}
     assert {r["host"] for r in frequent_lines(document_rules(docs), 0).collect()} == {"g", "h", None}
+
+
+def test_texts_of_very_many_secrets(spark):
+    """20,000 spans in one text, some side by side and some overlapping: places, overlaps and redaction against plain Python."""
+    draw = random.Random(4)
+    words = []
+    for k in range(20_000):
+        words.append(draw.choice([f"token={draw.getrandbits(80):020x}", f"AKIA{draw.getrandbits(70):018X}", f"{draw.getrandbits(64):016x}", "".join(draw.choices("GHJKLMNPQRSTUVWXYZghjk0123456789", k=30)), f"é{k}"]))
+    text = " ".join(words)
+    docs = spark.createDataFrame([(1, text, "a", "x"), (2, "plain", "b", "y"), (3, None, "b", "y")], "doc_id long, text string, source string, lang string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in secret_report(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert time.perf_counter() - began < 120
+    base = []
+    for kind, (pattern, group, least) in enumerate([(ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16)]):
+        base += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    assert (got[1]["n_assign"], got[1]["n_access"], got[1]["n_hex"]) == tuple(sum(s[1] == k for s in base) for k in range(3))
+    touched = sorted((s, e) for s, _, e in base)
+    extra = []
+    for m in re.finditer(OPAQUE, text):
+        v = m[0]
+        if sum(c.isdigit() for c in v) >= 4 and sum(c.isalpha() for c in v) >= 4 and len(set(v)) >= 10 and not any(s < m.end() and m.start() < e for s, e in touched[max(0, bisect.bisect(touched, (m.start(), 0)) - 4) :][:8]):
+            extra.append((m.start(), 3, m.end()))
+    every = sorted(base + extra)
+    assert got[1]["spans"] == ",".join(f"{['assign', 'access', 'hex', 'opaque'][k]}:{s}:{e}" for s, k, e in every) and extra
+    out, at = [], 0
+    for s, _, e in every:
+        if s >= at:
+            out += [text[at:s], "[SECRET]"]
+        at = max(at, e)
+    assert clean == {1: "".join(out) + text[at:], 2: "plain", 3: None}
