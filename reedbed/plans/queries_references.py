@@ -236,13 +236,18 @@ def u03_merge_works(spark, sf_dir) -> DataFrame:
     return rows.select("id", R.merge_works("a", "b", F.col("printed")).alias("m")).select("id", "m.title", F.array_join("m.authors", ",").alias("authors"), "m.citations", "m.year")
 
 
-@query("fx_references", sql="SELECT e.edition_id, CASE WHEN e.edition_id % 3 = 0 THEN 'ready' WHEN e.edition_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN e.edition_id % 3 = 0 THEN e.n ELSE 0 END AS n_refs, CASE WHEN e.edition_id % 3 = 0 THEN e.c ELSE 0 END AS n_cites FROM (SELECT edition_id, count(*) AS n, count(*) FILTER (id % 4 <> 0) AS c FROM fx_references GROUP BY 1) e")
+@query("fx_references", sql="""SELECT edition_id, CASE WHEN edition_id % 3 = 0 THEN 'ready' WHEN edition_id % 3 = 1 THEN 'failed' ELSE 'pending' END AS status, CASE WHEN edition_id % 3 = 0 THEN string_agg(id || ':' || md5(coalesce(raw, '')) || ':' || CASE WHEN id % 2 = 0 THEN '' ELSE '{"a":1}' END, ' ' ORDER BY id) ELSE '' END AS refs,
+CASE WHEN edition_id % 3 = 0 THEN coalesce(string_agg(page || ':' || id, ' ' ORDER BY page, id) FILTER (id % 4 <> 0), '') ELSE '' END AS cites FROM fx_references GROUP BY edition_id""")
 def a17_edition_bundle(spark, sf_dir) -> DataFrame:
+    """Each bundle's references, with whole lines and readable resolutions, and its citations, in their orders."""
     r = Tables(spark, sf_dir).fx_references
     editions = r.select(F.col("edition_id").alias("id")).distinct().withColumn("references_status", F.expr("CASE WHEN id % 3 = 0 THEN 'ready' WHEN id % 3 = 1 THEN 'failed' END"))
     refs = r.withColumn("index", F.col("id")).withColumn("resolution", F.when(F.col("id") % 2 == 0, F.lit("{bad")).otherwise(F.lit('{"a":1}')))
     cites = r.select("edition_id", "page", "id", F.when(F.col("id") % 4 != 0, F.col("id")).alias("reference_id"))
-    return R.edition_bundle(editions, refs, cites).select("edition_id", "status", F.size("references").cast("long").alias("n_refs"), F.size("citations").cast("long").alias("n_cites"))
+    text = lambda *parts: F.concat_ws(":", *parts)
+    own = F.array_join(F.transform("references", lambda x: text(x["id"].cast("string"), F.md5(F.coalesce(x["raw"], F.lit(""))), F.coalesce(x["resolution"], F.lit("")))), " ")
+    marks = F.array_join(F.transform("citations", lambda x: text(x["page"].cast("string"), x["reference_id"].cast("string"))), " ")
+    return R.edition_bundle(editions, refs, cites).select("edition_id", "status", own.alias("refs"), marks.alias("cites"))
 
 
 def _tei(t: Tables) -> DataFrame:
@@ -395,6 +400,31 @@ def a19_export_bundle(spark, sf_dir) -> DataFrame:
     return out.select("user_id", "display_name", *(F.size(n).cast("long").alias(n) for n in parts), said, F.coalesce(F.get("copies", F.lit(0))["id"], F.lit(-1)).alias("first_copy"))
 
 
+LISTS = {
+    "copies": "SELECT user_id, string_agg(id || ':' || coalesce(thought, '') || ':' || coalesce(CAST(rating_liking AS VARCHAR), ''), ' ' ORDER BY created_at, id) AS v FROM m_copies GROUP BY 1",
+    "notes": "SELECT user_id, string_agg(id || ':' || md5(content), ' ' ORDER BY paper_id, page NULLS FIRST, id) AS v FROM fx_comments GROUP BY 1",
+    "ink": f"SELECT user_id, string_agg(id || ':' || page, ' ' ORDER BY id) AS v FROM ({OWN_INK}) GROUP BY 1",
+    "notices": "SELECT user_id, string_agg(id || ':' || md5(content) || ':' || read, ' ' ORDER BY created_at, id) AS v FROM fx_notifications GROUP BY 1",
+}
+
+
+@query("m", "fx_users", "fx_comments", "fx_notifications", sql="SELECT u.id AS user_id, " + ", ".join(f"coalesce({n}_.v, '') AS {n}" for n in LISTS) + " FROM fx_users u " + " ".join(f"LEFT JOIN ({v}) {n}_ ON {n}_.user_id = u.id" for n, v in LISTS.items()))
+def a19_export_contents(spark, sf_dir) -> DataFrame:
+    """What stands in each reader's export, entry by entry, in its order."""
+    t = Tables(spark, sf_dir)
+    parts = {
+        "copies": (Canon(t).copies, ["created_at", "id"], ["thought", "rating_liking"]),
+        "notes": (t.fx_comments, ["paper_id", "page", "id"], ["content"]),
+        "ink": (t.sql(OWN_INK), ["id"], ["page"]),
+        "notices": (t.fx_notifications, ["created_at", "id"], ["content", "read"]),
+    }
+    shown = {"copies": lambda x: (F.coalesce(x["thought"], F.lit("")), F.coalesce(x["rating_liking"].cast("string"), F.lit(""))), "notes": lambda x: (F.md5(x["content"]),), "ink": lambda x: (x["page"].cast("string"),), "notices": lambda x: (F.md5(x["content"]), x["read"].cast("string"))}
+    out = V.export_bundle(t.fx_users.select("id"), t.fx_users, parts)
+    line = lambda f: lambda x: F.concat_ws(":", x["id"].cast("string"), *f(x))
+    return out.select("user_id", *(F.array_join(F.transform(n, line(f)), " ").alias(n) for n, f in shown.items()))
+
+
+
 @query("fx_comments", sql="""SELECT user_id, string_agg(section, chr(10) ORDER BY f, section) AS markdown FROM (SELECT user_id, min(id) AS f, '## Paper ' || CAST(paper_id AS VARCHAR) || chr(10) || chr(10) || string_agg('### ' || CASE WHEN page IS NOT NULL THEN 'page ' || CAST(page AS VARCHAR) ELSE 'not placed on the page' END || CASE WHEN current_place THEN '  *(where I left off)*' ELSE '' END || chr(10) || chr(10) || CASE WHEN length(content) > 0 THEN content ELSE '*(a mark, with nothing written on it)*' END || chr(10), chr(10) ORDER BY id) AS section FROM fx_comments GROUP BY user_id, paper_id) GROUP BY user_id""")
 def a20_notes_markdown(spark, sf_dir) -> DataFrame:
     notes = Tables(spark, sf_dir).fx_comments.withColumn("title", F.concat(F.lit("Paper "), F.col("paper_id").cast("string"))).withColumn("name", F.lit(None).cast("string"))
