@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..sources.shared import kept, scratch
 from .identity import latest_edition
 from .numbering import running_totals
@@ -65,12 +66,23 @@ def public_user(user: str = "id") -> Column:
 OPINIONS = {"thought": "string", "rating_expertise": "int", "rating_reading": "int", "rating_liking": "int"}
 
 
+def _reader(copies: DataFrame) -> Column:
+    said = [F.col(c) if c in copies.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPINIONS.items()]
+    return F.struct(F.col("id").alias("copy_id"), F.col("user_id").alias("user_id"), F.col("display_name").alias("name"), "affiliation", "is_author", *said)
+
+
 def readers_of(copies: DataFrame, users: DataFrame) -> DataFrame:
     """(paper_id, readers): the readers who display each paper, with thought and ratings, ordered by copy."""
     rows = displayed_copies(copies).join(users.select(F.col("id").alias("user_id"), "display_name", "affiliation"), "user_id")
-    said = [F.col(c) if c in copies.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPINIONS.items()]
-    reader = F.struct(F.col("id").alias("copy_id"), F.col("user_id").alias("user_id"), F.col("display_name").alias("name"), "affiliation", "is_author", *said)
-    return rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(reader)).alias("readers"))
+    return rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(_reader(copies))).alias("readers"))
+
+
+def displays_of(copies: DataFrame, users: DataFrame) -> DataFrame:
+    """(paper_id, readers, merit) of each displayed paper: readers_of and avg_merit in one pass over the copies. A copy whose user
+    is unknown shows no reader, but its rating counts."""
+    known = users.select(F.col("id").alias("user_id"), "display_name", "affiliation", F.lit(True).alias("__known"))
+    rows = displayed_copies(copies).join(known, "user_id", "left")
+    return rows.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.when(F.col("__known"), _reader(copies)))).alias("readers"), F.avg("rating_liking").alias("merit"))
 
 
 def room_status(rooms: DataFrame) -> DataFrame:
@@ -102,10 +114,9 @@ def avg_merit(copies: DataFrame) -> DataFrame:
 
 def library(papers: DataFrame, copies: DataFrame, users: DataFrame, rooms: DataFrame, editions: DataFrame) -> DataFrame:
     """Every displayed paper once: readers, merit, seminar status and latest edition; newest first."""
-    out = visible_papers(papers, copies).join(readers_of(copies, users), F.col("id") == F.col("paper_id"), "left").drop("paper_id")
-    out = out.join(avg_merit(copies).withColumnRenamed("paper_id", "id"), "id", "left")
+    out = papers.join(displays_of(copies, users).withColumnRenamed("paper_id", "id"), "id")
     out = out.join(room_status(rooms), "paper_key", "left").join(latest_edition(editions).withColumnRenamed("paper_id", "id"), "id", "left")
-    return out.withColumn("readers", F.coalesce("readers", F.array())).orderBy(F.desc("created_at"), F.desc("id"))
+    return out.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def shelf(copies: DataFrame, papers: DataFrame, rooms: DataFrame, editions: DataFrame, viewer: int | None = None) -> DataFrame:
@@ -244,9 +255,9 @@ def set_metadata(papers: DataFrame, edits: DataFrame) -> DataFrame:
 
 def edit_profiles(users: DataFrame, edits: DataFrame) -> DataFrame:
     """users after profile edits (id, name, affiliation): a blank name rejects the edit, a blank affiliation is none."""
-    blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
+    blank = lambda c: F.length(strip(F.coalesce(c, F.lit("")))) == 0
     rows = users.join(edits.select("id", F.col("name").alias("__name"), F.col("affiliation").alias("__aff"), F.lit(True).alias("__sent")), "id", "left")
     rejected = F.coalesce(F.col("__sent") & blank(F.col("__name")), F.lit(False))
     ok = F.coalesce(F.col("__sent"), F.lit(False)) & ~rejected
-    new = {"display_name": F.when(ok, F.trim("__name")).otherwise(F.col("display_name")), "affiliation": F.when(ok, F.when(~blank(F.col("__aff")), F.trim("__aff"))).otherwise(F.col("affiliation"))}
+    new = {"display_name": F.when(ok, strip("__name")).otherwise(F.col("display_name")), "affiliation": F.when(ok, F.when(~blank(F.col("__aff")), strip("__aff"))).otherwise(F.col("affiliation"))}
     return rows.select(*(new.get(c, F.col(c)).alias(c) for c in users.columns), rejected.alias("rejected"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
+from ..functions.text import slugify, strip
 from .seminars import successors
 
 # What an erased account is called, and its address.
@@ -87,7 +87,7 @@ def allowed_erasures(users: DataFrame, leaving: DataFrame) -> DataFrame:
     rows = leaving.join(users.select("id", "email", "is_admin", "is_deleted"), "id")
     staying = users.filter("is_admin and not is_deleted").join(leaving.select("id"), "id", "left_anti").agg(F.count("*").alias("admins"))
     rows = rows.crossJoin(F.broadcast(staying))  # one row
-    return rows.select("id", (~F.lower(F.trim("confirm_email")).eqNullSafe(F.lower("email")) | (F.col("is_admin") & (F.col("admins") == 0))).alias("refused"))
+    return rows.select("id", (~F.lower(strip("confirm_email")).eqNullSafe(F.lower("email")) | (F.col("is_admin") & (F.col("admins") == 0))).alias("refused"))
 
 
 def erase_readers(leaving: DataFrame, users: DataFrame, private: dict[str, DataFrame], rooms: DataFrame, participants: DataFrame, eligible: DataFrame, at: Column) -> dict[str, DataFrame]:
