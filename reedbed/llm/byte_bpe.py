@@ -29,7 +29,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_tokens, ids[, starts, ends]): every whole text's ids as packed little-endian unsigned 32-bit integers.
 
     starts and ends, packed alike, are each token's code points; a token that holds part of a character counts the whole
-    character. Null is the empty text, which has no ids. Rows keep their id as it is, null or repeated.
+    character. Null is the empty text, which has no ids. Rows keep their id as it is, null or repeated. Other
+    columns are ignored. An empty table gives an empty table.
     """
 
     names = ["doc_id", "n_tokens", "ids", *(["starts", "ends"] if offsets else [])]

@@ -5,7 +5,8 @@ first n - ceil(t n) + 1 tokens under ANY global order of tokens, so a pair must
 orders. All orders put rare tokens first and permute tokens of like frequency differently.
 
 Steps, all on Spark:
-1. one pass gives each document's set size and 128-bit set signature; equal sets are one class;
+1. one pass gives each document's set size and set signature; equal sets are one class (from step 2 on a class goes by 64 bits
+   of its signature: among 10^9 different sets two may share them with a probability of 3 %, and would be taken as one);
 2. sets are thinned: a set of n tokens of which u occur in no other set can overlap no set by more than n - u, so it has
    no partner below the threshold. Tokens are looked at by quarters, each only for the sets that are left, so that most
    sets go before most of their tokens are shuffled;

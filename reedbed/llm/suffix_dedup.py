@@ -337,7 +337,8 @@ def remove_repeats(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id",
 def keep_first_copies(docs: DataFrame, min_len: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kept): each distinct text, under its least id, without the strings that have an earlier match.
 
-    Earlier means at a smaller (doc_id, byte); the first copy of every repeated string stays.
+    Earlier means at a smaller (doc_id, byte), null ids first; the first copy of every repeated string stays. Null is the empty
+    text; rows that repeat a text are one; other columns are ignored; an empty table gives an empty table.
     """
     space = Workspace(docs.sparkSession, "suffix-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -216,7 +216,10 @@ TREE = "doc_id long, text string, sizes array<int>, tokens array<int>, n_tokens
 
 
 def token_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Trees to be stored: doc_id, text, the bytes and tokens of each pre-token, n_tokens, n_encoded (0). Null text is empty."""
+    """Trees to be stored: doc_id, text, the bytes and tokens of each pre-token, n_tokens, n_encoded (0).
+
+    Null text is empty; rows keep their id, null or repeated; other columns are ignored; an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +231,8 @@ def token_trees(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
 
 def edit_trees(trees: DataFrame, ranks_path: str) -> DataFrame:
     """trees (columns of token_trees, and edits as in edited_counts) after their edits; pre-tokens that no edit touches are
-    taken as stored. n_encoded counts those encoded for these edits."""
+    taken as stored. n_encoded counts those encoded for these edits. Null text is empty; other columns are ignored; an empty
+    table gives an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
