@@ -143,6 +143,15 @@ def _fields(out: DataFrame) -> DataFrame:
     return out.select("id", "status", "via", "distance", "work_id", "enriched", *(f"record.{n}" for n in ("title", "year", "doi", "venue", "citations", "source")))
 
 
+@query("fx_references", "fx_works", sql=f"WITH printed AS ({PRINTED}), one AS ({FIRST}), two AS ({SECOND}) SELECT 1 AS asked, * FROM ({candidates_sql('printed', 'one', text=FIRST_QUERY)}) UNION ALL SELECT 2, * FROM ({candidates_sql('printed', 'two', text=SECOND_QUERY)})")
+def j08_index_queries(spark, sf_dir) -> DataFrame:
+    """What each of the two indexes finds for the text that it is asked."""
+    t = Tables(spark, sf_dir)
+    refs = t.sql(PRINTED)
+    found = [R.candidates(refs, t.sql(works), text=text).select(F.lit(k).alias("asked"), "id", "work_id", "common", F.col("rank").cast("long").alias("rank")) for k, works, text in ((1, FIRST, R.first_query()), (2, SECOND, R.second_query()))]
+    return found[0].union(found[1])
+
+
 @query("fx_references", "fx_works", sql=records_sql(True))
 def c03_records(spark, sf_dir) -> DataFrame:
     """Every reference's whole record, those of the first index enriched from the second."""
