@@ -108,6 +108,26 @@ def _surroundings(texts: DataFrame, min_len: int) -> DataFrame:
     return texts.select("h", "doc", "text", "wanted").mapInArrow(run, "core long, doc long, h string, first long, left int, n_starts int, around binary")
 
 
+def _bytes_of(texts: DataFrame, asked: DataFrame, min_len: int) -> DataFrame:
+    """asked (h, core, key, left, n_starts, first, count) with doc and around: the bytes of each surrounding, cut from its text."""
+    names = ["core", "key", "left", "n_starts", "first", "count", "doc", "around"]
+    fields = names[:6]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py().encode()
+                lists = batch.column(2)[row].values
+                for k in range(0, len(lists), 4096):
+                    part = lists.slice(k, 4096)
+                    first, starts = (part.field(f).to_pylist() for f in ("first", "n_starts"))
+                    around = [raw[f : f + n - 1 + min_len] for f, n in zip(first, starts, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part.field(f) for f in fields), pa.array([doc] * len(part), pa.int64()), pa.array(around, pa.binary())], names)
+
+    lists = asked.groupBy("h").agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    return texts.select("h", "doc", "text").join(lists, "h").select("doc", "text", "asked").mapInArrow(run, "core long, key string, left int, n_starts int, first long, count long, doc long, around binary")
+
+
 def _order(parts: list[bytes], group: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of the parts within their groups, and the common prefix of each with the one before (-1 at a group's start)."""
     order = np.array(sorted(range(len(parts)), key=lambda i: (group[i], parts[i])), np.int64)
@@ -259,20 +279,18 @@ def repeated_spans(docs: DataFrame, space: Workspace, min_len: int = 400, keep_f
     classes = slim.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc"))
     space.drop(rows)
 
-    around = _surroundings(texts, min_len).withColumn("key", F.md5(F.concat(F.col("core").cast("string").cast("binary"), F.lit(b":"), F.col("left").cast("string").cast("binary"), F.lit(b":"), F.col("around"))))
-    around = space.keep(around, "surroundings")
-    once = around.groupBy("key").agg(F.first("core").alias("core"), F.first("left").alias("left"), F.first("n_starts").alias("n_starts"), F.min(F.struct("doc", "first")).alias("at"), F.count("*").alias("times"), F.first("around").alias("around"))
-    once = space.keep(once.select("key", "core", "left", "n_starts", "around", "at.doc", "at.first", "times"), "distinct")
-    # Bytes are needed only to sort groups; what ties keys to places goes on without them.
-    places = space.keep(around.select("key", "h", "doc", "first", "n_starts"), "places")
-    space.drop(around)
-    heads = space.keep(once.select("key", "doc", "first", "times"), "heads")
+    # What ties keys to places goes without bytes; they are cut again for the distinct surroundings that are to be compared.
+    key = F.md5(F.concat(F.col("core").cast("string").cast("binary"), F.lit(b":"), F.col("left").cast("string").cast("binary"), F.lit(b":"), F.col("around")))
+    places = space.keep(_surroundings(texts, min_len).select("core", "left", "h", "doc", "first", "n_starts", key.alias("key")), "places")
+    once = places.groupBy("key").agg(F.first("core").alias("core"), F.first("left").alias("left"), F.first("n_starts").alias("n_starts"), F.min(F.struct("doc", "first", "h")).alias("at"), F.count("*").alias("times"))
+    once = space.keep(once.select("key", "core", "left", "n_starts", "at.doc", "at.first", "at.h", "times"), "distinct")
+    heads = once.select("key", "doc", "first", "times")
     many = once.groupBy("core").count()
-    varied = once.join(many.filter("count > 1"), "core")
+    varied = space.keep(_bytes_of(texts, once.join(many.filter("count > 1"), "core"), min_len), "varied")
     plain = varied.filter(F.col("count") <= WIDE).select(F.col("core").cast("string").alias("grp"), "key", "left", "n_starts", "around", "doc", "first")
     wide, used = _cell_spans(varied.filter(F.col("count") > WIDE), space, min_len, keep_first)
     found = space.keep(_group_spans(_dealt(plain), min_len, keep_first).union(wide), "found")
-    for table in (once, *used):
+    for table in (varied, *used):
         space.drop(table)
     # Equal surroundings match whole, all or all but the first.
     if keep_first:
