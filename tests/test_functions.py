@@ -146,6 +146,6 @@ def test_canonicalize_is_idempotent(spark):
 def test_library_orders(spark):
     rows = [(1, "b", "finished", 3.0, 1990, 1, ["x"]), (2, "A", "open", None, None, 2, []), (3, "c", None, 5.0, 2000, 3, ["x", "y"])]
     listing = spark.createDataFrame(rows, "id long, title string, status string, merit double, year int, created_at long, readers array<string>")
-    want = {"activity": [2, 1, 3], "newest": [3, 2, 1], "readers": [3, 1, 2], "merit": [3, 1, 2], "year": [3, 1, 2], "title": [2, 1, 3]}
+    want = {"activity": [2, 3, 1], "newest": [3, 2, 1], "readers": [3, 1, 2], "merit": [3, 1, 2], "year": [3, 1, 2], "title": [2, 1, 3]}
     for mode, ids in want.items():
         assert [r["id"] for r in library.library_order(listing, mode).collect()] == ids, mode
