@@ -72,3 +72,12 @@ def test_abstracts_are_dealt_once(spark, tmp_path):
     out = queries()["s13_rebuild_abstract"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a b a"), (2, "")]
     assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
+
+
+def test_canonical_entries_hold_what_a_query_needs(spark):
+    from reedbed.plans.fixtures import Tables
+    from reedbed.plans.queries_library import Canon
+
+    c = Canon(Tables(spark, "/root/testdata/sf0.001"), "marketed")
+    assert sorted(c.entries.columns) == ["id", "marketed", "paper_id", "paper_key", "user_id"]
+    assert sorted(c.holdings.columns) == ["id", "marketed", "paper_id", "user_id"]
