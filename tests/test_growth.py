@@ -1,5 +1,6 @@
 """What is shuffled, held and tried grows with the rows, not with their pairs."""
 
+import datetime
 import random
 import time
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from reedbed.functions.text import title_from_filename
-from reedbed.operators import privacy, references, title_search
+from reedbed.operators import privacy, references, seminars, title_search
 from reedbed.plans.queries import queries
 
 
@@ -81,3 +82,45 @@ def test_canonical_entries_hold_what_a_query_needs(spark):
     c = Canon(Tables(spark, "/root/testdata/sf0.001"), "marketed")
     assert sorted(c.entries.columns) == ["id", "marketed", "paper_id", "paper_key", "user_id"]
     assert sorted(c.holdings.columns) == ["id", "marketed", "paper_id", "user_id"]
+
+
+def _log(spark):
+    """Outcomes of five papers, whose readers act in them, are members or successors, or none of these; some readers share all their papers."""
+    draw, at = random.Random(7), datetime.datetime(2024, 1, 1)
+    kinds = ["call", "lead", "unhost", "handover", "scheduled", "updated", None]
+    rows = []
+    for k in range(150):
+        kind, paper = draw.choice(kinds), f"p{draw.randrange(5)}" if k % 40 else None
+        rows.append((paper, 1, k, k % 9 > 0, kind, draw.choice([0, 1, 2, 20, 21, None]), draw.choice([3, 30, None]) if kind == "handover" else None, [draw.choice([0, 1, 2, 4, 22]) for _ in range(draw.randrange(4))], "noon", "here", at + datetime.timedelta(hours=draw.randrange(30))))
+    outcomes = spark.createDataFrame(rows, "paper_key string, room int, seq long, accepted boolean, notice string, actor_id long, heir long, members array<long>, time string, platform string, created_at timestamp_ntz")
+    reads = [(f"p{p}", u) for p in range(5) for u in range(12) if (p + u) % 3] + [("p1", 1), ("p2", None), ("p9", 5)]
+    titles = spark.createDataFrame([(f"p{p}", f"T{p}") for p in range(4)], "paper_key string, title string")
+    users = spark.createDataFrame([(u, f"U{u}") for u in range(15)], "id long, display_name string")
+    told = set()
+    for paper, _, seq, ok, kind, actor, heir, members, *_ in rows:
+        if ok and kind and paper and actor is not None:
+            to = {heir} if kind == "handover" else set(members) | ({u for p, u in reads if p == paper} if kind != "unhost" else set())
+            told |= {(paper, seq, u) for u in to - {None, actor}}
+    return outcomes, spark.createDataFrame(reads, "paper_key string, user_id long"), titles, users, told, {r[2]: r[-1] for r in rows}
+
+
+def test_notices_of_all_readers_are_not_shuffled(spark):
+    *given, told, _ = _log(spark)
+    for block in (10_000, 2):
+        out = seminars.route_notices(*given, block=block)
+        rows = [(r["paper_key"], r["seq"], r["user_id"]) for r in out.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == told and len(told) > 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(users") < plan.index("Join")
+
+
+def test_inbox_of_the_log_without_all_notices(spark):
+    *given, told, at = _log(spark)
+    texts = {(r["seq"], r["user_id"]): r["content"] for r in seminars.route_notices(*given).collect()}
+    for n in (3, 50):
+        want = []
+        for user in {u for _, _, u in told}:
+            own = sorted(((at[s], s) for _, s, u in told if u == user), reverse=True)[:n]
+            want += [(user, s, texts[s, user], t, k + 1) for k, (t, s) in enumerate(own)]
+        got = seminars.newest_notices(*given, n=n).select("user_id", "id", "content", "created_at", "rank").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
