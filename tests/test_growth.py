@@ -124,3 +124,10 @@ def test_inbox_of_the_log_without_all_notices(spark):
             want += [(user, s, texts[s, user], t, k + 1) for k, (t, s) in enumerate(own)]
         got = seminars.newest_notices(*given, n=n).select("user_id", "id", "content", "created_at", "rank").collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_readers_bundle_without_texts(spark):
+    """Sizes of a reader's export do not gather the texts of a reader who wrote very many notes in one task."""
+    out = queries()["a19_export_bundle"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id" in plan and "text:string" not in plan and "summary:string" not in plan
