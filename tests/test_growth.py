@@ -7,10 +7,11 @@ import time
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from reedbed.functions.text import title_from_filename
-from reedbed.operators import privacy, references, seminars, title_search
+from reedbed.operators import inbox, privacy, references, seminars, title_search
 from reedbed.plans.queries import queries
 
 
@@ -131,3 +132,26 @@ def test_readers_bundle_without_texts(spark):
     out = queries()["a19_export_bundle"](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "doc_id" in plan and "text:string" not in plan and "summary:string" not in plan
+
+
+def test_fanout_takes_little_space(spark, tmp_path):
+    """Rows that repeat in short turns are written small: under a third of a byte each; ids in turns of all admins take more."""
+    users = spark.range(3000).select("id", F.lit(True).alias("is_admin"), F.lit(False).alias("is_deleted"))
+    out = inbox.feedback_fanout(spark.range(500), users)
+    out.write.parquet(f"{tmp_path}/out")
+    assert out.distinct().count() == 1_500_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 500_000
+    assert inbox.feedback_fanout(spark.range(500), users, task_rows=100_000).rdd.getNumPartitions() == 15
+
+
+def test_files_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, k % 5) for k in range(40)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    tasks, write = [], DataFrameWriter.text
+
+    def note(writer, *args, **kwargs):
+        tasks.append(writer._df.rdd.getNumPartitions())
+        return write(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "text", note)
+    assert queries()["io3_store_files"](spark, str(tmp_path)).count() == 40
+    assert tasks == [spark.sparkContext.defaultParallelism]
