@@ -191,7 +191,7 @@ def shelf_order(rows: DataFrame, is_own: bool) -> DataFrame:
 def paper_detail(viewers: DataFrame, papers: DataFrame, copies: DataFrame, comments: DataFrame, rooms: DataFrame, editions: DataFrame) -> DataFrame:
     """Per (viewer, paper): own words, ratings, notes and edition, others who display it, rooms newest first, what one may see.
 
-    viewers: user_id, paper_id; comments: with created_at. Notes are the holder's own, by (created_at, id); the edition is
+    viewers: user_id, paper_id; comments: with created_at, and content if it is to be shown. Notes are the holder's own, by (created_at, id); the edition is
     the pinned one, else the latest. Every fact
     table is aggregated by its key before it is joined. What all viewers of a paper share is in paper_page, so that no
     list of readers is repeated for each viewer.
@@ -199,7 +199,7 @@ def paper_detail(viewers: DataFrame, papers: DataFrame, copies: DataFrame, comme
     said = [c for c in ("summary", *OPINIONS) if c in copies.columns]
     latest = latest_edition(editions.select("paper_id", "id")).withColumnRenamed("edition_id", "latest")
     own = copies.select("paper_id", "user_id", "marketed", "is_author", F.col("edition_id").alias("pinned"), "ignored_edition_id", *said)
-    note = F.struct("created_at", "id", "content")
+    note = F.struct(*(c for c in ("created_at", "id", "content") if c in comments.columns))
     notes = comments.groupBy("paper_id", "user_id").agg(F.sort_array(F.collect_list(note)).alias("notes"))
     shown = displayed_copies(copies).groupBy("paper_id").agg(F.count("*").alias("n_displayed"))
     own_rooms = rooms.groupBy("paper_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id")), asc=False), lambda r: r["id"]).alias("rooms"))

@@ -155,3 +155,35 @@ def test_files_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "text", note)
     assert queries()["io3_store_files"](spark, str(tmp_path)).count() == 40
     assert tasks == [spark.sparkContext.defaultParallelism]
+
+
+def test_recipients_are_not_shuffled(spark):
+    """Readers of a room's paper and its members, without actors; rooms times readers is made by the last join."""
+    rooms = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, paper_key string")
+    reads = [("a", 10), ("a", 10), ("a", 11), ("b", 12), ("c", 13), ("a", None)]
+    members = [(1, 10), (1, 14), (1, 14), (3, 10), (4, 15), (9, 16), (9, 17), (2, None)]
+    actors = [(1, 11), (1, 14), (2, None), (3, 12), (9, 17)]
+    out = seminars.recipients(rooms, spark.createDataFrame(reads, "paper_key string, user_id long"), spark.createDataFrame(members, "room_id long, user_id long"), spark.createDataFrame(actors, "room_id long, actor_id long"))
+    own = {1: "a", 2: "a", 3: "b"}
+    want = ({(r, u) for r, p in own.items() for q, u in reads if p == q} | set(members)) - set(actors) | {(2, None)}
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Aggregate [room_id" not in plan.split("Join")[0]
+
+
+def test_seminars_need_no_canonical_papers(spark, tmp_path):
+    """Who reads a paper is found by its key: one grouping of the entries, which are not written themselves."""
+    from reedbed.plans.fixtures import Tables
+    from reedbed.plans.queries_library import Canon
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    c = Canon(t, "marketed")
+    assert sorted(c.holders.columns) == ["id", "marketed", "paper_key", "user_id"] and [k[0] for k in t.kept] == ["holders"]
+    assert c.holders.join(c.papers.select("paper_key", F.col("id").alias("paper_id")), "paper_key").select("id", "paper_id").exceptAll(c.holdings.select("id", "paper_id")).isEmpty()
+
+
+def test_lines_are_dealt_once(spark):
+    from reedbed.plans.fixtures import Tables
+
+    plan = Tables(spark, "/root/testdata/sf0.001").sql("SELECT l_orderkey, max(l_suppkey) AS s FROM fx_line GROUP BY l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
