@@ -34,9 +34,12 @@ def edition_offers(copies: DataFrame, editions: DataFrame) -> DataFrame:
 
 
 def _chosen(copies: DataFrame, choices: DataFrame, editions: DataFrame) -> DataFrame:
+    """copies with latest, choice, asked and rejected. Only choices that name an edition meet the editions, and not as whole copies."""
     own = editions.select("paper_id", F.col("id").alias("choice"), F.lit(True).alias("exists"))
     asked = choices.select("paper_id", "user_id", "choice", F.lit(True).alias("asked"))
-    return edition_for(copies, editions).join(asked, ["paper_id", "user_id"], "left").join(own, ["paper_id", "choice"], "left").withColumn("rejected", F.col("asked").isNotNull() & F.col("choice").isNotNull() & F.col("exists").isNull())
+    named = asked.filter("choice is not null").join(own, ["paper_id", "choice"], "left").withColumn("rejected", F.col("exists").isNull())
+    judged = named.select(*asked.columns, "rejected").union(asked.filter("choice is null").withColumn("rejected", F.lit(False)))
+    return edition_for(copies, editions).join(judged, ["paper_id", "user_id"], "left").withColumn("rejected", F.coalesce("rejected", F.lit(False)))
 
 
 def adopt_editions(copies: DataFrame, choices: DataFrame, editions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from reedbed.functions.text import title_from_filename
-from reedbed.operators import inbox, privacy, references, seminars, title_search
+from reedbed.operators import inbox, library, privacy, references, seminars, title_search
 from reedbed.plans.queries import queries
 
 
@@ -187,3 +187,15 @@ def test_lines_are_dealt_once(spark):
 
     plan = Tables(spark, "/root/testdata/sf0.001").sql("SELECT l_orderkey, max(l_suppkey) AS s FROM fx_line GROUP BY l_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_choices_meet_editions_alone(spark):
+    """A choice is looked up among editions before it meets the copies, so that whole copies are not dealt again for it."""
+    copies = spark.createDataFrame([(k, 1, k, None, None) for k in range(5)], "id long, paper_id long, user_id long, edition_id long, ignored_edition_id long")
+    editions = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "paper_id long, id long")
+    choices = spark.createDataFrame([(1, 0, 7), (1, 1, 9), (1, 2, None)], "paper_id long, user_id long, choice long")
+    out = library.adopt_editions(copies, choices, editions)
+    got = [(r["id"], r["edition_id"], r["ignored_edition_id"], r["rejected"]) for r in out.orderBy("id").collect()]
+    assert got == [(0, 7, 8, False), (1, None, None, True), (2, 8, 8, False), (3, None, None, False), (4, None, None, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "choice" not in plan[plan.index("Join") :].split("\n")[0]
