@@ -206,8 +206,10 @@ def paper_detail(viewers: DataFrame, papers: DataFrame, copies: DataFrame, comme
     notes = comments.groupBy("paper_id", "user_id").agg(F.sort_array(F.collect_list(note)).alias("notes"))
     shown = displayed_copies(copies).groupBy("paper_id").agg(F.count("*").alias("n_displayed"))
     own_rooms = rooms.groupBy("paper_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id")), asc=False), lambda r: r["id"]).alias("rooms"))
-    out = viewers.join(papers.select(F.col("id").alias("paper_id"), "paper_key", "title"), "paper_id")
-    out = out.join(own, ["paper_id", "user_id"], "left").join(notes, ["paper_id", "user_id"], "left").join(shown, "paper_id", "left").join(own_rooms, "paper_key", "left").join(latest, "paper_id", "left")
+    # What a viewer has goes by (paper_id, user_id); what a paper has is put together by itself and meets the viewers once.
+    page = papers.select(F.col("id").alias("paper_id"), "paper_key", "title").join(own_rooms, "paper_key", "left").drop("paper_key")
+    out = viewers.join(own, ["paper_id", "user_id"], "left").join(notes, ["paper_id", "user_id"], "left")
+    out = out.join(page, "paper_id").join(shown, "paper_id", "left").join(latest, "paper_id", "left")
     held = F.col("marketed").isNotNull()
     flags = [held.alias("holds"), F.coalesce("marketed", F.lit(False)).alias("is_reader")]
     kept = F.when(held, F.coalesce("notes", F.array().cast(notes.schema["notes"].dataType))).otherwise(F.array().cast(notes.schema["notes"].dataType))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from reedbed.functions.text import title_from_filename
-from reedbed.operators import inbox, library, privacy, references, seminars, title_search
+from reedbed.operators import identity, inbox, library, privacy, references, seminars, title_search
 from reedbed.plans.queries import queries
 
 
@@ -199,3 +199,52 @@ def test_choices_meet_editions_alone(spark):
     assert got == [(0, 7, 8, False), (1, None, None, True), (2, 8, 8, False), (3, None, None, False), (4, None, None, False)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "choice" not in plan[plan.index("Join") :].split("\n")[0]
+
+
+def test_canonical_tables_are_rows_of_one(spark):
+    """Papers, editions and copies come from entries that are dealt and written once; the steps by themselves give the same."""
+    from reedbed.operators import identity
+    from reedbed.plans.fixtures import Tables
+    from reedbed.plans.queries_library import Canon
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    c = Canon(t, "sha256", "summary")
+    named = identity.name_entries(c.entries.drop("paper_id"))
+    steps = {"holdings": identity.first_copies(named), "editions": identity.dedup_editions(named), "entries": named}
+    for name, want in steps.items():
+        got = getattr(c, name)
+        assert sorted(got.columns) == sorted(want.columns) and got.count() == want.count() and got.select(*want.columns).exceptAll(want).isEmpty()
+    assert c.copies.count() == c.holdings.count() and [k[0] for k in t.kept] == ["placed"]
+
+
+def test_entries_of_one_paper_are_placed(spark):
+    rows = [(3, 1, "a", "x"), (1, 1, "a", "y"), (2, None, "a", "x"), (4, 2, "a", None), (5, 2, "b", None), (6, 2, "b", None)]
+    placed = identity.place_entries(spark.createDataFrame(rows, "id long, user_id long, paper_key string, sha256 string"))
+    got = {r["id"]: (r["paper_id"], r["own"], r["latest"], r["first"]) for r in placed.collect()}
+    assert got == {1: (1, 1, 4, 1), 2: (1, 2, 4, 2), 3: (1, 2, 4, 1), 4: (1, 4, 4, 4), 5: (5, 5, 5, 5), 6: (5, 5, 5, 5)}
+    assert {r["id"] for r in identity.placed_copies(placed.withColumn("marketed", F.lit(True))).collect()} == {1, 4, 5}
+
+
+def _exchanges(spark, make):
+    """How often a plan deals rows where nothing is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_viewers_are_dealt_twice(spark):
+    """Viewers of papers go by reader once and by paper once; what a paper has does not travel with them."""
+    frame = lambda cols: spark.createDataFrame([], cols)
+    given = (
+        frame("user_id long, paper_id long"),
+        frame("id long, paper_key string, title string"),
+        frame("id long, paper_id long, user_id long, marketed boolean, is_author boolean, edition_id long, ignored_edition_id long, summary string"),
+        frame("id long, paper_id long, user_id long, created_at date"),
+        frame("id long, paper_key string, created_at date"),
+        frame("paper_id long, id long"),
+    )
+    # Viewers, copies and notes by reader; papers and rooms by key; viewers, papers, counts and editions by paper.
+    assert _exchanges(spark, lambda: library.paper_detail(*given)) == 9
