@@ -224,7 +224,8 @@ def paper_page(papers: DataFrame, copies: DataFrame, users: DataFrame, editions:
     """
     files = editions.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("id", "sha256"))).alias("editions"), F.max("id").alias("latest_edition"))
     own = summaries.groupBy("paper_key").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "status", "creator", "leader", "n_members")), asc=False).alias("rooms"))
-    out = papers.withColumnRenamed("id", "paper_id").join(files, "paper_id", "left").join(readers_of(copies, users), "paper_id", "left").join(own, "paper_key", "left")
+    # Rooms meet papers by key before the lists do, which then go by paper_id alone.
+    out = papers.withColumnRenamed("id", "paper_id").join(own, "paper_key", "left").join(files, "paper_id", "left").join(readers_of(copies, users), "paper_id", "left")
     for c, part in (("editions", files), ("readers", out), ("rooms", own)):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(part.schema[c].dataType)))
     return out

@@ -248,3 +248,18 @@ def test_viewers_are_dealt_twice(spark):
     )
     # Viewers, copies and notes by reader; papers and rooms by key; viewers, papers, counts and editions by paper.
     assert _exchanges(spark, lambda: library.paper_detail(*given)) == 9
+
+
+def test_lists_of_a_paper_are_not_dealt_for_its_rooms(spark):
+    frame = lambda cols: spark.createDataFrame([], cols)
+    given = (
+        frame("id long, paper_key string"),
+        frame("id long, paper_id long, user_id long, marketed boolean, is_author boolean"),
+        frame("id long, display_name string, affiliation string"),
+        frame("paper_id long, sha256 string, id long"),
+        frame("id long, paper_key string, created_at date, status string, creator string, leader string, n_members long"),
+    )
+    plan = library.paper_page(*given)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "paper_id" in joins[0] and "paper_key" in joins[2]
+    assert _exchanges(spark, lambda: library.paper_page(*given)) == 7
