@@ -298,3 +298,13 @@ def test_least_rows_of_numbers_are_hashed(spark):
     assert sorted(tuple(r) for r in copies.collect()) == [("a", 1, 1, True), ("b", 2, 3, False)]
     assert sorted((r["id"], r["user_id"]) for r in uploads.collect()) == [(1, 1), (3, 2)]
     assert not any("SortAggregate" in x._jdf.queryExecution().executedPlan().toString() for x in (copies, uploads))
+
+
+def test_who_leaves_is_found_once(spark):
+    """Tables meet the readers who leave as one small written table, and copies of those who stay are not grouped."""
+    out = queries()["u09_erasure_report"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "c_custkey" not in plan
+    groups = [line for line in plan.splitlines() if "Aggregate [paper_key" in line and "user_id" in line.split("]")[0]]
+    below = plan[plan.index(groups[0]) :].splitlines()
+    assert len(groups) == 1 and any("Join LeftSemi" in line for line in below[1:4])
