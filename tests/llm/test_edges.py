@@ -76,6 +76,21 @@ def test_repeats_in_texts_above_a_chunk(docs, rows):
     assert all(got[i]["n_removed"] == 0 and got[i]["kept_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if i not in kept)
 
 
+def test_anchors_of_equal_strings_in_chunks_of_any_size(monkeypatch):
+    hashes = suffix_dedup.rolling_hashes
+    monkeypatch.setattr(suffix_dedup, "rolling_hashes", lambda data, k: hashes(data, k) & np.uint64(3 << 40 | 4095))
+    draw = np.random.default_rng(5)
+    letters = lambda n: draw.integers(97, 123, n, dtype=np.uint8)
+
+    def anchor(data, at):
+        _, place, first, _ = suffix_dedup.anchors(data, np.array([0, len(data)]), 40)
+        return place[np.searchsorted(first, at, "right") - 1] - at
+
+    for _ in range(20):
+        text = letters(40)
+        assert anchor(text, 0) == anchor(np.concatenate([letters(5000), text, letters(3000)]), 5000)
+
+
 def test_tokens_of_texts_above_a_chunk(docs, rows):
     bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(BYTE_BPE), special_tokens={})
     got = {r["doc_id"]: r for r in encode_digests(docs, BYTE_BPE).collect()}
