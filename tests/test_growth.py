@@ -144,6 +144,19 @@ def test_fanout_takes_little_space(spark, tmp_path):
     assert inbox.feedback_fanout(spark.range(500), users, task_rows=100_000).rdd.getNumPartitions() == 15
 
 
+def test_notices_take_little_space(spark, tmp_path):
+    """Notices times readers in short turns of readers: under half a byte a row; all readers of a notice at once take several times that."""
+    at = datetime.datetime(2024, 1, 1)
+    rows = [("p1", 1, k, True, "call", 0, None, [0], None, None, at) for k in range(300)]
+    outcomes = spark.createDataFrame(rows, "paper_key string, room int, seq long, accepted boolean, notice string, actor_id long, heir long, members array<long>, time string, platform string, created_at timestamp_ntz")
+    readers = spark.range(20_000).select(F.lit("p1").alias("paper_key"), F.col("id").alias("user_id"))
+    titles, users = spark.createDataFrame([("p1", "T")], "paper_key string, title string"), spark.range(1).select("id", F.lit("U").alias("display_name"))
+    seminars.route_notices(outcomes, readers, titles, users).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 300 * 19_999
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3_000_000
+
+
 def test_files_are_made_by_several_tasks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(k, k % 5) for k in range(40)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     tasks, write = [], DataFrameWriter.text
