@@ -2,13 +2,14 @@
 
 import datetime
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
 from reedbed.operators import references, title_search
 from reedbed.plans import queries_library
-from reedbed.plans.queries import queries
+from reedbed.plans.queries import oracle_sql, queries
 
 
 def test_title_from_filename_keeps_the_whole_text(spark, tmp_path):
@@ -34,6 +35,19 @@ def test_export_writes_every_user(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in got) == [(k, 4, k, 15 + k) for k in range(5)]
 
 
+def test_merged_works_of_texts_without_a_title(spark, tmp_path):
+    """Texts that begin with a full stop or a new line, empty and missing ones, and odd ids: the rows of the SQL."""
+    texts = [".a b", "\na", "", None, "a b. c", " .x"]
+    rows = [(k - 6, texts[k % 6]) for k in range(60)] + [(None, "no id"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, texts[k]) for k in range(6)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in queries()["u03_merge_works"](spark, str(tmp_path)).select("id", "title", "authors", "citations", "year").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.execute(f"select id, title, authors, citations, year from ({oracle_sql()['u03_merge_works']})").fetchall()))
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_candidates_are_the_best_of_all(spark, small, monkeypatch):
     """Every reference's best works, whatever is looked at first: against counts of common words, ties by work id."""
