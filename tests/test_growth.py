@@ -321,3 +321,28 @@ def test_who_leaves_is_found_once(spark):
     groups = [line for line in plan.splitlines() if "Aggregate [paper_key" in line and "user_id" in line.split("]")[0]]
     below = plan[plan.index(groups[0]) :].splitlines()
     assert len(groups) == 1 and any("Join LeftSemi" in line for line in below[1:4])
+
+
+def test_titles_of_common_words_are_counted_as_bits(monkeypatch):
+    """Titles with common and rare words, over several stretches: the rows of all pairs, with few titles counted one by one."""
+    draw = random.Random(11)
+    titles = [sorted({*draw.sample(range(30), draw.randrange(12)), *(draw.randrange(30, 30_000) for _ in range(draw.randrange(1, 4)))}) for _ in range(40_000)]
+    asked = [sorted({*draw.sample(range(30), 15), *draw.sample(titles, 1)[0], *(draw.randrange(30, 40_000) for _ in range(9))}) for _ in range(12)] + [[], [50_000]]
+    block = title_search._Block(pa.table({"first": pa.array(range(40_000), pa.int64()), "words": pa.array(titles, pa.list_(pa.int64()))}), 5)
+    counted, bincount = [], np.bincount
+
+    def note(x, *args, **kwargs):
+        counted.append(len(x))
+        return bincount(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bincount", note)
+    held = [set(t) for t in titles]
+    for floor, bound in ((0, 0), (9, 20_000)):
+        counted.clear()
+        table = pa.table({"id": pa.array(range(14), pa.int64()), "words": pa.array(asked, pa.list_(pa.int64())), "floor": np.full(14, floor), "bound": np.full(14, bound)})
+        got = [tuple(r.values()) for r in block.search(table).to_pylist()]
+        want = []
+        for i, words in enumerate(asked):
+            counts = sorted((-len(t.intersection(words)), k) for k, t in enumerate(held) if not t.isdisjoint(words))
+            want += [(i, k, -n) for n, k in counts[:5] if (n, k) <= (-floor, bound)]
+        assert got == want and want and sum(counted) < 2000
