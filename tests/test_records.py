@@ -87,3 +87,23 @@ def test_errors_stay_in_the_queue(spark, indexes):
     assert sorted(r["id"] for r in again.filter("resolved_status = 'ok'").collect()) == [1, 2, 3, 4, 6]
     assert again.filter("id = 3").select(F.get_json_object("resolution", "$.venue").alias("v")).first()["v"] == "VLDB"
     assert R.resolve_records(refs.limit(0), *indexes).count() == 0
+
+
+def test_lines_are_cut_once(spark, indexes):
+    """Each printed line is taken once for each text that is searched by, however many steps ask for its words."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def line(x):
+        reads.add(1)
+        return x
+
+    refs = spark.createDataFrame(REFERENCES, REFS).localCheckpoint().withColumn("raw", line("raw"))
+    for available, most in ((True, 2), (False, 1)):
+        reads.value = 0
+        out = R.resolve_records(refs, *indexes, second_available=available)
+        assert out.count() == len(REFERENCES) and 0 < reads.value <= most * len(REFERENCES)
+    works = indexes[0].select("id", "record.doi", "record.title", "record.year", F.lit(0).alias("source_rank"))
+    reads.value = 0
+    out = R.resolve_references(refs, works)
+    assert {r["id"] for r in out.filter("status = 'ok'").collect()} == {1, 2, 3} and 0 < reads.value <= len(REFERENCES)
